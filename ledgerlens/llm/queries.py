@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash
+from . import bpe, fertility, langid, simhash, toxicity
 from .common import crc_mod, table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the box keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document; learned where crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned where crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -17,15 +31,31 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, trees).withColumn("held_out", held_out)
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of what they decode to."""
+    source = bpe.vocabulary(tokenizer_file("byte_bpe_50k.json"))
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), source)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash class of every document: links at three or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, fertility rates and verdict of every document, with bands per language."""
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return fertility.judge(table(spark, sf_dir, "documents"), model, group=F.col("lang"))
+
+
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
+        "op4_bpe_round_trip": op4_bpe_round_trip,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op10_tokeniser_fertility": op10_tokeniser_fertility,
     }
 
 
