@@ -10,10 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerlens.llm import langid, simhash
-from ledgerlens.llm.common import crc_mod, shared_dir
+from ledgerlens.llm import bpe, langid, mixing, simhash, toxicity
+from ledgerlens.llm.common import crc_mod, shared_dir, table
+from ledgerlens.llm.queries import tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, trees)
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose calibrated toxicity is 0.5 or more."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest id."""
     return simhash.keep_first(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents so that sources, languages and topics meet their target weights."""
+    return mixing.keep_sampled(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the BPE ids of their whole texts."""
+    return bpe.encode(docs, bpe.vocabulary(tokenizer_file("byte_bpe_50k.json")))
+
+
 STAGES = [
     ("language ID", language_id),
+    ("toxicity", drop_toxic),
     ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: PPM code lengths, boosted trees and BPE merges have no SQL form; tests compare the

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, langid, simhash, toxicity
+from . import bpe, chat, fertility, hamming, htmltext, langid, mixing, oracles, sharding, simhash, toxicity
 from .common import crc_mod, table
 
 
@@ -31,17 +31,48 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, trees).withColumn("held_out", held_out)
 
 
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    found = hamming.top_k(vectors, vectors.where("id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level BPE ids and of what they decode to."""
     source = bpe.vocabulary(tokenizer_file("byte_bpe_50k.json"))
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), source)
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a CRF trained on 500 labelled pages."""
+    model = htmltext.train(htmltext.labelled_pages(500))
+    return htmltext.extract(table(spark, sf_dir, "pages"), model)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash class of every document: links at three or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probability and fate of every document under raked weights."""
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 9))
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted windows."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(rows.unionByName(more)))
+
+
+def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and next shard of every document under the law ``key``."""
+    return sharding.assign(table(spark, sf_dir, "documents"), 8)
+
+
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility rates and verdict of every document, with bands per language."""
     with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
@@ -53,11 +84,18 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
+        "op3_hamming_top_k": op3_hamming_top_k,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_html_main_text": op5_html_main_text,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_mixing": op7_mixing,
+        "op8_chat_windows": op8_chat_windows,
+        "op9_hash_tree_shards": op9_hash_tree_shards,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that have one. The others are models (1, 2, 5), need a
+    tokenizer (4, 10) or hashes that SQL lacks (6, 9); tests compare those with brute force."""
+    return {"op3_hamming_top_k": oracles.HAMMING_TOP_K, "op7_mixing": oracles.mixing(), "op8_chat_windows": oracles.CHAT_WINDOWS}
