@@ -1 +1,227 @@
-"""placeholder"""
+"""Queries of text evaluability, matching and classification."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import clean as C
+from ..operators import cascade as K
+from ..operators import classify as Y
+from ..operators import match as M
+from ..operators import textq as T
+from .q_clean import _NORM
+from .registry import query
+from .standin import TEXTS, table, texts
+
+_FILLER = "|".join(T.FILLER)
+_LINES = f"""t AS (SELECT *, {_NORM} AS txt, 'item ' || substr(code, 1, 4) AS name FROM ({TEXTS})),
+f AS (SELECT *, txt IS NOT NULL AS has_text, coalesce(length(txt) < 12 OR regexp_matches(txt, '{_FILLER}'), true) AS filler, coalesce(contains(txt, name) OR contains(name, txt), false) AS circular,
+  coalesce(contains(txt, code) OR contains(txt, substr(code, 1, 6)) OR contains(txt, substr(code, 1, 4)), false) AS written FROM t)"""
+
+
+def lines(spark, sf_dir):
+    d = texts(spark, sf_dir)
+    return d.withColumn("txt", C.norm_text(F.col("text"))).withColumn("name", F.concat(F.lit("item "), F.substring("code", 1, 4)))
+
+
+def _rungs():
+    t, n = F.col("txt"), F.col("name")
+    return [("has_text", t.isNotNull()), ("not_filler", ~T.is_filler(t)), ("evaluable", ~T.is_circular(t, n))]
+
+
+_RUNGS = "CAST(count_if(has_text) AS BIGINT) AS has_text, CAST(count_if(has_text AND NOT filler) AS BIGINT) AS not_filler, CAST(count_if(has_text AND NOT filler AND NOT circular) AS BIGINT) AS evaluable"
+
+
+@query(f"""WITH {_LINES} SELECT year, mechanism, count(*) AS n, {_RUNGS}, CASE grouping(year, mechanism) WHEN 0 THEN 'both' WHEN 1 THEN 'year' WHEN 2 THEN 'mechanism' ELSE 'total' END AS level FROM f GROUP BY GROUPING SETS ((year, mechanism), (year), (mechanism), ())""")
+def text_cascade_grouping_sets(spark, sf_dir):
+    """The evaluability cascade at every level, in one pass."""
+    return K.grouping_cascade(lines(spark, sf_dir), ["year", "mechanism"], _rungs())
+
+
+@query(f"WITH {_LINES} SELECT md5(txt) AS txt, count(*) AS n, bool_and(filler) AS caught FROM f WHERE txt IS NOT NULL GROUP BY f.txt ORDER BY n DESC, f.txt LIMIT 40")
+def filler_frequency(spark, sf_dir):
+    """The most repeated texts and whether the filler rule catches them."""
+    return T.frequent_texts(lines(spark, sf_dir), "txt").withColumn("txt", F.md5(F.col("txt").cast("binary")))
+
+
+@query(f"WITH {_LINES} SELECT year, mechanism, count(*) AS n, round(100.0 * count_if(circular) / count(*), 6) AS circular_pct, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS weight_pct FROM f GROUP BY year, mechanism")
+def circularity_by_mechanism(spark, sf_dir):
+    """Circular texts and weight of each mechanism in a year."""
+    return T.circularity(lines(spark, sf_dir), "year", "mechanism", T.is_circular(F.col("txt"), F.col("name")))
+
+
+@query(f"WITH {_LINES}, p AS (SELECT txt, code, count(*) AS n FROM f WHERE txt IS NOT NULL GROUP BY 1, 2) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_pairs, true AS approx_ok, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS factor FROM p")
+def distinct_text_code_pairs(spark, sf_dir):
+    """Distinct (text, code) pairs; the sketch has to lie within 10 per cent."""
+    p = T.distinct_pairs(lines(spark, sf_dir), "txt", "code")
+    return p.select("n_rows", "n_pairs", (F.abs(F.col("approx_pairs") - F.col("n_pairs")) <= 0.1 * F.col("n_pairs")).alias("approx_ok"), "factor")
+
+
+@query(f"""WITH {_LINES} SELECT * FROM (
+SELECT 0 AS step, 'candidates' AS name, count_if(has_text) AS n FROM f UNION ALL SELECT 1, 'broad', count_if(has_text AND id % 5 <> 0) FROM f UNION ALL SELECT 2, 'strict', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0) FROM f
+UNION ALL SELECT 3, 'not_circular', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular) FROM f UNION ALL SELECT 4, 'code_not_written', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written) FROM f
+UNION ALL SELECT 5, 'not_filler', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written AND NOT filler) FROM f
+UNION ALL SELECT 6, 'enough_tokens', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written AND NOT filler AND len(string_split(txt, ' ')) >= 3) FROM f)""")
+def label_funnel(spark, sf_dir):
+    """Labels broad and strict, and what each leakage guard leaves."""
+    c = F.col
+    return Y.label_funnel(lines(spark, sf_dir), c("txt").isNotNull(), c("id") % 5 != 0, c("id") % 7 != 0, T.trainable(c("txt"), c("code"), c("name"), 3))
+
+
+@query(f"""WITH {_LINES}, g AS (SELECT txt, min(substr(code, 1, 2)) AS a, max(substr(code, 1, 2)) AS b, count(*) AS n_repeats, min(year) AS year FROM f WHERE txt IS NOT NULL GROUP BY txt)
+SELECT a AS label, n_repeats, year, count(*) AS n_texts FROM g WHERE a = b GROUP BY 1, 2, 3""")
+def text_dedup(spark, sf_dir):
+    """One row a text, where it has one label."""
+    d = T.dedup_texts(lines(spark, sf_dir), "txt", F.substring("code", 1, 2), ["year"])
+    return d.groupBy("label", "n_repeats", "year").agg(F.count("*").alias("n_texts"))
+
+
+def dataset(spark, sf_dir):
+    """One row a text with its language as the class."""
+    return T.dedup_texts(lines(spark, sf_dir).where(~T.is_filler(F.col("txt"))), "txt", F.col("label"), ["year", "id"])
+
+
+_DATA = f"""{_LINES}, d AS (SELECT txt, min(label) AS label, max(label) AS other, count(*) AS n_repeats, min(year) AS year, min(id) AS id FROM f WHERE NOT filler AND label IS NOT NULL GROUP BY txt),
+s AS (SELECT * FROM d WHERE label = other)"""
+
+
+@query(f"""WITH {_DATA}, b AS (SELECT label FROM s WHERE year <= 2021 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+SELECT (SELECT label FROM b) AS majority, count(*) AS n_test, round(100.0 * avg(CASE WHEN label = (SELECT label FROM b) THEN 1 ELSE 0 END), 6) AS baseline_pct FROM s WHERE year > 2021""")
+def majority_baseline(spark, sf_dir):
+    """The majority class of the training years, on the years after."""
+    train, test = Y.split_by_year(dataset(spark, sf_dir), "year", 2021)
+    return Y.majority_baseline(train, test, "label")
+
+
+@query(f"""WITH {_DATA}, p AS (SELECT label, CASE WHEN id % 7 = 0 THEN 'xx' WHEN id % 5 = 0 THEN 'en' ELSE label END AS prediction FROM s), c AS (SELECT label, prediction, count(*) AS n FROM p GROUP BY 1, 2),
+k AS (SELECT label AS c FROM c UNION SELECT prediction FROM c), m AS (SELECT k.c, coalesce(sum(n) FILTER (WHERE label = k.c AND prediction = k.c), 0) AS tp, coalesce(sum(n) FILTER (WHERE label <> k.c AND prediction = k.c), 0) AS fp, coalesce(sum(n) FILTER (WHERE label = k.c AND prediction <> k.c), 0) AS fn FROM k, c GROUP BY k.c),
+f1 AS (SELECT *, 2.0 * tp / nullif(2 * tp + fp + fn, 0) AS f FROM m)
+SELECT round(100.0 * sum(tp) / sum(tp + fn), 6) AS accuracy_pct, round(avg(coalesce(f, 0)), 6) AS macro_f1, round(sum(coalesce(f, 0) * (tp + fn)) / sum(tp + fn), 6) AS weighted_f1, count(*) AS k, CAST(sum(tp + fn) AS BIGINT) AS n FROM f1""")
+def classification_metrics(spark, sf_dir):
+    """Accuracy and F1 from label and prediction counts, with a class only predicted."""
+    d = dataset(spark, sf_dir)
+    p = F.when(F.col("id") % 7 == 0, "xx").when(F.col("id") % 5 == 0, "en").otherwise(F.col("label"))
+    return Y.metrics(Y.confusion(d.select("label", p.alias("prediction")), "label", "prediction"))
+
+
+def _model(spark, sf_dir, kind):
+    train, test = Y.split_by_year(dataset(spark, sf_dir), "year", 2021)
+    return Y.text_pipeline(kind, "txt", "label").fit(train).transform(test)
+
+
+@query()
+def classifier_naive_bayes(spark, sf_dir):
+    """M6: Naive Bayes on TF-IDF, tested on later years."""
+    return Y.metrics(Y.confusion(_model(spark, sf_dir, "nb"), "_label", "prediction"))
+
+
+@query()
+def classifier_logistic(spark, sf_dir):
+    """M6, M8: logistic regression on TF-IDF, and the same on texts seen once."""
+    return Y.contamination(_model(spark, sf_dir, "lr"), "n_repeats", "_label", "prediction")
+
+
+def vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    items = e.where("vec_id % 4 <> 0").select(F.col("vec_id").alias("id"), F.col("label").alias("family"), F.col("embedding").alias("vector"), (F.col("vec_id") % 9 + 1).alias("weight"))
+    cat = e.where("vec_id % 4 = 0 AND label <> 3").select(F.col("label").alias("family"), F.col("embedding").alias("vector"), F.col("vec_id").alias("code"))
+    return items, cat
+
+
+_BEST = """i AS (SELECT vec_id AS id, label AS family, embedding AS v, vec_id % 9 + 1 AS weight FROM embeddings WHERE vec_id % 4 <> 0), c AS (SELECT label AS family, embedding AS v, vec_id AS code FROM embeddings WHERE vec_id % 4 = 0 AND label <> 3),
+p AS (SELECT i.id, i.family, i.weight, c.code, list_cosine_similarity(CAST(i.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS sim FROM i LEFT JOIN c USING (family)),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC NULLS LAST, code NULLS LAST) AS rk FROM p)"""
+
+
+@query(f"WITH {_BEST} SELECT id, family, code AS best_code, round(sim, 6) AS best_sim, code IS NULL AS no_family FROM b WHERE rk = 1")
+def best_sibling_cosine(spark, sf_dir):
+    """The best sibling of each item by cosine; families without any stay."""
+    items, cat = vectors(spark, sf_dir)
+    return M.best_sibling(items, cat, "id", "family", "vector", "code").withColumn("best_sim", F.round("best_sim", 6))
+
+
+@query(f"""WITH {_BEST}, d AS (SELECT b.*, CASE WHEN id % 3 = 0 THEN code ELSE id - id % 4 END AS declared FROM b WHERE rk = 1)
+SELECT family, count(*) AS n, round(100.0 * count_if(coalesce(code = declared AND sim > 0, false)) / count(*), 6) AS best_pct, round(100.0 * coalesce(sum(CASE WHEN code = declared AND sim > 0 THEN weight END), 0) / sum(weight), 6) AS best_weight_pct,
+  round(100.0 * count_if(coalesce(sim, 0) <= 0) / count(*), 6) AS abstained_pct FROM d GROUP BY family""")
+def declared_is_best(spark, sf_dir):
+    """How often the declared code is the best of its family, by items and weight."""
+    items, cat = vectors(spark, sf_dir)
+    best = M.best_sibling(items, cat, "id", "family", "vector", "code").join(items.select("id", "weight"), "id")
+    best = best.withColumn("declared", F.when(F.col("id") % 3 == 0, F.col("best_code")).otherwise(F.col("id") - F.col("id") % 4))
+    return M.declared_is_best(best, "declared", "weight", ["family"])
+
+
+def parts(spark, sf_dir):
+    """The catalogue: one text for each family of parts."""
+    p = table(spark, sf_dir, "part")
+    name = C.norm_text(F.concat_ws(" ", "p_type", "p_brand"))
+    return p.select((F.col("p_partkey") % 40).alias("k"), name.alias("name")).groupBy("k").agg(F.min("name").alias("name"), F.lpad(F.min(F.col("k") * 48611 * 25 % 100000000).cast("string"), 8, "0").alias("code"))
+
+
+_PART_NORM = "trim(regexp_replace(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_WORD_RANK = f"""cat AS (SELECT p_partkey % 40 AS k, min({_PART_NORM}) AS name, lpad(CAST((p_partkey % 40) * 48611 * 25 % 100000000 AS VARCHAR), 8, '0') AS code FROM part GROUP BY p_partkey % 40),
+docs AS (SELECT p_partkey AS id, {_PART_NORM} AS txt, lpad(CAST((p_partkey % 40) * 48611 * 25 % 100000000 AS VARCHAR), 8, '0') AS declared FROM part),
+ct AS (SELECT code, term, count(*) AS tf FROM (SELECT code, unnest(string_split(name, ' ')) AS term FROM cat) GROUP BY 1, 2), idf AS (SELECT term, ln((SELECT count(DISTINCT code) FROM cat) + 1.0) - ln(count(*) + 1.0) AS idf FROM ct GROUP BY term),
+cw AS (SELECT code, term, tf * idf AS w FROM ct JOIN idf USING (term) WHERE tf * idf > 1e-12), cn AS (SELECT code, term, w / sqrt(sum(w * w) OVER (PARTITION BY code)) AS w FROM cw),
+dt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(string_split(txt, ' ')) AS term FROM docs) GROUP BY 1, 2), dw AS (SELECT id, term, tf * idf AS w FROM dt JOIN idf USING (term) WHERE tf * idf > 1e-12), dn AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM dw),
+s AS (SELECT id, code, round(sum(dn.w * cn.w), 9) AS sim FROM dn JOIN cn USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, code) AS rk, count(*) OVER (PARTITION BY id) AS np FROM s),
+j AS (SELECT d.id, d.declared, b.code AS top_code, coalesce(b.sim, 0.0) AS top_sim, coalesce(o.sim, 0.0) AS declared_sim, coalesce(o.rk, coalesce(b.np, 0) + 1) AS declared_rank,
+  CASE WHEN b.code IS NULL THEN NULL WHEN b.code = declared THEN 8 WHEN substr(b.code, 1, 6) = substr(declared, 1, 6) THEN 6 WHEN substr(b.code, 1, 4) = substr(declared, 1, 4) THEN 4 WHEN substr(b.code, 1, 2) = substr(declared, 1, 2) THEN 2 ELSE 0 END AS level
+  FROM docs d LEFT JOIN r b ON b.id = d.id AND b.rk = 1 LEFT JOIN r o ON o.id = d.id AND o.code = d.declared)"""
+
+
+def _ranked(spark, sf_dir, terms, sublinear=False):
+    cat = parts(spark, sf_dir)
+    p = table(spark, sf_dir, "part")
+    docs = p.select(F.col("p_partkey").alias("id"), C.norm_text(F.concat_ws(" ", "p_type", "p_brand")).alias("txt"), F.lpad(((F.col("p_partkey") % 40) * 48611 * 25 % 100000000).cast("string"), 8, "0").alias("declared"))
+    cw, idf = M.tfidf(cat, "code", terms(F.col("name")), sublinear=sublinear)
+    dw, _ = M.tfidf(docs, "id", terms(F.col("txt")), idf, sublinear)
+    sims = M.similarities(dw, cw, "id", "code").withColumn("sim", F.round("sim", 9))
+    return M.rank_declared(sims, docs, "id", "code", "declared")
+
+
+@query(f"WITH {_WORD_RANK} SELECT id, declared, top_code, round(top_sim, 6) AS top_sim, round(declared_sim, 6) AS declared_sim, declared_rank, level FROM j")
+def tfidf_word_rank(spark, sf_dir):
+    """Similarity and rank of the declared code among all, by word TF-IDF."""
+    r = _ranked(spark, sf_dir, M.words)
+    return r.withColumn("top_sim", F.round("top_sim", 6)).withColumn("declared_sim", F.round("declared_sim", 6))
+
+
+_SUMMARY = ", ".join(f"round(100.0 * avg(CASE WHEN declared_rank <= {t} THEN 1 ELSE 0 END), 6) AS within_{t}" for t in (1, 3, 10, 100)) + ", round(100.0 * avg(CASE WHEN top_sim = 0 THEN 1 ELSE 0 END), 6) AS abstained_pct, " + ", ".join(f"round(100.0 * avg(CASE WHEN coalesce(level >= {d}, false) THEN 1 ELSE 0 END), 6) AS level_{d}" for d in (8, 6, 4, 2))
+
+
+@query(f"WITH {_WORD_RANK} SELECT count(*) AS n, {_SUMMARY}, quantile_cont(declared_rank, 0.5) AS median_rank FROM j")
+def match_quality(spark, sf_dir):
+    """The distribution of ranks and agreement levels."""
+    return M.match_summary(_ranked(spark, sf_dir, M.words))
+
+
+@query()
+def tfidf_char_rank(spark, sf_dir):
+    """M4, M9: ranks by character 3-5-gram TF-IDF, and whether they tell the same as words."""
+    one = M.match_summary(_ranked(spark, sf_dir, M.words))
+    return M.method_consistency(one, M.match_summary(_ranked(spark, sf_dir, M.char_grams, True)), "within_10")
+
+
+@query()
+def word2vec_sibling(spark, sf_dir):
+    """The best sibling by Word2Vec over the joint corpus."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("family"), M.words(C.norm_text(F.concat_ws(" ", "p_type", "p_brand"))).alias("terms"))
+    cat = p.where("id % 5 = 0")
+    model = M.word_vectors(p.select("terms").unionByName(cat.select("terms")), "terms", size=16)
+    return M.best_sibling(M.embed(model, p.where("id % 5 <> 0")), M.embed(model, cat).withColumnRenamed("id", "code"), "id", "family", "vector", "code")
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT txt, code, count(*) AS n FROM f WHERE txt IS NOT NULL GROUP BY 1, 2), u AS (SELECT * FROM p ORDER BY n DESC, txt, code LIMIT 100)
+SELECT (SELECT count(*) FROM p) AS n_pairs, (SELECT CAST(sum(n) AS BIGINT) FROM p) AS n_rows, count(*) AS used_pairs, CAST(sum(n) AS BIGINT) AS used_rows, (SELECT count(*) FROM p) - count(*) AS omitted_pairs, round(100.0 * sum(n) / (SELECT sum(n) FROM p), 6) AS covered_pct FROM u""")
+def frequency_capped_pairs(spark, sf_dir):
+    """What the hundred most frequent pairs cover, and what they leave out."""
+    pairs = lines(spark, sf_dir).where("txt is not null").groupBy("txt", "code").agg(F.count("*").alias("n"))
+    return M.frequency_cut(pairs, "n", 100, ["txt", "code"])[1]
+
+
+@query(f"WITH {_WORD_RANK} SELECT id, declared, top_code, declared_rank FROM j WHERE top_sim > 0.3 AND level < 8 ORDER BY declared_rank DESC, id LIMIT 25")
+def heaviest_disagreements(spark, sf_dir):
+    """T4, T5: the worst ranks among texts that match something well."""
+    r = _ranked(spark, sf_dir, M.words).where("top_sim > 0.3 AND level < 8").select("id", "declared", "top_code", "declared_rank")
+    return r.orderBy(F.desc("declared_rank"), "id").limit(25)
