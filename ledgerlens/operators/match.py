@@ -121,3 +121,29 @@ def method_consistency(one: DataFrame, other: DataFrame, rate: str, within: floa
     """One row: two rates of the same question, and whether they lie within some points."""
     j = one.select(F.col(rate).alias("first_rate")).join(other.select(F.col(rate).alias("second_rate")))
     return j.withColumn("consistent", F.abs(F.col("first_rate") - F.col("second_rate")) <= within)
+
+
+def latent(weights: DataFrame, key: str, rank: int = 50):
+    """(key, vector) in a latent semantic space, and the term map: a truncated SVD of the
+    TF-IDF rows. Terms are columns of a distributed row matrix, so their number (a fitted
+    vocabulary, bounded by the catalogue) is what the driver holds."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    terms = {r.term: k for k, r in enumerate(weights.select("term").distinct().orderBy("term").collect())}
+    spark = weights.sparkSession
+    ids = spark.createDataFrame(list(terms.items()), "term string, j int")
+    rows = weights.join(F.broadcast(ids), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("c"))
+    n = len(terms)
+    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(n, [(x.j, x.w) for x in r.c])))
+    svd = matrix.computeSVD(min(rank, n), computeU=False)
+    v = svd.V.toArray().tolist()
+    basis = spark.createDataFrame([(t, v[j]) for t, j in terms.items()], "term string, basis array<double>")
+    return project(weights, basis, key), basis
+
+
+def project(weights: DataFrame, basis: DataFrame, key: str) -> DataFrame:
+    """Rows of TF-IDF weights as vectors of the latent space: sums of their terms' rows."""
+    dims = F.explode(F.transform("basis", lambda x, i: F.struct(i.alias("d"), (x * F.col("w")).alias("x"))))
+    long = weights.join(F.broadcast(basis), "term").select(key, dims.alias("e")).groupBy(key, "e.d").agg(F.sum("e.x").alias("x"))
+    return long.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("vector"))
