@@ -1 +1,94 @@
-"""placeholder"""
+"""Queries of sources, schemas and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import link as L
+from ..operators import resolve as R
+from ..sources import readers, sinks
+from .registry import query
+from .standin import lines, table
+
+
+@query("""WITH a AS (SELECT year(o_orderdate) AS part, count(*) AS actual FROM orders GROUP BY 1), e AS (SELECT year(o_orderdate) AS part, count(*) + CASE WHEN year(o_orderdate) = 1998 THEN 5 ELSE 0 END AS expected FROM orders WHERE year(o_orderdate) < 2001 GROUP BY 1)
+SELECT part, coalesce(actual, 0) AS actual, coalesce(expected, 0) AS expected, coalesce(actual, 0) - coalesce(expected, 0) AS delta, CASE WHEN coalesce(expected, 0) > 0 THEN round(100.0 * (coalesce(actual, 0) - expected) / expected, 6) END AS delta_pct, coalesce(actual, 0) = coalesce(expected, 0) AS ok FROM a FULL JOIN e USING (part)""")
+def partition_row_gate(spark, sf_dir):
+    """Actual against expected rows per partition."""
+    o = table(spark, sf_dir, "orders").withColumn("part", F.year("o_orderdate"))
+    e = o.where("part < 2001").groupBy("part").agg((F.count("*") + F.when(F.col("part") == 1998, 5).otherwise(0)).alias("expected"))
+    return readers.row_gate(o, "part", e)
+
+
+@query("""WITH m AS (SELECT DISTINCT year(o_orderdate) AS year, month(o_orderdate) AS month FROM orders), y AS (SELECT DISTINCT year FROM m)
+SELECT year, CAST(mm AS INTEGER) AS month FROM y, range(1, 13) r(mm) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.year = y.year AND m.month = mm)""")
+def month_completeness(spark, sf_dir):
+    """The months that a year lacks."""
+    return readers.missing_months(table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")), "y", "m")
+
+
+@query("""WITH p AS (SELECT CASE WHEN event_id % 3 = 0 THEN '/in/2024-' || lpad(CAST(event_id % 12 + 1 AS VARCHAR), 2, '0') || '/lic_2024-' || (event_id % 7 + 1) || '.csv' WHEN event_id % 3 = 1 THEN '/in/x/oc_2023_' || (event_id % 12 + 1) || '.csv' ELSE '/in/x/other.csv' END AS f, event_id FROM events),
+q AS (SELECT CASE WHEN event_id % 3 = 0 THEN 2024 WHEN event_id % 3 = 1 THEN 2023 END AS year, CASE WHEN event_id % 3 < 2 THEN event_id % 12 + 1 END AS month, CASE event_id % 3 WHEN 0 THEN 'folder' WHEN 1 THEN 'name' ELSE 'none' END AS source, event_id % 3 = 0 AND event_id % 12 <> event_id % 7 AS disagrees FROM p)
+SELECT year, CAST(month AS INTEGER) AS month, source, disagrees, count(*) AS n FROM q GROUP BY ALL""")
+def period_from_path(spark, sf_dir):
+    """Year and month from folder or file name, and where they disagree."""
+    k = F.col("event_id")
+    f = F.when(k % 3 == 0, F.concat(F.lit("/in/2024-"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("/lic_2024-"), (k % 7 + 1).cast("string"), F.lit(".csv"))).when(k % 3 == 1, F.concat(F.lit("/in/x/oc_2023_"), (k % 12 + 1).cast("string"), F.lit(".csv"))).otherwise("/in/x/other.csv")
+    p = readers.period_of(F.col("f"))
+    return table(spark, sf_dir, "events").select(f.alias("f")).select(*(c.alias(n) for n, c in p.items())).groupBy("year", "month", "source", "disagrees").agg(F.count("*").alias("n"))
+
+
+@query()
+def file_inventory(spark, sf_dir):
+    """Files, bytes and bytes a row of the tables, and outliers."""
+    names = ("orders", "lineitem", "customer", "part", "documents")
+    frames = [table(spark, sf_dir, n).withColumn("part", F.lit(n)) for n in names]
+    one = [f.select("part", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")) for f in frames]
+    rows = L.union_all([x.groupBy("part", "f").agg(F.max("s").alias("s"), F.count("*").alias("n")) for x in one])
+    g = rows.groupBy("part").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), F.sum("s").alias("n_bytes")).withColumn("bytes_per_row", F.try_divide("n_bytes", "n_rows"))
+    m = g.agg(F.median("bytes_per_row").alias("m"))
+    ratio = F.col("bytes_per_row") / F.col("m")
+    return g.join(m).select("part", "n_files", "n_rows", (ratio.between(0.6, 1.6)).alias("usual"))
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_totalprice) IS NOT NULL AS BOOLEAN) AS filled, count(DISTINCT o_custkey) AS n_entities, 0 AS n_unmapped FROM orders""")
+def canonical_columns(spark, sf_dir):
+    """Aliased columns under canonical names and target types."""
+    o = table(spark, sf_dir, "orders")
+    drifted = o.withColumnRenamed("o_totalprice", "Monto Total").withColumnRenamed("o_custkey", "COD_CLIENTE")
+    named = R.canonical(drifted, {"key": ["o_orderkey"], "amount": ["MontoTotal", "monto"], "entity": ["cod cliente"]})
+    rows = R.against_target(named, {"key": "long", "amount": "double", "entity": "long"}, drop_extra=True)
+    rows = sinks.sanitised(rows.withColumn("a b", F.lit(1)).withColumnRenamed("a b", "a b "))
+    value = R.either(F.lit(" "), F.col("amount").cast("string"))
+    return rows.agg(F.count("*").alias("n"), F.bool_or(value.isNotNull()).alias("filled"), F.count_distinct("entity").alias("n_entities"), F.lit(sum(c.startswith("_unmapped_") for c in rows.columns)).alias("n_unmapped"))
+
+
+@query("SELECT value, expected, abs(value - expected) <= 0.5 AS ok FROM (SELECT CAST(count(*) AS DOUBLE) AS value, CAST((SELECT count(*) FROM lineitem) AS DOUBLE) AS expected FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def export_control(spark, sf_dir):
+    """The control value that an export waits for."""
+    n = table(spark, sf_dir, "lineitem").count()
+    return sinks.control(lines(spark, sf_dir), F.count("*"), float(n), 0.5)
+
+
+@query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, 1 AS old FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2 UNION ALL SELECT o_orderstatus, NULL, count(*), NULL FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1")
+def union_with_missing_columns(spark, sf_dir):
+    """Frames of different columns, united by name."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    a = o.where("o_orderkey % 2 = 0").groupBy("status", "priority").agg(F.count("*").alias("n"), F.lit(1).alias("old"))
+    return L.union_all([a, o.where("o_orderkey % 2 = 1").groupBy("status").agg(F.count("*").alias("n"))])
+
+
+@query()
+def lsa_rank(spark, sf_dir):
+    """M5: ranks of the declared family in a latent semantic space of the part names."""
+    from ..functions import clean as C
+    from ..operators import match as M
+    from .q_text import parts
+
+    cat = parts(spark, sf_dir)
+    cw, idf = M.tfidf(cat, "code", M.words(F.col("name")))
+    space, basis = M.latent(cw, "code", 10)
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5).alias("family"), C.norm_text(F.concat_ws(" ", "p_type", "p_brand")).alias("txt"))
+    dw, _ = M.tfidf(docs, "id", M.words(F.col("txt")), idf)
+    items = docs.select("id", "family").join(M.project(dw, basis, "id"), "id", "left")
+    return M.best_sibling(items, space.join(cat.select("code", (F.col("k") % 5).alias("family")), "code"), "id", "family", "vector", "code")
