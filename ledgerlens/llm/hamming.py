@@ -1,15 +1,19 @@
 """Exact top-k search for binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into segments, and an index maps (segment, value) to codes. A query
-probes every segment with the values at distance 0, then 1, then 2, and so on. After
-radius r in all m segments, every code at a distance under m (r + 1) has been met, for at
-least one of its segments differs in r bits or fewer. So a query ends when its k-th best
-distance is under that bound: the result is exact, whatever the data. A pair is verified
-once, at the first segment and radius that meet it, with no need to remove repeats.
+probes the segments with the values at distance 0, then 1, then 2, and so on. After radius
+r in j of the m segments and r - 1 in the others, every code at a distance under m r + j has
+been met, for one of its segments lies within the radius searched there. So a query ends
+when its k-th best distance is under that bound: the result is exact, whatever the data.
+A step of the search takes as many segments and radii as a number of probes allows, one
+segment and radius at least, as the next may not be needed. A pair is verified once, at the first segment
+and radius that meet it, and is dropped there unless it can still be among the k best.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +45,7 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, id_col: str = "id", code_col: str = "code") -> DataFrame:
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, id_col: str = "id", code_col: str = "code", probes_per_step: int = 1_000_000) -> DataFrame:
     """(query_id, rank, id, distance): the k rows of codes nearest to each query, ties to
     the smaller id; fewer where codes has fewer rows. Both frames have id and code.
 
@@ -59,23 +63,29 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4,
     entry = lambda j: F.struct(F.lit(j).alias("seg"), _segment(F.col("code"), j, width).alias("val"))
     index = cut(lists.select("code", "ids", F.explode(F.array(*map(entry, range(segments)))).alias("s")).select("s.seg", "s.val", "code", "ids"))
     asked = cut(asked)
-    todo, best = cut(asked.select("q").distinct()), None
-    for radius in range(width + 1):
-        at = lambda j: F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j, width).alias("own"))
-        probes = todo.select("q", F.explode(F.array(*map(at, range(segments)))).alias("s")).select("q", "s.seg", "s.own", F.explode(_masks(width, radius)).alias("mask"))
-        met = probes.withColumn("val", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask").join(index, ["seg", "val"])
+    todo = cut(asked.select("q").distinct().withColumn("kth", F.lit(None).cast("int")))
+    best = todo.limit(0).select("q", F.lit(0).alias("distance"), F.array(F.lit(0).cast(lists.schema["ids"].dataType.elementType)).alias("ids"))
+    units, done, left = [(r, j) for r in range(width + 1) for j in range(segments)], 0, todo.count()
+    while left and done < len(units):
+        first, probes = done, 0
+        while done < len(units) and (done == first or probes + left * comb(width, units[done][0]) <= probes_per_step):
+            probes += left * comb(width, units[done][0])
+            done += 1
+        at = (F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j, width).alias("own"), _masks(width, r).alias("masks")) for r, j in units[first:done])
+        probed = todo.select("q", "kth", F.explode(F.array(*at)).alias("s")).select("q", "kth", "s.seg", "s.own", F.explode("s.masks").alias("mask"))
+        probed = probed.select("q", "kth", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"), F.bit_count("mask").alias("radius"))
         gap = F.col("q").bitwiseXOR(F.col("code"))
-        # kept where no segment is nearer, and none before it is as near
+        met = (probed["seg"] == index["seg"]) & (probed["val"] == index["val"]) & (F.bit_count(gap) <= F.coalesce("kth", F.lit(BITS)))
+        # once only: no segment is nearer, and none before it is as near
         for j in range(segments):
             d = F.bit_count(_segment(gap, j, width))
-            met = met.where((d > radius) | ((d == radius) & (F.col("seg") <= j)))
-        found = met.select("q", F.bit_count(gap).alias("distance"), "ids")
-        best = cut(_best(found if best is None else best.unionByName(found), k))
+            met = met & ((d > F.col("radius")) | ((d == F.col("radius")) & (probed["seg"] <= j)))
+        found = probed.join(index, met).select("q", F.bit_count(gap).alias("distance"), "ids")
+        best = cut(_best(best.unionByName(found), k))
         seen = F.sum(F.size("ids")).over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
-        covered = best.withColumn("seen", seen).where((F.col("seen") >= k) & (F.col("distance") < segments * (radius + 1))).select("q").distinct()
-        todo = cut(todo.join(covered, "q", "left_anti"))
-        if todo.isEmpty():
-            break
+        kth = best.withColumn("seen", seen).where(F.col("seen") >= k).groupBy("q").agg(F.min("distance").alias("kth"))
+        todo = cut(todo.select("q").join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") >= done)))
+        left = todo.count()
     items = best.select("q", "distance", F.explode("ids").alias("id"))
     items = items.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return asked.join(items, "q").select("query_id", "rank", "id", "distance")
