@@ -146,21 +146,26 @@ def size_class(tokens: Column) -> Column:
 
 
 def bands(measures: DataFrame, width: float = 4.0, least_words: int = 20, least_docs: int = 50) -> DataFrame:
-    """(group_key, size_class, limits): the quartiles of each rate over all documents of the
-    group and size that have enough words, widened by ``width`` times their distance (and
-    a floor for it). Classes of few documents are left out: they reject nothing."""
+    """(level, group_key, size_class, limits): the quartiles of each rate over all documents
+    with enough words, widened by ``width`` times their distance (and a floor for it); for
+    each group and size (level 0), each group (1), and all documents (3). Classes of few
+    documents are left out."""
     quart = {r: F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.75)), 2000) for r in RATES}
     some = measures.where(F.col("n_words") >= least_words).withColumn("size_class", size_class(F.col("n_tokens")))
-    q = some.groupBy("group_key", "size_class").agg(F.count("*").alias("docs"), *(v.alias(r) for r, v in quart.items()))
+    sets = some.groupingSets([["group_key", "size_class"], ["group_key"], []], "group_key", "size_class")
+    q = sets.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("docs"), *(v.alias(r) for r, v in quart.items()))
     floor = {"chars_per_token": 0.03, "byte_share": 0.01, "token_entropy": 0.015}
     wide = {r: F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(floor[r])) * width for r in RATES}
     return q.where(F.col("docs") >= least_docs).select(
+        "level",
         "group_key",
         "size_class",
-        (F.col("chars_per_token")[0] - wide["chars_per_token"]).alias("low_chars"),
-        (F.col("chars_per_token")[1] + wide["chars_per_token"]).alias("high_chars"),
-        (F.col("byte_share")[1] + wide["byte_share"]).alias("high_bytes"),
-        (F.col("token_entropy")[0] - wide["token_entropy"]).alias("low_entropy"),
+        F.struct(
+            (F.col("chars_per_token")[0] - wide["chars_per_token"]).alias("low_chars"),
+            (F.col("chars_per_token")[1] + wide["chars_per_token"]).alias("high_chars"),
+            (F.col("byte_share")[1] + wide["byte_share"]).alias("high_bytes"),
+            (F.col("token_entropy")[0] - wide["token_entropy"]).alias("low_entropy"),
+        ).alias("band"),
     )
 
 
@@ -172,18 +177,23 @@ def base_failed(least_words: int = 20, most_repeated: int = 30) -> Column:
 def judge(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None, max_groups: int = 10_000) -> DataFrame:
     """Every row's id, counts, rates, base_failed and kept.
 
-    kept is false where base_failed, or where a rate lies outside its group's band. Null
-    texts count as empty (no words, so base_failed). Rows of a group without a band pass
-    the method. Repeated rows stay, ids and groups may be null, other columns do not matter.
+    kept is false where base_failed, or where a rate lies outside the band of its group and
+    size; a class of too few documents has its group's band, and a small group that of all.
+    Null texts count as empty (no words, so base_failed). Without any band rows pass the
+    method. Repeated rows stay, ids and groups may be null, other columns do not matter.
     """
     m = cut(measured(docs, model, id_col, text_col, group))
     limits = cut(bands(m))
-    if limits.count() <= max_groups:
-        limits = F.broadcast(limits)  # of that many rows of six values at most
-    inside = F.coalesce(F.col("chars_per_token").between(F.col("low_chars"), F.col("high_chars")) & (F.col("byte_share") <= F.col("high_bytes")) & (F.col("token_entropy") >= F.col("low_entropy")), F.lit(True))
-    sized = m.withColumn("size_class", size_class(F.col("n_tokens")))
-    out = sized.join(limits, ["group_key", "size_class"], "left").withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", *COUNTS, *RATES, "base_failed", "kept")
+    # a band is six values; where there are very many groups the join is left to Spark
+    small = F.broadcast if limits.count() <= max_groups else lambda df: df
+    by = [limits.where(F.col("level") == k).drop("level").withColumnRenamed("band", f"band{k}") for k in (0, 1, 3)]
+    sized = m.withColumn("size_class", size_class(F.col("n_tokens"))).withColumn("one", F.lit(1))
+    sized = sized.join(small(by[0]), ["group_key", "size_class"], "left").join(small(by[1].drop("size_class")), "group_key", "left")
+    sized = sized.join(F.broadcast(by[2].select("band3", F.lit(1).alias("one"))), "one", "left")
+    band = F.coalesce("band0", "band1", "band3")
+    inside = F.col("chars_per_token").between(band["low_chars"], band["high_chars"]) & (F.col("byte_share") <= band["high_bytes"]) & (F.col("token_entropy") >= band["low_entropy"])
+    out = sized.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    return out.select("doc_id", *COUNTS, *RATES, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None) -> DataFrame:
