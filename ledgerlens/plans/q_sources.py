@@ -92,3 +92,77 @@ def lsa_rank(spark, sf_dir):
     dw, _ = M.tfidf(docs, "id", M.words(F.col("txt")), idf)
     items = docs.select("id", "family").join(M.project(dw, basis, "id"), "id", "left")
     return M.best_sibling(items, space.join(cat.select("code", (F.col("k") % 5).alias("family")), "code"), "id", "family", "vector", "code")
+
+
+def _raw(spark, sf_dir):
+    """Orders as a raw monthly CSV in latin-1 with semicolons, some amounts unreadable, some
+    rows a field short or long."""
+    k = F.col("o_orderkey")
+    amount = F.when(k % 17 == 0, "s/d").otherwise(F.concat((k % 1000).cast("string"), F.lit(","), F.lpad((k % 100).cast("string"), 2, "0")))
+    day = F.when(k % 13 == 0, "0").otherwise(F.date_format("o_orderdate", "dd-MM-yyyy"))
+    line = F.concat_ws(";", k.cast("string"), amount, day, F.lit("ñandú"))
+    line = F.when(k % 101 == 0, F.concat_ws(";", k.cast("string"), amount)).when(k % 103 == 0, F.concat(line, F.lit(";more"))).otherwise(line)
+    path = sinks.scratch(spark, "raw")
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.option("encoding", "ISO-8859-1").text(path)
+    schema_free = readers.read_raw(spark, path, ["key", "Monto", "day", "name"], header=False)
+    return schema_free
+
+
+_BAD = "(o_orderkey % 101 = 0 OR o_orderkey % 103 = 0)"
+
+
+@query(f"""SELECT 'amount' AS "column", count_if(NOT {_BAD} AND o_orderkey % 17 = 0) AS failed FROM orders UNION ALL SELECT 'date', count_if(NOT {_BAD} AND o_orderkey % 13 = 0) FROM orders
+UNION ALL SELECT 'key', 0 UNION ALL SELECT 'name', 0 UNION ALL SELECT 'absent', NULL""")
+def raw_csv_failed_casts(spark, sf_dir):
+    """Raw CSV to target types, with the failed casts of each column."""
+    good = _raw(spark, sf_dir).where("_malformed is null")
+    target = {"key": "bigint", "amount": "double", "date": "date", "name": "string", "absent": "int"}
+    return readers.conform(good, {"Monto": "amount", "day": "date"}, target)[1]
+
+
+@query(f"""SELECT CAST(o_orderkey % 7 AS INTEGER) AS k, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 1000 * 100 + o_orderkey % 100 END) AS BIGINT) AS cents, count_if(o_orderkey % 13 <> 0) AS n_dates
+FROM orders WHERE NOT {_BAD} GROUP BY 1""")
+def raw_csv_conversion(spark, sf_dir):
+    """What the converted rows hold."""
+    good = _raw(spark, sf_dir).where("_malformed is null")
+    rows, _ = readers.conform(good, {"Monto": "amount", "day": "date"}, {"key": "bigint", "amount": "decimal(18,2)", "date": "date"})
+    return rows.groupBy((F.col("key") % 7).cast("int").alias("k")).agg(F.count("*").alias("n"), (F.sum("amount") * 100).cast("bigint").alias("cents"), F.count("date").alias("n_dates"))
+
+
+@query(f"SELECT count(*) AS n, count_if({_BAD}) AS malformed, CAST(0 AS BIGINT) AS stray_returns FROM orders")
+def malformed_rows(spark, sf_dir):
+    """Rows of raw files with too few or too many fields."""
+    g = readers.malformed_rows(_raw(spark, sf_dir))
+    return g.agg(*(F.sum(c).alias(c) for c in ("n", "malformed", "stray_returns")))
+
+
+@query("""SELECT CASE WHEN year(o_orderdate) < 1998 THEN 'history' ELSE 'current' END AS category, year(o_orderdate) AS year, count(*) AS n, count(CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END) AS n_priority FROM orders GROUP BY 1, 2""")
+def partitioned_years(spark, sf_dir):
+    """Yearly partitions written by category, read back with provenance;
+    the older ones lack a column."""
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    base = sinks.scratch(spark, "years")
+    years = [r.year for r in o.select("year").distinct().collect()]
+    for category, rows in (("history", o.where("year < 1998").drop("o_orderpriority")), ("current", o.where("year >= 1998"))):
+        sinks.write_partitioned(rows, f"{base}/category={category}", ["year"])
+    back = readers.read_years(spark, base, {y: "history" if y < 1998 else "current" for y in years})
+    return back.groupBy(F.col("_category").alias("category"), F.col("_year").alias("year")).agg(F.count("*").alias("n"), F.count("o_orderpriority").alias("n_priority"))
+
+
+@query("""WITH c AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, p_name || ' ' || p_brand AS document FROM part) SELECT substr(code, 1, 6) AS family, count(*) AS n, CAST(sum(length(document)) AS BIGINT) AS n_chars FROM c GROUP BY 1""")
+def catalogue_from_csv(spark, sf_dir):
+    """A catalogue CSV with padded codes, families and search documents."""
+    path = sinks.scratch(spark, "catalogue")
+    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").write.csv(path, header=True)
+    c = readers.read_catalogue(spark, path, "p_partkey", ["p_name", "p_brand"])
+    return c.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("document")).alias("n_chars"))
+
+
+@query("""SELECT 'by_status' AS "table", (SELECT count(DISTINCT o_orderstatus) FROM orders) AS n_rows, 'orders by status' AS description, 'run' AS run UNION ALL SELECT 'by_priority', (SELECT count(DISTINCT o_orderpriority) FROM orders), 'orders by priority', 'run'""")
+def export_manifest(spark, sf_dir):
+    """Result tables as CSV with a manifest, let out by a control value."""
+    o = table(spark, sf_dir, "orders")
+    tables = {"by_status": (o.groupBy("o_orderstatus").count(), "orders by status"), "by_priority": (o.groupBy("o_orderpriority").count(), "orders by priority")}
+    path = sinks.scratch(spark, "export")
+    sinks.write_summary(spark, f"{path}/summary", {"rows": o.count()})
+    return sinks.gated_export(sinks.control(o, F.count("*"), float(o.count()), 0), tables, path, "run").drop("written")

@@ -52,11 +52,12 @@ def read_catalogue(spark: SparkSession, path: str, code: str, texts: list[str],
     return spark.read.csv(path, header=True, inferSchema=False).withColumn("code", c).withColumn("family", F.substring(c, 1, family)).withColumn("document", F.concat_ws(" ", *texts))
 
 
-def read_raw(spark: SparkSession, path: str, columns: list[str], sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+def read_raw(spark: SparkSession, path: str, columns: list[str], sep: str = ";", encoding: str = "ISO-8859-1", header: bool = True) -> DataFrame:
     """Raw monthly files, all columns text, with the file's path and the malformed line where
     a row has too few or too many fields."""
+    # without all columns the parser would not see that a row has too many or too few fields
     schema = StructType([StructField(c, StringType()) for c in columns] + [StructField("_malformed", StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").csv(path, sep=sep, header=True, encoding=encoding)
+    rows = spark.read.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed", columnPruning=False).csv(path, sep=sep, header=header, encoding=encoding)
     return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 

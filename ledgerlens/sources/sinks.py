@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,13 @@ from pyspark.sql import functions as F
 from .readers import require
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only
+    where the session names none, as in tests, it is a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerlens-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def sanitised(rows: DataFrame) -> DataFrame:
     """Column names of letters, digits and underscores; repeats get a number."""
     seen: dict[str, int] = {}

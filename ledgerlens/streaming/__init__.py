@@ -1 +1,2 @@
-
+"""No operator of the survey is a stream: periods are downloaded again and compared (see
+``ledgerlens.operators.snapshot``), and late data are measured there, not awaited."""
