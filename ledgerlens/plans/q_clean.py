@@ -188,7 +188,7 @@ def value_mapping_profile(spark, sf_dir):
 
 @query("""WITH cpi AS (SELECT y, m, 100.0 + (y - 1995) * 4 + m / 4.0 AS idx FROM range(1995, 2001) a(y), range(1, 13) b(m)),
 base AS (SELECT max(idx) AS top FROM cpi)
-SELECT year(o_orderdate) AS year, count(*) AS n, count(idx) AS n_deflated, round(sum(coalesce(o_totalprice * top / idx, o_totalprice)), 2) AS real_total
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, count(idx) AS n_deflated, round(sum(coalesce(o_totalprice * top / idx, o_totalprice)), 2) AS real_total
 FROM orders LEFT JOIN cpi ON y = year(o_orderdate) AND m = month(o_orderdate), base GROUP BY 1""")
 def deflated_totals(spark, sf_dir):
     """Amounts in money of the last month of a price index; years without one stay nominal."""

@@ -59,7 +59,7 @@ def codeset_agreement_null(spark, sf_dir):
     return S.agreement(S.permuted(informative(spark, sf_dir), "key", ["bucket"], SEED), ["bucket"])
 
 
-@query(f"WITH {_PROFILES}, {_NULL} SELECT bucket, count(*) AS n, count_if(self_pair) AS n_self, round(100.0 * count_if(self_pair) / count(*), 6) AS self_pct FROM z GROUP BY bucket")
+@query(f"WITH {_PROFILES}, {_NULL} SELECT bucket, count(*) AS n, count(*) FILTER (WHERE self_pair) AS n_self, round(100.0 * count(*) FILTER (WHERE self_pair) / count(*), 6) AS self_pct FROM z GROUP BY bucket")
 def permutation_self_pairs(spark, sf_dir):
     """How often the permutation pairs a key with itself."""
     z = S.permuted(informative(spark, sf_dir), "key", ["bucket"], SEED)
@@ -77,7 +77,7 @@ def codeset_gap(spark, sf_dir):
 
 
 @query(f"""WITH {_PROFILES}, l AS (SELECT r.*, substr(code, 1, 4) AS c4, list_transform(codes_a, lambda x: substr(x, 1, 4)) AS s FROM ({REALISED}) r JOIN pa USING (key) WHERE len(codes_a) > 0 AND regexp_full_match(code, '[0-9]{{8}}') AND NOT regexp_full_match(code, '0+'))
-SELECT count(*) AS n, count_if(list_contains(s, c4)) AS n_inside, round(100.0 * count_if(list_contains(s, c4)) / count(*), 6) AS line_pct,
+SELECT count(*) AS n, count(*) FILTER (WHERE list_contains(s, c4)) AS n_inside, round(100.0 * count(*) FILTER (WHERE list_contains(s, c4)) / count(*), 6) AS line_pct,
   round(100.0 * CAST(sum(CASE WHEN list_contains(s, c4) THEN amount END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE), 6) AS money_pct FROM l""")
 def weighted_coverage(spark, sf_dir):
     """The share of lines and money whose family the key declares."""

@@ -23,24 +23,24 @@ def link_cardinality(spark, sf_dir):
     return L.cardinality_kept(lines(spark, sf_dir), linked_lines(spark, sf_dir))
 
 
-@query(f"WITH {_LINKED} SELECT mechanism, count(*) AS n, count_if(linked) AS n_flag, round(100.0 * count_if(linked) / count(*), 6) AS pct FROM j GROUP BY mechanism")
+@query(f"WITH {_LINKED} SELECT mechanism, count(*) AS n, count(*) FILTER (WHERE linked) AS n_flag, round(100.0 * count(*) FILTER (WHERE linked) / count(*), 6) AS pct FROM j GROUP BY mechanism")
 def link_coverage_by_group(spark, sf_dir):
     """A2: linked lines by mechanism."""
     return L.coverage(linked_lines(spark, sf_dir), "mechanism", F.col("linked"))
 
 
-@query(f"""WITH {_LINKED}, c AS (SELECT unit % 50 AS g, round(100.0 * count_if(linked) / count(*), 6) AS pct FROM j GROUP BY 1) SELECT g FROM c WHERE pct < 58""")
+@query(f"""WITH {_LINKED}, c AS (SELECT unit % 50 AS g, round(100.0 * count(*) FILTER (WHERE linked) / count(*), 6) AS pct FROM j GROUP BY 1) SELECT g FROM c WHERE pct < 58""")
 def structural_groups(spark, sf_dir):
     """A3: groups whose coverage is under a limit, found in the data."""
     rows = linked_lines(spark, sf_dir).withColumn("g", F.col("unit") % 50)
     return L.structural_groups(L.coverage(rows, "g", F.col("linked")), "g", 58.0)
 
 
-@query(f"""WITH {_LINKED}, c AS (SELECT mechanism, 100.0 * count_if(linked) / count(*) AS pct FROM j GROUP BY 1), s AS (SELECT mechanism FROM c WHERE round(pct, 6) < 60),
+@query(f"""WITH {_LINKED}, c AS (SELECT mechanism, 100.0 * count(*) FILTER (WHERE linked) / count(*) AS pct FROM j GROUP BY 1), s AS (SELECT mechanism FROM c WHERE round(pct, 6) < 60),
 m AS (SELECT j.*, s.mechanism IS NULL AS usual, coalesce(trim(key) <> '', false) AS has FROM j LEFT JOIN s USING (mechanism)),
 d AS (SELECT doc, bool_or(linked) AS any_linked FROM m GROUP BY doc)
-SELECT count(*) AS n_lines, count(DISTINCT doc) AS n_docs, round(100.0 * count_if(linked) / count(*), 6) AS line_rate, round(100.0 * count_if(linked) / count_if(has), 6) AS keyed_rate,
-  round(100.0 * count_if(linked AND usual) / count_if(usual), 6) AS usual_rate, (SELECT round(100.0 * count_if(any_linked) / count(*), 6) FROM d) AS doc_rate FROM m""")
+SELECT count(*) AS n_lines, count(DISTINCT doc) AS n_docs, round(100.0 * count(*) FILTER (WHERE linked) / count(*), 6) AS line_rate, round(100.0 * count(*) FILTER (WHERE linked) / count(*) FILTER (WHERE has), 6) AS keyed_rate,
+  round(100.0 * count(*) FILTER (WHERE linked AND usual) / count(*) FILTER (WHERE usual), 6) AS usual_rate, (SELECT round(100.0 * count(*) FILTER (WHERE any_linked) / count(*), 6) FROM d) AS doc_rate FROM m""")
 def link_rates(spark, sf_dir):
     """A4: link rates by line, keyed line, usual group and document."""
     rows = linked_lines(spark, sf_dir)
@@ -53,8 +53,8 @@ def grain_diagnosis(spark, sf_dir):
     return L.grain(lines(spark, sf_dir), "key")
 
 
-@query(f"""WITH l AS ({LINES}) SELECT coalesce(trim(key) <> '', false) AS has_key, count(*) AS n, count_if(coalesce(mechanism NOT IN ('5-LOW', '3-MEDIUM'), false)) AS n_not_excluded,
-  count_if(coalesce(mechanism NOT IN ('5-LOW', '3-MEDIUM'), true)) AS n_nulls_counted, CAST(sum(CASE WHEN currency = 'CLP' THEN amount END) AS DOUBLE) AS native_total FROM l WHERE year BETWEEN 1996 AND 2000 GROUP BY 1""")
+@query(f"""WITH l AS ({LINES}) SELECT coalesce(trim(key) <> '', false) AS has_key, count(*) AS n, count(*) FILTER (WHERE coalesce(mechanism NOT IN ('5-LOW', '3-MEDIUM'), false)) AS n_not_excluded,
+  count(*) FILTER (WHERE coalesce(mechanism NOT IN ('5-LOW', '3-MEDIUM'), true)) AS n_nulls_counted, CAST(sum(CASE WHEN currency = 'CLP' THEN amount END) AS DOUBLE) AS native_total FROM l WHERE year BETWEEN 1996 AND 2000 GROUP BY 1""")
 def key_and_exclusion_split(spark, sf_dir):
     """Keyed and unkeyed lines, an exclusion list under both NULL policies, native money."""
     rows = lines(spark, sf_dir).where(F.col("year").between(1996, 2000))
@@ -84,7 +84,7 @@ def linked_money_by_group(spark, sf_dir):
 
 
 @query(f"""WITH {_LINKED}, y AS (SELECT linked, TRY_CAST(substr(nullif(upper(trim(key)), ''), -2) AS INTEGER) + 1900 AS ky FROM j),
-s AS (SELECT count(*) AS n, count_if(linked) AS linked, count_if(NOT linked AND coalesce(ky < 1950, false)) AS before_universe FROM y)
+s AS (SELECT count(*) AS n, count(*) FILTER (WHERE linked) AS linked, count(*) FILTER (WHERE NOT linked AND coalesce(ky < 1950, false)) AS before_universe FROM y)
 SELECT n, linked, before_universe, round(100.0 * linked / n, 6) AS rate, round(100.0 * linked / (n - before_universe), 6) AS adjusted_rate FROM s""")
 def adjusted_link_rate(spark, sf_dir):
     """Unlinked keys that point before the loaded years leave the denominator."""
@@ -109,7 +109,7 @@ def key_set_differences(spark, sf_dir):
     return L.key_differences(snapshot(spark, sf_dir, 1), snapshot(spark, sf_dir, 2), "key").groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count_if(a AND NOT b) AS only_first, count_if(b AND NOT a) AS only_second, count_if(a AND b) AS common, count_if(a <> b) = 0 AS equal
+@query("""SELECT count(*) FILTER (WHERE a AND NOT b) AS only_first, count(*) FILTER (WHERE b AND NOT a) AS only_second, count(*) FILTER (WHERE a AND b) AS common, count(*) FILTER (WHERE a <> b) = 0 AS equal
 FROM (SELECT coalesce(c_acctbal > 0, false) AS a, coalesce(c_acctbal >= 100, false) AS b FROM customer)""")
 def selection_identity(spark, sf_dir):
     """Whether two ways of selecting give the same ids."""

@@ -49,7 +49,7 @@ def cascade_raw_vs_clean(spark, sf_dir):
 
 
 @query(f"""WITH {_LINKED}, m AS (SELECT 'by_origin' AS list, linked FROM j WHERE coalesce(mechanism NOT IN ('5-LOW'), false) UNION ALL SELECT 'by_document', linked FROM j WHERE coalesce(mechanism NOT IN ('5-LOW', '4-NOT SPECIFIED'), false) UNION ALL SELECT 'none', linked FROM j)
-SELECT list, count(*) AS n, count_if(linked) AS n_flag, round(100.0 * count_if(linked) / count(*), 6) AS pct FROM m GROUP BY list""")
+SELECT list, count(*) AS n, count(*) FILTER (WHERE linked) AS n_flag, round(100.0 * count(*) FILTER (WHERE linked) / count(*), 6) AS pct FROM m GROUP BY list""")
 def link_rate_by_exclusion_list(spark, sf_dir):
     """The link rate under alternative exclusion lists."""
     from ..operators.link import not_excluded
@@ -58,8 +58,8 @@ def link_rate_by_exclusion_list(spark, sf_dir):
     return K.rates_under_lists(linked_lines(spark, sf_dir), F.col("linked"), {"by_origin": not_excluded(m, ["5-LOW"]), "by_document": not_excluded(m, ["5-LOW", "4-NOT SPECIFIED"]), "none": F.lit(True)})
 
 
-@query(f"""WITH {_LINKED} SELECT mechanism, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, round(100.0 * count_if(coalesce(trim(key) <> '', false)) / count(*), 6) AS keyed_pct,
-  round(100.0 * count_if(linked) / count(*), 6) AS linked_pct, round(100.0 * count_if(coalesce({_VALID}, false)) / count(*), 6) AS valid_pct FROM j GROUP BY mechanism ORDER BY n DESC, mechanism LIMIT 30""")
+@query(f"""WITH {_LINKED} SELECT mechanism, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, round(100.0 * count(*) FILTER (WHERE coalesce(trim(key) <> '', false)) / count(*), 6) AS keyed_pct,
+  round(100.0 * count(*) FILTER (WHERE linked) / count(*), 6) AS linked_pct, round(100.0 * count(*) FILTER (WHERE coalesce({_VALID}, false)) / count(*), 6) AS valid_pct FROM j GROUP BY mechanism ORDER BY n DESC, mechanism LIMIT 30""")
 def mechanism_profile(spark, sf_dir):
     """Lines, money and rates of the 30 largest mechanisms."""
     g = linked_lines(spark, sf_dir).groupBy("mechanism")
@@ -76,7 +76,7 @@ def yearly_spend_tail(spark, sf_dir):
     return d.groupBy("year").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.sum("a").cast("double").alias("total"), F.sum("s").cast("double").alias("without_giants"))
 
 
-@query(f"""WITH l AS ({LINES}), t AS (SELECT year, CAST(sum(amount) AS DOUBLE) AS total, count(DISTINCT doc) AS docs FROM l GROUP BY year), o AS (SELECT year(o_orderdate) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS official, count(*) AS official_docs FROM orders GROUP BY 1)
+@query(f"""WITH l AS ({LINES}), t AS (SELECT year, CAST(sum(amount) AS DOUBLE) AS total, count(DISTINCT doc) AS docs FROM l GROUP BY year), o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS official, count(*) AS official_docs FROM orders GROUP BY 1)
 SELECT year, round(total / official, 6) AS money_ratio, round(total * 1.19 / official, 6) AS money_ratio_with_vat, round(CAST(docs AS DOUBLE) / official_docs, 6) AS doc_ratio FROM t JOIN o USING (year)""")
 def external_reconciliation(spark, sf_dir):
     """Yardsticks against official totals, also with VAT."""
@@ -87,8 +87,8 @@ def external_reconciliation(spark, sf_dir):
 
 
 @query(f"""WITH l AS (SELECT *, {_ERROR} AS bad, coalesce(abs(CAST(amount AS DOUBLE) - price) > 0.01 * abs(price), false) AS off FROM ({LINES}))
-SELECT count(*) AS n, count_if(bad) AS n_error, CAST(sum(amount) AS DOUBLE) AS raw_total, CAST(sum(CASE WHEN NOT bad THEN amount END) AS DOUBLE) AS clean_total,
-  round(100.0 * CAST(sum(CASE WHEN bad THEN amount END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE), 6) AS error_pct, round(100.0 * count_if(off) / count(*), 6) AS off_pct FROM l""")
+SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS n_error, CAST(sum(amount) AS DOUBLE) AS raw_total, CAST(sum(CASE WHEN NOT bad THEN amount END) AS DOUBLE) AS clean_total,
+  round(100.0 * CAST(sum(CASE WHEN bad THEN amount END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE), 6) AS error_pct, round(100.0 * count(*) FILTER (WHERE off) / count(*), 6) AS off_pct FROM l""")
 def error_signature_impact(spark, sf_dir):
     """What capture errors weigh, and lines that differ from their declared amount."""
     c = F.col
@@ -107,7 +107,7 @@ def document_totals(spark, sf_dir):
 
 
 @query(f"""WITH l AS ({LINES}), d AS (SELECT doc, min(mechanism) AS mechanism, CAST(sum(amount) AS DOUBLE) AS lt, CAST(max(doc_total) AS DOUBLE) AS dt FROM l GROUP BY doc), r AS (SELECT mechanism, lt / dt AS ratio FROM d)
-SELECT mechanism, count(*) AS n_docs, count_if(abs(ratio - 1) > 0.01) AS n_outside, round(quantile_cont(ratio, 0.25), 6) AS q1, round(quantile_cont(ratio, 0.5), 6) AS q2, round(quantile_cont(ratio, 0.75), 6) AS q3 FROM r GROUP BY mechanism""")
+SELECT mechanism, count(*) AS n_docs, count(*) FILTER (WHERE abs(ratio - 1) > 0.01) AS n_outside, round(quantile_cont(ratio, 0.25), 6) AS q1, round(quantile_cont(ratio, 0.5), 6) AS q2, round(quantile_cont(ratio, 0.75), 6) AS q3 FROM r GROUP BY mechanism""")
 def doc_reconciliation(spark, sf_dir):
     """The sum of a document's lines against its declared total."""
     rows = lines(spark, sf_dir)

@@ -107,7 +107,7 @@ def weighted_median(spark, sf_dir):
 
 
 @query(f"""WITH {_ROWS}, r AS (SELECT doc, line, m, (rank() OVER (PARTITION BY m ORDER BY amount) + (count(*) OVER (PARTITION BY m, amount) - 1) / 2.0) / count(*) OVER (PARTITION BY m) AS s FROM l)
-SELECT m, count(*) AS n, count_if(s <= 0.1) AS n_low, count_if(s >= 0.9) AS n_high, round(avg(s), 6) AS mean_share FROM r GROUP BY m""")
+SELECT m, count(*) AS n, count(*) FILTER (WHERE s <= 0.1) AS n_low, count(*) FILTER (WHERE s >= 0.9) AS n_high, round(avg(s), 6) AS mean_share FROM r GROUP BY m""")
 def rank_share_extremes(spark, sf_dir):
     """Percentile rank inside each stratum, with ties on their mean."""
     r = R.average_rank_share(rows(spark, sf_dir), ["m"], "amount", "s")
@@ -162,11 +162,11 @@ def cases(spark, sf_dir):
     return j.select(F.col("c_mktsegment").alias("sector"), F.year("o_orderdate").alias("year"), (F.col("o_totalprice") > 150000).alias("large"), C.hash_parity(F.col("o_orderkey"), 3).alias("coin"), (F.col("o_orderstatus") == "F").alias("outcome"))
 
 
-_CASES = """x AS (SELECT c_mktsegment AS sector, year(o_orderdate) AS year, o_totalprice > 150000 AS large, ('0x' || substr(sha256(o_orderkey || '|3'), 1, 1))::INTEGER % 2 = 1 AS coin, o_orderstatus = 'F' AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+_CASES = """x AS (SELECT c_mktsegment AS sector, CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice > 150000 AS large, ('0x' || substr(sha256(o_orderkey || '|3'), 1, 1))::INTEGER % 2 = 1 AS coin, o_orderstatus = 'F' AS y FROM orders JOIN customer ON o_custkey = c_custkey),
 p AS (SELECT sector, year, 'large' AS predictor, large AS p, y FROM x UNION ALL SELECT sector, year, 'placebo', coin, y FROM x),
-t AS (SELECT sector, year, predictor, count_if(p AND y) AS a, count_if(p AND NOT y) AS b, count_if(NOT p AND y) AS c, count_if(NOT p AND NOT y) AS d FROM p GROUP BY 1, 2, 3)"""
+t AS (SELECT sector, year, predictor, count(*) FILTER (WHERE p AND y) AS a, count(*) FILTER (WHERE p AND NOT y) AS b, count(*) FILTER (WHERE NOT p AND y) AS c, count(*) FILTER (WHERE NOT p AND NOT y) AS d FROM p GROUP BY 1, 2, 3)"""
 _MH = f"""{_CASES}, n AS (SELECT *, (a + b + c + d)::DOUBLE AS n FROM t), u AS (SELECT *, n >= 30 AND a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0 AS ok FROM n),
-g AS (SELECT predictor, count_if(ok) AS used, count_if(NOT ok) AS dropped, CAST(sum(n) FILTER (WHERE ok) AS BIGINT) AS n, (sum(a) FILTER (WHERE ok))::DOUBLE * sum(d) FILTER (WHERE ok) / (sum(b) FILTER (WHERE ok) * sum(c) FILTER (WHERE ok)) AS crude,
+g AS (SELECT predictor, count(*) FILTER (WHERE ok) AS used, count(*) FILTER (WHERE NOT ok) AS dropped, CAST(sum(n) FILTER (WHERE ok) AS BIGINT) AS n, (sum(a) FILTER (WHERE ok))::DOUBLE * sum(d) FILTER (WHERE ok) / (sum(b) FILTER (WHERE ok) * sum(c) FILTER (WHERE ok)) AS crude,
   sum(a * d / n) FILTER (WHERE ok) AS r, sum(b * c / n) FILTER (WHERE ok) AS s, sum((a + d) / n * a * d / n) FILTER (WHERE ok) AS pr, sum((a + d) / n * b * c / n + (b + c) / n * a * d / n) FILTER (WHERE ok) AS psqr, sum((b + c) / n * b * c / n) FILTER (WHERE ok) AS qs FROM u GROUP BY predictor),
 h AS (SELECT predictor, used, dropped, n, round(crude, 4) AS crude_or, round(r / s, 4) AS pooled_or, round(exp(ln(r / s) - 1.959964 * sqrt(pr / (2 * r * r) + psqr / (2 * r * s) + qs / (2 * s * s))), 4) AS low, round(exp(ln(r / s) + 1.959964 * sqrt(pr / (2 * r * r) + psqr / (2 * r * s) + qs / (2 * s * s))), 4) AS high FROM g)"""
 
@@ -202,7 +202,7 @@ def raters(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("one"), F.when(k % 6 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("two"), (k % 5).cast("int").alias("i"), F.when(k % 4 == 0, (k + 1) % 5).when(k % 4 == 1, (k * 3) % 5).otherwise(k % 5).cast("int").alias("j"))
 
 
-_KAPPA = f"""{_RATERS}, k AS (SELECT count(*) AS n, count_if(one = 1 AND two = 1) AS "both", count_if(one = 1 AND two <> 1) AS first_only, count_if(one <> 1 AND two = 1) AS second_only, count_if(one <> 1 AND two <> 1) AS neither FROM r)"""
+_KAPPA = f"""{_RATERS}, k AS (SELECT count(*) AS n, count(*) FILTER (WHERE one = 1 AND two = 1) AS "both", count(*) FILTER (WHERE one = 1 AND two <> 1) AS first_only, count(*) FILTER (WHERE one <> 1 AND two = 1) AS second_only, count(*) FILTER (WHERE one <> 1 AND two <> 1) AS neither FROM r)"""
 
 
 @query(f"""WITH {_KAPPA}, p AS (SELECT *, ("both" + neither)::DOUBLE / n AS po, ("both" + first_only)::DOUBLE / n AS p1, ("both" + second_only)::DOUBLE / n AS p2 FROM k), e AS (SELECT *, p1 * p2 + (1 - p1) * (1 - p2) AS pe FROM p)
@@ -228,7 +228,7 @@ def ordinal_agreement(spark, sf_dir):
     return A.ordinal_kappa(raters(spark, sf_dir), "i", "j", 5)
 
 
-@query(f"""WITH {_RATERS}, g AS (SELECT source AS g, count(*) AS n, count_if(one <> two) AS k FROM r JOIN documents USING (doc_id) GROUP BY 1), h AS (SELECT CASE WHEN n >= 18 THEN g ELSE '(other)' END AS "group", CAST(sum(n) AS BIGINT) AS n, sum(k) AS k FROM g GROUP BY 1)
+@query(f"""WITH {_RATERS}, g AS (SELECT source AS g, count(*) AS n, count(*) FILTER (WHERE one <> two) AS k FROM r JOIN documents USING (doc_id) GROUP BY 1), h AS (SELECT CASE WHEN n >= 18 THEN g ELSE '(other)' END AS "group", CAST(sum(n) AS BIGINT) AS n, sum(k) AS k FROM g GROUP BY 1)
 SELECT "group", n, round(100.0 * k / n, 6) AS discordant_pct FROM h""")
 def discordance_by_group(spark, sf_dir):
     """Discordant pairs by source, small ones pooled."""
@@ -236,7 +236,7 @@ def discordance_by_group(spark, sf_dir):
     return A.discordance_by_group(j, "source", "one", "two", 18)
 
 
-@query(f"""WITH {_SAMPLE}, p AS (SELECT doc AS k, flag IS NOT NULL AND flag = 'R' AS known FROM s) SELECT count(*) AS n, count_if(known) AS agree, count_if(NOT known) AS disagree, round(100.0 * count_if(known) / count(*), 6) AS agree_pct FROM p""")
+@query(f"""WITH {_SAMPLE}, p AS (SELECT doc AS k, flag IS NOT NULL AND flag = 'R' AS known FROM s) SELECT count(*) AS n, count(*) FILTER (WHERE known) AS agree, count(*) FILTER (WHERE NOT known) AS disagree, round(100.0 * count(*) FILTER (WHERE known) / count(*), 6) AS agree_pct FROM p""")
 def sample_concordance(spark, sf_dir):
     """Agreement in a sample, from a three-valued flag."""
     f = F.col("flag") == "R"

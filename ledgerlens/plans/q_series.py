@@ -46,7 +46,7 @@ def year_mechanism_composition(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("year", "mechanism").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
-@query(f"""WITH c AS (SELECT unit, year, count(*) AS n, count_if({_V}) AS k FROM ({LINES}) GROUP BY 1, 2),
+@query(f"""WITH c AS (SELECT unit, year, count(*) AS n, count(*) FILTER (WHERE {_V}) AS k FROM ({LINES}) GROUP BY 1, 2),
 p AS (SELECT * FROM (VALUES (1995, 1996), (1996, 1997), (1997, 1998), (1998, 1999), (1999, 2000)) t(y0, y1)),
 j AS (SELECT y0, y1, a.unit, a.n AS n0, a.k AS k0, b.n AS n1, b.k AS k1 FROM p JOIN c a ON a.year = y0 JOIN c b ON b.year = y1 AND b.unit = a.unit)
 SELECT y0, y1, count(*) AS n_entities, round(100.0 * sum(k0) / sum(n0), 6) AS before_pct, round(100.0 * sum(k1) / sum(n1), 6) AS after_pct, round(100.0 * sum(k1) / sum(n1) - 100.0 * sum(k0) / sum(n0), 6) AS delta FROM j GROUP BY 1, 2""")
@@ -57,13 +57,13 @@ def placebo_year_pairs(spark, sf_dir):
 
 
 @query(f"""WITH l AS ({LINES}), u AS (SELECT CAST(year AS VARCHAR) AS part, year, ship_year FROM l UNION ALL SELECT 'all', year, ship_year FROM l)
-SELECT part, count(*) AS n, count_if(coalesce(year <> ship_year, false)) AS n_out, count_if(ship_year IS NULL) AS n_unknown, round(100.0 * count_if(coalesce(year <> ship_year, false)) / count(*), 6) AS pct FROM u GROUP BY part""")
+SELECT part, count(*) AS n, count(*) FILTER (WHERE coalesce(year <> ship_year, false)) AS n_out, count(*) FILTER (WHERE ship_year IS NULL) AS n_unknown, round(100.0 * count(*) FILTER (WHERE coalesce(year <> ship_year, false)) / count(*), 6) AS pct FROM u GROUP BY part""")
 def year_overflow(spark, sf_dir):
     """Records whose own year is not their partition's."""
     return Y.overflow(lines(spark, sf_dir), "year", "ship_year")
 
 
-@query(f"""WITH l AS ({LINES}), c AS (SELECT mechanism, count_if(year = 1996) AS n0, count_if(year = 2000) AS n1, count_if(year = 1996 AND {_V}) AS k0, count_if(year = 2000 AND {_V}) AS k1 FROM l WHERE year IN (1996, 2000) GROUP BY 1),
+@query(f"""WITH l AS ({LINES}), c AS (SELECT mechanism, count(*) FILTER (WHERE year = 1996) AS n0, count(*) FILTER (WHERE year = 2000) AS n1, count(*) FILTER (WHERE year = 1996 AND {_V}) AS k0, count(*) FILTER (WHERE year = 2000 AND {_V}) AS k1 FROM l WHERE year IN (1996, 2000) GROUP BY 1),
 s AS (SELECT mechanism AS member, 100.0 * n0 / sum(n0) OVER () AS w0, 100.0 * n1 / sum(n1) OVER () AS w1, coalesce(CAST(k0 AS DOUBLE) / nullif(n0, 0), 0) AS r0, coalesce(CAST(k1 AS DOUBLE) / nullif(n1, 0), 0) AS r1 FROM c),
 p AS (SELECT member, (w1 - w0) * r0 AS a, w0 * (r1 - r0) AS b, (w1 - w0) * (r1 - r0) AS c, w1 * r1 - w0 * r0 AS t FROM s)
 SELECT member, round(sum(a), 6) AS composition, round(sum(b), 6) AS behaviour, round(sum(c), 6) AS interaction, round(sum(t), 6) AS total FROM p GROUP BY member
@@ -76,8 +76,8 @@ def shift_share(spark, sf_dir):
 @query(f"""WITH a AS (SELECT year, month, count(*) AS n FROM ({snapshot_sql(2)}) GROUP BY 1, 2), b AS (SELECT year, month, count(*) AS n FROM ({snapshot_sql(1)}) WHERE NOT (year = 1997 AND month = 5) GROUP BY 1, 2),
 j AS (SELECT coalesce(a.year, b.year) AS year, coalesce(a.n, 0) AS o, coalesce(b.n, 0) AS w FROM a FULL JOIN b USING (year, month)),
 f AS (SELECT *, o > 0 AND w > 0 AND 100.0 * (o - w) > 2.0 * o AS fell FROM j)
-SELECT CAST(sum(greatest(o - w, 0)) AS BIGINT) AS deficit, count_if(o > 0 AND w = 0) AS missing, count_if(fell) AS declines, count_if(o = 0 AND w > 0) AS new_only, count_if(fell AND year >= 2000) AS recent_declines,
-  round(100.0 * count_if(fell AND year >= 2000) / count_if(fell), 6) AS recent_pct, coalesce(100.0 * count_if(fell AND year >= 2000) / count_if(fell) >= 60, false) AS localised FROM f""")
+SELECT CAST(sum(greatest(o - w, 0)) AS BIGINT) AS deficit, count(*) FILTER (WHERE o > 0 AND w = 0) AS missing, count(*) FILTER (WHERE fell) AS declines, count(*) FILTER (WHERE o = 0 AND w > 0) AS new_only, count(*) FILTER (WHERE fell AND year >= 2000) AS recent_declines,
+  round(100.0 * count(*) FILTER (WHERE fell AND year >= 2000) / count(*) FILTER (WHERE fell), 6) AS recent_pct, coalesce(100.0 * count(*) FILTER (WHERE fell AND year >= 2000) / count(*) FILTER (WHERE fell) >= 60, false) AS localised FROM f""")
 def deficit_localisation(spark, sf_dir):
     """Where a new download has fewer rows."""
     new = snapshot(spark, sf_dir, 1).where(~((F.col("year") == 1997) & (F.col("month") == 5)))

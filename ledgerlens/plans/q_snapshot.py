@@ -27,9 +27,9 @@ def _read(version: int) -> str:
 _DIFF = f"""d AS (SELECT coalesce(a.year, b.year) AS year, CASE WHEN b.key IS NULL THEN 'only_old' WHEN a.key IS NULL THEN 'only_new' ELSE 'common' END AS side,
   a.awarded IS NULL AND b.awarded IS NOT NULL AS ga, a.awarded IS NOT NULL AND b.awarded IS NULL AS la, a.supplier IS NULL AND b.supplier IS NOT NULL AS gs, a.supplier IS NOT NULL AND b.supplier IS NULL AS ls,
   a.has_bidders IS NULL AND b.has_bidders IS NOT NULL AS gb, a.has_bidders IS NOT NULL AND b.has_bidders IS NULL AS lb FROM {_read(1)} a FULL JOIN {_read(2)} b USING (key)),
-m AS (SELECT year, count_if(side = 'only_old') AS only_old, count_if(side = 'only_new') AS only_new, count_if(side = 'common') AS common,
-  count_if(side = 'common' AND ga) AS gained_awarded, count_if(side = 'common' AND la) AS lost_awarded, count_if(side = 'common' AND gs) AS gained_supplier, count_if(side = 'common' AND ls) AS lost_supplier,
-  count_if(side = 'common' AND gb) AS gained_bidders, count_if(side = 'common' AND lb) AS lost_bidders FROM d GROUP BY year),
+m AS (SELECT year, count(*) FILTER (WHERE side = 'only_old') AS only_old, count(*) FILTER (WHERE side = 'only_new') AS only_new, count(*) FILTER (WHERE side = 'common') AS common,
+  count(*) FILTER (WHERE side = 'common' AND ga) AS gained_awarded, count(*) FILTER (WHERE side = 'common' AND la) AS lost_awarded, count(*) FILTER (WHERE side = 'common' AND gs) AS gained_supplier, count(*) FILTER (WHERE side = 'common' AND ls) AS lost_supplier,
+  count(*) FILTER (WHERE side = 'common' AND gb) AS gained_bidders, count(*) FILTER (WHERE side = 'common' AND lb) AS lost_bidders FROM d GROUP BY year),
 long AS (UNPIVOT m ON COLUMNS(* EXCLUDE year) INTO NAME metric VALUE value)"""
 
 
@@ -61,7 +61,7 @@ def duplicate_factor(spark, sf_dir):
     return S.duplicate_factor(table(spark, sf_dir, "lineitem").withColumn("part", F.col("l_suppkey") % 20), "part", ["l_orderkey", "l_linenumber"])
 
 
-@query(f"SELECT strftime(published, '%Y-%m') AS month, count(*) AS n_keys, count(awarded) AS has_award, count(supplier) AS has_supplier, count_if(bidders > 0) AS has_bidders, CAST(max(published) AS VARCHAR) AS last_published, CAST(max(awarded) AS VARCHAR) AS last_awarded, CAST(max(awarded) - max(published) AS INTEGER) AS maturity_days FROM {_read(2)} GROUP BY 1")
+@query(f"SELECT strftime(published, '%Y-%m') AS month, count(*) AS n_keys, count(awarded) AS has_award, count(supplier) AS has_supplier, count(*) FILTER (WHERE bidders > 0) AS has_bidders, CAST(max(published) AS VARCHAR) AS last_published, CAST(max(awarded) AS VARCHAR) AS last_awarded, CAST(max(awarded) - max(published) AS INTEGER) AS maturity_days FROM {_read(2)} GROUP BY 1")
 def download_calendar(spark, sf_dir):
     """Per publication month, how complete its keys are."""
     return S.download_calendar(read(spark, sf_dir, 2), "key", "published", "awarded", "supplier", "bidders")
@@ -69,7 +69,7 @@ def download_calendar(spark, sf_dir):
 
 @query(f"""WITH a AS (SELECT year, month, count(*) AS n FROM ({snapshot_sql(1)}) GROUP BY 1, 2), b AS (SELECT year, month, count(*) AS n FROM ({snapshot_sql(2)}) GROUP BY 1, 2),
 j AS (SELECT coalesce(a.year, b.year) AS year, coalesce(a.n, 0) AS o, coalesce(b.n, 0) AS w FROM a FULL JOIN b USING (year, month))
-SELECT year, CAST(sum(o) AS BIGINT) AS n_old, CAST(sum(w) AS BIGINT) AS n_new, count_if(w < o) AS months_less, CASE WHEN count_if(w < o) = 0 THEN 'superset' WHEN sum(w) >= sum(o) THEN 'mixed' ELSE 'less' END AS verdict FROM j GROUP BY year""")
+SELECT year, CAST(sum(o) AS BIGINT) AS n_old, CAST(sum(w) AS BIGINT) AS n_new, count(*) FILTER (WHERE w < o) AS months_less, CASE WHEN count(*) FILTER (WHERE w < o) = 0 THEN 'superset' WHEN sum(w) >= sum(o) THEN 'mixed' ELSE 'less' END AS verdict FROM j GROUP BY year""")
 def superset_by_count(spark, sf_dir):
     """Whether a new download has at least as many keys everywhere."""
     return S.superset_by_count(L.counts_side_by_side(snapshot(spark, sf_dir, 1), snapshot(spark, sf_dir, 2), ["year", "month"]), "year")
@@ -81,7 +81,7 @@ def _lags(rel: str, by: str, lag: str) -> str:
 FROM {rel} WHERE ({lag}) IS NOT NULL GROUP BY {by})"""
 
 
-@query(f"""WITH s AS {_read(2)}, g AS (SELECT year, count(*) AS n, count_if(awarded IS NULL) AS absent, count_if(coalesce(awarded > DATE '1999-06-30', false)) AS censored, count_if(coalesce(awarded <= DATE '1999-06-30', false)) AS seen FROM s GROUP BY year),
+@query(f"""WITH s AS {_read(2)}, g AS (SELECT year, count(*) AS n, count(*) FILTER (WHERE awarded IS NULL) AS absent, count(*) FILTER (WHERE coalesce(awarded > DATE '1999-06-30', false)) AS censored, count(*) FILTER (WHERE coalesce(awarded <= DATE '1999-06-30', false)) AS seen FROM s GROUP BY year),
 e AS (SELECT year, CAST(awarded - published AS INTEGER) AS lag FROM s WHERE awarded <= DATE '1999-06-30'), q AS {_lags('e', 'year', 'lag')}
 SELECT g.*, lag_n, lag_median, lag_p90, lag_max, censored = 0 AS no_leverage FROM g LEFT JOIN q USING (year)""")
 def censoring_by_year(spark, sf_dir):
@@ -90,7 +90,7 @@ def censoring_by_year(spark, sf_dir):
 
 
 @query(f"""WITH a AS (SELECT key, year, month FROM ({snapshot_sql(1)})), b AS (SELECT key, year, month FROM ({snapshot_sql(2)}))
-SELECT year, month, count(a.key) AS n_old, count(b.key) AS n_new, count_if(a.key IS NOT NULL AND b.key IS NOT NULL) AS common, count_if(b.key IS NULL) AS lost, count_if(a.key IS NULL) AS gained FROM a FULL JOIN b USING (key, year, month) GROUP BY 1, 2""")
+SELECT year, month, count(a.key) AS n_old, count(b.key) AS n_new, count(*) FILTER (WHERE a.key IS NOT NULL AND b.key IS NOT NULL) AS common, count(*) FILTER (WHERE b.key IS NULL) AS lost, count(*) FILTER (WHERE a.key IS NULL) AS gained FROM a FULL JOIN b USING (key, year, month) GROUP BY 1, 2""")
 def lost_keys_profile(spark, sf_dir):
     """Lost, gained and common keys by month."""
     return S.lost_keys(snapshot(spark, sf_dir, 1), snapshot(spark, sf_dir, 2), "key", ["year", "month"], "status")
@@ -104,7 +104,7 @@ def lost_key_states(spark, sf_dir):
 
 
 @query(f"""WITH s AS {_read(2)}, l AS (SELECT 'awarded' AS "column", awarded AS d, published AS b FROM s UNION ALL SELECT 'estimated', estimated, published FROM s UNION ALL SELECT 'published', published, published FROM s),
-g AS (SELECT "column", count(*) AS n, count(d) AS filled, CAST(min(d) AS VARCHAR) AS first_date, CAST(max(d) AS VARCHAR) AS last_date, count_if(d > DATE '2001-01-01') AS in_future, count_if(d < b) AS negative, round(100.0 * count(d) / count(*), 6) AS filled_pct FROM l GROUP BY 1),
+g AS (SELECT "column", count(*) AS n, count(d) AS filled, CAST(min(d) AS VARCHAR) AS first_date, CAST(max(d) AS VARCHAR) AS last_date, count(*) FILTER (WHERE d > DATE '2001-01-01') AS in_future, count(*) FILTER (WHERE d < b) AS negative, round(100.0 * count(d) / count(*), 6) AS filled_pct FROM l GROUP BY 1),
 e AS (SELECT "column", CAST(d - b AS INTEGER) AS lag FROM l), q AS {_lags('e', '"column"', 'lag')}
 SELECT g.*, lag_n, lag_median, lag_p90, lag_max FROM g LEFT JOIN q USING ("column")""")
 def date_column_profile(spark, sf_dir):
@@ -113,7 +113,7 @@ def date_column_profile(spark, sf_dir):
     return S.date_profile(read(spark, sf_dir, 2), c, F.col("published"), "2001-01-01")
 
 
-@query(f"""WITH s AS {_read(1)}, g AS (SELECT year, month, count(*) AS n_keys, count(awarded) AS with_date, count_if(awarded > DATE '2001-06-01') AS in_future, round(100.0 * count(awarded) / count(*), 6) AS with_date_pct, CAST(floor((2001 - year) * 12 + (6 - month)) AS INTEGER) AS age_months FROM s GROUP BY 1, 2),
+@query(f"""WITH s AS {_read(1)}, g AS (SELECT year, month, count(*) AS n_keys, count(awarded) AS with_date, count(*) FILTER (WHERE awarded > DATE '2001-06-01') AS in_future, round(100.0 * count(awarded) / count(*), 6) AS with_date_pct, CAST(floor((2001 - year) * 12 + (6 - month)) AS INTEGER) AS age_months FROM s GROUP BY 1, 2),
 e AS (SELECT year, month, CAST(awarded - published AS INTEGER) AS lag FROM s), q AS {_lags('e', 'year, month', 'lag')}
 SELECT g.*, lag_n, lag_median, lag_p90, lag_max FROM g LEFT JOIN q USING (year, month)""")
 def maturation_curve(spark, sf_dir):
@@ -121,7 +121,7 @@ def maturation_curve(spark, sf_dir):
     return S.maturation(read(spark, sf_dir, 1), "key", ["year", "month"], "published", "awarded", "2001-06-01")
 
 
-@query(f"""WITH s AS {_read(2)}, k AS (SELECT awarded = estimated AS same, status = 'F' AS c FROM s WHERE awarded IS NOT NULL AND estimated IS NOT NULL), g AS (SELECT count_if(c) AS n_control, count_if(NOT c) AS n_other, 100.0 * avg(CASE WHEN c THEN CAST(same AS INTEGER) END) AS x, 100.0 * avg(CASE WHEN NOT c THEN CAST(same AS INTEGER) END) AS y FROM k)
+@query(f"""WITH s AS {_read(2)}, k AS (SELECT awarded = estimated AS same, status = 'F' AS c FROM s WHERE awarded IS NOT NULL AND estimated IS NOT NULL), g AS (SELECT count(*) FILTER (WHERE c) AS n_control, count(*) FILTER (WHERE NOT c) AS n_other, 100.0 * avg(CASE WHEN c THEN CAST(same AS INTEGER) END) AS x, 100.0 * avg(CASE WHEN NOT c THEN CAST(same AS INTEGER) END) AS y FROM k)
 SELECT n_control, n_other, round(x, 6) AS control_pct, round(y, 6) AS other_pct, round(y - x, 6) AS difference, CASE WHEN y - x >= 30 THEN 'imputed' WHEN y - x >= 10 THEN 'suspect' ELSE 'no_sign' END AS verdict FROM g""")
 def imputation_test(spark, sf_dir):
     """Whether missing dates were filled with the estimate."""

@@ -11,7 +11,7 @@ from .registry import query
 from .standin import lines, table
 
 
-@query("""WITH a AS (SELECT year(o_orderdate) AS part, count(*) AS actual FROM orders GROUP BY 1), e AS (SELECT year(o_orderdate) AS part, count(*) + CASE WHEN year(o_orderdate) = 1998 THEN 5 ELSE 0 END AS expected FROM orders WHERE year(o_orderdate) < 2001 GROUP BY 1)
+@query("""WITH a AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS part, count(*) AS actual FROM orders GROUP BY 1), e AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS part, count(*) + CASE WHEN CAST(year(o_orderdate) AS INTEGER) = 1998 THEN 5 ELSE 0 END AS expected FROM orders WHERE year(o_orderdate) < 2001 GROUP BY 1)
 SELECT part, coalesce(actual, 0) AS actual, coalesce(expected, 0) AS expected, coalesce(actual, 0) - coalesce(expected, 0) AS delta, CASE WHEN coalesce(expected, 0) > 0 THEN round(100.0 * (coalesce(actual, 0) - expected) / expected, 6) END AS delta_pct, coalesce(actual, 0) = coalesce(expected, 0) AS ok FROM a FULL JOIN e USING (part)""")
 def partition_row_gate(spark, sf_dir):
     """Actual against expected rows per partition."""
@@ -20,7 +20,7 @@ def partition_row_gate(spark, sf_dir):
     return readers.row_gate(o, "part", e)
 
 
-@query("""WITH m AS (SELECT DISTINCT year(o_orderdate) AS year, month(o_orderdate) AS month FROM orders), y AS (SELECT DISTINCT year FROM m)
+@query("""WITH m AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders), y AS (SELECT DISTINCT year FROM m)
 SELECT year, CAST(mm AS INTEGER) AS month FROM y, range(1, 13) r(mm) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.year = y.year AND m.month = mm)""")
 def month_completeness(spark, sf_dir):
     """The months that a year lacks."""
@@ -111,7 +111,7 @@ def _raw(spark, sf_dir):
 _BAD = "(o_orderkey % 101 = 0 OR o_orderkey % 103 = 0)"
 
 
-@query(f"""SELECT 'amount' AS "column", count_if(NOT {_BAD} AND o_orderkey % 17 = 0) AS failed FROM orders UNION ALL SELECT 'date', count_if(NOT {_BAD} AND o_orderkey % 13 = 0) FROM orders
+@query(f"""SELECT 'amount' AS "column", count(*) FILTER (WHERE NOT {_BAD} AND o_orderkey % 17 = 0) AS failed FROM orders UNION ALL SELECT 'date', count(*) FILTER (WHERE NOT {_BAD} AND o_orderkey % 13 = 0) FROM orders
 UNION ALL SELECT 'key', 0 UNION ALL SELECT 'name', 0 UNION ALL SELECT 'absent', NULL""")
 def raw_csv_failed_casts(spark, sf_dir):
     """Raw CSV to target types, with the failed casts of each column."""
@@ -120,7 +120,7 @@ def raw_csv_failed_casts(spark, sf_dir):
     return readers.conform(good, {"Monto": "amount", "day": "date"}, target)[1]
 
 
-@query(f"""SELECT CAST(o_orderkey % 7 AS INTEGER) AS k, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 1000 * 100 + o_orderkey % 100 END) AS BIGINT) AS cents, count_if(o_orderkey % 13 <> 0) AS n_dates
+@query(f"""SELECT CAST(o_orderkey % 7 AS INTEGER) AS k, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 1000 * 100 + o_orderkey % 100 END) AS BIGINT) AS cents, count(*) FILTER (WHERE o_orderkey % 13 <> 0) AS n_dates
 FROM orders WHERE NOT {_BAD} GROUP BY 1""")
 def raw_csv_conversion(spark, sf_dir):
     """What the converted rows hold."""
@@ -129,14 +129,14 @@ def raw_csv_conversion(spark, sf_dir):
     return rows.groupBy((F.col("key") % 7).cast("int").alias("k")).agg(F.count("*").alias("n"), (F.sum("amount") * 100).cast("bigint").alias("cents"), F.count("date").alias("n_dates"))
 
 
-@query(f"SELECT count(*) AS n, count_if({_BAD}) AS malformed, CAST(0 AS BIGINT) AS stray_returns FROM orders")
+@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE {_BAD}) AS malformed, CAST(0 AS BIGINT) AS stray_returns FROM orders")
 def malformed_rows(spark, sf_dir):
     """Rows of raw files with too few or too many fields."""
     g = readers.malformed_rows(_raw(spark, sf_dir))
     return g.agg(*(F.sum(c).alias(c) for c in ("n", "malformed", "stray_returns")))
 
 
-@query("""SELECT CASE WHEN year(o_orderdate) < 1998 THEN 'history' ELSE 'current' END AS category, year(o_orderdate) AS year, count(*) AS n, count(CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END) AS n_priority FROM orders GROUP BY 1, 2""")
+@query("""SELECT CASE WHEN year(o_orderdate) < 1998 THEN 'history' ELSE 'current' END AS category, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, count(CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END) AS n_priority FROM orders GROUP BY 1, 2""")
 def partitioned_years(spark, sf_dir):
     """Yearly partitions written by category, read back with provenance;
     the older ones lack a column."""

@@ -29,7 +29,7 @@ def _rungs():
     return [("has_text", t.isNotNull()), ("not_filler", ~T.is_filler(t)), ("evaluable", ~T.is_circular(t, n))]
 
 
-_RUNGS = "CAST(count_if(has_text) AS BIGINT) AS has_text, CAST(count_if(has_text AND NOT filler) AS BIGINT) AS not_filler, CAST(count_if(has_text AND NOT filler AND NOT circular) AS BIGINT) AS evaluable"
+_RUNGS = "CAST(count(*) FILTER (WHERE has_text) AS BIGINT) AS has_text, CAST(count(*) FILTER (WHERE has_text AND NOT filler) AS BIGINT) AS not_filler, CAST(count(*) FILTER (WHERE has_text AND NOT filler AND NOT circular) AS BIGINT) AS evaluable"
 
 
 @query(f"""WITH {_LINES} SELECT year, mechanism, count(*) AS n, {_RUNGS}, CASE grouping(year, mechanism) WHEN 0 THEN 'both' WHEN 1 THEN 'year' WHEN 2 THEN 'mechanism' ELSE 'total' END AS level FROM f GROUP BY GROUPING SETS ((year, mechanism), (year), (mechanism), ())""")
@@ -44,7 +44,7 @@ def filler_frequency(spark, sf_dir):
     return T.frequent_texts(lines(spark, sf_dir), "txt").withColumn("txt", F.md5(F.col("txt").cast("binary")))
 
 
-@query(f"WITH {_LINES} SELECT year, mechanism, count(*) AS n, round(100.0 * count_if(circular) / count(*), 6) AS circular_pct, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS weight_pct FROM f GROUP BY year, mechanism")
+@query(f"WITH {_LINES} SELECT year, mechanism, count(*) AS n, round(100.0 * count(*) FILTER (WHERE circular) / count(*), 6) AS circular_pct, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS weight_pct FROM f GROUP BY year, mechanism")
 def circularity_by_mechanism(spark, sf_dir):
     """Circular texts and weight of each mechanism in a year."""
     return T.circularity(lines(spark, sf_dir), "year", "mechanism", T.is_circular(F.col("txt"), F.col("name")))
@@ -58,10 +58,10 @@ def distinct_text_code_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {_LINES} SELECT * FROM (
-SELECT 0 AS step, 'candidates' AS name, count_if(has_text) AS n FROM f UNION ALL SELECT 1, 'broad', count_if(has_text AND id % 5 <> 0) FROM f UNION ALL SELECT 2, 'strict', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0) FROM f
-UNION ALL SELECT 3, 'not_circular', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular) FROM f UNION ALL SELECT 4, 'code_not_written', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written) FROM f
-UNION ALL SELECT 5, 'not_filler', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written AND NOT filler) FROM f
-UNION ALL SELECT 6, 'enough_tokens', count_if(has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written AND NOT filler AND len(string_split(txt, ' ')) >= 3) FROM f)""")
+SELECT 0 AS step, 'candidates' AS name, count(*) FILTER (WHERE has_text) AS n FROM f UNION ALL SELECT 1, 'broad', count(*) FILTER (WHERE has_text AND id % 5 <> 0) FROM f UNION ALL SELECT 2, 'strict', count(*) FILTER (WHERE has_text AND id % 5 <> 0 AND id % 7 <> 0) FROM f
+UNION ALL SELECT 3, 'not_circular', count(*) FILTER (WHERE has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular) FROM f UNION ALL SELECT 4, 'code_not_written', count(*) FILTER (WHERE has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written) FROM f
+UNION ALL SELECT 5, 'not_filler', count(*) FILTER (WHERE has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written AND NOT filler) FROM f
+UNION ALL SELECT 6, 'enough_tokens', count(*) FILTER (WHERE has_text AND id % 5 <> 0 AND id % 7 <> 0 AND NOT circular AND NOT written AND NOT filler AND len(string_split(txt, ' ')) >= 3) FROM f)""")
 def label_funnel(spark, sf_dir):
     """Labels broad and strict, and what each leakage guard leaves."""
     c = F.col
@@ -141,8 +141,8 @@ def best_sibling_cosine(spark, sf_dir):
 
 
 @query(f"""WITH {_BEST}, d AS (SELECT b.*, CASE WHEN id % 3 = 0 THEN code ELSE id - id % 4 END AS declared FROM b WHERE rk = 1)
-SELECT family, count(*) AS n, round(100.0 * count_if(coalesce(code = declared AND sim > 0, false)) / count(*), 6) AS best_pct, round(100.0 * coalesce(sum(CASE WHEN code = declared AND sim > 0 THEN weight END), 0) / sum(weight), 6) AS best_weight_pct,
-  round(100.0 * count_if(coalesce(sim, 0) <= 0) / count(*), 6) AS abstained_pct FROM d GROUP BY family""")
+SELECT family, count(*) AS n, round(100.0 * count(*) FILTER (WHERE coalesce(code = declared AND sim > 0, false)) / count(*), 6) AS best_pct, round(100.0 * coalesce(sum(CASE WHEN code = declared AND sim > 0 THEN weight END), 0) / sum(weight), 6) AS best_weight_pct,
+  round(100.0 * count(*) FILTER (WHERE coalesce(sim, 0) <= 0) / count(*), 6) AS abstained_pct FROM d GROUP BY family""")
 def declared_is_best(spark, sf_dir):
     """How often the declared code is the best of its family, by items and weight."""
     items, cat = vectors(spark, sf_dir)

@@ -68,7 +68,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LINES = """SELECT l_orderkey AS doc, l_linenumber AS line, year(o_orderdate) AS year, year(l_shipdate) AS ship_year,
+LINES = """SELECT l_orderkey AS doc, l_linenumber AS line, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(year(l_shipdate) AS INTEGER) AS ship_year,
   CASE WHEN l_orderkey % 53 <> 0 THEN o_orderpriority END AS mechanism,
   CASE WHEN l_orderkey % 3 <> 0 THEN CASE WHEN l_orderkey % 11 = 0 THEN ' ' ELSE 'K-' || (l_orderkey % 4000) END END AS key,
   l_suppkey AS entity, o_custkey AS unit, l_returnflag AS flag,
@@ -106,7 +106,7 @@ def snapshot(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
 
 def snapshot_sql(version: int) -> str:
     gone, d, s, b = (13, 5, 4, 3) if version == 1 else (17, 9, 7, 4)
-    return f"""SELECT o_orderkey AS key, year(o_orderdate) AS year, month(o_orderdate) AS month, CAST(o_orderdate AS DATE) AS published,
+    return f"""SELECT o_orderkey AS key, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(o_orderdate AS DATE) AS published,
   CASE WHEN o_orderkey % 211 = 0 THEN DATE '1900-01-01' WHEN o_orderkey % {d} <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 AS INTEGER) END AS awarded,
   CASE WHEN o_orderkey % {s} = 0 THEN 'S/I' ELSE 'P' || o_custkey END AS supplier, CAST(o_orderkey % {b} AS INTEGER) AS bidders, o_orderstatus AS status,
   CAST(o_orderdate AS DATE) + CAST(o_orderkey % 100 * 2 AS INTEGER) AS estimated
