@@ -43,3 +43,16 @@ def fresh(base: str, taken: list[str]) -> str:
     while base.lower() in low:
         base = "_" + base
     return base
+
+
+def unit_hash(*columns) -> Column:
+    """A number in [0, 1) from a hash of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53)
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches in short slices (views), so that what a worker makes of a batch at once
+    does not depend on Spark's batch size."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

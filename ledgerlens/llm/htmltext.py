@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 # fixed values: element names of HTML, by role
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -261,7 +263,7 @@ def _words(rng: random.Random, n: int) -> str:
     return text + (rng.choice((".", ".", ".", "", "!")) if n > 3 else rng.choice((".", "")))
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
     """n pages of varied layout whose article blocks begin with MARK."""
     rng = random.Random(seed)
     pick, some = rng.choice, lambda a, b: _words(rng, rng.randint(a, b))
@@ -286,7 +288,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
         return MARK + body
 
     def article() -> str:
-        out = [f"<h1>{MARK}{some(3, 12)}</h1>"] if rng.random() < 0.8 else []
+        out = [f"<h1>{MARK}{some(3, 12)}</h1>"] if rng.random() < 0.7 else []
         if out and rng.random() < 0.2:
             out = [f"<header>{out[0]}</header>"]
         for _ in range(rng.randint(1, 12)):
@@ -349,9 +351,9 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
         if kind < 0.5:
             core = f"<article>{body}{late if rng.random() < 0.3 else ''}</article>"
             core = pick((core, core, f"<main>{core}</main>", f'<div class="container">{core}</div>'))
-        elif kind < 0.75:
+        elif kind < 0.78:
             core = f'<div {named("content post post-body entry-content article article-body main story text body-text page-content".split())}>{body}</div>'
-        elif kind < 0.85:
+        elif kind < 0.86:
             core = f"<main>{body}</main>"
         elif kind < 0.92:
             core = f"<table><tr><td>{lists(2, 5)}</td><td>{body}</td></tr></table>"
@@ -362,6 +364,9 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
         if rng.random() < 0.3:
             before.append(aside())
         rng.shuffle(before)
+        if rng.random() < 0.08:  # nothing but the text
+            pages.append(core if kind < 0.75 else body)
+            continue
         head = f"<head><meta charset=utf-8><title>{some(2, 9)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head>"
         whole = "".join([head, "<body>", *before, "<!-- x -->", core, *after])
         pages.append(whole if rng.random() < 0.2 else f"<!DOCTYPE html><html>{whole}</body></html>")
@@ -378,7 +383,7 @@ def _extractor(shared):
         import pyarrow as pa
 
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(x.as_py(), model) for x in batch.columns[-1]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
