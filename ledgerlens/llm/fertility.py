@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import cut, fresh
+from .common import cut, fresh, sliced
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -97,7 +97,7 @@ def measures(text: str, words: _Words, is_byte: np.ndarray) -> list[float]:
     return [*counts, total, chars / total, float(is_byte[tokens].mean()), entropy / np.log2(total) if total > 1 else 1.0]
 
 
-def _measurer(shared, names: list[str], most: int = 300_000):
+def _measurer(shared, names: list[str], most: int = 200_000):
     """Appends the measures to the rows; the text is their last column."""
 
     def run(batches):
@@ -107,7 +107,7 @@ def _measurer(shared, names: list[str], most: int = 300_000):
         model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         words = _Words(model)
-        for batch in batches:
+        for batch in sliced(batches):
             made = []
             for x in batch.columns[-1]:
                 if len(words) > most:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh
+from .common import fresh, sliced, unit_hash
 
 DEPTH = 3
 
@@ -102,7 +102,7 @@ class ContextTrees:
         cost = np.concatenate(tables).reshape(-1, len(langs))
         return ContextTrees(langs, classes, node, cost)
 
-    def code_lengths(self, texts: list[bytes], step: int = 1 << 20) -> np.ndarray:
+    def code_lengths(self, texts: list[bytes], step: int = 1 << 18) -> np.ndarray:
         """Bits for each text under each language; every byte counts."""
         m = int(self.classes.max()) + 1
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -136,11 +136,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     None where no row has a language and a text with a letter."""
     rows = docs.where(where) if where is not None else docs
     rows = rows.where(F.col(lang_col).isNotNull())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= docs_per_lang)
-    frequent = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    frequent = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    # max_langs rows; a first cut by the hash leaves about eight times the documents wanted,
+    # so that the ranks of a frequent language are few rows at any size of the corpus
+    near = named.join(F.broadcast(frequent), "lang").where(unit_hash("id") < 8 * docs_per_lang / F.col("n"))
+    w = Window.partitionBy("lang").orderBy(unit_hash("id"), "id")
     # docs_per_lang * max_langs ids at most
-    chosen = ids.join(F.broadcast(frequent), "lang").select("id").distinct()
+    chosen = near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= docs_per_lang).select("id").distinct()
     sample = rows.join(F.broadcast(chosen), rows[id_col] == chosen["id"]).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = sample.mapInArrow(_gram_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (counts.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
@@ -155,9 +158,7 @@ def _scorer(shared, names: list[str]):
         import pyarrow as pa
 
         trees = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             texts = [x.encode() if x else b"" for x in batch.columns[-2].to_pylist()]
             letters = np.array(batch.columns[-1].to_pylist(), bool)
             bits = trees.code_lengths(texts)

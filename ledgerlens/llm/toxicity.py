@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, cut, fresh
+from .common import crc_mod, cut, fresh, sliced, unit_hash
 
 FEATURES = [
     "log_words", "word_hits", "word_density", "stem_hits", "stem_density", "weight_density", "top_weight", "densest",
@@ -100,32 +100,46 @@ class _Tokens(dict):
         self.rows = np.zeros((1 << 12, 12), np.float32)
 
     def match(self, word: str) -> tuple[int, int, float]:
-        found = [self.lexicon.get(k) for k in keys(word)]
-        return int(found[0] is not None), int(any(x is not None for x in found[1:])), max([0.0, *(x for x in found if x is not None)])
+        """Whether the word is in the lexicon, whether a beginning of it is, and the weight."""
+        get = self.lexicon.get
+        own, best, stem, n = get("=" + word), 0.0, 0, len(word)
+        for k in STEMS:
+            if k >= n:
+                break
+            w = get(word[:k])
+            if w is not None:
+                stem, best = 1, max(best, w)
+        return int(own is not None), stem, best if own is None else max(best, own)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        parts = _WORD.findall(low)
-        hit = stem = 0
-        weight = 0.0
-        for p in parts:
-            h, s, w = self.match(p)
-            hit, stem, weight = hit + h, stem + (s and not h), max(weight, w)
-        core = _EDGE.sub("", low) or low.strip(".,;:?!\"'()")
-        mixed = bool(_MIXED.search(low.rstrip(".,;:?!\"')"))) or bool(_REPEAT.search(core))
-        masked = 0
+        upper = 0 if low == token else sum(map(str.isupper, token))
+        masked = excl = quest = punct = 0
+        if token.isalpha():
+            parts, letters = (low,), len(token)
+            hit, stem, weight = self.match(low)
+            mixed, core = bool(_REPEAT.search(low)), low
+        else:
+            parts, letters = _WORD.findall(low), sum(map(str.isalpha, token))
+            punct = len(token) - sum(map(str.isalnum, token))
+            excl, quest = token.count("!"), token.count("?")
+            hit = stem = 0
+            weight = 0.0
+            for p in parts:
+                h, s, w = self.match(p)
+                hit, stem, weight = hit + h, stem + (s and not h), max(weight, w)
+            core = _EDGE.sub("", low)
+            mixed = bool(_MIXED.search(low.rstrip(".,;:?!\"')"))) or bool(_REPEAT.search(core))
         if mixed and not hit and not stem:
             for plain in {re.sub(r"[^\w]|[\d_]", "", low.rstrip(".,;:?!\"')").translate(LETTER_FOR)), _REPEAT.sub(r"\1", core)}:
                 h, s, w = self.match(plain)
                 if h and plain not in parts:
                     masked, weight = 1, max(weight, w)
-        letters = sum(c.isalpha() for c in token)
-        upper = sum(c.isupper() for c in token)
-        punct = sum(not (c.isalnum() or c.isspace()) for c in token)
+        stem = stem and not hit if len(parts) == 1 else stem
         k = len(self)
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = (hit, stem, weight, any(p in SECOND_PERSON for p in parts), letters, upper, letters > 1 and upper == letters, token.count("!"), token.count("?"), punct, mixed, masked)
+        self.rows[k] = (hit, stem, weight, any(p in SECOND_PERSON for p in parts), letters, upper, letters > 1 and upper == letters, excl, quest, punct, mixed, masked)
         self[token] = k
         return k
 
@@ -160,14 +174,14 @@ def text_features(text: str | None, tokens: _Tokens) -> list[float]:
     ]
 
 
-def _featurizer(shared, names: list[str], most: int = 300_000):
+def _featurizer(shared, names: list[str], most: int = 200_000):
     """Appends the features to the rows; the text is their last column."""
 
     def run(batches):
         import pyarrow as pa
 
         tokens = _Tokens(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             made = []
             for x in batch.columns[-1]:
                 if len(tokens) > most:
@@ -220,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon and trees; equal texts of the sample count once. Several labels of a document count as toxic if one is. Without both
     classes the score is the share of toxic labels (0 without labels)."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("double")).alias("label"))
-    known = known.where(crc_mod("id", 5) != 0).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = known.where(crc_mod("id", 5) != 0)
+    # a first cut by the hash leaves about four times the rows wanted, whatever their number
+    known = known.where(unit_hash("id") * max(1, known.count()) < 4 * sample).orderBy(unit_hash("id"), "id").limit(sample)
     # ``sample`` short rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     rows = cut(rows.dropDuplicates(["text"]).repartition(12, "id"))
