@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a segment tree over pair ranks.
 
-A pre-token's symbols are the leaves; each node holds the least (rank, position) among the
-adjacent pairs below it, so the root is the leftmost pair of lowest rank. A merge updates
+A pre-token's adjacent pairs are the leaves; each node holds the least (rank, position) of
+the pairs below it, so the root is the leftmost pair of lowest rank. A merge updates
 the two or three leaves around it and their paths, which takes O(log n), until no pair at
 the root can be merged. Pre-tokens repeat, so each worker keeps what it has encoded.
 """
@@ -16,15 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import fresh
+from .common import fresh, sliced
 
 #: Pre-tokens of the byte-level scheme: contractions, then runs of letters, numbers and
 #: others with at most one space before, then white space. White space is the Unicode
 #: property, which leaves out U+001C to U+001F.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-_NONE = 1 << 62
-
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where it is visible in
@@ -38,60 +36,84 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class MergeTree:
-    """Symbols of one pre-token under merges, lowest rank first, leftmost first."""
-
-    def __init__(self, symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> None:
-        n = len(symbols)
-        self.symbols, self.merges = symbols, merges
-        self.after, self.before = list(range(1, n + 1)), list(range(-1, n - 1))
-        self.size = 1 << max(0, (n - 1).bit_length())
-        self.shift = self.size.bit_length()
-        # rank << shift | position, so that the least key is the leftmost of the lowest rank
-        self.tree = [_NONE] * (2 * self.size)
-        for i in range(n - 1):
-            self.tree[self.size + i] = self._key(i)
-        for k in range(self.size - 1, 0, -1):
-            a, b = self.tree[2 * k], self.tree[2 * k + 1]
-            self.tree[k] = a if a < b else b
-
-    def _key(self, i: int) -> int:
-        j = self.after[i]
-        if j >= len(self.symbols):
-            return _NONE
-        found = self.merges.get((self.symbols[i], self.symbols[j]))
-        return _NONE if found is None else found[0] << self.shift | i
-
-    def _set(self, i: int, key: int) -> None:
-        tree, k = self.tree, self.size + i
-        tree[k] = key
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-            k >>= 1
-
-    def run(self) -> list[int]:
-        tree, low = self.tree, (1 << self.shift) - 1
-        if self.size == 1:
-            return self.symbols
-        symbols, after, before, n = self.symbols, self.after, self.before, len(self.symbols)
-        while tree[1] != _NONE:
-            i = tree[1] & low
-            j = after[i]
-            symbols[i] = self.merges[(symbols[i], symbols[j])][1]
-            symbols[j] = -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-            self._set(j, _NONE)
-            self._set(i, self._key(i))
-            if before[i] >= 0:
-                self._set(before[i], self._key(before[i]))
-        return [s for s in symbols if s >= 0]
+#: A leaf of the tree is rank, position and merged symbol in one integer, in that order, so
+#: that the least leaf is the leftmost pair of the lowest rank and tells what it becomes.
+_ID_BITS, _AT_BITS = 20, 32
+_ID, _AT = (1 << _ID_BITS) - 1, (1 << _AT_BITS) - 1
+_NONE = 1 << 120
+
+
+def merged(symbols: list[int], pairs: dict[int, int]) -> list[int]:
+    """The symbols of one pre-token after all merges: lowest rank first, leftmost first.
+    pairs maps left << 20 | right to rank << 52 | merged symbol."""
+    n = len(symbols)
+    if n < 2:
+        return symbols
+    size = 1 << (n - 2).bit_length()
+    tree, get = [_NONE] * (2 * size), pairs.get
+    left = symbols[0]
+    for i in range(n - 1):
+        right = symbols[i + 1]
+        key = get(left << _ID_BITS | right)
+        if key is not None:
+            tree[size + i] = key | i << _ID_BITS
+        left = right
+    for k in range(size - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (least := tree[1]) != _NONE:
+        i = least >> _ID_BITS & _AT
+        j = after[i]
+        symbols[i] = least & _ID
+        symbols[j] = -1
+        k = after[i] = after[j]
+        h = before[i]
+        changed = [(i, _NONE)]
+        if k < n:
+            before[k] = i
+            key = get(symbols[i] << _ID_BITS | symbols[k])
+            if key is not None:
+                changed = [(i, key | i << _ID_BITS)]
+            changed.append((j, _NONE))
+        elif j < n - 1 or j < size:
+            changed.append((j, _NONE))
+        if h >= 0:
+            key = get(symbols[h] << _ID_BITS | symbols[i])
+            changed.append((h, _NONE if key is None else key | h << _ID_BITS))
+        for at, key in changed:
+            at += size
+            if tree[at] == key:
+                continue
+            tree[at] = key
+            at >>= 1
+            while at:
+                a, b = tree[2 * at], tree[2 * at + 1]
+                if b < a:
+                    a = b
+                if tree[at] == a:
+                    break
+                tree[at] = a
+                at >>= 1
+    return [s for s in symbols if s >= 0]
+
+
+class _Pieces(dict):
+    """Pre-token -> (number of ids, ids joined by commas, their bytes), made when missed;
+    what an older generation knew is taken over."""
+
+    def __init__(self, codec: ByteBPE, older: dict) -> None:
+        self.codec, self.older = codec, older
+
+    def __missing__(self, piece: str) -> tuple[int, str, bytes]:
+        found = self.older.get(piece)
+        if found is None:
+            c = self.codec
+            ids = merged([c.byte_ids[b] for b in piece.encode()], c.pairs)
+            found = (len(ids), ",".join(map(str, ids)), b"".join(map(c.bytes_of.__getitem__, ids)))
+        if len(piece) <= 64:
+            self[piece] = found
+        return found
 
 
 class ByteBPE:
@@ -103,7 +125,9 @@ class ByteBPE:
         spec = json.loads(source)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        if max(vocab.values()) > _ID:
+            raise ValueError("ids of up to 20 bits are supported")
+        self.pairs = {vocab[a] << _ID_BITS | vocab[b]: rank << _ID_BITS + _AT_BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         shown = byte_symbols()
         back = {c: b for b, c in enumerate(shown)}
         self.byte_ids = [vocab[c] for c in shown]
@@ -114,34 +138,24 @@ class ByteBPE:
         names = sorted(self.special, key=len, reverse=True)
         self.stops = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         # two generations: what is used again survives when the younger one is full
-        self.known, self.cache, self.older = known // 2, {}, {}
+        self.known = known // 2
+        self.cache = _Pieces(self, {})
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
-        """(number of ids, ids joined by commas, their bytes) of a pre-token."""
-        found = self.cache.get(piece)
-        if found is not None:
-            return found
-        found = self.older.get(piece)
-        if found is None:
-            ids = MergeTree([self.byte_ids[b] for b in piece.encode()], self.merges).run()
-            found = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
-        if len(piece) <= 64:
-            if len(self.cache) >= self.known:
-                self.cache, self.older = {}, self.cache
-            self.cache[piece] = found
-        return found
-
-    def _runs(self, text: str):
+    def round_trip(self, text: str) -> tuple[int, str, str]:
+        """(number of ids, ids joined by commas, the text that the ids decode to)."""
+        if len(self.cache) > self.known:
+            self.cache.older = {}
+            self.cache = _Pieces(self, self.cache)
+        got = []
         for k, part in enumerate(self.stops.split(text) if self.stops else [text]):
             if k % 2:
-                yield 1, str(self.special[part]), part.encode()
+                got.append((1, str(self.special[part]), part.encode()))
             elif part:
-                yield from map(self._piece, self.pieces.findall(part))
-
-    def round_trip(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, the text that the ids decode to)."""
-        got = list(self._runs(text))
-        return sum(x[0] for x in got), ",".join(x[1] for x in got), b"".join(x[2] for x in got).decode("utf-8", "replace")
+                got.extend(map(self.cache.__getitem__, self.pieces.findall(part)))
+        if not got:
+            return 0, "", ""
+        sizes, ids, raw = zip(*got, strict=True)
+        return sum(sizes), ",".join(ids), b"".join(raw).decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
         joined = self.round_trip(text)[1]
@@ -165,20 +179,20 @@ def vocabulary(path: str) -> str:
 
 def _coder(shared, digest: bool, names: list[str]):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         codec = _codec(shared.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            sizes, ids, texts = [], [], []
-            for x in batch.columns[-1]:
-                n, joined, text = codec.round_trip(x.as_py() or "")
-                sizes.append(n)
-                ids.append(sha(joined) if digest else [int(i) for i in joined.split(",")] if n else [])
-                if digest:
-                    texts.append(sha(text))
-            made = [pa.array(sizes, pa.int64())]
-            made += [pa.array(ids, pa.string()), pa.array(texts, pa.string())] if digest else [pa.array(ids, pa.list_(pa.int32()))]
+        for batch in sliced(batches):
+            got = [codec.round_trip(x.as_py() or "") for x in batch.columns[-1]]
+            sizes = pa.array([x[0] for x in got], pa.int64())
+            if digest:
+                made = [sizes, pa.array([sha(x[1]) for x in got], pa.string()), pa.array([sha(x[2]) for x in got], pa.string())]
+            else:
+                ids = np.fromstring(",".join(x[1] for x in got if x[0]), np.int32, sep=",")
+                ends = np.cumsum([0, *(x[0] for x in got)], dtype=np.int32)
+                made = [sizes, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
 
     return run
@@ -225,7 +239,7 @@ def decode(encoded: DataFrame, source: str, ids: str = "token_ids", into: str =
         import pyarrow as pa
 
         codec = _codec(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [codec.decode(x or []) for x in batch.columns[at].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
