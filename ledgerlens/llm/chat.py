@@ -42,7 +42,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     longer; repeated turns have at most ``history``. Null texts and roles count as empty.
     Turns of equal number are ordered by role and text; equal rows stay. A null conv_id is a
     conversation like another. Other columns do not matter; an empty table has no windows.
-    The turns of one conversation are brought together, as its text is one result.
+    Turns stay rows until the turns of a window are brought together.
     """
     if not 0 <= history < budget:
         raise ValueError("0 <= history < budget is needed")
@@ -51,29 +51,46 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("o"),
     )
     w = Window.partitionBy("conv_id").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("o")) - 1)
-    rows = rows.withColumn("sum", F.sum(turn_tokens(F.col("o.text"))).over(w))  # through this turn
-    rows = rows.withColumn("before", F.col("sum") - turn_tokens(F.col("o.text")))
-    head = F.concat(F.lit(TURN), escaped(F.col("o.role")), F.lit(TEXT))
+    order = Window.partitionBy("conv_id").orderBy("o")
+    tokens, span = turn_tokens(F.col("o.text")), budget - history
+    rows = rows.withColumns({"pos": F.row_number().over(order) - 1, "before": F.sum(tokens).over(w) - tokens, "opening": F.first("o").over(w)})
+    rows = rows.withColumn("number", F.floor(F.col("before") / span))
+    is_first = (F.col("pos") > 0) & (F.col("number") != F.lag("number").over(order))
+    # the system turn goes with the first turn of each later window
+    rows = rows.withColumn("opening", F.when(is_first & (F.col("opening.role") == "system"), F.col("opening")))
+    rows = rows.withColumn("system", (F.col("pos") == 0) & (F.col("o.role") == "system"))
+    # a turn goes to its own window and to those after it that may begin within its history:
+    # 1 + history / span at most, as every turn has a token
+    last = F.floor((F.col("before") + history) / span)
+    place = lambda number, kind: F.struct(number.alias("number"), F.lit(kind).alias("kind"))
+    places = F.concat(
+        F.array(place(F.col("number"), "own")),
+        F.when(~F.col("system") & (last > F.col("number")), F.transform(F.sequence(F.col("number") + 1, last), lambda n: place(n, "back"))).otherwise(F.array()),
+        F.when(F.col("opening").isNotNull(), F.array(place(F.col("number"), "system"))).otherwise(F.array()),
+    )
+    rows = rows.withColumn("place", F.explode(places))
+    again = F.col("place.kind") == "system"
+    o = F.when(again, F.col("opening")).otherwise(F.col("o"))
+    head = F.concat(F.lit(TURN), escaped(o["role"]), F.lit(TEXT))
     rows = rows.select(
         "conv_id",
+        F.col("place.number").alias("number"),
         F.struct(
-            "pos",
-            (F.col("pos") == 0).__and__(F.col("o.role") == "system").alias("system"),
-            (F.col("o.role") == "assistant").alias("target"),
-            F.floor(F.col("before") / (budget - history)).alias("window"),
+            F.when(again, 0).otherwise(F.col("pos")).alias("pos"),
+            (again | F.col("system")).alias("system"),
+            (F.col("place.kind") == "own").alias("own"),
+            (o["role"] == "assistant").alias("target"),
             "before",
             F.length(head).alias("skip"),
-            F.length(escaped(F.col("o.text"))).alias("size"),
-            F.concat(head, escaped(F.col("o.text")), F.lit(END)).alias("line"),
+            F.length(escaped(o["text"])).alias("size"),
+            F.concat(head, escaped(o["text"]), F.lit(END)).alias("line"),
         ).alias("t"),
     )
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("all"))
-    cut = convs.select("conv_id", "all", F.explode(F.array_distinct(F.transform("all", lambda t: t["window"]))).alias("number"))
-    own = F.filter("all", lambda t: t["window"] == F.col("number"))
-    cut = cut.withColumn("own", own).withColumn("first", F.col("own")[0])
+    # dealt by conv_id already: no further exchange
+    cut = rows.groupBy("conv_id", "number").agg(F.array_sort(F.collect_list("t")).alias("all"))
+    cut = cut.withColumn("own", F.filter("all", lambda t: t["own"])).where(F.size("own") > 0).withColumn("first", F.col("own")[0])
     # turns before the span: the system turn, and those that start within the history
-    back = F.filter("all", lambda t: (t["pos"] < F.col("first")["pos"]) & (t["system"] | (t["before"] >= F.col("first")["before"] - history)))
+    back = F.filter("all", lambda t: ~t["own"] & (t["system"] | (t["before"] >= F.col("first")["before"] - history)))
     cut = cut.withColumn("back", back).withColumn("shown", F.concat("back", "own"))
     spans = F.aggregate(
         "shown",

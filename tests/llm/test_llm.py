@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 
@@ -369,6 +370,22 @@ def test_chat_reads_back(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def test_chat_of_one_long_conversation(spark):
+    """Work follows the turns, not turns x windows."""
+    n = 40_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.lpad(F.col("id").cast("string"), 200, "x").alias("text"))
+    began = time.monotonic()
+    w = chat.windows(turns)
+    got = w.select("window", "first_turn", "last_turn", "n_repeated", "n_turns").orderBy("window").collect()
+    assert time.monotonic() - began < 20
+    want = {}
+    for pos in range(n):
+        want.setdefault(50 * pos // 576, []).append(pos)
+    assert [(r.window, r.first_turn, r.last_turn) for r in got] == [(k, v[0], v[-1]) for k, v in want.items()]
+    assert all(r.n_repeated == (sum(50 * p >= 50 * r.first_turn - 192 for p in range(max(1, r.first_turn - 9), r.first_turn)) + 1 if r.window else 0) for r in got)
+    assert all(r.n_turns - r.n_repeated == r.last_turn - r.first_turn + 1 for r in got)
+
+
 def chat_plain(line):
     return line.split(chat.TEXT, 1)[1].replace("\\l", "<").replace("\\b", "\\")
 
