@@ -6,7 +6,7 @@ control string, and reading back restores it exactly.
 
 A conversation longer than the budget is cut into windows along its turns: the prefix sum
 of turn tokens before a turn, divided by the tokens that a window has for new turns,
-numbers its window. Each window repeats the system turn that opens the conversation and as
+numbers its window (``strict`` numbers them so that the budget is a bound). Each window repeats the system turn that opens the conversation and as
 much of the turns before its span as the history allows. Only the assistant texts of a
 window's own span are targets; repeated ones are masked, so each is learned once.
 """
@@ -33,13 +33,18 @@ def turn_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
 
 
-def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, budget: int = 768, history: int = 192) -> DataFrame:
+def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, budget: int = 768, history: int = 192, strict: bool = False) -> DataFrame:
     """One row per window: conv_id, window, first_turn and last_turn (positions from 0),
     n_repeated (leading turns that repeat earlier ones), n_turns, formatted, and loss_spans
     (start from 0 and length, in code points of formatted).
 
-    A window holds at most ``budget`` tokens besides the system turn, or one turn that is
-    longer; repeated turns have at most ``history``. Null texts and roles count as empty.
+    Without ``strict`` a window takes the turns that start in its span of ``budget - history``
+    tokens; the last of them is whole, whatever its size, so the budget is a target and not
+    a bound. Repeated turns have at most ``history`` tokens besides the system turn.
+
+    With ``strict`` system turn, repeated and own turns have at most ``budget`` tokens
+    together, or the window is one turn: a turn that crosses the end of a span is alone, the
+    history is cut to what is left, and the system turn is repeated where it fits. Null texts and roles count as empty.
     Turns of equal number are ordered by role and text; equal rows stay. A null conv_id is a
     conversation like another. Other columns do not matter; an empty table has no windows.
     Turns stay rows until the turns of a window are brought together.
@@ -54,14 +59,24 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     order = Window.partitionBy("conv_id").orderBy("o")
     tokens, span = turn_tokens(F.col("o.text")), budget - history
     rows = rows.withColumns({"pos": F.row_number().over(order) - 1, "before": F.sum(tokens).over(w) - tokens, "opening": F.first("o").over(w)})
-    rows = rows.withColumn("number", F.floor(F.col("before") / span))
+    last = F.floor((F.col("before") + history) / span)
+    if strict:
+        # what the system turn leaves; turns are numbered by where they end, crossing ones apart
+        room = F.greatest(F.lit(1), span - F.when(F.col("opening.role") == "system", turn_tokens(F.col("opening.text"))).otherwise(0))
+        end = F.floor((F.col("before") + tokens - 1) / room)
+        rows = rows.withColumn("part", 2 * end + F.when(F.floor(F.col("before") / room) == end, 1).otherwise(0))
+        rows = rows.withColumn("new", F.coalesce((F.col("part") != F.lag("part").over(order)).cast("long"), F.lit(0)))
+        rows = rows.withColumn("number", F.sum("new").over(w))
+        rows = rows.withColumn("last", F.max("number").over(Window.partitionBy("conv_id").orderBy("before").rangeBetween(0, history)))
+        last = F.col("last")
+    else:
+        rows = rows.withColumn("number", F.floor(F.col("before") / span))
     is_first = (F.col("pos") > 0) & (F.col("number") != F.lag("number").over(order))
     # the system turn goes with the first turn of each later window
     rows = rows.withColumn("opening", F.when(is_first & (F.col("opening.role") == "system"), F.col("opening")))
     rows = rows.withColumn("system", (F.col("pos") == 0) & (F.col("o.role") == "system"))
     # a turn goes to its own window and to those after it that may begin within its history:
-    # 1 + history / span at most, as every turn has a token
-    last = F.floor((F.col("before") + history) / span)
+    # 1 + history / span at most, or with strict those that do begin there
     place = lambda number, kind: F.struct(number.alias("number"), F.lit(kind).alias("kind"))
     places = F.concat(
         F.array(place(F.col("number"), "own")),
@@ -81,6 +96,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
             (F.col("place.kind") == "own").alias("own"),
             (o["role"] == "assistant").alias("target"),
             "before",
+            turn_tokens(o["text"]).alias("tokens"),
             F.length(head).alias("skip"),
             F.length(escaped(o["text"])).alias("size"),
             F.concat(head, escaped(o["text"]), F.lit(END)).alias("line"),
@@ -90,7 +106,12 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     cut = rows.groupBy("conv_id", "number").agg(F.array_sort(F.collect_list("t")).alias("all"))
     cut = cut.withColumn("own", F.filter("all", lambda t: t["own"])).where(F.size("own") > 0).withColumn("first", F.col("own")[0])
     # turns before the span: the system turn, and those that start within the history
-    back = F.filter("all", lambda t: ~t["own"] & (t["system"] | (t["before"] >= F.col("first")["before"] - history)))
+    reach, fits = F.lit(history).cast("long"), F.lit(True)
+    if strict:
+        sum_of = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
+        cut = cut.withColumn("left", budget - sum_of("own") - sum_of(F.filter("all", lambda t: ~t["own"] & t["system"])))
+        reach, fits = F.least(reach, F.col("left")), F.col("left") >= 0
+    back = F.filter("all", lambda t: ~t["own"] & fits & (t["system"] | (t["before"] >= F.col("first")["before"] - reach)))
     cut = cut.withColumn("back", back).withColumn("shown", F.concat("back", "own"))
     spans = F.aggregate(
         "shown",

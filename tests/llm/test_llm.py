@@ -386,6 +386,28 @@ def test_chat_of_one_long_conversation(spark):
     assert all(r.n_turns - r.n_repeated == r.last_turn - r.first_turn + 1 for r in got)
 
 
+def test_chat_windows_keep_the_whole_budget(spark):
+    rng, rows = random.Random(9), [(0, 0, "user", "a" * 200), (0, 1, "assistant", "b" * 8000)]
+    for c in range(1, 80):
+        rows += [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "w" * rng.choice([1, 40, 200, 700, 1100, 3000])) for t in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget, history in ((300, 80), (300, 280), (300, 0)):
+        w = chat.windows(df, budget=budget, history=history, strict=True)
+        shown, own = w.collect(), {}
+        for x in sorted(shown, key=lambda x: (x.conv_id, x.window)):
+            lines = x.formatted.split(chat.END)[:-1]
+            size = [max(1, -(-len(chat_plain(y)) // 4)) for y in lines]
+            assert sum(size) <= budget or len(lines) == 1
+            spared = lines[0].startswith(chat.TURN + "system") and x.first_turn > 0
+            assert sum(size[int(spared) : x.n_repeated]) <= history
+            own.setdefault(x.conv_id, []).extend(range(x.first_turn, x.last_turn + 1))
+        assert all(own[c] == list(range(sum(r[0] == c for r in rows))) for c in range(80))
+        assert any(x.n_repeated > 1 for x in shown) or not history
+        assert sum(x.conv_id == 0 for x in shown) == 2
+        got = {r.conv_id: r.turns_sha256 for r in chat.digests(w).collect()}
+        assert all(got[c] == hashlib.sha256("".join(f"{r}\n{x}\n" for k, _, r, x in rows if k == c).encode()).hexdigest() for c in got)
+
+
 def chat_plain(line):
     return line.split(chat.TEXT, 1)[1].replace("\\l", "<").replace("\\b", "\\")
 
