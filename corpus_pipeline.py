@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, langid, mixing, simhash, toxicity
+from ledgerlens.llm import bpe, jaccard, langid, mixing, toxicity
 from ledgerlens.llm.common import crc_mod, shared_dir, table
 from ledgerlens.llm.queries import tokenizer_file
 
@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each near-duplicate group (five-word shingles, Jaccard similarity of
+    0.8 or more) stays, that of the smallest id."""
+    return jaccard.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

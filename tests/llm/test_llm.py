@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, components, fertility, hamming, htmltext, langid, mixing, sharding, simhash, toxicity
+from ledgerlens.llm import bpe, chat, components, fertility, hamming, htmltext, jaccard, langid, mixing, sharding, simhash, toxicity
 from ledgerlens.llm.common import crc_mod
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -309,6 +309,32 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_drops_all_copies_of_similarity_08(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(4), []
+    for k, text, *_ in corpus(60):
+        words = (text + " " + text[::-1]).split() * 2
+        words = [f"{w}{i}" for i, w in enumerate(words)]
+        rows.append((k, " ".join(words)))
+        for j in range(3):  # chains of copies, some above and some below the limit
+            words = list(words)
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(len(words))] = f"changed{rng.random()}"
+            rows.append((100 * (j + 1) + k, " ".join(words)))
+    rows += [(0, "another text under a taken id, kept beside it"), (None, "no id"), (900, "No  id"), (901, "no id")]
+    sets = [set(simhash.shingles(t, 5)) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            group = [group[i] if g == group[j] else g for g in group]
+    want = sorted(min(d for (d, _), g in zip(rows, group, strict=True) if g == x and d is not None) for x in set(group))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1))
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns and sorted((r.doc_id for r in got.collect() if r.doc_id is not None)) == want
+    assert got.where("doc_id is null").count() == 1 and 60 < len(want) < 200
+
+
 # --- 7: mixing
 
 
