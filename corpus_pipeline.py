@@ -17,8 +17,9 @@ from ledgerlens.llm.queries import tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and texts without a letter."""
-    trees = langid.train(docs, where=crc_mod("doc_id", 3) != 1)
+    """Rejects documents in no language: null texts, texts without a letter, and texts whose
+    PPM code is far longer than those of the language that codes them best."""
+    trees = langid.train(docs, where=crc_mod("doc_id", 3) != 1, limits=True)
     return langid.keep_identified(docs, trees)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh, sliced, unit_hash
+from .common import cut, fresh, sliced, unit_hash
 
 DEPTH = 3
 
@@ -52,12 +52,14 @@ def _gram_counter(batches):
 class ContextTrees:
     """The frozen trees: classes (byte -> class, 0 for bytes never seen), node (three
     classes -> node of the deepest context that any language has), cost (node * classes + class
-    -> bits for each language)."""
+    -> bits for each language). limits has the bits per byte up to which a text is taken for
+    one of a language, where they were asked for."""
 
     langs: list[str]
     classes: np.ndarray
     node: np.ndarray
     cost: np.ndarray
+    limits: dict[str, float] | None = None
 
     @staticmethod
     def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> ContextTrees:
@@ -130,10 +132,11 @@ class ContextTrees:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", where: Column | None = None, docs_per_lang: int = 400, max_langs: int = 64) -> ContextTrees | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", where: Column | None = None, docs_per_lang: int = 400, max_langs: int = 64, limits: bool = False) -> ContextTrees | None:
     """Trees from at most docs_per_lang whole texts of each language, those whose ids have
     the least hashes; of more than max_langs languages, the most frequent are learned.
-    None where no row has a language and a text with a letter."""
+    None where no row has a language and a text with a letter. With limits, keep_identified
+    also rejects texts whose code is far longer than that of the sample's own texts."""
     rows = docs.where(where) if where is not None else docs
     rows = rows.where(F.col(lang_col).isNotNull())
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
@@ -144,11 +147,57 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     w = Window.partitionBy("lang").orderBy(unit_hash("id"), "id")
     # docs_per_lang * max_langs ids at most
     chosen = near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= docs_per_lang).select("id").distinct()
-    sample = rows.join(F.broadcast(chosen), rows[id_col] == chosen["id"]).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sample = rows.join(F.broadcast(chosen), rows[id_col] == chosen["id"]).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (unit_hash("id", F.lit("fold")) < 0.5).alias("fold"))
+    if limits:
+        return _with_limits(sample)
+    by = _counts(sample.select("lang", "text"))
+    return ContextTrees.build(by) if by else None
+
+
+# fixed values: how far above the median of a language's own texts a text may lie (bits a
+# byte, and deviations), bits that any text has besides, and the texts that a limit needs
+MARGIN, DEVIATIONS, SLACK, TEXTS = 7.0, 6.0, 64.0, 20
+
+
+def _counts(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Language -> the four-byte grams of its texts, and their counts."""
     counts = sample.mapInArrow(_gram_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (counts.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
-    by = {x: (gram[lang == x], n[lang == x]) for x in sorted(set(lang))}
-    return ContextTrees.build(by) if by else None
+    return {x: (gram[lang == x], n[lang == x]) for x in sorted(set(lang))}
+
+
+def _within(limits: dict[str, float], lang: str, bits: str, text: Column) -> Column:
+    """Whether a text's code is short enough for the language that codes it best."""
+    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col(lang)]
+    size = F.greatest(F.lit(1), F.octet_length(text.cast("string")))
+    return F.coalesce((F.col(bits) - limit) * size <= SLACK, F.lit(True))
+
+
+def _with_limits(sample: DataFrame) -> ContextTrees | None:
+    """Trees and limits. Trees of each half of the sample read the texts of the other half,
+    so that no text is judged by what it taught; those beyond the limit teach nothing."""
+    sample = cut(sample)
+    halves = [_counts(sample.where(F.col("fold") == bool(k)).select("lang", "text")) for k in (0, 1)]
+    limits: dict[str, float] = {}
+    if all(halves):
+        read = [_annotate(sample.where(F.col("fold") == bool(1 - k)), F.col("text"), ContextTrees.build(halves[k]), ["won", "score", "bits"]) for k in (0, 1)]
+        read = read[0].unionByName(read[1])
+        found: dict[str, list[float]] = {}
+        # docs_per_lang * max_langs rows at most
+        for lang, bits in read.where("won <> 'und'").select("won", "bits").collect():
+            found.setdefault(lang, []).append(bits)
+        for lang, bits in found.items():
+            if len(bits) >= TEXTS:
+                middle = float(np.median(bits))
+                limits[lang] = middle + max(MARGIN, DEVIATIONS * 1.4826 * float(np.median(np.abs(np.array(bits) - middle))))
+        if limits:
+            sample = read.where(_within(limits, "won", "bits", F.col("text")))
+    by = _counts(sample.select("lang", "text"))
+    if not by:
+        return None
+    trees = ContextTrees.build(by)
+    trees.limits = limits
+    return trees
 
 
 def _scorer(shared, names: list[str]):
@@ -202,6 +251,14 @@ def identify(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id"
 
 
 def keep_identified(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text") -> DataFrame:
-    """The rows whose text is in a language (not ``und``), with the columns as they come."""
+    """The rows whose text is in a language (not ``und``), with the columns as they come.
+
+    With trees that have limits, a text whose best code passes the winner's limit (for its
+    bytes, and some bits that any text has) is in no learned language and goes as well; a
+    language with too few texts to learn a limit from takes all that it wins.
+    """
     names = [fresh(n, docs.columns) for n in ("lang_pred", "lang_score", "lang_bits")]
-    return _annotate(docs, F.col(text_col), trees, names).where(F.col(names[0]) != "und").select(*docs.columns)
+    found = _annotate(docs, F.col(text_col), trees, names).where(F.col(names[0]) != "und")
+    if trees is not None and trees.limits:
+        found = found.where(_within(trees.limits, names[0], names[2], F.col(text_col)))
+    return found.select(*docs.columns)

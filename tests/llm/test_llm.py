@@ -148,6 +148,20 @@ def test_languages_of_awkward_tables(spark, awkward, empty):
     assert langid.identify(empty, trees).count() == 0 and langid.identify(awkward, None).count() == len(AWKWARD)
 
 
+def test_pipeline_rejects_texts_of_no_learned_language(spark):
+    import base64
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    good = corpus(400) + [(500, "ka mo ti", "aa", "s", 0), (501, "zhe", "bb", "s", 0)]
+    noise = [base64.b64encode(rng.randbytes(300)).decode(), rng.randbytes(200).hex(), "".join(rng.choices("asdfghjklqwertyuiop ", k=400)), " ".join("".join(rng.choices(["quo", "bae", "cyf", "njo", "hu"], k=3)) for _ in range(60)), "Ж" * 200]
+    rows = good + [(600 + k, t, "aa", "s", 0) for k, t in enumerate(noise)] + [(700, "123", "aa", "s", 0), (701, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.language_id(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in good)
+
+
 # --- 3: top-k
 
 
