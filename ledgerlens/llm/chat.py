@@ -4,11 +4,14 @@ Every turn becomes ``<|turn|>role<|text|>text<|end|>`` and a line feed. Texts an
 escaped first: a backslash becomes ``\\b`` and ``<`` becomes ``\\l``, so no text can hold a
 control string, and reading back restores it exactly.
 
-A conversation longer than the budget is cut into windows along its turns: the prefix sum
-of turn tokens before a turn, divided by the tokens that a window has for new turns,
-numbers its window (``strict`` numbers them so that the budget is a bound). Each window repeats the system turn that opens the conversation and as
-much of the turns before its span as the history allows. Only the assistant texts of a
-window's own span are targets; repeated ones are masked, so each is learned once.
+A conversation longer than the budget is cut into windows along its turns. The room of a
+window is the budget less the history and the opening system turn; the prefix sum of
+tokens before a turn, divided by the room, is the turn's span. Turns that end in the span
+they start in share a window, whose own tokens cannot pass the room; a turn that crosses
+the end of its span has a window of its own. Each window repeats the system turn that opens
+the conversation and as much of the turns before it as history and budget allow. Only the
+assistant texts of a window's own turns are targets; repeated ones are masked, so each is
+learned once.
 """
 
 from __future__ import annotations
@@ -28,26 +31,25 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
-def turn_tokens(text: Column) -> Column:
-    """Tokens of a turn as the budget counts them: four characters each, one at least."""
-    return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
+def turn_tokens(role: Column, text: Column) -> Column:
+    """Tokens of a turn as the budget counts them: the UTF-8 bytes of the escaped role and
+    text, and four for the control strings and the line feed. A byte-level vocabulary that
+    holds the control strings never makes more tokens than that."""
+    return (F.octet_length(escaped(role)) + F.octet_length(escaped(text)) + 4).cast("long")
 
 
-def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, budget: int = 768, history: int = 192, strict: bool = False) -> DataFrame:
-    """One row per window: conv_id, window, first_turn and last_turn (positions from 0),
-    n_repeated (leading turns that repeat earlier ones), n_turns, formatted, and loss_spans
-    (start from 0 and length, in code points of formatted).
+def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, budget: int = 3072, history: int = 768) -> DataFrame:
+    """One row per window: conv_id, window (increasing, with gaps), first_turn and last_turn
+    (positions from 0), n_repeated (leading turns that repeat earlier ones), n_turns,
+    n_tokens (turn_tokens of all its turns), formatted, and loss_spans (start from 0 and
+    length, in code points of formatted).
 
-    Without ``strict`` a window takes the turns that start in its span of ``budget - history``
-    tokens; the last of them is whole, whatever its size, so the budget is a target and not
-    a bound. Repeated turns have at most ``history`` tokens besides the system turn.
-
-    With ``strict`` system turn, repeated and own turns have at most ``budget`` tokens
-    together, or the window is one turn: a turn that crosses the end of a span is alone, the
-    history is cut to what is left, and the system turn is repeated where it fits. Null texts and roles count as empty.
-    Turns of equal number are ordered by role and text; equal rows stay. A null conv_id is a
-    conversation like another. Other columns do not matter; an empty table has no windows.
-    Turns stay rows until the turns of a window are brought together.
+    n_tokens is at most ``budget``, or the window is one turn that is longer, alone. Repeated
+    turns have at most ``history`` tokens besides the system turn, which is repeated wherever
+    the own turns leave room for it. Null texts and roles count as empty. Turns of equal
+    number are ordered by role and text; equal rows stay. A null conv_id is a conversation
+    like another. Other columns do not matter; an empty table has no windows. Turns stay rows
+    until the turns of a window are brought together.
     """
     if not 0 <= history < budget:
         raise ValueError("0 <= history < budget is needed")
@@ -55,32 +57,27 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         F.col(conv).alias("conv_id"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("o"),
     )
-    w = Window.partitionBy("conv_id").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     order = Window.partitionBy("conv_id").orderBy("o")
-    tokens, span = turn_tokens(F.col("o.text")), budget - history
-    rows = rows.withColumns({"pos": F.row_number().over(order) - 1, "before": F.sum(tokens).over(w) - tokens, "opening": F.first("o").over(w)})
-    last = F.floor((F.col("before") + history) / span)
-    if strict:
-        # what the system turn leaves; turns are numbered by where they end, crossing ones apart
-        room = F.greatest(F.lit(1), span - F.when(F.col("opening.role") == "system", turn_tokens(F.col("opening.text"))).otherwise(0))
-        end = F.floor((F.col("before") + tokens - 1) / room)
-        rows = rows.withColumn("part", 2 * end + F.when(F.floor(F.col("before") / room) == end, 1).otherwise(0))
-        rows = rows.withColumn("new", F.coalesce((F.col("part") != F.lag("part").over(order)).cast("long"), F.lit(0)))
-        rows = rows.withColumn("number", F.sum("new").over(w))
-        rows = rows.withColumn("last", F.max("number").over(Window.partitionBy("conv_id").orderBy("before").rangeBetween(0, history)))
-        last = F.col("last")
-    else:
-        rows = rows.withColumn("number", F.floor(F.col("before") / span))
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size_of = lambda o: turn_tokens(o["role"], o["text"])
+    rows = rows.withColumn("tokens", size_of(F.col("o")))
+    rows = rows.withColumns({"pos": F.row_number().over(order) - 1, "before": F.sum("tokens").over(w) - F.col("tokens"), "opening": F.first("o").over(w)})
+    opens = F.col("opening.role") == "system"
+    room = F.greatest(F.lit(1), budget - history - F.when(opens, size_of(F.col("opening"))).otherwise(0))
+    span = F.floor(F.col("before") / room)
+    crosses = F.floor((F.col("before") + F.col("tokens") - 1) / room) > span
+    rows = rows.withColumn("number", 2 * span + crosses.cast("int"))
+    # the windows that begin within reach of a turn
+    rows = rows.withColumn("near", F.collect_set("number").over(Window.partitionBy("conv_id").orderBy("before").rangeBetween(0, history)))
     is_first = (F.col("pos") > 0) & (F.col("number") != F.lag("number").over(order))
     # the system turn goes with the first turn of each later window
-    rows = rows.withColumn("opening", F.when(is_first & (F.col("opening.role") == "system"), F.col("opening")))
+    rows = rows.withColumn("opening", F.when(is_first & opens, F.col("opening")))
     rows = rows.withColumn("system", (F.col("pos") == 0) & (F.col("o.role") == "system"))
-    # a turn goes to its own window and to those after it that may begin within its history:
-    # 1 + history / span at most, or with strict those that do begin there
+    # a turn goes to its own window and to the few after it that begin within its history
     place = lambda number, kind: F.struct(number.alias("number"), F.lit(kind).alias("kind"))
     places = F.concat(
         F.array(place(F.col("number"), "own")),
-        F.when(~F.col("system") & (last > F.col("number")), F.transform(F.sequence(F.col("number") + 1, last), lambda n: place(n, "back"))).otherwise(F.array()),
+        F.when(~F.col("system"), F.transform(F.filter("near", lambda n: n > F.col("number")), lambda n: place(n, "back"))).otherwise(F.array()),
         F.when(F.col("opening").isNotNull(), F.array(place(F.col("number"), "system"))).otherwise(F.array()),
     )
     rows = rows.withColumn("place", F.explode(places))
@@ -96,7 +93,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
             (F.col("place.kind") == "own").alias("own"),
             (o["role"] == "assistant").alias("target"),
             "before",
-            turn_tokens(o["text"]).alias("tokens"),
+            size_of(o).alias("tokens"),
             F.length(head).alias("skip"),
             F.length(escaped(o["text"])).alias("size"),
             F.concat(head, escaped(o["text"]), F.lit(END)).alias("line"),
@@ -105,13 +102,11 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     # dealt by conv_id already: no further exchange
     cut = rows.groupBy("conv_id", "number").agg(F.array_sort(F.collect_list("t")).alias("all"))
     cut = cut.withColumn("own", F.filter("all", lambda t: t["own"])).where(F.size("own") > 0).withColumn("first", F.col("own")[0])
-    # turns before the span: the system turn, and those that start within the history
-    reach, fits = F.lit(history).cast("long"), F.lit(True)
-    if strict:
-        sum_of = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
-        cut = cut.withColumn("left", budget - sum_of("own") - sum_of(F.filter("all", lambda t: ~t["own"] & t["system"])))
-        reach, fits = F.least(reach, F.col("left")), F.col("left") >= 0
-    back = F.filter("all", lambda t: ~t["own"] & fits & (t["system"] | (t["before"] >= F.col("first")["before"] - reach)))
+    # what the own turns leave is for the system turn first, then for the turns before them
+    sum_of = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
+    cut = cut.withColumn("left", budget - sum_of("own") - sum_of(F.filter("all", lambda t: ~t["own"] & t["system"])))
+    reach = F.least(F.lit(history).cast("long"), F.col("left"))
+    back = F.filter("all", lambda t: ~t["own"] & (F.col("left") >= 0) & (t["system"] | (t["before"] >= F.col("first")["before"] - reach)))
     cut = cut.withColumn("back", back).withColumn("shown", F.concat("back", "own"))
     spans = F.aggregate(
         "shown",
@@ -129,6 +124,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         F.element_at("own", -1)["pos"].alias("last_turn"),
         F.size("back").alias("n_repeated"),
         F.size("shown").alias("n_turns"),
+        sum_of("shown").alias("n_tokens"),
         F.array_join(F.transform("shown", lambda t: t["line"]), "").alias("formatted"),
         spans.alias("loss_spans"),
     )

@@ -13,29 +13,35 @@ SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, distance FROM ranked WHERE
 """
 
 CHAT_WINDOWS = r"""
-WITH rows_ AS (
+WITH turns AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
-), turns AS (
-  SELECT *, row_number() OVER w - 1 AS pos, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tok,
-         24 + length(replace(replace(role, '\', '\b'), '<', '\l')) + length(replace(replace(text, '\', '\b'), '<', '\l')) AS line
-  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
-), placed AS (
-  SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - tok AS before FROM turns
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), lines AS (
+  SELECT *, '<|turn|>' || replace(replace(role, '\', '\b'), '<', '\l') || '<|text|>' || replace(replace(text, '\', '\b'), '<', '\l') || '<|end|>' || chr(10) AS line,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
+  FROM turns
+), sized AS (  -- the control strings and the line feed are 24 bytes and count as 4 tokens
+  SELECT *, strlen(line) - 20 AS tok, pos = 1 AND role = 'system' AS opens FROM lines
+), summed AS (
+  SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY pos) AS upto, sum(CASE WHEN opens THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM sized
 ), spans AS (
-  SELECT conv_id, CAST(floor(before / 576.0) AS BIGINT) AS number, min(pos) AS first_pos, min(before) AS first_before
-  FROM placed GROUP BY 1, 2
+  SELECT *, (upto - tok) // greatest(1, 2304 - sys) AS starts, (upto - 1) // greatest(1, 2304 - sys) AS ends FROM summed
+), windows AS (  -- turns within one span together, a turn that crosses the end of its span alone
+  SELECT conv_id, starts, starts < ends AS alone, min(pos) AS first_pos, min(upto - tok) AS first_before, sum(length(line)) AS own_chars,
+         3072 - sum(tok) - CASE WHEN bool_or(opens) THEN 0 ELSE any_value(sys) END AS spare
+  FROM spans GROUP BY ALL
+), shown AS (
+  SELECT w.conv_id, w.own_chars + coalesce((SELECT sum(length(s.line)) FROM spans s
+    WHERE s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.pos < w.first_pos AND w.spare >= 0
+      AND (s.opens OR w.first_before - (s.upto - s.tok) <= least(768, w.spare))), 0) AS chars
+  FROM windows w
 ), sizes AS (
-  SELECT s.conv_id, sum(p.line) AS chars
-  FROM spans s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id
-  WHERE CAST(floor(p.before / 576.0) AS BIGINT) = s.number
-     OR (p.pos < s.first_pos AND ((p.pos = 0 AND p.role = 'system') OR p.before >= s.first_before - 192))
-  GROUP BY 1
+  SELECT conv_id, sum(chars) AS chars FROM shown GROUP BY conv_id
 ), whole AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS turns,
          string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos) AS loss
-  FROM placed GROUP BY 1
+  FROM lines GROUP BY conv_id
 )
 SELECT w.conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars

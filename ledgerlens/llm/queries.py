@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of every document; learned where crc32(doc_id) mod 5 is not 0."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    return toxicity.classify(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 3) == 1
     trees = langid.train(docs, where=~held_out)
-    return langid.identify(docs, trees).withColumn("held_out", held_out)
+    return langid.identify(docs, trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted windows."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
-    odd = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    odd = F.lit("\\### Assistant: </turn> ok")
+    turn = F.col("id").alias("turn")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn, F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), odd.alias("text"))
     return chat.digests(chat.windows(rows.unionByName(more)))
 
 

@@ -402,54 +402,78 @@ def test_chat_reads_back(spark):
     for x in shown:
         lines = x.formatted.split(chat.END)[:-1]
         assert len(lines) == x.n_turns and all(y.startswith(chat.TURN) for y in lines)
-        if x.window > 0 and x.conv_id is not None and x.conv_id % 3 == 0 and x.conv_id != 99:
-            assert lines[0].startswith(chat.TURN + "system")
-        own = lines[x.n_repeated :]
-        size = [max(1, -(-len(chat_plain(y)) // 4)) for y in own]
-        assert sum(size[:-1]) < 300
+        size = list(map(line_tokens, lines))
+        assert x.n_tokens == sum(size) and (x.n_tokens <= 300 or len(lines) == 1)
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def line_tokens(line):
+    """Bytes of role and text as they stand in the line, and four for the control strings."""
+    return len(line.encode()) - len(chat.TURN) - len(chat.TEXT) + 4
+
+
 def test_chat_of_one_long_conversation(spark):
     """Work follows the turns, not turns x windows."""
     n = 40_000
-    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.lpad(F.col("id").cast("string"), 200, "x").alias("text"))
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "user").otherwise("agent").alias("role"), F.lpad(F.col("id").cast("string"), 200, "x").alias("text"))
     began = time.monotonic()
-    w = chat.windows(turns)
-    got = w.select("window", "first_turn", "last_turn", "n_repeated", "n_turns").orderBy("window").collect()
+    got = chat.windows(turns).select("window", "first_turn", "last_turn", "n_repeated", "n_turns", "n_tokens").orderBy("window").collect()
     assert time.monotonic() - began < 20
-    want = {}
-    for pos in range(n):
-        want.setdefault(50 * pos // 576, []).append(pos)
-    assert [(r.window, r.first_turn, r.last_turn) for r in got] == [(k, v[0], v[-1]) for k, v in want.items()]
-    assert all(r.n_repeated == (sum(50 * p >= 50 * r.first_turn - 192 for p in range(max(1, r.first_turn - 9), r.first_turn)) + 1 if r.window else 0) for r in got)
+    assert got[0].first_turn == 0 and got[-1].last_turn == n - 1 and all(r.n_tokens <= 3072 for r in got)
+    assert all(b.first_turn == a.last_turn + 1 for a, b in itertools.pairwise(got))
     assert all(r.n_turns - r.n_repeated == r.last_turn - r.first_turn + 1 for r in got)
+    assert all(r.n_repeated == 4 for r in got[2:])  # the system turn, and three of 208 or 209 before
 
 
 def test_chat_windows_keep_the_whole_budget(spark):
+    """The sum over all turns of every window, against a plain reading of the rule."""
     rng, rows = random.Random(9), [(0, 0, "user", "a" * 200), (0, 1, "assistant", "b" * 8000)]
     for c in range(1, 80):
-        rows += [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "w" * rng.choice([1, 40, 200, 700, 1100, 3000])) for t in range(rng.randint(1, 30))]
+        rows += [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), rng.choice("w<é\\") * rng.choice([0, 1, 10, 50, 180, 280, 800])) for t in range(rng.randint(1, 30))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for budget, history in ((300, 80), (300, 280), (300, 0)):
-        w = chat.windows(df, budget=budget, history=history, strict=True)
+        w = chat.windows(df, budget=budget, history=history)
         shown, own = w.collect(), {}
         for x in sorted(shown, key=lambda x: (x.conv_id, x.window)):
             lines = x.formatted.split(chat.END)[:-1]
-            size = [max(1, -(-len(chat_plain(y)) // 4)) for y in lines]
-            assert sum(size) <= budget or len(lines) == 1
-            spared = lines[0].startswith(chat.TURN + "system") and x.first_turn > 0
+            size = list(map(line_tokens, lines))
+            assert x.n_tokens == sum(size) and (sum(size) <= budget or len(lines) == 1)
+            system = rows_of(rows, x.conv_id)[0][1] == "system" and x.first_turn > 0
+            spared = system and lines[0].startswith(chat.TURN + "system")
             assert sum(size[int(spared) : x.n_repeated]) <= history
+            mine = sum(size[x.n_repeated :])
+            if system:  # repeated wherever it fits
+                assert spared == (mine + line_tokens(chat_line(*rows_of(rows, x.conv_id)[0][1:])) <= budget)
+            # no turn more of the history would have fitted
+            left = budget - mine - (size[0] if spared else 0)
+            before = [line_tokens(chat_line(r, t)) for _, r, t in rows_of(rows, x.conv_id)[int(system) : x.first_turn]]
+            most = 0
+            while left >= 0 and (spared or not system) and most < len(before) and sum(before[len(before) - most - 1 :]) <= min(history, left):
+                most += 1
+            assert x.n_repeated - int(spared) == most
             own.setdefault(x.conv_id, []).extend(range(x.first_turn, x.last_turn + 1))
         assert all(own[c] == list(range(sum(r[0] == c for r in rows))) for c in range(80))
         assert any(x.n_repeated > 1 for x in shown) or not history
-        assert sum(x.conv_id == 0 for x in shown) == 2
         got = {r.conv_id: r.turns_sha256 for r in chat.digests(w).collect()}
         assert all(got[c] == hashlib.sha256("".join(f"{r}\n{x}\n" for k, _, r, x in rows if k == c).encode()).hexdigest() for c in got)
 
 
-def chat_plain(line):
-    return line.split(chat.TEXT, 1)[1].replace("\\l", "<").replace("\\b", "\\")
+def rows_of(rows, conv):
+    return [r[1:] for r in rows if r[0] == conv]
+
+
+def chat_line(role, text):
+    guard = lambda x: x.replace("\\", "\\b").replace("<", "\\l")
+    return chat.TURN + guard(role) + chat.TEXT + guard(text)
+
+
+def test_chat_tokens_bound_those_of_a_vocabulary(spark, vocabulary):
+    own, texts = bpe.ByteBPE(vocabulary), ["", "plain words", "naïve 一二三 😀 <tag> \\ back", "x" * 500]
+    df = spark.createDataFrame([("us<er", t) for t in texts], "role string, text string")
+    got = [r[0] for r in df.select(chat.turn_tokens(F.col("role"), F.col("text"))).collect()]
+    for t, n in zip(texts, got, strict=True):
+        role, text = (x.replace("\\", "\\b").replace("<", "\\l") for x in ("us<er", t))
+        assert len(own.encode(role)) + len(own.encode(text)) + 4 <= n
 
 
 # --- 9: sharding
