@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, fresh
 from .components import components
@@ -72,7 +73,7 @@ def _find(parent: list[int], x: int) -> int:
 def shard_links(codes: list[int], left: list[bool] | None, radius: int) -> list[tuple[int, int]]:
     """A spanning forest (index pairs) of the links among codes; with left, of the links
     between the entries of the left chunk and the others only."""
-    parent, links, tree = list(range(len(codes))), [], BKTree()
+    parent, links, tree, sets = list(range(len(codes))), [], BKTree(), 0
     if left is not None:
         for i, c in enumerate(codes):
             if left[i]:
@@ -80,11 +81,15 @@ def shard_links(codes: list[int], left: list[bool] | None, radius: int) -> list[
     for i, c in enumerate(codes):
         if left is not None and left[i]:
             continue
+        sets += 1
         for j in tree.within(c, radius):
             x, y = _find(parent, i), _find(parent, j)
             if x != y:
                 parent[x] = y
                 links.append((i, j))
+                sets -= 1
+                if sets == 1 and left is None:  # all that was read hangs together
+                    break
         if left is None:
             tree.add(c, i)
     return links
@@ -99,7 +104,9 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
 
 
-def _fingerprinter(size: int, seed: int, step: int = 200_000):
+def _fingerprinter(size: int, seed: int, names: list[str], step: int = 200_000):
+    """Appends the fingerprint to the rows, in place of their last column, the text."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -126,7 +133,7 @@ def _fingerprinter(size: int, seed: int, step: int = 200_000):
                 lengths.clear()
 
             first = 0
-            for i, text in enumerate(batch.column("text")):
+            for i, text in enumerate(batch.columns[-1]):
                 got = shingles(text.as_py(), size)
                 if len(got) > step:  # a very long text is counted piece by piece
                     flush(first)
@@ -141,7 +148,7 @@ def _fingerprinter(size: int, seed: int, step: int = 200_000):
                     first = i + 1
             if lengths:
                 flush(first)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.view(np.int64))], names)
 
     return run
 
@@ -149,7 +156,7 @@ def _fingerprinter(size: int, seed: int, step: int = 200_000):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash as a signed long; null and blank texts give zero."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprinter(size, seed), "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprinter(size, seed, ["doc_id", "fp"]), "doc_id long, fp long")
 
 
 def _shard_keys(radius: int, blocks: int):
@@ -171,7 +178,7 @@ def _linker(radius: int):
 
         def links(rows):
             codes = [r[1] & 0xFFFFFFFFFFFFFFFF for r in rows]
-            i, j = rows[0][0][2:]
+            i, j = rows[0][0][-2:]
             left = [r[2] == i for r in rows] if i != j else None
             return [(rows[x][3], rows[y][3]) for x, y in shard_links(codes, left, radius)]
 
@@ -184,12 +191,12 @@ def _linker(radius: int):
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for t, k, i, j, fp, c, doc in zip(*cols, strict=True):
-                if (t, k, i, j) != unit:
+            for *key, fp, chunk, doc in zip(*cols, strict=True):
+                if key != unit:
                     if len(rows) > 1:
                         found.extend(links(rows))
-                    unit, rows = (t, k, i, j), []
-                rows.append(((t, k, i, j), fp, c, doc))
+                    unit, rows = key, []
+                rows.append((key, fp, chunk, doc))
             yield out()
         if len(rows) > 1:
             found.extend(links(rows))
@@ -198,22 +205,51 @@ def _linker(radius: int):
     return run
 
 
+def _recut(hot: DataFrame, radius: int) -> DataFrame:
+    """(t, k, c, part, fp, rep): the rows of large shards (t, k, fp, rep) once for each choice
+    c of half of the shard's own blocks, with the bits of those as part."""
+    blocks = 2 * radius
+    bits = hot.groupBy("t", "k").agg(F.count("*").alias("n"), F.array(*(F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.expr("1L"))) for b in range(BITS))).alias("ones"))
+    # the most varied bits first; fixed ones do not matter
+    order = F.array_sort(F.transform("ones", lambda x, b: F.struct(F.abs(2 * x - F.col("n")).alias("gap"), b.alias("bit"))))
+
+    def mask_of(j: int):
+        own = F.filter("order", lambda _, r: r % blocks == j)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.expr("1L"), x["bit"])))
+
+    dealt = bits.withColumn("order", order).select("t", "k", *(mask_of(j).alias(f"m{j}") for j in range(blocks)))
+    parts = []
+    for c, chosen in enumerate(itertools.combinations(range(blocks), radius)):
+        mask = F.col(f"m{chosen[0]}")
+        for j in chosen[1:]:
+            mask = mask.bitwiseOR(F.col(f"m{j}"))
+        parts.append(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(mask).alias("part")))
+    return hot.join(dealt, ["t", "k"]).select("t", "k", F.explode(F.array(*parts)).alias("p"), "fp", "rep").select("t", "k", "p.c", "p.part", "fp", "rep")
+
+
 def fingerprint_links(reps: DataFrame, radius: int = 3, blocks: int = 5, shard_rows: int = 2048) -> DataFrame:
     """(a, b): links that join everything within the radius; reps has distinct (fp, rep).
 
     More blocks mean smaller shards and more copies of each fingerprint: 5 suit up to some
-    10^9 distinct fingerprints, 6 go beyond. The result is the same.
+    10^9 distinct fingerprints, 6 go beyond. The result is the same, and so it is for every
+    ``shard_rows``, from which shards are cut again.
     """
     if not 0 <= radius < blocks <= BITS:
         raise ValueError("0 <= radius < blocks <= 64 is needed")
     rows = reps.select("fp", "rep", F.explode(_shard_keys(radius, blocks)).alias("s")).select("s.t", "s.k", "fp", "rep")
-    sizes = rows.groupBy("t", "k").count().where("count > 1")
-    chunks = F.ceil(F.col("count") / shard_rows).cast("int")
+    counted = rows.join(rows.groupBy("t", "k").agg(F.count("*").alias("size")).where("size > 1"), ["t", "k"])
+    if radius:
+        whole = counted.where(F.col("size") <= shard_rows).select("t", "k", F.lit(-1).alias("c"), F.lit(0).cast("long").alias("part"), "fp", "rep", F.lit(1).alias("chunks"))
+        parts = _recut(counted.where(F.col("size") > shard_rows).drop("size"), radius)
+    else:  # distinct fingerprints have no links
+        return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    sizes = parts.groupBy("t", "k", "c", "part").count().where("count > 1")
+    parts = parts.join(sizes, ["t", "k", "c", "part"]).withColumn("chunks", F.ceil(F.col("count") / shard_rows).cast("int")).drop("count")
     c = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    units = F.expr("transform(sequence(0, chunks - 1), x -> struct(least(c, x) as i, greatest(c, x) as j))")
-    dealt = rows.join(sizes, ["t", "k"]).withColumn("chunks", chunks).withColumn("c", c)
-    dealt = dealt.select("t", "k", F.explode(units).alias("u"), "fp", "c", "rep").select("t", "k", "u.i", "u.j", "fp", "c", "rep")
-    unit = ["t", "k", "i", "j"]
+    units = F.expr("transform(sequence(0, chunks - 1), x -> struct(least(dealt, x) as i, greatest(dealt, x) as j))")
+    dealt = whole.unionByName(parts).withColumn("dealt", c).withColumn("u", F.explode(units))
+    unit = ["t", "k", "c", "part", "i", "j"]
+    dealt = dealt.select("t", "k", "c", "part", "u.i", "u.j", "fp", "dealt", "rep")
     return dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_linker(radius), "a long, b long").distinct()
 
 
@@ -227,20 +263,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns of docs are not looked at. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col, size, seed))
-    spare = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))  # stands for a rep where no row has an id
-    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.coalesce("least", spare)))
-    linked = components(fingerprint_links(reps.select("fp", "rep"), radius, blocks, shard_rows))
-    named = reps.join(linked, reps["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < (1 << 62), F.col("component_id")))
-    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(prints, radius, blocks, shard_rows)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, radius: int, blocks: int, shard_rows: int) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint: its component's least
+    fingerprint and least id."""
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # several fingerprints may share their least id, so nodes are fingerprints
+    linked = components(fingerprint_links(reps.select("fp", F.col("fp").alias("rep")), radius, blocks, shard_rows))
+    placed = reps.join(linked, reps["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return placed.join(least, "component").select("fp", "component", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 3, seed: int = 42, radius: int = 3, blocks: int = 5, shard_rows: int = 2048) -> DataFrame:
     """One row of each near-duplicate group, that of its smallest id; columns as they come.
 
-    Rows without an id cannot be told apart by it and stay.
+    Rows and not ids are chosen: of two groups whose least row has the same id, each keeps
+    its own. Rows without an id stay.
     """
-    keep = fresh("keep", docs.columns)
-    first = near_duplicates(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
-    kept = docs.join(first, docs[id_col] == first[keep]).drop(keep).dropDuplicates([id_col])
+    fp, key = fresh("fp", docs.columns), fresh("key", docs.columns)
+    own = docs.where(F.col(id_col).isNotNull())
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
+    fed = own.select("*", F.col(text_col).cast("string").alias(fresh("text_", docs.columns)))
+    rows = cut(fed.mapInArrow(_fingerprinter(size, seed, schema.names), schema))
+    prints = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"))
+    named = _named(prints, radius, blocks, shard_rows)
+    # the least row of a group: the id that names it, and of its fingerprints the least
+    first = prints.join(named, "fp").where("doc_id = component_id").groupBy(F.col("component_id").alias(key), "component").agg(F.min("fp").alias("least_fp"))
+    first = first.select(key, F.col("least_fp").alias(fp))
+    kept = rows.withColumn(key, F.col(id_col).cast("long")).join(first, [key, fp]).dropDuplicates([key, fp]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -305,6 +305,38 @@ def test_simhash_equals_brute_force(spark, awkward, empty):
     assert kept.columns == awkward.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, 5, 6, 7, None]
 
 
+def test_simhash_keeps_rows_and_not_ids(spark):
+    a, b = "one two three four five six", "entirely other words stand in this text"
+    rows = [(1, a, "x"), (7, b, "y"), (7, a, "z"), (7, b, "y"), (9, b, None), (None, a, "n"), (3, None, "e"), (2, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (7, b), (None, a), (2, "")], key=str)
+
+
+def test_simhash_of_one_ball(spark):
+    """16,000 fingerprints that differ in 14 bits: large shards are cut again."""
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    ball = [base ^ x for x in rng.sample(range(1 << 14), 16_000)]
+    far = [base ^ (0b1111111 << 14) ^ (x << 40) for x in range(0, 1 << 14, 127)]  # apart from the ball
+    rows = [(c - (1 << 64) if c >> 63 else c,) for c in {*ball, *far}]
+    df = spark.createDataFrame(rows, "fp long").select("fp", F.col("fp").alias("rep"))
+    began = time.monotonic()
+    got = {r.node: r.component for r in components.components(simhash.fingerprint_links(df)).collect()}
+    assert time.monotonic() - began < 60
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    assert len({got[signed(c)] for c in ball}) == 1
+    group = {c: {c} for c in far}
+    for x, y in itertools.combinations(far, 2):
+        if (x ^ y).bit_count() <= 3 and group[x] is not group[y]:
+            both = group[x] | group[y]
+            for c in both:
+                group[c] = both
+    for c in far:
+        assert {signed(x) for x in group[c]} == {x for x in map(signed, far) if got.get(x, x) == got.get(signed(c), signed(c))}
+
+
 def test_bk_tree_finds_all_within_the_radius():
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(30)]
