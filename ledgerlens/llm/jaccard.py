@@ -3,13 +3,14 @@
 Candidates are the links of SimHash BK-trees and pairs that agree in a MinHash band (24
 bands of 5: a pair of similarity 0.8 is missed about once in 14,000). A node is a distinct
 set of shingles, so copies cost one entry. Each bucket is first compared with its least
-node; then all its pairs that are not yet connected are, so that no similar pair of a
-bucket is left out, and a dense group costs few comparisons.
+node. Of its members that this leaves apart, two can only be similar if they share one of
+the fifth of their shingles that are rarest in the bucket (prefix filter: exact), so only
+those meet: a passage that many documents share does not pair them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -102,6 +103,40 @@ def _judge(size: int, least: float):
     return run
 
 
+def _shingler(size: int, seed: int):
+    """One row for each distinct shingle of a text."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["band", "node", "component", "size", "shingle"]
+        for batch in sliced(batches, 32):
+            sets = [np.unique(_hashes(x.as_py(), size, seed)) for x in batch.column("text")]
+            n = [len(x) for x in sets]
+            if not sum(n):
+                continue
+            cols = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in names[:3]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(sets).view(np.int64))], names)
+
+    return run
+
+
+def _prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, least: float, seed: int) -> DataFrame:
+    """(a, b): pairs of a bucket's members, of different components, that share a shingle of
+    both prefixes. placed has band, node and component."""
+    sets = placed.join(texts, "node").select("band", "node", "component", "text").mapInArrow(_shingler(size, seed), "band long, node long, component long, size long, shingle long")
+    sets = cut(sets)
+    # rarest first; least of the shingles must be shared, so one of the others and one more is
+    seen = sets.groupBy("band", "shingle").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("band", "node").orderBy("n", "shingle")
+    ranked = sets.join(seen, ["band", "shingle"]).withColumn("rk", F.row_number().over(order))
+    prefix = ranked.where((F.col("rk") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1) & (F.col("n") > 1))
+    left, right = (prefix.select("band", "shingle", F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("size").alias(f"n_{x}")) for x in "ab")
+    long_enough = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    return left.join(right, ["band", "shingle"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & long_enough).select("a", "b")
+
+
 def with_node(docs: DataFrame, name: str, text_col: str = "text", size: int = 5, seed: int = 42) -> DataFrame:
     """docs with a column that is equal for texts of the same shingles."""
     fed = docs.select("*", F.col(text_col).cast("string").alias(fresh("text_", docs.columns)))
@@ -139,8 +174,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     placed = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     apart = placed.groupBy("band").agg(F.count_distinct("component").alias("n")).where("n > 1").select("band")
     placed = cut(placed.join(apart, "band"))
-    left, right = (placed.select("band", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-    second = ordered(left.join(right, "band").where("a < b and of_a <> of_b").select("a", "b")).join(first, ["a", "b"], "left_anti")
+    second = _prefix_pairs(placed, texts, size, least, seed).distinct().join(first, ["a", "b"], "left_anti")
     more = cut(similar(second))
     joined = components(links.unionByName(more))
     return nodes.join(joined, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
