@@ -3,10 +3,10 @@ functions only.
 
 Documents fall into cells of source, language and topic. Each cell's token mass gets a
 factor, and the factors are raked until the weighted mass meets the target shares of the
-sources, of the languages and of the topics in turn. A cell's documents are then sampled
-with the factor as their probability: the factors are scaled so that the budget is met in
-expectation, and where that would exceed one, those cells are taken whole and the others
-scaled further.
+sources, of the languages and of the topics at once, or a bound on rounds is reached. A
+cell's documents are then sampled with the factor as their probability, scaled by one
+number for all cells: the budget, or the largest at which no probability exceeds one if
+that is less. So expected shares are the targets, whatever the budget.
 """
 
 from __future__ import annotations
@@ -36,42 +36,72 @@ def topic(text: Column) -> Column:
     )
 
 
-def tempered(cells: DataFrame, dim: str, alpha: float) -> Column:
-    """Target share of each value of dim: its mass to the power alpha, over their sum.
-    Small values gain and large ones lose for alpha under one."""
-    mass = F.sum("mass").over(Window.partitionBy(dim))
-    # each value counts once in the sum, whatever the number of its cells
-    once = F.pow(mass, alpha) / F.count("*").over(Window.partitionBy(dim))
-    return F.pow(mass, alpha) / F.sum(once).over(Window.partitionBy())
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
 
 
-def rake(cells: DataFrame, dims: list[str], rounds: int = 12) -> DataFrame:
-    """cells (mass > 0, and t_<dim>, the target share of the row's value) with factor: the
-    result of so many rounds of fitting every dimension in turn. The last is met exactly,
-    the others as closely as the rounds allow. Lineage is cut every few rounds."""
+def _summed(df: DataFrame, dim: str, value: Column, name: str, wide: bool) -> DataFrame:
+    """df with the sum of value over the rows that share dim. Where df is wide (its rows
+    were counted and are many) by partial sums and a join, which split a hot value over
+    tasks; else by a window, which needs no second reading of a small table."""
+    if not wide:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(dim)))
+    sums = df.groupBy(F.col(dim).alias("v_")).agg(F.sum(value).alias(name))
+    return cut(df.join(sums, _same(dim, "v_")).drop("v_"))
+
+
+def tempered(cells: DataFrame, dim: str, alpha: float, wide: bool = False) -> DataFrame:
+    """cells with t_<dim>, the target share of each value: its mass to the power alpha over
+    their sum. Small values gain and large ones lose for alpha under one."""
+    out = _summed(cells, dim, F.col("mass"), "all_", wide)
+    power = F.pow("all_", alpha)
+    total = out.agg(F.sum(power * F.col("mass") / F.col("all_"))).first()[0]
+    return out.withColumn(f"t_{dim}", power / F.lit(total)).drop("all_")
+
+
+def rake(cells: DataFrame, dims: list[str], total: float, rounds: int = 100, tolerance: float = 1e-12, wide: bool = False) -> DataFrame:
+    """cells (mass > 0, and t_<dim>, the target share of the row's value) with factor and
+    residual: factors that make every weighted share its target, once no share was off by
+    more than ``tolerance`` of it, or as close as the rounds allow; residual is the largest
+    distance that the shares of the row's three values have left. Each round is cut from
+    its lineage."""
     out = cells.withColumn("factor", F.lit(1.0))
-    for k in range(rounds):
+    weighed = F.col("factor") * F.col("mass") / F.lit(total)
+    for _ in range(rounds):
+        out = out.withColumn("off", F.lit(0.0))
         for d in dims:
-            now = F.sum(F.col("factor") * F.col("mass")).over(Window.partitionBy(d))
-            out = out.withColumn("factor", F.when(now > 0, F.col("factor") * F.col(f"t_{d}") * F.col("total") / now).otherwise(F.col("factor")))
-        if k % 3 == 2:
-            out = cut(out)
-    return out
-
-
-def probabilities(fitted: DataFrame, budget: float) -> DataFrame:
-    """fitted with prob = min(1, scale * factor), where the expected tokens are budget
-    times all tokens (all of them, if even that is less). Cells are sorted by factor: where
-    the first k are taken whole, the scale is what is left of the budget over the mass of
-    the rest; the right k is the first whose next cell stays at or under one."""
-    order = Window.orderBy(F.desc("factor"), *[F.col(d).asc_nulls_first() for d in DIMENSIONS])
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.coalesce(F.sum("mass").over(before), F.lit(0.0))
-    rest = F.sum(F.col("factor") * F.col("mass")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    k = fitted.withColumn("scale", (F.lit(budget) * F.col("total") - whole) / rest)
-    fits = F.max(F.when(F.col("scale") * F.col("factor") <= 1, F.col("scale"))).over(Window.partitionBy())
-    k = k.withColumn("fit", F.coalesce(fits, F.lit(float("inf"))))
-    return k.withColumn("prob", F.least(F.lit(1.0), F.col("fit") * F.col("factor"))).drop("scale", "fit")
+            fit = F.col(f"t_{d}") / F.col("now_")
+            out = _summed(out, d, weighed, "now_", wide)
+            out = out.withColumns({"off": F.greatest("off", F.abs(1 / fit - 1)), "factor": F.col("factor") * fit}).drop("now_")
+        out = cut(out)
+        if (out.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+            break
+    out = out.withColumn("residual", F.lit(0.0))
+    for d in dims:
+        out = _summed(out, d, weighed, "now_", wide).withColumn("residual", F.greatest("residual", F.abs(F.col("now_") - F.col(f"t_{d}")))).drop("now_")
+    return cut(out.drop("off"))
+
+
+def fit(rows: DataFrame, columns: list[str], n_tokens: str, *, budget: float, alpha: float, rounds: int, targets: dict[str, DataFrame] | None = None, max_cells: int = 100_000) -> DataFrame | None:
+    """One row for each cell that has tokens: c_source, c_lang, c_topic, prob, t_source,
+    t_lang, t_topic, residual; broadcast if there are at most ``max_cells`` of these short
+    rows. None where no row has a token."""
+    cells = rows.where(F.col(n_tokens) > 0).groupBy(*(F.col(c).alias(d) for c, d in zip(columns, DIMENSIONS, strict=True))).agg(F.sum(n_tokens).cast("double").alias("mass"))
+    cells = cut(cells)
+    n, total = cells.agg(F.count("*"), F.sum("mass")).first()
+    if not n:
+        return None
+    wide = n > max_cells
+    for d in DIMENSIONS:
+        share = (targets or {}).get(d)
+        if share is None:
+            cells = tempered(cells, d, alpha, wide)
+        else:
+            cells = cells.join(share.select(F.col("value").alias("v_"), F.col("share").alias(f"t_{d}")), _same(d, "v_")).drop("v_")
+    fitted = rake(cut(cells), DIMENSIONS, total, rounds, wide=wide)
+    scale = min(budget, 1 / (fitted.agg(F.max("factor")).first()[0] or 1.0))
+    out = fitted.select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), F.least(F.lit(1.0), scale * F.col("factor")).alias("prob"), *(f"t_{d}" for d in DIMENSIONS), "residual")
+    return out if wide else F.broadcast(out)
 
 
 def uniform(key: Column, seed: int = 20) -> Column:
@@ -80,38 +110,55 @@ def uniform(key: Column, seed: int = 20) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, budget: float = 0.8, alpha: float = 0.7, rounds: int = 12, seed: int = 20, max_cells: int = 100_000) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, prob, u, sampled) for every row.
-
-    Targets are the tempered shares of each source, language and topic. A row is sampled
-    where its uniform number u, a digest of its id, is under its cell's probability. Texts
-    without words have no mass and are never sampled (prob 0). Null sources and languages
-    are values like others, and so are null ids (which share one u). Rows that share an id
-    are judged alike. Other columns do not matter; an empty table gives no rows.
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic_of: Column | None = None,
+    budget: float = 1.0, alpha: float = 0.9, rounds: int = 100, targets: dict[str, DataFrame] | None = None, seed: int = 20, max_cells: int = 100_000,
+) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, prob, u, sampled, t_source, t_lang, t_topic,
+    residual) for every row.
+
+    Targets (t_) are the tempered shares of each source, language and topic, or those of
+    ``targets`` (dimension -> value, share; rows of a value without a share have prob 0).
+    residual is the largest distance between target and expected share over the row's three
+    values. ``budget`` bounds the expected share of all tokens that is kept. A row is
+    sampled where its uniform number u, a digest of its id, is under its cell's probability.
+    Texts without words have no mass and are never sampled (prob 0; targets are null where
+    their cell has no tokens). Null sources and languages are values like others, and so are
+    null ids (which share one u). Rows that share an id and a cell are judged alike. Other
+    columns do not matter; an empty table gives no rows. ``topic_of`` replaces the topic.
     """
     rows = cut(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
-            topic(F.col(text_col)).alias("topic"), tokens(F.col(text_col)).alias("n_tokens"),
+            (topic(F.col(text_col)) if topic_of is None else topic_of).alias("topic"), tokens(F.col(text_col)).alias("n_tokens"),
         )
     )
-    cells = cut(rows.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")))
-    n_cells = cells.count()
-    cells = cells.withColumn("total", F.sum("mass").over(Window.partitionBy()))
-    cells = cells.withColumns({f"t_{d}": tempered(cells, d, alpha) for d in DIMENSIONS})
-    found = cut(probabilities(rake(cells, DIMENSIONS, rounds), budget))
-    small = found.select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "prob")
-    if n_cells <= max_cells:
-        small = F.broadcast(small)  # of that many rows of three short strings at most
-    same = [F.col(d).eqNullSafe(F.col(f"c_{d}")) for d in DIMENSIONS]
-    out = rows.join(small, same[0] & same[1] & same[2], "left")
-    out = out.withColumn("prob", F.when(F.col("n_tokens") > 0, F.col("prob")).otherwise(0.0)).withColumn("u", uniform(F.col("doc_id"), seed))
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", "prob", "u", (F.col("u") < F.col("prob")).alias("sampled"))
-
-
-def keep_sampled(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The sampled rows, with the columns as they come. A row's fate depends on its id, and
-    its cell; rows that share an id but not a cell stay if one of them is sampled."""
-    keep = fresh("keep", docs.columns)
-    chosen = mix(docs, id_col, **options).where("sampled").select(F.col("doc_id").alias(keep)).distinct()
-    return docs.join(chosen, F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    found = fit(rows, DIMENSIONS, "n_tokens", budget=budget, alpha=alpha, rounds=rounds, targets=targets, max_cells=max_cells)
+    extra = ["prob", *(f"t_{d}" for d in DIMENSIONS), "residual"]
+    if found is None:
+        out = rows.withColumns({c: F.lit(None).cast("double") for c in extra})
+    else:
+        out = rows.join(found, _same("source", "c_source") & _same("lang", "c_lang") & _same("topic", "c_topic"), "left")
+    out = out.withColumn("prob", F.when(F.col("n_tokens") > 0, F.coalesce("prob", F.lit(0.0))).otherwise(0.0)).withColumn("u", uniform(F.col("doc_id"), seed))
+    return out.select("doc_id", *DIMENSIONS, "n_tokens", "prob", "u", (F.col("u") < F.col("prob")).alias("sampled"), *extra[1:])
+
+
+def keep_sampled(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic_of: Column | None = None,
+    budget: float = 1.0, alpha: float = 0.9, rounds: int = 100, targets: dict[str, DataFrame] | None = None, seed: int = 20, max_cells: int = 100_000,
+) -> DataFrame:
+    """The sampled rows, with the columns as they come. Rows and not ids are judged; texts do
+    not travel where the cells are few."""
+    names = []
+    for c in (*DIMENSIONS, "n_tokens"):
+        names.append(fresh(c + "_", docs.columns + names))
+    made = [F.col(source_col).cast("string"), F.col(lang_col).cast("string"), topic(F.col(text_col)) if topic_of is None else topic_of, tokens(F.col(text_col))]
+    rows = docs.withColumns(dict(zip(names, made, strict=True)))
+    found = fit(rows, names[:3], names[3], budget=budget, alpha=alpha, rounds=rounds, targets=targets, max_cells=max_cells)
+    if found is None:
+        return docs.limit(0)
+    prob = fresh("prob", docs.columns)
+    cells = [fresh("c_" + d, docs.columns + names) for d in DIMENSIONS]
+    small = found.select(*(F.col(f"c_{d}").alias(c) for d, c in zip(DIMENSIONS, cells, strict=True)), F.col("prob").alias(prob))
+    same = _same(names[0], cells[0]) & _same(names[1], cells[1]) & _same(names[2], cells[2])
+    return rows.join(small, same).where((F.col(names[3]) > 0) & (uniform(F.col(id_col).cast("long"), seed) < F.col(prob))).select(*docs.columns)

@@ -49,8 +49,9 @@ FROM whole w JOIN sizes s ON w.conv_id IS NOT DISTINCT FROM s.conv_id
 """
 
 
-def mixing(budget: float = 0.8, alpha: float = 0.7, rounds: int = 12, seed: int = 20) -> str:
-    """The raking written out, one materialised step for each round and dimension."""
+def mixing(alpha: float = 0.9, rounds: int = 40, seed: int = 20) -> str:
+    """The raking written out, one materialised step for each round and dimension; more
+    rounds than it takes to settle."""
     dims = ["source", "lang", "topic"]
     steps = [
         r"""rows_ AS MATERIALIZED (
@@ -72,15 +73,12 @@ def mixing(budget: float = 0.8, alpha: float = 0.7, rounds: int = 12, seed: int
         for d in dims:
             steps.append(f"f{k + 1} AS MATERIALIZED (SELECT * REPLACE (factor * t_{d} * total / sum(factor * mass) OVER (PARTITION BY {d}) AS factor) FROM f{k})")
             k += 1
-    order = "ORDER BY factor DESC, source NULLS FIRST, lang NULLS FIRST, topic NULLS FIRST"
+    shares = ", ".join(f"abs(sum(factor * mass) OVER (PARTITION BY {d}) / total - t_{d})" for d in dims)
+    steps.append(f"fitted AS MATERIALIZED (SELECT *, factor / max(factor) OVER () AS prob, greatest({shares}) AS residual FROM f{k})")
     steps.append(
-        f"""scaled AS MATERIALIZED (SELECT *, ({budget}::DOUBLE * total - coalesce(sum(mass) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
-  / sum(factor * mass) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM f{k})"""
-    )
-    steps.append("fitted AS MATERIALIZED (SELECT *, least(1.0, coalesce((SELECT max(scale) FROM scaled WHERE scale * factor <= 1), 'inf'::DOUBLE) * factor) AS prob FROM scaled)")
-    steps.append(
-        f"""judged AS (SELECT r.*, CASE WHEN r.n_tokens > 0 THEN f.prob ELSE 0.0 END AS p,
+        f"""judged AS (SELECT r.*, CASE WHEN r.n_tokens > 0 THEN f.prob ELSE 0.0 END AS p, t_source, t_lang, t_topic, residual,
     CAST(CAST('0x' || substr(md5(coalesce(CAST(r.doc_id AS VARCHAR), 'null') || '|{seed}'), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}::DOUBLE AS u
   FROM rows_ r LEFT JOIN fitted f ON r.source IS NOT DISTINCT FROM f.source AND r.lang IS NOT DISTINCT FROM f.lang AND r.topic = f.topic)"""
     )
-    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(p, 9) AS prob, u, u < p AS sampled FROM judged"
+    more = ", ".join(f"round({c}, 9) AS {c}" for c in ("t_source", "t_lang", "t_topic", "residual"))
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(p, 9) AS prob, u, u < p AS sampled, {more} FROM judged"

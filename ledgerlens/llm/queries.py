@@ -57,7 +57,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probability and fate of every document under raked weights."""
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 9))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 9) for c in ("prob", "t_source", "t_lang", "t_topic", "residual")})
 
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,25 +385,51 @@ def test_pipeline_drops_all_copies_of_similarity_08(spark):
 
 
 def test_raking_meets_its_marginals(spark):
-    docs = spark.createDataFrame(corpus(500), SCHEMA)
-    m = mixing.mix(docs, budget=0.3, rounds=30).toPandas()
-    m["got"] = m.prob * m.n_tokens
-    assert m.got.sum() == pytest.approx(0.3 * m.n_tokens.sum())
-    for d in ("source", "lang"):
-        g = m.groupby(d)[["n_tokens", "got"]].sum()
-        target = g.n_tokens**0.7 / (g.n_tokens**0.7).sum()
-        assert (g.got / g.got.sum()).tolist() == pytest.approx(target.tolist(), abs=1e-3)
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k, t + (" | a" if rng.random() < 0.1 else ""), lang, s, n) for k, t, lang, s, n in corpus(500)], SCHEMA)
+    for budget in (1.0, 0.3):
+        m = mixing.mix(docs, alpha=0.7, budget=budget, rounds=30).toPandas()
+        m["got"] = m.prob * m.n_tokens
+        assert m.prob.max() <= 1 and (budget == 0.3 or m.prob.max() == pytest.approx(1))
+        assert m.got.sum() <= budget * m.n_tokens.sum() * 1.000001
+        for d in ("source", "lang", "topic"):
+            g = m.groupby(d)[["n_tokens", "got"]].sum()
+            target = g.n_tokens**0.7 / (g.n_tokens**0.7).sum()
+            assert (g.got / g.got.sum()).tolist() == pytest.approx(target.tolist(), rel=1e-9)
+            assert m.groupby(d)[f"t_{d}"].first().tolist() == pytest.approx(target.tolist())
+        assert m.residual.max() < 1e-9
     assert abs(m.sampled.mean() - m.prob.mean()) < 0.08
-    again = mixing.mix(docs.repartition(7), budget=0.3, rounds=30).toPandas().sort_values("doc_id")
+    again = mixing.mix(docs.repartition(7), alpha=0.7, budget=0.3).toPandas().sort_values("doc_id")
     assert again.sampled.tolist() == m.sort_values("doc_id").sampled.tolist()
+    kept = mixing.keep_sampled(docs, alpha=0.7, budget=0.3).toPandas()
+    assert sorted(kept.doc_id) == sorted(m[m.sampled].doc_id)
+
+
+def test_mixing_of_many_cells_joins_sums(spark):
+    docs = spark.createDataFrame(corpus(60), SCHEMA)
+    few, many = ({r.doc_id: r.prob for r in mixing.mix(docs, rounds=2, max_cells=n).collect()} for n in (100, 0))
+    assert many == pytest.approx(few)
+
+
+def test_mixing_to_given_targets(spark):
+    docs = spark.createDataFrame(corpus(400), SCHEMA)
+    want = spark.createDataFrame([("aa", 0.25), ("bb", 0.75)], "value string, share double")
+    m = mixing.mix(docs, targets={"lang": want}).toPandas()
+    got = (m.prob * m.n_tokens).groupby(m.lang).sum()
+    assert (got / got.sum()).to_dict() == pytest.approx({"aa": 0.25, "bb": 0.75})
+    # what cannot be met is said: the only topic cannot be half of all
+    half = spark.createDataFrame([("prose", 0.5)], "value string, share double")
+    assert mixing.mix(docs, targets={"topic": half}, rounds=3).agg(F.max("residual")).first()[0] > 0.1
 
 
 def test_mixing_of_awkward_tables(awkward, empty):
     m = mixing.mix(awkward).collect()
     assert len(m) == len(AWKWARD) and all(r.prob == 0 and not r.sampled for r in m if r.n_tokens == 0)
-    assert all(0 <= r.prob <= 1 for r in m) and mixing.mix(empty).count() == 0
-    kept = mixing.keep_sampled(awkward, budget=1.0)
-    assert kept.columns == awkward.columns and kept.count() == sum(r.n_tokens > 0 for r in m)
+    assert all(0 <= r.prob <= 1 for r in m) and mixing.mix(empty).count() == 0 and mixing.keep_sampled(empty).count() == 0
+    clash = awkward.withColumns({c: F.lit("x") for c in ("prob", "topic_", "c_topic")})
+    kept = mixing.keep_sampled(clash, alpha=1.0)  # the targets are the shares there are: all stay
+    assert kept.columns == clash.columns and kept.count() == sum(r.n_tokens > 0 for r in m)
+    assert mixing.mix(awkward.where("doc_id < 4")).where("sampled").count() == 0
 
 
 # --- 8: chat
