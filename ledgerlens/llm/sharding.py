@@ -1,29 +1,32 @@
 """Sharding by a hierarchical weighted hash tree, with DataFrame functions only.
 
-Shards are leaves of a tree of regions and racks. Every row draws for every leaf an
-exponential variate, its hash against the leaf's weight; an inner node's draw is the least
-of its children's. So a node draws with the sum of the weights below it, and descending
-from the root - the child with the least draw at each level - picks a leaf with
-probability in proportion to its weight. A node's draw depends on the leaves below it
-alone: when a weight changes, or a shard is added, draws elsewhere stay, rows move only
-into a leaf that gained or out of one that lost, and nothing moves within or between
-subtrees whose weights stay.
+Shards are leaves of a tree of racks and regions that has room for a fixed number of
+places; a place that is not filled yet has weight zero. A row descends from the root: at
+each node its hash draws a child in proportion to the room below it, and at the leaf it
+stays with probability weight / room; otherwise it descends again with the next draw. So a
+shard is reached in proportion to its weight, at one hash for each level of a descent. The
+draws depend on row, attempt and node alone, never on the weights. When a leaf gains
+weight, rows whose descent it had turned away move into it; when it loses weight, some of
+its rows go on; all others take the way they took. Nothing moves within or between
+subtrees whose weights stay, and a new shard takes rows only into itself.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, unit_hash
 
 
 @dataclass(frozen=True)
 class Leaf:
     shard: int
-    weight: float = 1.0
+    weight: float
+    room: float
 
 
 @dataclass(frozen=True)
@@ -31,35 +34,71 @@ class Node:
     name: str
     children: tuple
 
+    @property
+    def room(self) -> float:
+        return sum(c.room for c in self.children)
 
-def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2, weights: dict[int, float] | None = None) -> Node:
+    def leaves(self) -> list[Leaf]:
+        return [x for c in self.children for x in ([c] if isinstance(c, Leaf) else c.leaves())]
+
+
+def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2, weights: dict[int, float] | None = None, places: int = 32, room: float = 1.0) -> Node:
     """The tree that a shard count stands for: racks fill up with shards, regions with
-    racks. A larger count has the same leaves in the same places, and more."""
-    if shards < 1:
-        raise ValueError("one shard at least")
+    racks. ``places`` and ``room`` (the most that a shard may ever weigh) are fixed when the
+    first row is placed: other values are another tree. A larger count has the same leaves
+    in the same places, and more."""
     weights = weights or {}
+    weight = [float(weights.get(s, 1.0)) if s < shards else 0.0 for s in range(places)]
+    if not 1 <= shards <= places or not 0 < sum(weight) or not all(0 <= w <= room for w in weight):
+        raise ValueError("1 to places shards are needed, with weights from 0 to room, not all of them 0")
     regions: dict[int, dict[int, list[Leaf]]] = {}
-    for s in range(shards):
+    for s in range(places):
         rack = s // shards_per_rack
-        regions.setdefault(rack // racks_per_region, {}).setdefault(rack, []).append(Leaf(s, float(weights.get(s, 1.0))))
+        regions.setdefault(rack // racks_per_region, {}).setdefault(rack, []).append(Leaf(s, weight[s], room))
     return Node("root", tuple(Node(f"region {g}", tuple(Node(f"rack {r}", tuple(leaves)) for r, leaves in racks.items())) for g, racks in regions.items()))
 
 
-def _draw(node: Node | Leaf, key: Column) -> Column:
-    """The node's draw and, with it, the way down to the shard that it comes from."""
+def _descend(node: Node | Leaf, key: Column, attempt: Column) -> Column:
+    """The shard that an attempt leads to, or -1 where the leaf turns it away."""
     if isinstance(node, Leaf):
-        if not node.weight > 0:
-            return F.struct(F.lit(float("inf")).alias("draw"), F.lit(node.shard).alias("shard"))
-        # 53 bits of hash, never zero
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard {node.shard}")), 11).cast("double") + 0.5) / float(1 << 53)
-        return F.struct((-F.log(u) / node.weight).alias("draw"), F.lit(node.shard).alias("shard"))
-    draws = [_draw(c, key) for c in node.children]
-    return draws[0] if len(draws) == 1 else F.least(*draws)
-
-
-def pick(node: Node, key: Column) -> Column:
-    """The shard that a key descends to; ties go to the least shard. Null is a key."""
-    return _draw(node, F.coalesce(key.cast("string"), F.lit("null key")))["shard"]
+        if not node.weight:
+            return F.lit(-1)
+        return F.when(unit_hash(key, attempt, F.lit(f"shard {node.shard}")) * node.room < node.weight, node.shard).otherwise(-1)
+    drawn, upto = unit_hash(key, attempt, F.lit(node.name)) * node.room, 0.0
+    way = None
+    for child in node.children[:-1]:
+        upto += child.room
+        then = _descend(child, key, attempt)
+        way = F.when(drawn < upto, then) if way is None else way.when(drawn < upto, then)
+    last = _descend(node.children[-1], key, attempt)
+    return last if way is None else way.otherwise(last)
+
+
+def attempts(root: Node) -> int:
+    """So many that less than one row in 10^17 is turned away by all of them."""
+    away = 1 - sum(x.weight for x in root.leaves()) / root.room
+    return 1 if away <= 0 else math.ceil(40 / -math.log(away))
+
+
+def pick(root: Node, key: Column) -> Column:
+    """The shard that a key descends to. Null is a key. A row that every attempt turns away
+    goes to the first shard with a weight."""
+    own = F.coalesce(key.cast("string"), F.lit("null key"))
+    tries = F.sequence(F.lit(0), F.lit(attempts(root) - 1))
+    found = F.aggregate(tries, F.lit(-1), lambda shard, t: F.when(shard >= 0, shard).otherwise(_descend(root, own, t)))
+    return F.when(found >= 0, found).otherwise(next(x.shard for x in root.leaves() if x.weight))
+
+
+def place_of(root: Node, shard: Column) -> tuple[Column, Column]:
+    """(region, rack) of a shard, numbered in the tree's order."""
+    region, rack, racks = [], [], 0
+    for g, node in enumerate(root.children):
+        for r in node.children:
+            for leaf in r.children:
+                region += [F.lit(leaf.shard), F.lit(g)]
+                rack += [F.lit(leaf.shard), F.lit(racks)]
+            racks += 1
+    return F.create_map(*region)[shard], F.create_map(*rack)[shard]
 
 
 def text_size(text: Column) -> Column:
@@ -82,7 +121,8 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
         text_size(F.col(text_col)).alias("size"),
         F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))).alias("text_crc32"),
     )
-    rows = rows.withColumns({"shard": pick(tree(shards, weights=weights), key), "grown_shard": pick(tree(shards + 1, weights=weights), key)})
+    now = tree(shards, weights=weights)
+    rows = rows.withColumns({"shard": pick(now, key), "grown_shard": pick(tree(shards + 1, weights=weights), key)})
     rows = cut(rows)
     buckets = 1 << max(6, (rows.count() // (rows_per_bucket * shards)).bit_length())
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
@@ -92,14 +132,17 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     # shards * buckets offsets: one for some rows_per_bucket rows
     placed = rows.withColumn("k", F.row_number().over(inside) - 1).join(offsets, ["shard", "bucket"])
+    region, rack = place_of(now, F.col("shard"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("k")).cast("long").alias("slot"), "grown_shard",
-        F.expr("shard div 4").cast("int").alias("region"), F.expr("shard div 2").cast("int").alias("rack"),
+        region.alias("region"), rack.alias("rack"),
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", weights: dict[int, float] | None = None, files_per_shard: int = 16) -> None:
-    """docs as Parquet under path, one folder a shard; rows of a shard are dealt over
+    """docs as Parquet under path, one folder a shard (its column is ``shard``, or that with
+    underscores before it where docs have such a column); rows of a shard are dealt over
     several tasks and files, so that a shard need not fit one."""
-    named = docs.withColumn("shard", pick(tree(shards, weights=weights), F.col(id_col)))
-    named.repartition(shards * files_per_shard, "shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(files_per_shard))).write.partitionBy("shard").parquet(path)
+    name = fresh("shard", docs.columns)
+    named = docs.withColumn(name, pick(tree(shards, weights=weights), F.col(id_col)))
+    named.repartition(shards * files_per_shard, name, F.pmod(F.xxhash64(F.col(id_col)), F.lit(files_per_shard))).write.partitionBy(name).parquet(path)

@@ -552,19 +552,58 @@ def test_shards_are_even_gapless_and_only_the_new_one_gains(spark, awkward, empt
     assert sharding.assign(empty).count() == 0
 
 
+def plain_shard(key, shards, places=32, weight=lambda s: 1.0, room=1.0):
+    """The descent by plain hashing: 2 shards a rack, 2 racks a region."""
+    import xxhash
+
+    def unit(t, name):
+        h = xxhash.xxh64_intdigest(key.encode(), 42)
+        h = xxhash.xxh64_intdigest(t.to_bytes(4, "little"), h)
+        return (xxhash.xxh64_intdigest(name.encode(), h) >> 11) / 2**53
+
+    for t in itertools.count():
+        g = int(unit(t, "root") * (places // 4))
+        r = 2 * g + int(unit(t, f"region {g}") * 2)
+        s = 2 * r + int(unit(t, f"rack {r}") * 2)
+        if s < shards and unit(t, f"shard {s}") * room < weight(s):
+            return s
+
+
+def test_descent_equals_plain_hashing(spark):
+    keys = spark.range(1500).select("id", *(sharding.pick(sharding.tree(n), F.col("id")).alias(f"s{n}") for n in (1, 8, 11, 32)))
+    for r in keys.collect():
+        assert all(r[f"s{n}"] == plain_shard(str(r.id), n) for n in (1, 8, 11, 32))
+
+
 def test_weights_move_rows_of_their_leaf_only(spark):
     keys = spark.range(8000).select("id")
-    pick = lambda w: sharding.pick(sharding.tree(8, weights=w), F.col("id"))
-    r = keys.select(pick({}).alias("a"), pick({3: 3.0}).alias("b"), pick({3: 0.0}).alias("c")).toPandas()
+    pick = lambda w, n=8: sharding.pick(sharding.tree(n, weights=w, room=3.0), F.col("id"))
+    r = keys.select(pick({}).alias("a"), pick({3: 3.0}).alias("b"), pick({3: 0.0}).alias("c"), pick({5: 2.0, 4: 0.5}).alias("d")).toPandas()
     assert set(r[r.a != r.b].b) == {3} and abs((r.b == 3).mean() - 0.3) < 0.03
     assert set(r[r.a != r.c].a) == {3} and (r.c != 3).all()
+    # by subtree: shards 4 and 5 are rack 2 of region 1; nothing else moves
+    moved = r[r.a != r.d]
+    assert ((moved.d == 5) | (moved.a == 4)).all() and set(r[~r.a.isin([4]) & ~r.d.isin([5])].eval("a == d")) == {True}
+
+
+def test_every_growth_takes_rows_only_into_the_new_shard(spark):
+    keys = spark.range(4000).select(*(sharding.pick(sharding.tree(n), F.col("id")).alias(f"s{n}") for n in range(1, 20))).toPandas()
+    for n in range(1, 19):
+        a, b = keys[f"s{n}"], keys[f"s{n + 1}"]
+        assert set(b[a != b]) == {n} and abs((a != b).mean() - 1 / (n + 1)) < 0.03
+    region, rack = sharding.place_of(sharding.tree(32), F.col("id").cast("int"))
+    assert [tuple(x) for x in spark.range(32).select(region, rack).collect()] == [(s // 4, s // 2) for s in range(32)]
+    for bad in ((0, {}), (33, {}), (2, {0: 0.0, 1: 0.0}), (2, {0: 1.5})):
+        with pytest.raises(ValueError):
+            sharding.tree(bad[0], weights=bad[1])
 
 
 def test_shards_on_disk(spark, tmp_path):
-    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("own").alias("shard"))
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 200 and back.where(F.col("shard") != sharding.pick(sharding.tree(4), F.col("doc_id"))).count() == 0
+    assert back.count() == 200 and back.where(F.col("_shard") != sharding.pick(sharding.tree(4), F.col("doc_id"))).count() == 0
+    assert back.where("shard = 'own'").count() == 200
 
 
 # --- 10: fertility
