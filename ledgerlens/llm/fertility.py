@@ -1,18 +1,21 @@
 """Quality rules from tokeniser fertility.
 
-A public subword vocabulary with byte fallback reads every word of a text. Three figures
-come of it: characters per token (low where the vocabulary does not know the language or
-the text is noise), the share of tokens that are single fallback bytes, and the entropy of
-the text's tokens as a share of the most that so many tokens can have (low where a text
-repeats itself). Rejection bands are learned for each group (language, or script where a
-table has no language) and size of text from all documents: quartiles widened by a
-multiple of their distance. Plain counts of words, symbols and repeats come beside it.
+Public subword vocabularies read every word of a text. One with byte fallback gives three
+figures: characters per token (low where the vocabulary does not know the language or the
+text is noise), the share of tokens that are single fallback bytes, and the entropy of the
+text's tokens as a share of the most that so many tokens can have (low where a text repeats
+itself). A second, byte-level one of many languages gives its characters per token as well.
+Rejection bands are learned for each group (language, or script where a table has no
+language) and size of text from all documents: quartiles widened by a multiple of their
+distance. Quartiles are exact: rates are rounded to thousandths, counted, and the counts
+are summed up, so neither order nor partitions matter, and a group of any size is a short
+histogram. Plain counts of words, symbols and repeats come beside it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -21,28 +24,38 @@ from .common import cut, fresh, sliced
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens"]
-RATES = ["chars_per_token", "byte_share", "token_entropy"]
+RATES = ["chars_per_token", "byte_share", "token_entropy", "chars_per_token_multi"]
+#: A second vocabulary: the ranks of a byte-level BPE (base64 token and rank a line), and its split pattern.
+Ranks = tuple[bytes, str]
 
 
 class _Words(dict):
-    """Word -> number; the tokens of word k are tokens[start[k]:start[k + 1]]."""
+    """Word -> number; the tokens of word k are tokens[start[k]:start[k + 1]], and second[k]
+    is how many it has in the second vocabulary."""
 
-    def __init__(self, model) -> None:
-        self.model = model
+    def __init__(self, model, second=None) -> None:
+        self.model, self.encode = model, second
         self.start = np.zeros(1 << 12, np.int64)
+        self.second = np.zeros(1 << 12, np.int32)
         self.tokens = np.zeros(1 << 14, np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        ids = self.model.encode(word.decode())
-        k, a = len(self), self.start[len(self)]
-        if k + 2 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        while a + len(ids) > len(self.tokens):
-            self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
-        self.tokens[a : a + len(ids)] = ids
-        self.start[k + 1] = a + len(ids)
-        self[word] = k
-        return k
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        new = [w for w in set(found) if w not in self]
+        if new:
+            texts = [w.decode() for w in new]
+            for word, text, ids in zip(new, texts, self.model.encode(texts, num_threads=1), strict=True):
+                k, a = len(self), self.start[len(self)]
+                if k + 2 > len(self.start):
+                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+                    self.second = np.concatenate([self.second, np.zeros_like(self.second)])
+                while a + len(ids) > len(self.tokens):
+                    self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+                self.tokens[a : a + len(ids)] = ids
+                self.start[k + 1] = a + len(ids)
+                if self.encode:
+                    self.second[k] = len(self.encode(" " + text))
+                self[word] = k
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
 def repeated_words(words: np.ndarray, size: int = 8) -> int:
@@ -83,18 +96,30 @@ def measures(text: str, words: _Words, is_byte: np.ndarray) -> list[float]:
     raw = text.encode()
     found = raw.split()
     n = len(found)
-    ids = np.fromiter(map(words.__getitem__, found), np.int64, n)
+    ids = words.numbers(found)
     chars = len(text) - sum(map(text.count, SPACES))
     counts = [n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text) if "\n" in text else 0, repeated_words(ids)]
     start, stop = words.start[ids], words.start[ids + 1]
     size = stop - start
     total = int(size.sum())
     if not total:
-        return [*counts, 0, 0.0, 0.0, 0.0]
+        return [*counts, 0, 0.0, 0.0, 0.0, 0.0]
     tokens = words.tokens[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)]
     each = np.unique(tokens, return_counts=True)[1] / total
     entropy = float(-(each * np.log2(each)).sum())
-    return [*counts, total, chars / total, float(is_byte[tokens].mean()), entropy / np.log2(total) if total > 1 else 1.0]
+    multi = chars / max(1, int(words.second[ids].sum())) if words.encode else 0.0
+    return [*counts, total, chars / total, float(is_byte[tokens].mean()), entropy / np.log2(total) if total > 1 else 1.0, multi]
+
+
+def second_encoder(ranks: Ranks | None):
+    if ranks is None:
+        return None
+    import base64
+
+    import tiktoken
+
+    merges = {base64.b64decode(t): int(n) for t, n in map(bytes.split, ranks[0].splitlines())}
+    return tiktoken.Encoding("second", pat_str=ranks[1], mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
 
 def _measurer(shared, names: list[str], most: int = 200_000):
@@ -104,14 +129,15 @@ def _measurer(shared, names: list[str], most: int = 200_000):
         import pyarrow as pa
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        proto, ranks = shared.value
+        model, second = sentencepiece.SentencePieceProcessor(model_proto=proto), second_encoder(ranks)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        words = _Words(model)
+        words = _Words(model, second)
         for batch in sliced(batches):
             made = []
             for x in batch.columns[-1]:
                 if len(words) > most:
-                    words = _Words(model)
+                    words = _Words(model, second)
                 made.append(measures(x.as_py() or "", words, is_byte))
             cols = np.array(made, np.float64).reshape(-1, len(COUNTS) + len(RATES))
             new = [pa.array(cols[:, k].astype(np.int64)) if k < len(COUNTS) else pa.array(cols[:, k]) for k in range(cols.shape[1])]
@@ -130,13 +156,13 @@ def script(text: Column) -> Column:
     return F.coalesce(out.otherwise("other"), F.lit("none"))
 
 
-def measured(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None) -> DataFrame:
+def measured(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None, ranks: Ranks | None = None) -> DataFrame:
     """(doc_id, group_key, counts and rates) for every row."""
     key = F.coalesce(group.cast("string"), F.lit("none")) if group is not None else script(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("group_key"), F.col(text_col).cast("string").alias("text_"))
     schema = StructType([*rows.schema.fields[:2], *(StructField(c, LongType()) for c in COUNTS), *(StructField(c, DoubleType()) for c in RATES)])
     # a vocabulary file's size does not depend on the data
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, ranks))
     return rows.mapInArrow(_measurer(shared, schema.names), schema)
 
 
@@ -145,26 +171,44 @@ def size_class(tokens: Column) -> Column:
     return F.floor(F.log2(F.greatest(tokens, F.lit(1)))).cast("int")
 
 
+def quartiles(measures: DataFrame) -> DataFrame:
+    """(level, group_key, size_class, docs, and low_ and high_ of each rate): the least
+    values, in thousandths, that a quarter and three quarters of the documents do not pass;
+    for each group and size (level 0), each group (1), and all documents (3)."""
+    each = F.array(*(F.struct(F.lit(r).alias("rate"), F.round(F.col(r) * 1000).cast("long").alias("value")) for r in RATES))
+    finest = cut(measures.select("group_key", "size_class", F.inline(each)).groupBy("group_key", "size_class", "rate", "value").agg(F.count("*").alias("n")))
+    sums = lambda *by: finest.groupBy(*by, "rate", "value").agg(F.sum("n").alias("n"))
+    none = {"group_key": F.lit(None).cast("string"), "size_class": F.lit(None).cast("int")}
+    levels = finest.withColumn("level", F.lit(0))
+    levels = levels.unionByName(sums("group_key").withColumns({"level": F.lit(1), "size_class": none["size_class"]}))
+    levels = levels.unionByName(sums().withColumns({"level": F.lit(3), **none}))
+    by = ["level", "group_key", "size_class"]
+    # a partition is a histogram of a rate: some thousand values, however many documents
+    w = Window.partitionBy(*by, "rate")
+    upto = F.sum("n").over(w.orderBy("value"))
+    at = levels.withColumns({"upto": upto, "docs": F.sum("n").over(w)})
+    of = lambda r, part: F.min(F.when((F.col("rate") == r) & (F.col("upto") >= part * F.col("docs")), F.col("value"))) / 1000
+    return at.groupBy(*by).agg(F.max("docs").alias("docs"), *(of(r, p).alias(f"{name}_{r}") for r in RATES for name, p in (("low", 0.25), ("high", 0.75))))
+
+
+# fixed values: the least distance of quartiles that a band is widened by
+FLOOR = {"chars_per_token": 0.03, "byte_share": 0.01, "token_entropy": 0.015, "chars_per_token_multi": 0.03}
+
+
 def bands(measures: DataFrame, width: float = 4.0, least_words: int = 20, least_docs: int = 50) -> DataFrame:
-    """(level, group_key, size_class, limits): the quartiles of each rate over all documents
-    with enough words, widened by ``width`` times their distance (and a floor for it); for
-    each group and size (level 0), each group (1), and all documents (3). Classes of few
-    documents are left out."""
-    quart = {r: F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.75)), 2000) for r in RATES}
+    """(level, group_key, size_class, band): the quartiles of each rate over all documents
+    with enough words, widened by ``width`` times their distance (and a floor for it).
+    Classes of few documents are left out: they have their group's band, or that of all."""
     some = measures.where(F.col("n_words") >= least_words).withColumn("size_class", size_class(F.col("n_tokens")))
-    sets = some.groupingSets([["group_key", "size_class"], ["group_key"], []], "group_key", "size_class")
-    q = sets.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("docs"), *(v.alias(r) for r, v in quart.items()))
-    floor = {"chars_per_token": 0.03, "byte_share": 0.01, "token_entropy": 0.015}
-    wide = {r: F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(floor[r])) * width for r in RATES}
+    q = quartiles(some)
+    wide = {r: F.greatest(F.col(f"high_{r}") - F.col(f"low_{r}"), F.lit(FLOOR[r])) * width for r in RATES}
     return q.where(F.col("docs") >= least_docs).select(
         "level",
         "group_key",
         "size_class",
         F.struct(
-            (F.col("chars_per_token")[0] - wide["chars_per_token"]).alias("low_chars"),
-            (F.col("chars_per_token")[1] + wide["chars_per_token"]).alias("high_chars"),
-            (F.col("byte_share")[1] + wide["byte_share"]).alias("high_bytes"),
-            (F.col("token_entropy")[0] - wide["token_entropy"]).alias("low_entropy"),
+            *((F.col(f"low_{r}") - wide[r]).alias(f"low_{r}") for r in RATES if r != "byte_share"),
+            *((F.col(f"high_{r}") + wide[r]).alias(f"high_{r}") for r in RATES if r != "token_entropy"),
         ).alias("band"),
     )
 
@@ -174,15 +218,15 @@ def base_failed(least_words: int = 20, most_repeated: int = 30) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
 
 
-def judge(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None, max_groups: int = 10_000) -> DataFrame:
+def judge(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None, ranks: Ranks | None = None, max_groups: int = 10_000) -> DataFrame:
     """Every row's id, counts, rates, base_failed and kept.
 
     kept is false where base_failed, or where a rate lies outside the band of its group and
     size; a class of too few documents has its group's band, and a small group that of all.
-    Null texts count as empty (no words, so base_failed). Without any band rows pass the
+    A tie with a band's limit is inside. Null texts count as empty (no words, so base_failed). Without any band rows pass the
     method. Repeated rows stay, ids and groups may be null, other columns do not matter.
     """
-    m = cut(measured(docs, model, id_col, text_col, group))
+    m = cut(measured(docs, model, id_col, text_col, group, ranks))
     limits = cut(bands(m))
     # a band is six values; where there are very many groups the join is left to Spark
     small = F.broadcast if limits.count() <= max_groups else lambda df: df
@@ -191,14 +235,19 @@ def judge(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     sized = sized.join(small(by[0]), ["group_key", "size_class"], "left").join(small(by[1].drop("size_class")), "group_key", "left")
     sized = sized.join(F.broadcast(by[2].select("band3", F.lit(1).alias("one"))), "one", "left")
     band = F.coalesce("band0", "band1", "band3")
-    inside = F.col("chars_per_token").between(band["low_chars"], band["high_chars"]) & (F.col("byte_share") <= band["high_bytes"]) & (F.col("token_entropy") >= band["low_entropy"])
+    inside = F.lit(True)
+    for r in RATES:
+        if r != "byte_share":
+            inside = inside & (F.col(r) >= band[f"low_{r}"])
+        if r != "token_entropy":
+            inside = inside & (F.col(r) <= band[f"high_{r}"])
     out = sized.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-    return out.select("doc_id", *COUNTS, *RATES, "base_failed", "kept")
+    return out.select("doc_id", *COUNTS[:-1], "base_failed", "kept", COUNTS[-1], *RATES)
 
 
-def keep_good(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None, ranks: Ranks | None = None) -> DataFrame:
     """The rows that judge keeps, with the columns as they come. Rows that share an id are
     kept if one of them is; rows without an id go."""
     keep = fresh("keep", docs.columns)
-    good = judge(docs, model, id_col, text_col, group).where("kept").select(F.col("doc_id").alias(keep)).distinct()
+    good = judge(docs, model, id_col, text_col, group, ranks).where("kept").select(F.col("doc_id").alias(keep)).distinct()
     return docs.join(good, F.col(id_col) == F.col(keep), "left_semi")

@@ -78,7 +78,11 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility rates and verdict of every document, with bands per language."""
     with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    return fertility.judge(table(spark, sf_dir, "documents"), model, group=F.col("lang"))
+    import public_tokenizers
+
+    with open(tokenizer_file("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read(), public_tokenizers.PATTERN
+    return fertility.judge(table(spark, sf_dir, "documents"), model, group=F.col("lang"), ranks=ranks)
 
 
 def queries() -> dict:

@@ -645,6 +645,57 @@ def test_noise_is_rejected_and_prose_is_kept(spark, pieces):
     assert not any(got[1000 + k].kept or got[1000 + k].base_failed for k in range(5))
 
 
+def plain_bands(rows):
+    """(level, group, class) -> rate -> (low, high), by sorting."""
+    groups = {}
+    for r in rows:
+        if r["n_words"] >= 20:
+            size = r["n_tokens"].bit_length() - 1
+            for at in ((0, r["group_key"], size), (1, r["group_key"], None), (3, None, None)):
+                groups.setdefault(at, []).append(r)
+    out = {}
+    for at, members in groups.items():
+        if len(members) >= 50:
+            out[at] = {}
+            for rate in fertility.RATES:
+                v = sorted(round(m[rate], 3) for m in members)
+                lo, hi = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+                wide = 4 * max(hi - lo, fertility.FLOOR[rate])
+                out[at][rate] = (lo - wide, hi + wide)
+    return out
+
+
+def test_rates_bands_and_verdicts_equal_brute_force(spark, pieces):
+    import sentencepiece
+    from collections import Counter
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read(), public_tokenizers.PATTERN
+    rng = random.Random(5)
+    rows = [(k, t, lang) for k, t, lang, *_ in corpus(500)] + [(900 + k, " ".join(rng.choice(["\U0001f300", "zz", "q1"]) for _ in range(40)), "bb") for k in range(9)] + [(950, None, "aa"), (951, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, second, want = sentencepiece.SentencePieceProcessor(model_proto=pieces), fertility.second_encoder(ranks), {}
+    for k, t, lang in rows:
+        words = (t or "").split()
+        ids = [i for w in words for i in model.encode(w)]
+        n, chars = len(ids), sum(map(len, words))
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) / (math.log2(n) if n > 1 else 1) if n > 1 else float(n)
+        want[k] = {
+            "group_key": lang or "none", "n_words": len(words), "n_tokens": n, "chars_per_token": chars / n if n else 0.0, "byte_share": sum(map(model.is_byte, ids)) / n if n else 0.0,
+            "token_entropy": entropy, "chars_per_token_multi": chars / sum(len(second(" " + w)) for w in words) if words else 0.0,
+        }
+    limits = plain_bands(want.values())
+    assert {at[0] for at in limits} == {0, 1, 3}
+    for parts in (1, 9):
+        got = {r.doc_id: r for r in fertility.judge(df.repartition(parts), pieces, group=F.col("lang"), ranks=ranks).collect()}
+        for k, w in want.items():
+            r = got[k]
+            assert all(r[c] == pytest.approx(w[c]) for c in w if c != "group_key")
+            b = next((limits[at] for at in ((0, w["group_key"], w["n_tokens"].bit_length() - 1), (1, w["group_key"], None), (3, None, None)) if at in limits), None)
+            inside = all((c == "byte_share" or w[c] >= b[c][0]) and (c == "token_entropy" or w[c] <= b[c][1]) for c in fertility.RATES)
+            assert r.kept == (inside and not r.base_failed)
+
+
 def test_fertility_of_awkward_tables(awkward, empty, pieces):
     out = fertility.judge(awkward, pieces, group=F.col("lang")).collect()
     assert len(out) == len(AWKWARD) and fertility.judge(empty, pieces).count() == 0
