@@ -32,7 +32,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template noscript iframe object svg math canvas audio video noembed noframes".split())
 SECTION = frozenset("article aside main nav header footer section form table ul ol dl figure blockquote details dialog menu fieldset".split())
-#: What a new element of a kind closes, up to the nearest of the second set.
+#: What a new element closes: an open element of the first set, if none of the second is
+#: nearer. Other blocks close an open paragraph.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -41,7 +42,9 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
+    "p": ({"p"}, SECTION | {"div", "td", "th", "li", "dd", "body"}),
 }
+_MATTERS = frozenset().union(*(a | b for a, b in CLOSES.values()))
 
 #: Marks the text blocks of the article in a labelled page.
 MARK = "\ue000"
@@ -52,10 +55,49 @@ _PART = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class _Open:
+    """An open element: its place in the stack, what stands above it as sets that children
+    share until they add to them, and for each rule of CLOSES the place of what it closes."""
+
+    __slots__ = ("tag", "depth", "under", "pairs", "parent", "section", "named", "closes", "own")
+
+    def __init__(self, tag: str, names: tuple[str, ...], up: _Open | None) -> None:
+        self.tag, self.depth, self.own = tag, up.depth + 1 if up else 0, None
+        under, pairs, closes = (up.under, up.pairs, up.closes) if up else (frozenset(), frozenset(), {})
+        self.parent, self.section, self.named = (up.parent, up.section, up.named) if up else ("body", None, ("nothing",))
+        if tag not in ("html", "body"):
+            more = {f"under {tag}", "in article"} if tag in ("article", "main") else {f"under {tag}"}
+            under = under if more <= under else under | more
+            if tag in BLOCK:
+                self.parent = tag
+            if tag in SECTION:
+                pair = f"{self.section} over {tag}" if self.section else f"sections {tag}"
+                pairs, self.section = pairs if pair in pairs else pairs | {pair}, tag
+        if names:
+            more = {f"named {w}" for w in names}
+            under = under if more <= under else under | more
+            self.named = names
+        if tag in _MATTERS:
+            closes = dict(closes)
+            for kind, (ends, stop) in CLOSES.items():
+                if tag in stop:
+                    closes[kind] = None
+                elif tag in ends and closes.get(kind) is None:
+                    closes[kind] = self.depth
+        self.under, self.pairs, self.closes = under, pairs, closes
+
+    def indicators(self) -> list[str]:
+        if self.own is None:
+            self.own = ["bias", f"parent {self.parent}", *sorted(self.under), *(f"last named {w}" for w in self.named), *(sorted(self.pairs) or ["sections none"])]
+            if "in article" not in self.under:
+                self.own.append("in no article")
+        return self.own
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple  # (tag, name words) from the root
+    at: _Open  # the element that its first words stand in
     linked: int  # characters inside links
 
 
@@ -64,32 +106,39 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order, white space turned into single spaces, blank ones left out."""
+    """Leaf blocks in page order, white space turned into single spaces, blank ones left out.
+    The work follows the length of the page, however deep its elements nest."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = _Open("body", (), None)
+    stack: list[_Open] = []
+    opened: dict[str, int] = {}  # how many elements of a tag are open
     parts: list[str] = []
-    linked, path = 0, ()
+    linked, place = 0, None
 
     def add(text: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, place
         if not text:
             return
         text = entities.unescape(text) if "&" in text else text
-        if text.strip():
-            if not any(p.strip() for p in parts):
-                path = tuple(stack)
-            if any(t == "a" for t, _ in stack):
+        if not text.isspace():
+            if place is None:
+                place = stack[-1] if stack else root
+            if opened.get("a"):
                 linked += len(text.strip())
         parts.append(text)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, place
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, path, linked))
+            out.append(Block(text, place, linked))
         parts.clear()
-        linked = 0
+        linked, place = 0, None
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            opened[stack.pop().tag] -= 1
 
     at, size = 0, len(page)
     while at < size:
@@ -107,9 +156,11 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in UNSEEN and not m[3].rstrip(">").endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -119,20 +170,13 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         if tag in BLOCK:
             flush()
-            if tag in CLOSES:
-                ends, stop = CLOSES[tag]
-            else:
-                ends, stop = {"p"}, SECTION | {"div", "td", "th", "li", "dd", "body"}
-            k = len(stack) - 1
-            cut_at = None
-            while k >= 0 and stack[k][0] not in stop:
-                if stack[k][0] in ends:
-                    cut_at = k
-                k -= 1
-            if cut_at is not None:
-                del stack[cut_at:]
+            depth = stack[-1].closes.get(tag if tag in CLOSES else "p") if stack else None
+            if depth is not None:
+                close(depth)
         if tag not in VOID:
-            stack.append((tag, _names(m[3])))
+            new = _Open(tag, _names(m[3]), stack[-1] if stack else None)
+            stack.append(new)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -140,19 +184,7 @@ def blocks(page: str | None) -> list[Block]:
 def features(found: list[Block]) -> list[list[str]]:
     """The names of the indicators that hold for each block."""
     n, out = len(found), []
-    memo: dict[tuple, list[str]] = {}
     for k, b in enumerate(found):
-        own = memo.get(b.path)
-        if own is None:
-            tags = [t for t, _ in b.path if t not in ("html", "body")]
-            block = [t for t in tags if t in BLOCK]
-            sections = [t for t in tags if t in SECTION]
-            own = ["bias", f"parent {block[-1] if block else 'body'}"]
-            own += sorted({f"under {t}" for t in tags} | {f"named {w}" for _, ws in b.path for w in ws})
-            own += [f"last named {w}" for w in next((ws for _, ws in reversed(b.path) if ws), ("nothing",))]
-            own += [f"{x} over {y}" for x, y in zip(sections, sections[1:], strict=False)] or ["sections " + (sections[0] if sections else "none")]
-            own.append("in article" if "article" in tags or "main" in tags else "in no article")
-            memo[b.path] = own
         words = b.text.count(" ") + 1
         share = b.linked / len(b.text)
         more = [
@@ -161,9 +193,9 @@ def features(found: list[Block]) -> list[list[str]]:
             "ends a sentence" if b.text[-1] in ".!?…。\"'”" else "ends no sentence",
             f"place {4 * k // n}",
         ]
-        if "©" in b.text[:40] or "copyright" in b.text[:60].lower():
+        if "©" in b.text or "copyright" in b.text.lower():
             more.append("copyright")
-        out.append([*own, *more])
+        out.append([*b.at.indicators(), *more])
     return out
 
 
@@ -253,20 +285,25 @@ def train(pages: list[str], rounds: int = 150, rate: float = 0.15, decay: float
 
 
 def _words(rng: random.Random, n: int) -> str:
-    syllables = "the an er in on re th or tion es la de que ie ung sch ver ment aux ou para ción al st ha to of and".split()
-    out = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)]
-    for k in range(0, n, rng.randint(5, 14)):
-        out[k] = out[k].capitalize()
-        if k:
-            out[k - 1] += rng.choice((".", ".", ",", "?", ""))
-    text = " ".join(out)
-    return text + (rng.choice((".", ".", ".", "", "!")) if n > 3 else rng.choice((".", "")))
+    """n made-up words of changing consonants and vowels, in sentences."""
+    pick = rng.choice
+    out = ["".join(pick("bcdfghjklmnprstvwz") + pick("aeiouyéü") + pick(("", "", "n", "s", "rk")) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    at = 0
+    while at < n:
+        out[at] = out[at].capitalize()
+        at += rng.randint(4, 16)
+        if at < n:
+            out[at - 1] += pick((".", ".", ";", "!", "?"))
+        for k in range(at - 3, min(at, n), 7):
+            out[k] += pick(("", ","))
+    return " ".join(out) + (pick((".", ".", ".", "", "?")) if n > 3 else pick((".", "")))
 
 
 def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
     """n pages of varied layout whose article blocks begin with MARK."""
     rng = random.Random(seed)
     pick, some = rng.choice, lambda a, b: _words(rng, rng.randint(a, b))
+    sign = lambda: pick(("Copyright", "©", "&copy;", "&#169;", "(c)"))
     link = lambda: f'<a href="/{rng.randint(1, 999)}">{some(1, 4)}</a>'
     lists = lambda a, b: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(a, b))) + "</ul>"
     named = lambda names: f'{pick(("class", "id", "class"))}="{pick(names)}"'
@@ -323,7 +360,7 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         return wrap("aside div section", "sidebar side-bar related related-posts widget recommended more-stories trending popular", f"<h3>{some(1, 4)}</h3>" + pick((lists(2, 6), f"<p>{some(5, 40)}</p>")))
 
     def signup() -> str:
-        form = f"<form action=/x><label>{some(1, 4)}</label><input name=q>" + pick(("", f"<p>{some(4, 15)}</p>", f"<select><option>{some(1, 2)}<option>{some(1, 2)}</select>", f"<textarea>{some(1, 4)}</textarea>")) + f"<button>{some(1, 2)}</button></form>"
+        form = f"<form method=post><label>{some(1, 4)}</label><input name=q>" + pick(("", f"<p>{some(4, 15)}</p>", f"<select><option>{some(1, 2)}<option>{some(1, 2)}</select>", f"<textarea>{some(1, 4)}</textarea>")) + f"<button>{some(1, 2)}</button></form>"
         return pick((form, wrap("div section", "newsletter subscribe signup sign-up login search search-form contact-form", form)))
 
     def notice() -> str:
@@ -341,7 +378,7 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         return wrap("nav nav div ul", "nav navbar navigation menu main-menu breadcrumb breadcrumbs navigation-bar", pick((lists(3, 9), " ".join(link() for _ in range(4)), f"<p>{some(1, 6)}</p>" + lists(2, 4))), 0.7)
 
     def footer() -> str:
-        return wrap("footer footer div", "footer site-footer page-footer bottom copyright legal colophon", pick((f"&copy; {some(1, 3)} &middot; {some(3, 20)}", f"<p>&copy; 2020 {some(2, 6)}</p>", f"<p>{some(3, 25)}</p>" + lists(2, 5), lists(2, 6) + some(2, 12))), 0.7)
+        return wrap("footer footer div", "footer site-footer page-footer bottom copyright legal colophon", pick((f"<small>{sign()} {rng.randint(1995, 2030)} {some(1, 12)}</small>", f"<p>{some(1, 3)} {sign()} {some(2, 9)}</p>", f"{some(3, 25)} | {sign()}", f"<p>{some(3, 25)}</p>" + lists(2, 5), lists(2, 6) + some(2, 12))), 0.7)
 
     pages = []
     for _ in range(n):
@@ -367,8 +404,12 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         if rng.random() < 0.08:  # nothing but the text
             pages.append(core if kind < 0.75 else body)
             continue
-        head = f"<head><meta charset=utf-8><title>{some(2, 9)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head>"
-        whole = "".join([head, "<body>", *before, "<!-- x -->", core, *after])
+        head = [f"<title>{some(2, 9)}</title>", '<meta name="viewport" content="width=device-width">', f'<link rel="stylesheet" href="/{rng.randint(1, 99)}.css">']
+        head += [f"<style>.{some(1, 1)} {{ color: #{rng.randint(100, 999)} }}</style>"] * (rng.random() < 0.5)
+        head += [f'<script type="application/ld+json">{{"name": "{some(1, 5)} </div> <p>"}}</script>'] * (rng.random() < 0.5)
+        rng.shuffle(head)
+        head = f"<head>{''.join(head[rng.randint(0, 2) :])}</head>"
+        whole = "".join([head, "<body>", *before, pick(("", f"<!-- {some(1, 4)} -->")), core, *after])
         pages.append(whole if rng.random() < 0.2 else f"<!DOCTYPE html><html>{whole}</body></html>")
     return pages
 

@@ -264,6 +264,53 @@ def test_blocks_survive_broken_markup():
     assert [b.text for b in htmltext.blocks("<p>a<p>b<li>c<li>d")] == ["a", "b", "c", "d"]
 
 
+def test_deep_pages_take_time_in_proportion(crf):
+    deep = {
+        "nested": lambda n: "<div><p>x</p>" * n, "open inline": lambda n: "<b>" * n + "<p>x</p>" * n, "blanks": lambda n: "<i> " * n + "x<i>" * n,
+        "cells": lambda n: "<table><tr><td>" + "<b>" * n + "<p>x</p><td>y" * n, "classes": lambda n: '<div class="a b"><span>x' * n, "ends": lambda n: "<div>" * n + "</b>x" * n + "</div>" * n,
+    }
+    for page in deep.values():
+        took = []
+        for n in (2_000, 16_000):
+            began = time.monotonic()
+            htmltext.main_text(page(n), crf)
+            took.append(time.monotonic() - began)
+        assert took[1] < 6 and took[1] < 30 * max(took[0], 0.05)
+
+
+# pages written by hand, in manners of their own, and the text that a reader would call theirs
+BY_HAND = [
+    ("""<html><head><title>Harbour news</title></head><body><div id="top-bar"><a href="/">Harbour Gazette</a> <a href="/login">Sign in</a></div>
+    <nav><a href="/a">World</a><a href="/b">Sport</a><a href="/c">Weather</a></nav>
+    <main><article><h1>Ferry returns after long repair</h1><p class="lead">The old ferry crossed the bay again on Monday, nine months after a fire in its engine room.</p>
+    <p>Hundreds came to watch. &ldquo;I took it to school every day,&rdquo; said one of them.</p><aside class="related"><h3>More on this</h3><ul><li><a href="/x">Fire on the ferry</a></li><li><a href="/y">Bay bridge plans</a></li></ul></aside>
+    <p>Tickets cost the same as before the fire.</p></article></main>
+    <section id="comments"><h2>Comments (2)</h2><div class="comment"><p>Good to see her back on the water.</p></div></section><footer><p>Copyright Harbour Gazette. All rights reserved.</p></footer></body></html>""",
+     "Ferry returns after long repair The old ferry crossed the bay again on Monday, nine months after a fire in its engine room. Hundreds came to watch. “I took it to school every day,” said one of them. Tickets cost the same as before the fire."),
+    ("""<body><div class="cookie-banner"><p>This site uses cookies. By going on you accept them.</p><button>Accept</button></div><div class="header"><ul class="menu"><li><a href=1>Home</a><li><a href=2>Recipes</a><li><a href=3>About</a></ul></div>
+    <div class="post-content"><h2>Lentil soup</h2><p>Wash the lentils and let them stand for an hour in cold water before you begin.<p>You need:<ul><li>two cups of lentils<li>one onion<li>a spoon of cumin</ul><p>Boil all of it gently until the lentils are soft, then add salt.</div>
+    <div class="sidebar"><h4>Popular</h4><a href=4>Bean stew</a> <a href=5>Flat bread</a></div><div class="ads"><p>Buy the best pots in town, now cheaper than ever!</p></div><div id="footer">&copy; Kitchen notes 2021</div></body>""",
+     "Lentil soup Wash the lentils and let them stand for an hour in cold water before you begin. You need: two cups of lentils one onion a spoon of cumin Boil all of it gently until the lentils are soft, then add salt."),
+    ("""<!doctype html><header><h1><a href="/">The slow blog</a></h1><p>Notes on walking</p></header><article><header><h2>Over the pass</h2></header><p>We left the hut before sunrise and met nobody until noon.</p><blockquote>Whoever hurries arrives twice.</blockquote><p>At the top the wind was so strong that we could hardly stand.</p>
+    <div class="share-buttons"><a href="#">Share</a><a href="#">Print</a></div></article><form class="newsletter"><label>Get these notes by mail</label><input><button>Subscribe</button></form><footer><nav><a href="/imprint">Imprint</a></nav></footer>""",
+     "Over the pass We left the hut before sunrise and met nobody until noon. Whoever hurries arrives twice. At the top the wind was so strong that we could hardly stand."),
+    ("""<html><body><table width=100%><tr><td class=nav><ul><li><a href=a.htm>Index</a><li><a href=b.htm>Links</a></ul></td><td><p>The lighthouse was built of grey stone in the year of the great storm.</p><p>Its keeper lived there with a family of seven, and kept a diary that still exists.</p></td></tr></table></body></html>""",
+     "The lighthouse was built of grey stone in the year of the great storm. Its keeper lived there with a family of seven, and kept a diary that still exists."),
+]
+
+
+def test_crf_on_pages_of_another_hand(spark):
+    from collections import Counter
+
+    model = htmltext.train(htmltext.labelled_pages(900))
+    for page, want in BY_HAND:
+        got = Counter(htmltext.main_text(page, model).split())
+        gold = Counter(want.split())
+        both = sum((got & gold).values())
+        f1 = 2 * both / (sum(got.values()) + sum(gold.values()))
+        assert f1 > 0.9, (f1, htmltext.main_text(page, model))
+
+
 # --- 6: near-duplicates
 
 
