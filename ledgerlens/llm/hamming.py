@@ -5,14 +5,16 @@ probes the segments with the values at distance 0, then 1, then 2, and so on. Af
 r in j of the m segments and r - 1 in the others, every code at a distance under m r + j has
 been met, for one of its segments lies within the radius searched there. So a query ends
 when its k-th best distance is under that bound: the result is exact, whatever the data.
-A step of the search takes as many segments and radii as a number of probes allows, one
-segment and radius at least, as the next may not be needed. A pair is verified once, at the first segment
-and radius that meet it, and is dropped there unless it can still be among the k best.
+A step of the search is one radius in all segments; the k-th distances are known before the
+next, and only queries that are not covered yet go on. A pair is verified once, at the first
+segment and radius that meet it, and is dropped there unless it can still be among the k best.
+Segments are about as wide as the number of codes has bits, so a probe meets few codes
+however many there are.
 """
 
 from __future__ import annotations
 
-from math import comb
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,20 +25,20 @@ BITS = 64
 
 
 def sign_code(vector: Column) -> Column:
-    """The signs of up to 64 numbers as the bits of a long (null and NaN: not positive);
-    null for a null vector and for a longer one, which has to be projected first."""
+    """The signs of up to 64 numbers as the bits of a long (null and NaN: not positive); null
+    for a null vector. A longer one is an error: it has to be projected first."""
     bits = F.transform(vector, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.lit(0).cast("long")))
     code = F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-    return F.when(F.size(vector) <= BITS, code)
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a vector of more than {BITS} numbers"))).when(vector.isNotNull(), code)
 
 
 def _segment(code: Column, j: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, j * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    return F.shiftrightunsigned(code, j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
 def _masks(width: int, radius: int) -> Column:
     """All values of ``radius`` set bits, as one literal."""
-    return F.split(F.lit(",".join(str(x) for x in range(1 << width) if x.bit_count() == radius)), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))), ",").cast("array<long>")
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -45,35 +47,40 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, id_col: str = "id", code_col: str = "code", probes_per_step: int = 1_000_000) -> DataFrame:
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None, id_col: str = "id", code_col: str = "code", steps: list | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k rows of codes nearest to each query, ties to
     the smaller id; fewer where codes has fewer rows. Both frames have id and code.
 
     Equal codes are searched once: of each distinct code the k smallest ids are kept, as
     no other of its rows can be among the k best. Rows without code or id are neither found
-    nor asked for. Repeated rows are found as often as they are there.
+    nor asked for. Repeated rows are found as often as they are there. Other columns do not
+    matter; of empty tables nothing is found. ``segments`` (2, 4 or 8) follows the number of
+    distinct codes unless given. ``steps`` receives (radius, queries still open) of each step.
     """
-    if segments not in (4, 8):
-        raise ValueError("4 or 8 segments: probes are listed for up to 16 bits")
-    width = BITS // segments
+    if segments not in (None, 2, 4, 8):
+        raise ValueError("2, 4 or 8 segments")
     rows = codes.select(F.col(id_col).alias("id"), F.col(code_col).cast("long").alias("code")).where("id is not null and code is not null")
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(code_col).cast("long").alias("q")).where("query_id is not null and q is not null")
     least = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k)
     lists = cut(least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    if segments is None:
+        size = lists.count().bit_length()
+        segments = 8 if size <= 12 else 4 if size <= 24 else 2
+    width = BITS // segments
     entry = lambda j: F.struct(F.lit(j).alias("seg"), _segment(F.col("code"), j, width).alias("val"))
     index = cut(lists.select("code", "ids", F.explode(F.array(*map(entry, range(segments)))).alias("s")).select("s.seg", "s.val", "code", "ids"))
     asked = cut(asked)
     todo = cut(asked.select("q").distinct().withColumn("kth", F.lit(None).cast("int")))
     best = todo.limit(0).select("q", F.lit(0).alias("distance"), F.array(F.lit(0).cast(lists.schema["ids"].dataType.elementType)).alias("ids"))
-    units, done, left = [(r, j) for r in range(width + 1) for j in range(segments)], 0, todo.count()
-    while left and done < len(units):
-        first, probes = done, 0
-        while done < len(units) and (done == first or probes + left * comb(width, units[done][0]) <= probes_per_step):
-            probes += left * comb(width, units[done][0])
-            done += 1
-        at = (F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j, width).alias("own"), _masks(width, r).alias("masks")) for r, j in units[first:done])
+    left = todo.count()
+    for radius in range(width + 1):
+        if not left:
+            break
+        if steps is not None:
+            steps.append((radius, left))
+        at = (F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j, width).alias("own"), _masks(width, radius).alias("masks")) for j in range(segments))
         probed = todo.select("q", "kth", F.explode(F.array(*at)).alias("s")).select("q", "kth", "s.seg", "s.own", F.explode("s.masks").alias("mask"))
-        probed = probed.select("q", "kth", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"), F.bit_count("mask").alias("radius"))
+        probed = probed.select("q", "kth", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"), F.lit(radius).alias("radius"))
         gap = F.col("q").bitwiseXOR(F.col("code"))
         met = (probed["seg"] == index["seg"]) & (probed["val"] == index["val"]) & (F.bit_count(gap) <= F.coalesce("kth", F.lit(BITS)))
         # once only: no segment is nearer, and none before it is as near
@@ -84,7 +91,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4,
         best = cut(_best(best.unionByName(found), k))
         seen = F.sum(F.size("ids")).over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
         kth = best.withColumn("seen", seen).where(F.col("seen") >= k).groupBy("q").agg(F.min("distance").alias("kth"))
-        todo = cut(todo.select("q").join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") >= done)))
+        todo = cut(todo.select("q").join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") >= segments * (radius + 1))))
         left = todo.count()
     items = best.select("q", "distance", F.explode("ids").alias("id"))
     items = items.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= k)

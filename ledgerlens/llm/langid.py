@@ -4,9 +4,12 @@ Each language has a context tree of bytes of depths 0 to 3 with the counts of wh
 followed. A byte's code length comes from the deepest context seen in that language;
 a byte not seen there costs an escape (method C: distinct / (total + distinct)) and is
 coded one context shorter, down to a uniform code over 256 bytes. The counts are frozen
-after training, so the code length of a byte depends on the last four bytes only and the
-trees can be written out as one table: node of the context x byte x language. A text's
-code length is the exact sum over all its bytes; the language with the shortest code wins.
+after training, so the code length of a byte depends on the last four bytes only and can be
+written out: a hashed table has a row of code lengths, one for each language, for every
+(context, byte) that any language has seen, and one of escapes for every context. A byte is
+looked up at depth 3; where nobody has seen it there, the escapes of the context are added
+and it is looked up one depth shorter. A text's code length is the exact sum over all its
+bytes; the language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -36,8 +39,7 @@ def _gram_counter(batches):
         for lang, texts in by.items():
             parts = []
             for t in texts:
-                b = np.frombuffer(b"\0\0\0" + t, np.uint8).astype(np.uint32)
-                parts.append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
+                parts.append(_grams(np.frombuffer(b"\0\0\0" + t, np.uint8)))
             g, n = np.unique(np.concatenate(parts), return_counts=True)
             langs += [lang] * len(g)
             grams.append(g.astype(np.int64))
@@ -48,65 +50,111 @@ def _gram_counter(batches):
         )
 
 
+class _Index:
+    """Positions of distinct keys (longs from 0) in an open-addressing table."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.place = np.zeros(1 << self.bits, np.int32)
+        todo, at = np.arange(len(keys)), self._start(keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            spots, first = np.unique(at[free], return_index=True)
+            set_now = todo[free][first]
+            self.slots[spots], self.place[spots] = keys[set_now], set_now
+            left = self.slots[at] != keys[todo]
+            todo, at = todo[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The key's position, or -1."""
+        at = self._start(keys)
+        seen = self.slots[at]
+        out = np.where(seen == keys, self.place[at], -1)
+        todo = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+            seen = self.slots[at[todo]]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self.place[at[todo[hit]]]
+            todo = todo[~hit & (seen >= 0)]
+        return out
+
+
 @dataclass
 class ContextTrees:
-    """The frozen trees: classes (byte -> class, 0 for bytes never seen), node (three
-    classes -> node of the deepest context that any language has), cost (node * classes + class
-    -> bits for each language). limits has the bits per byte up to which a text is taken for
-    one of a language, where they were asked for."""
+    """The frozen trees. Keys of depth d are the last d bytes (contexts) or d + 1 bytes
+    (pairs) as one number, times 4, plus d. pairs -> row of cost, contexts -> row of escape:
+    bits for each language. limits has the bits per byte up to which a text is taken for one
+    of a language, where they were asked for."""
 
     langs: list[str]
-    classes: np.ndarray
-    node: np.ndarray
+    pairs: _Index
     cost: np.ndarray
+    contexts: _Index
+    escape: np.ndarray
     limits: dict[str, float] | None = None
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.cost, self.escape, self.pairs.slots, self.pairs.place, self.contexts.slots, self.contexts.place))
+
     @staticmethod
     def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> ContextTrees:
         langs = sorted(counts)
-        seen = np.zeros(256, bool)
-        seen[0] = True
-        for g, _ in counts.values():
-            seen[np.unique(g & 255)] = True
-        classes = np.zeros(256, np.int32)
-        classes[seen] = np.arange(1, seen.sum() + 1)
-        m = int(seen.sum()) + 1
-        grams = {}
-        for lang, (g, n) in counts.items():
-            c = [classes[(g >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)]
-            grams[lang] = (((c[0] * m + c[1]) * m + c[2]) * m + c[3], n.astype(np.float64))
-        node = np.zeros(m**DEPTH, np.int32)
-        rows = np.full((1, m, len(langs)), 8.0, np.float32)  # below order 0: any of 256 bytes
-        found, tables = np.zeros(1, np.int64), []
+        costs, escapes, keys, above = [], [], [], []
+        before, shorter = np.full((1, len(langs)), 8.0, np.float32), np.zeros(1, np.int64)  # below depth 0: any of 256 bytes
         for depth in range(DEPTH + 1):
-            # contexts of this depth in any language, and the row of the one a byte shorter
-            ctx = {x: (g // m) % m**depth for x, (g, _) in grams.items()}
-            mine = np.unique(np.concatenate([np.unique(x) for x in ctx.values()])) if depth else np.zeros(1, np.int64)
-            shorter = np.searchsorted(found, mine % m ** max(depth - 1, 0)) if depth else np.zeros(1, np.int64)
-            rows, found = rows[shorter].copy(), mine
+            mask, low = (1 << 8 * (depth + 1)) - 1, (1 << 8 * depth) - 1
+            own = {}
+            for lang, (g, n) in counts.items():
+                p, at = np.unique(g & mask, return_inverse=True)
+                own[lang] = p, np.bincount(at, n, len(p))
+            mine = np.unique(np.concatenate([p for p, _ in own.values()]))
+            ctx, of = np.unique(mine >> 8, return_inverse=True)
+            cost = before[np.searchsorted(shorter, mine & low)] if depth else np.repeat(before, len(mine), 0)
+            escape = np.zeros((len(ctx), len(langs)), np.float32)
             for k, lang in enumerate(langs):
-                g, n = grams[lang]
-                at = np.searchsorted(mine, ctx[lang])
-                table = np.zeros((len(mine), m))
-                np.add.at(table, (at, g % m), n)
-                total, kinds = table.sum(1), (table > 0).sum(1)
+                p, n = own[lang]
+                at = np.searchsorted(mine, p)
+                total, kinds = np.bincount(of[at], n, len(ctx)), np.bincount(of[at], minlength=len(ctx))
                 has = total > 0
-                whole = np.where(has, total + kinds, 1)
-                escape = np.where(has, np.log2(whole) - np.log2(np.maximum(kinds, 1)), 0)
-                rows[:, :, k] += escape[:, None]
-                i, j = np.nonzero(table)
-                rows[i, j, k] = np.log2(whole[i]) - np.log2(table[i, j])
-            base = sum(len(t) for t in tables)
-            ids = np.arange(base, base + len(mine), dtype=np.int32)
-            view = node.reshape(-1, m**depth)
-            view[:, mine] = ids
-            tables.append(rows)
-        cost = np.concatenate(tables).reshape(-1, len(langs))
-        return ContextTrees(langs, classes, node, cost)
-
-    def code_lengths(self, texts: list[bytes], step: int = 1 << 18) -> np.ndarray:
+                escape[has, k] = np.log2(total[has] + kinds[has]) - np.log2(kinds[has])
+                cost[:, k] += escape[of, k]
+                cost[at, k] = np.log2((total + kinds)[of[at]]) - np.log2(n)
+            costs.append(cost)
+            escapes.append(escape)
+            keys.append(mine * 4 + depth)
+            above.append(ctx * 4 + depth)
+            before, shorter = cost, mine
+        return ContextTrees(langs, _Index(np.concatenate(keys)), np.concatenate(costs), _Index(np.concatenate(above)), np.concatenate(escapes))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of the last byte of each gram of four bytes, one row for each."""
+        at = self.pairs.find(grams * 4 + DEPTH)
+        out = self.cost[at]
+        todo = np.flatnonzero(at < 0)
+        if len(todo):
+            rest = np.zeros((len(todo), len(self.langs)), np.float32)
+            left, g = np.arange(len(todo)), grams[todo]
+            for depth in range(DEPTH, -1, -1):
+                at = self.pairs.find((g & ((1 << 8 * (depth + 1)) - 1)) * 4 + depth)
+                hit = at >= 0
+                rest[left[hit]] += self.cost[at[hit]]
+                left, g = left[~hit], g[~hit]
+                ctx = self.contexts.find(((g >> 8) & ((1 << 8 * depth) - 1)) * 4 + depth)
+                some = ctx >= 0
+                rest[left[some]] += self.escape[ctx[some]]
+            rest[left] += 8
+            out[todo] = rest
+        return out
+
+    def code_lengths(self, texts: list[bytes], step: int = 1 << 17) -> np.ndarray:
         """Bits for each text under each language; every byte counts."""
-        m = int(self.classes.max()) + 1
         lengths = np.array([len(t) for t in texts], np.int64)
         out = np.zeros((len(texts), len(self.langs)))
         buf = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts), np.uint8)
@@ -122,9 +170,7 @@ class ContextTrees:
                 continue
             s, e = s[some], e[some]
             first = s[0]
-            c = self.classes[buf[first - DEPTH : e[-1]]]
-            ctx = (c[:-3] * m + c[1:-2]) * m + c[2:-1]
-            bits = self.cost[self.node[ctx].astype(np.int64) * m + c[3:]]
+            bits = self.bits(_grams(buf[first - DEPTH : e[-1]]))
             cuts = np.empty(2 * len(s), np.int64)
             cuts[::2], cuts[1::2] = s - first, e - first
             sums = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), bits.dtype)]), cuts, axis=0, dtype=np.float64)[::2]
@@ -132,22 +178,36 @@ class ContextTrees:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", where: Column | None = None, docs_per_lang: int = 400, max_langs: int = 64, limits: bool = False) -> ContextTrees | None:
+def _grams(b: np.ndarray) -> np.ndarray:
+    """Every four bytes in a row as one number."""
+    b = b.astype(np.int64)
+    return b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+
+
+def shared_trees(spark, trees: ContextTrees, most: int = 1 << 30):
+    """The trees on every executor, if they are not larger than that many bytes: their size
+    follows languages and sampled texts (docs_per_lang), not the corpus."""
+    if trees.nbytes > most:
+        raise ValueError(f"the trees take {trees.nbytes} bytes, over {most}: learn from fewer texts a language")
+    return spark.sparkContext.broadcast(trees)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", where: Column | None = None, docs_per_lang: int = 400, limits: bool = False) -> ContextTrees | None:
     """Trees from at most docs_per_lang whole texts of each language, those whose ids have
-    the least hashes; of more than max_langs languages, the most frequent are learned.
-    None where no row has a language and a text with a letter. With limits, keep_identified
-    also rejects texts whose code is far longer than that of the sample's own texts."""
+    the least hashes. Rows without a language or without an id teach nothing; rows that
+    share an id all do if one of them was chosen. None where nothing is left to learn from.
+    With limits, keep_identified also rejects texts whose code is far longer than that of
+    the sample's own texts."""
     rows = docs.where(where) if where is not None else docs
-    rows = rows.where(F.col(lang_col).isNotNull())
+    rows = rows.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    frequent = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    # max_langs rows; a first cut by the hash leaves about eight times the documents wanted,
-    # so that the ranks of a frequent language are few rows at any size of the corpus
-    near = named.join(F.broadcast(frequent), "lang").where(unit_hash("id") < 8 * docs_per_lang / F.col("n"))
+    frequent = named.groupBy("lang").agg(F.count("*").alias("n"))
+    # a first cut by the hash leaves about eight times the documents wanted, so that the
+    # ranks of a frequent language are few rows at any size of the corpus
+    near = named.join(frequent, "lang").where(unit_hash("id") < 8 * docs_per_lang / F.col("n"))
     w = Window.partitionBy("lang").orderBy(unit_hash("id"), "id")
-    # docs_per_lang * max_langs ids at most
     chosen = near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= docs_per_lang).select("id").distinct()
-    sample = rows.join(F.broadcast(chosen), rows[id_col] == chosen["id"]).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (unit_hash("id", F.lit("fold")) < 0.5).alias("fold"))
+    sample = rows.join(chosen, rows[id_col] == chosen["id"]).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (unit_hash("id", F.lit("fold")) < 0.5).alias("fold"))
     if limits:
         return _with_limits(sample)
     by = _counts(sample.select("lang", "text"))
@@ -183,7 +243,7 @@ def _with_limits(sample: DataFrame) -> ContextTrees | None:
         read = [_annotate(sample.where(F.col("fold") == bool(1 - k)), F.col("text"), ContextTrees.build(halves[k]), ["won", "score", "bits"]) for k in (0, 1)]
         read = read[0].unionByName(read[1])
         found: dict[str, list[float]] = {}
-        # docs_per_lang * max_langs rows at most
+        # docs_per_lang rows a language at most
         for lang, bits in read.where("won <> 'und'").select("won", "bits").collect():
             found.setdefault(lang, []).append(bits)
         for lang, bits in found.items():
@@ -228,8 +288,7 @@ def _annotate(rows: DataFrame, text: Column, trees: ContextTrees | None, names:
     schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], DoubleType())])
     text = text.cast("string")
     fed = rows.select("*", text.alias(fresh("text_", rows.columns)), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(fresh("letter_", rows.columns)))
-    # the trees' size is bounded by the training sample: docs_per_lang texts a language
-    shared = rows.sparkSession.sparkContext.broadcast(trees)
+    shared = shared_trees(rows.sparkSession, trees)
     return fed.mapInArrow(_scorer(shared, schema.names), schema)
 
 
@@ -246,7 +305,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id"
     if trees is None:
         return _annotate(rows.select("doc_id"), F.lit(None), None, names)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = shared_trees(docs.sparkSession, trees)
     return rows.select("doc_id", "text", letter).mapInArrow(_scorer(shared, ["doc_id", *names]), "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 

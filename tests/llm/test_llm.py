@@ -144,6 +144,9 @@ def test_languages_of_awkward_tables(spark, awkward, empty):
     assert all(0 <= r.score <= 1 for r in got)
     kept = langid.keep_identified(awkward, trees)
     assert kept.columns == awkward.columns and kept.count() == 6
+    assert langid.train(awkward.withColumn("doc_id", F.lit(None).cast("long"))) is None
+    with pytest.raises(ValueError):
+        langid.shared_trees(spark, trees, most=1000)
     assert langid.train(empty) is None and langid.keep_identified(awkward, None).count() == 0
     assert langid.identify(empty, trees).count() == 0 and langid.identify(awkward, None).count() == len(AWKWARD)
 
@@ -182,8 +185,24 @@ def test_top_k_of_few_rows_and_repeats(spark):
     got = sorted((r["rank"], r.id, r.distance) for r in hamming.top_k(df, df.limit(1), k=10).collect())
     assert got == [(1, 0, 0), (2, 0, 0), (3, 3, 2)]
     assert hamming.top_k(df.limit(0), df, k=3).count() == 0 and hamming.top_k(df, df.limit(0), k=3).count() == 0
-    v = spark.createDataFrame([([1.0, -1.0, None, 0.5],), (None,), ([1.0] * 65,)], "v array<double>")
-    assert [r[0] for r in v.select(hamming.sign_code(F.col("v"))).collect()] == [9, None, None]
+    v = spark.createDataFrame([([1.0, -1.0, None, 0.5],), (None,), ([],)], "v array<double>")
+    assert [r[0] for r in v.select(hamming.sign_code(F.col("v"))).collect()] == [9, None, 0]
+    with pytest.raises(Exception, match="more than 64"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(hamming.sign_code(F.col("v"))).collect()
+
+
+def test_top_k_grows_radii_only_while_needed(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(20)]
+    codes = [(100 * k, b) for k, b in enumerate(base)] + [(1001 + 10 * k + j, b ^ (1 << (5 * j))) for k, b in enumerate(base) for j in range(10)]
+    df = spark.createDataFrame(codes, "id long, code long").withColumns({"q": F.lit(1), "distance": F.lit("x")})
+    for segments, want in ((8, 1), (4, 1), (2, 1)):  # ten codes at distance 1: known after radius 0, as 1 < segments
+        steps = []
+        got = hamming.top_k(df, df.where("id % 100 = 0 and id < 1000"), k=5, segments=segments, steps=steps).collect()
+        assert len(steps) == want and len(got) == 50 and {r.distance for r in got} == {0, 1}
+    steps = []
+    hamming.top_k(df, df.where("id = 0"), k=60, steps=steps).count()
+    assert [r for r, _ in steps] == list(range(len(steps))) and 1 < len(steps) < 9
 
 
 # --- 4: BPE
