@@ -37,8 +37,6 @@ SECOND_PERSON = frozenset(
 LETTER_FOR = str.maketrans("0134578@$!|+€", "oieastbasiite")
 
 STEMS = range(4, 8)
-#: a document counts an entry so many times at most, lest one text of repeats teach it
-REPEATS = 4
 WINDOW = 20
 
 _WORD = re.compile(r"[^\W_]+")
@@ -57,28 +55,18 @@ def _counter(batches):
 
     for batch in batches:
         seen = (Counter(), Counter())
-        docs = Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            words = Counter(_WORD.findall((text or "").lower()))
-            own = Counter()
-            for w, n in words.items():
-                for k in keys(w):
-                    own[k] += n
-            own = Counter({k: min(n, REPEATS) for k, n in own.items()})
-            seen[int(toxic)].update(own)
-            if toxic:
-                docs.update(own.keys())
+            # once for each document, lest one text of repeats teach it
+            seen[int(toxic)].update({k for w in set(_WORD.findall((text or "").lower())) for k in keys(w)})
         names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), *(pa.array([c[k] for k in names], pa.int64()) for c in (seen[1], seen[0], docs))],
-            ["entry", "toxic", "clean", "docs"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[k] for k in names], pa.int64()) for c in (seen[1], seen[0]))], ["entry", "toxic", "clean"])
 
 
 def learn_lexicon(sample: DataFrame, entries: int = 3000, ratio: float = 4.0, least_g2: float = 25.0, least_docs: int = 4) -> dict[str, float]:
-    """Entry -> log rate ratio, for entries far more frequent in toxic texts (G2 statistic);
-    at most the given number of entries, those of the highest statistic."""
-    c = sample.mapInArrow(_counter, "entry string, toxic long, clean long, docs long").groupBy("entry").agg(*(F.sum(x).alias(x) for x in ("toxic", "clean", "docs")))
+    """Entry -> log rate ratio, for entries that far more toxic texts hold (G2 statistic over
+    numbers of documents); at most the given number of entries, those of the highest
+    statistic, and of equal ones the first by name."""
+    c = sample.mapInArrow(_counter, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     c = cut(c)
     a, b = (float(x or 0) for x in c.where(F.col("entry").startswith("=")).agg(F.sum("toxic"), F.sum("clean")).first())
     if not a or not b:
@@ -87,7 +75,7 @@ def learn_lexicon(sample: DataFrame, entries: int = 3000, ratio: float = 4.0, le
     part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (n * share))).otherwise(0.0)
     g2 = 2 * (part(F.col("toxic"), a / (a + b)) + part(F.col("clean"), b / (a + b)))
     weight = F.log((F.col("toxic") + 0.5) / a) - F.log((F.col("clean") + 0.5) / b)
-    best = c.where(F.col("docs") >= least_docs).withColumns({"g2": g2, "weight": weight})
+    best = c.where(F.col("toxic") >= least_docs).withColumns({"g2": g2, "weight": weight})
     best = best.where((F.col("g2") >= least_g2) & (F.col("weight") >= float(np.log(ratio)))).orderBy(F.desc("g2"), "entry").limit(entries)
     return {r.entry: r.weight for r in best.collect()}
 
@@ -231,7 +219,8 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, rounds: int = 24, depth: int = 4) -> ToxicityModel:
     """Learns from labelled documents whose crc32(id) mod 5 is not 0, at most ``sample`` of
     them (those whose ids have the least hashes). The fold 4 calibrates, the others teach
-    lexicon and trees; equal texts of the sample count once. Several labels of a document count as toxic if one is. Without both
+    lexicon and trees; equal texts of the sample count once, under their least id, and as
+    toxic if one of them is. Several labels of a document count as toxic if one is. Without both
     classes the score is the share of toxic labels (0 without labels)."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("double")).alias("label"))
     known = known.where(crc_mod("id", 5) != 0)
@@ -239,7 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where(unit_hash("id") * max(1, known.count()) < 4 * sample).orderBy(unit_hash("id"), "id").limit(sample)
     # ``sample`` short rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    rows = cut(rows.dropDuplicates(["text"]).repartition(12, "id"))
+    rows = rows.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
+    rows = cut(rows.repartition(12, "id"))
     calibrates = crc_mod("id", 5) == 4
     seen = {(r.c, r.label): r["count"] for r in rows.groupBy(calibrates.alias("c"), "label").count().collect()}
     total = sum(seen.values())

@@ -77,6 +77,73 @@ def test_toxicity_learns_from_its_folds_only(spark):
     assert clean.columns == [*docs.columns, "score"] and 0.6 < clean.count() / docs.count() < 0.9
 
 
+def test_lexicon_equals_brute_force(spark):
+    from collections import Counter
+
+    rows, labels = toxic_corpus()
+    df = spark.createDataFrame([(t + " \n", float(y[2])) for (_, t, *_), y in zip(rows, labels, strict=True)] + [(None, 0.0), ("", 1.0)], "text string, label double")
+    seen = (Counter(), Counter())
+    for (_, t, *_), (_, _, y) in zip(rows, labels, strict=True):
+        seen[y].update({k for w in set(t.lower().split()) for k in ["=" + w, *(w[:n] for n in (4, 5, 6, 7) if n < len(w))]})
+    a, b = (sum(n for k, n in seen[y].items() if k.startswith("=")) for y in (1, 0))
+    want = {}
+    for k in seen[0] | seen[1]:
+        x, y = seen[1][k], seen[0][k]
+        g2 = 2 * sum(o * math.log(o / ((x + y) * s)) for o, s in ((x, a / (a + b)), (y, b / (a + b))) if o)
+        weight = math.log((x + 0.5) / a) - math.log((y + 0.5) / b)
+        if x >= 4 and g2 >= 25 and weight >= math.log(4):
+            want[k] = weight
+    for parts in (1, 7):
+        assert toxicity.learn_lexicon(df.repartition(parts)) == pytest.approx(want)
+    assert {"=wretch", "=vermin", "=dolt", "=maggot"} <= set(want)
+
+
+def plain_features(text, lexicon):
+    """The features by their definition, token for token."""
+    words = text.split()
+    flags = []
+    for w in words:
+        low = w.lower().strip(".,!?")
+        own, stem = lexicon.get("=" + low), max((lexicon.get(low[:k], 0) for k in (4, 5, 6, 7) if k < len(low)), default=0)
+        flags.append((own is not None, own is None and stem > 0, max(own or 0, stem), low in toxicity.SECOND_PERSON, sum(c.isalpha() for c in w), sum(c.isupper() for c in w)))
+    n, hit = len(words), [f[0] or f[1] for f in flags]
+    near = sum(any(flags[j][3] for j in range(max(0, i - 3), min(n, i + 4))) for i in range(n) if hit[i])
+    letters, punct = sum(f[4] for f in flags), sum(not c.isalnum() for c in text if not c.isspace())
+    shouted = sum(f[4] > 1 and f[4] == f[5] for f in flags)
+    return [
+        math.log1p(n), sum(f[0] for f in flags), 100 * sum(f[0] for f in flags) / n, sum(f[1] for f in flags), 100 * sum(f[1] for f in flags) / n, sum(f[2] for f in flags) / n, max(f[2] for f in flags),
+        max(sum(hit[i : i + 20]) for i in range(n)), 100 * sum(f[3] for f in flags) / n, near / max(1, sum(hit)), sum(f[5] for f in flags) / max(1, letters), shouted / n, text.count("!") / n, text.count("?") / n,
+        punct / max(1, letters + punct), 0.0, 0.0,
+    ]
+
+
+def test_features_equal_their_definition():
+    rng, lexicon = random.Random(4), {"=dolt": 2.0, "verm": 1.5, "=vermin": 2.5}
+    pool = "dolt vermin vermins you your kamot RIST Sel dolt! vermins, you? tiru. DOLT! a".split()
+    tokens = toxicity._Tokens(lexicon)
+    for _ in range(200):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 60)))
+        assert toxicity.text_features(text, tokens) == pytest.approx(plain_features(text, lexicon), rel=1e-6), text
+
+
+def test_a_trained_model_meets_awkward_rows(spark, awkward, empty):
+    rows, labels = toxic_corpus(300)
+    # equal texts under several ids and labels: the least id, toxic if one is
+    rows += [(5000 + k, rows[k][1], "aa", "s", 0) for k in range(40)]
+    labels += [(5000 + k, None, 1 - labels[k][2]) for k in range(40)] + [(None, 0, 1), (1, 0, None)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, two = (toxicity.train(docs.repartition(n), lab, rounds=3) for n in (1, 5))
+    assert one.lexicon == two.lexicon and one.trees is not None
+    odd = awkward.withColumns({c: F.lit("x") for c in ("text_", "vec", "prob", "log_words")})
+    got = toxicity.classify(odd, one).collect()
+    assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    blank = {r.score for r in got if r.doc_id in (1, 2, 3)}
+    assert len(blank) == 1
+    assert toxicity.classify(empty, one).count() == 0 and toxicity.keep_clean(empty, one).count() == 0
+    assert toxicity.keep_clean(odd, one).columns == odd.columns
+
+
 def test_toxicity_of_awkward_tables(spark, awkward, empty):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     none = toxicity.train(awkward, lab)
