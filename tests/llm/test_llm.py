@@ -3,9 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import random
-import time
 import re
+import time
 import zlib
 
 import pytest
@@ -835,6 +836,53 @@ def test_fertility_of_awkward_tables(awkward, empty, pieces):
     assert fertility.keep_good(awkward, pieces).columns == awkward.columns
 
 
+# --- the registered queries
+
+CONTRACT = {
+    "op1_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op2_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op3_hamming_top_k": ["query_id", "rank", "vec_id", "distance"],
+    "op4_bpe_round_trip": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op5_html_main_text": ["page_id", "url", "text", "n_chars"],
+    "op6_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
+    "op7_mixing": ["doc_id", "source", "lang", "topic"],
+    "op8_chat_windows": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op9_hash_tree_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op10_tokeniser_fertility": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+}
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="the given tables are not here")
+@pytest.mark.parametrize("name", CONTRACT)
+def test_registered_query(spark, name):
+    import duckdb
+
+    from ledgerlens.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.queries()[name](spark, DATA)
+    assert df.columns[: len(CONTRACT[name])] == CONTRACT[name]
+    got = df.collect()
+    ids = {"op5": ("pages", "page_id"), "op8": ("conversations", "conv_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+    if name != "op3_hamming_top_k":
+        want = con.execute(f"SELECT {ids[1]} FROM {ids[0]}").fetchall()
+        want = sorted({x[0] for x in want} | {-7}) if name == "op8_chat_windows" else sorted(x[0] for x in want)
+        assert sorted(r[ids[1]] for r in got) == want
+    if name in ("op1_toxicity", "op2_language_id"):
+        n, k = (5, 0) if name == "op1_toxicity" else (3, 1)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == k) and 0 <= r.score <= 1 for r in got)
+    sql = queries.oracle_sql().get(name)
+    if sql:
+        rows = con.execute(sql)
+        at = [c[0] for c in rows.description]
+        assert sorted(at) == sorted(df.columns)
+        norm = lambda r: tuple(round(x, 8) if isinstance(x, float) else x for x in r)
+        assert sorted(map(repr, map(norm, rows.fetchall()))) == sorted(repr(norm(r[c] for c in at)) for r in got)
+
+
 # --- the pipeline
 
 
