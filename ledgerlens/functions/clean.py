@@ -10,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: tokens that stand for "no value" in text fields
-NULL_TOKENS = ["", "-", "--", "0-0", "N/A", "NA", "NAN", "NONE", "NULL", "S/I", "SIN INFORMACION"]
+NULL_TOKENS = ["", "-", "--", "S/I", "SIN INFORMACION", "NA", "N/A", "NULL", "NONE", "NAN", "0-0"]
+# fixed values: besides these, what stands for "no value" in tax ids and keys; in a number field a zero is a value
+NULL_KEYS = ["0", "0-K", "00.000.000-0", "0.000.000-0"]
 # fixed values: dates that stand for "no date"
 SENTINEL_DATES = ["1899-12-30", "1900-01-01", "1970-01-01"]
 # fixed values: date formats that are tried in turn
@@ -78,7 +80,7 @@ def real_date(text: Column, formats: list[str] = DATE_FORMATS, first_year: int =
     return F.when(~is_sentinel(d, first_year), d)
 
 
-def without_null_tokens(text: Column, tokens: list[str] = NULL_TOKENS) -> Column:
+def without_null_tokens(text: Column, tokens: list[str] = NULL_TOKENS + NULL_KEYS) -> Column:
     t = F.trim(text)
     return F.when(~F.upper(t).isin(tokens), t)
 
@@ -219,9 +221,9 @@ def comparable_unit(unit: Column, stop: list[str]) -> Column:
 
 def coerced(text: Column, kind: str) -> Column:
     """The text as string, bool, date, timestamp or a number type."""
-    t = without_null_tokens(text)
     if kind == "string":
-        return t
+        return without_null_tokens(text)
+    t = without_null_tokens(text, NULL_TOKENS)
     if kind == "bool":
         low = F.lower(t)
         return F.when(low.isin("1", "true", "si", "sí", "yes", "y", "s"), True).when(low.isin("0", "false", "no", "n"), False)

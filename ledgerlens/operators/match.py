@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import percent
-from .ranks import first_per_group
 
 
 def words(text: Column, stop: list[str] = ()) -> Column:
@@ -85,14 +84,19 @@ def best_sibling(items: DataFrame, catalogue: DataFrame, key: str, family: str,
     small against the items, and each item meets its family only."""
     cat = catalogue.select(F.col(family).alias("_f"), F.col(code).alias("best_code"), unit(F.col(vector)).alias("_v"))
     j = items.select(key, family, unit(F.col(vector)).alias("_u")).join(cat, F.col(family) == F.col("_f"), "left")
-    j = j.withColumn("best_sim", dot(F.col("_u"), F.col("_v")))
-    best = first_per_group(j, [key], [F.desc_nulls_last("best_sim"), F.asc_nulls_last("best_code")])
-    return best.select(key, family, "best_code", "best_sim", F.col("best_code").isNull().alias("no_family"))
-
-
-def word_vectors(corpus: DataFrame, terms: str, size: int = 100, least: int = 2, seed: int = 11):
-    """A Word2Vec model over the distinct texts of a joint corpus."""
-    return Word2Vec(vectorSize=size, minCount=least, seed=seed, inputCol=terms, outputCol="vector", numPartitions=1).fit(corpus.dropDuplicates([terms]))
+    # the least of (no match, -similarity, code) is kept before anything is shuffled by key
+    sim = dot(F.col("_u"), F.col("_v"))
+    rank = F.struct(sim.isNull().alias("no"), (-sim).alias("far"), F.col("best_code").isNull().alias("none"), F.col("best_code"), sim.alias("best_sim"))
+    best = j.groupBy(key).agg(F.min(family).alias(family), F.min(rank).alias("_b"))
+    return best.select(key, family, "_b.best_code", "_b.best_sim", F.col("_b.best_code").isNull().alias("no_family"))
+
+
+def word_vectors(corpus: DataFrame, terms: str, size: int = 100, least: int = 2, seed: int = 11, per_task: int = 200_000):
+    """A Word2Vec model over the distinct texts of a joint corpus, trained in one task for
+    each ``per_task`` texts; its vectors are averaged over the tasks after every pass."""
+    texts = corpus.dropDuplicates([terms])
+    tasks = max(1, texts.count() // per_task)
+    return Word2Vec(vectorSize=size, minCount=least, seed=seed, inputCol=terms, outputCol="vector", numPartitions=tasks).fit(texts)
 
 
 def embed(model, rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import percent
+from .ranks import quantiles
 
 
 def deflate(rows: DataFrame, index: DataFrame, date: str, amount: str, y: str = "y", m: str = "m", idx: str = "idx") -> DataFrame:
@@ -57,10 +58,14 @@ def concentration(rows: DataFrame, code: str, measures: dict[str, Column], tops:
 
 def dispersion(rows: DataFrame, by: list[str], price: str, entity: str, least_rows: int = 100, least_entities: int = 5, least_price: float = 0) -> DataFrame:
     """Per cell with enough rows and entities: price quantiles and their ratios."""
-    q = rows.where(F.col(price) >= least_price).groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_distinct(entity).alias("n_entities"), F.percentile(price, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q")
-    )
-    q = q.where((F.col("n") >= least_rows) & (F.col("n_entities") >= least_entities))
+    rows = rows.where(F.col(price) >= least_price)
+    q = rows.groupBy(*by, entity).agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("n"), F.count(entity).alias("n_entities"))
+    enough = q.where((F.col("n") >= least_rows) & (F.col("n_entities") >= least_entities))
+    at = quantiles(rows, by, price, [0.1, 0.25, 0.5, 0.75, 0.9]).toDF(*(f"_{c}" for c in by), "q")
+    same = F.lit(True)
+    for c in by:  # a NULL cell is a cell
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    q = enough.join(at, same)
     r = lambda a, b: F.round(F.try_divide(F.col("q")[a], F.col("q")[b]), 6)
     return q.select(*by, "n", "n_entities", F.round(F.col("q")[2], 4).alias("median"), r(3, 1).alias("p75_p25"), r(4, 0).alias("p90_p10"))
 

@@ -76,3 +76,19 @@ def even_spread(rows: DataFrame, groups: list[str], order: list[Column], quota:
     n = n.withColumn("_late", ((F.col("_rn") - 1) % step != 0).cast("int"))
     chosen = n.withColumn("_pick", F.row_number().over(w.orderBy("_late", "_rn"))).where(F.col("_pick") <= quota)
     return chosen.drop("_rn", "_n", "_late", "_pick")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by and q, the interpolated quantiles of a value in each group. Values are counted
+    first; a group's distinct values are then read in order, and not held."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    c = n.withColumns({"_c": F.sum("_n").over(w.orderBy(value)), "_t": F.sum("_n").over(w)})
+    at = lambda k: F.min(F.when(F.col("_c") > k, F.col(value)))
+    picked = []
+    for s in shares:
+        place = s * (F.col("_t") - 1)
+        picked += [at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))]
+    g = c.groupBy(*by).agg(*(x.alias(f"_p{k}") for k, x in enumerate(picked)))
+    between = [F.col(f"_p{k}") + F.col(f"_p{k + 2}") * (F.col(f"_p{k + 1}") - F.col(f"_p{k}")) for k in range(0, len(picked), 3)]
+    return g.select(*by, F.array(*between).alias("q"))

@@ -37,6 +37,17 @@ def resolve_loosely(columns: list[str], aliases: list[str]) -> tuple[str | None,
     return None, f"none of {aliases!r} found"
 
 
+def resolution(rows: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """(field, column, warning, n_filled): the column that each field resolves to, exactly or
+    in part, what has to be announced of it, and its values that are not NULL."""
+    out = []
+    for field, aliases in fields.items():
+        column, warning = resolve_loosely(rows.columns, aliases)
+        filled = F.count(F.col(f"`{column}`")) if column else F.lit(None).cast("long")
+        out.append(F.struct(F.lit(field).alias("field"), F.lit(column).cast("string").alias("column"), F.lit(warning).cast("string").alias("warning"), filled.alias("n_filled")))
+    return rows.agg(F.array(*out).alias("r")).select(F.inline("r"))
+
+
 def canonical(rows: DataFrame, fields: dict[str, list[str]], prefix: str = "_unmapped_") -> DataFrame:
     """Aliased columns under their canonical names, the rest with a prefix."""
     found = {resolve(rows.columns, a): f for f, a in fields.items()}

@@ -67,7 +67,7 @@ def weighted_estimate(rows: DataFrame, value: Column, weight: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(100 * F.try_divide(F.sum(v * F.col(weight)), F.sum(weight)), 6).alias("estimate"))
 
 
-def bootstrap(rows: DataFrame, key: str, value: Column, weight: str, replicates: int = 400, seed: int = 1) -> DataFrame:
+def bootstrap(rows: DataFrame, key: str, value: Column, weight: str, replicates: int = 4000, seed: int = 1) -> DataFrame:
     """One row: the weighted share and its 95 % percentile interval. Every row draws a
     Poisson(1) count in every replicate from a digest of its key, so a replicate needs no
     resampling shuffle: partial sums of all replicates travel, one pair for each."""
@@ -80,7 +80,8 @@ def bootstrap(rows: DataFrame, key: str, value: Column, weight: str, replicates:
     draws = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     v = F.coalesce(value, F.lit(False)).cast("int")
     long = rows.select(F.col(key).alias("_k"), F.col(weight).alias("_w"), v.alias("_v"), draws.alias("b"))
-    u = F.shiftrightunsigned(F.xxhash64("_k", "b", F.lit(seed)), 11).cast("double") / float(1 << 53)
+    digest = F.md5(F.concat_ws("|", F.col("_k").cast("string"), F.col("b").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
     count = F.lit(0)
     for s in steps:
         count = count + (u >= s).cast("int")

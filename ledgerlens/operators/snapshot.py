@@ -80,9 +80,10 @@ def superset_by_count(side_by_side: DataFrame, year: str) -> DataFrame:
     return g.withColumn("verdict", F.when(F.col("months_less") == 0, "superset").when(F.col("n_new") >= F.col("n_old"), "mixed").otherwise("less"))
 
 
-def order_statistic(values: Column, share: float) -> Column:
-    """The element at floor(n * share) of the sorted values: a quantile without interpolation."""
-    return F.sort_array(values)[F.least(F.floor(F.size(values) * share), F.size(values) - 1).cast("int")]
+def in_period(year: Column, month: Column, first: tuple[int, int], last: tuple[int, int]) -> Column:
+    """Whether a (year, month) lies in a period, both ends included; NULL months do not."""
+    n = year * 12 + month
+    return F.coalesce(n.between(first[0] * 12 + first[1], last[0] * 12 + last[1]), F.lit(False))
 
 
 def lag_quantiles(rows: DataFrame, by: list[str], lag: Column, prefix: str = "lag") -> DataFrame:

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.clean import percent
 
 # fixed values: patterns of text that says nothing about the thing bought
-FILLER = ["segun bases", "segun especificaciones", "de acuerdo a bases", "ver adjunto", "lo solicitado"]
+FILLER = [
+    "^segun bases", "^ver bases", "^de acuerdo a bases", "^segun adjudicacion", "^segun licitacion", "^segun oferta", "^segun contrato", "^segun convenio", "^segun cotizacion", "^segun solicitud", "^segun oc", "^segun detalle",
+    "^ver detalle", "^ver anexo", "^ver adjunto", "^s ?/ ?e$", "^sin especificacion", "^no aplica$", "^na$", "^n a$", "^varios$", "^otros$", "^servicio$", "^servicios$", "^producto$", "^productos$", "^item$", "^items$", "^bienes$",
+    "^-+$", "^\\.+$", "^0+$", "^x+$",
+]
 
 
 def is_filler(text: Column, least: int = 12, patterns: list[str] = FILLER) -> Column:

@@ -10,6 +10,7 @@ from .standin import TEXTS, table, texts
 
 NBSP = " "
 _TOKENS = ", ".join(f"'{t}'" for t in C.NULL_TOKENS)
+_KEYS = ", ".join(f"'{t}'" for t in C.NULL_KEYS)
 
 
 def _numbers(spark, sf_dir):
@@ -167,7 +168,7 @@ def tax_id_normalisation(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN ' s/i ' WHEN o_orderkey % 4 = 1 THEN ' ' ELSE o_orderpriority END AS t FROM orders),
-c AS (SELECT CASE WHEN upper(trim(t)) NOT IN ({_TOKENS}) THEN trim(t) END AS useful, t,
+c AS (SELECT CASE WHEN upper(trim(t)) NOT IN ({_TOKENS}, {_KEYS}) THEN trim(t) END AS useful, t,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'FAST' ELSE o_orderpriority END AS recoded,
   CASE WHEN o_totalprice <= 50000 THEN 'low' WHEN o_totalprice <= 200000 THEN 'middle' ELSE 'high' END AS band,
   CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'urgent' WHEN contains(lower(o_orderpriority), 'low') THEN 'slow' ELSE 'other' END AS status,
@@ -210,3 +211,11 @@ def typed_coercion(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(b.alias("b"), n.alias("n"), d.alias("d"))
     fail = lambda c, kind: F.sum(C.parse_failed(F.col(c), C.coerced(F.col(c), kind)))
     return rows.agg(F.count("*").alias("n"), F.count_if(C.coerced(F.col("b"), "bool")).alias("bool_true"), fail("b", "bool").alias("bool_failed"), F.sum(C.coerced(F.col("n"), "double")).alias("double_sum"), fail("n", "double").alias("double_failed"), fail("d", "date").alias("date_failed"))
+
+
+@query("SELECT CAST(o_custkey % 50 AS INTEGER) AS k, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_whole, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') / nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0), 6) AS pct FROM orders GROUP BY 1")
+def null_safe_percentage(spark, sf_dir):
+    """Shares of groups, NULL where a group has nothing to take a share of."""
+    whole = F.col("o_orderstatus") == "P"
+    g = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).cast("int").alias("k")).agg(F.count_if(whole).alias("n_whole"), F.count_if(whole & (F.col("o_orderpriority") == "1-URGENT")).alias("n"))
+    return g.select("k", "n_whole", F.round(C.percent(F.col("n"), F.col("n_whole")), 6).alias("pct"))

@@ -112,8 +112,9 @@ def doc_reconciliation(spark, sf_dir):
     """The sum of a document's lines against its declared total."""
     rows = lines(spark, sf_dir)
     d = M.reconcile_documents(rows, "doc", "amount", "doc_total").join(rows.groupBy("doc").agg(F.min("mechanism").alias("mechanism")), "doc")
-    q = F.percentile("ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = d.groupBy("mechanism").agg(F.count("*").alias("n_docs"), F.count_if("outside").alias("n_outside"), q.alias("q"))
+    d = d.withColumn("mechanism", F.coalesce("mechanism", F.lit("")))
+    g = d.groupBy("mechanism").agg(F.count("*").alias("n_docs"), F.count_if("outside").alias("n_outside")).join(R.quantiles(d, ["mechanism"], "ratio", [0.25, 0.5, 0.75]), "mechanism", "left")
+    g = g.withColumn("mechanism", F.nullif("mechanism", F.lit("")))
     return g.select("mechanism", "n_docs", "n_outside", *(F.round(F.col("q")[k], 6).alias(f"q{k + 1}") for k in range(3)))
 
 

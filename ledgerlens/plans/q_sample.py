@@ -94,7 +94,20 @@ def weighted_estimate(spark, sf_dir):
     return S.weighted_estimate(weighted(spark, sf_dir), F.col("flag") == "R", "weight")
 
 
-@query()
+def _poisson() -> str:
+    """Poisson(1) counts of a uniform u, by the cumulative probabilities of 0 to 7."""
+    steps, p, total = [], 0.36787944117144233, 0.0
+    for k in range(8):
+        total += p
+        steps.append(f"CAST(u >= {total!r}::DOUBLE AS INTEGER)")
+        p /= k + 1
+    return " + ".join(steps)
+
+
+@query(f"""WITH {_WEIGHTED}, k AS (SELECT doc || '|' || line || '|' || cid AS k, weight, CASE WHEN flag = 'R' THEN 1 ELSE 0 END AS v FROM x),
+d AS (SELECT b, weight, v, CAST(CAST('0x' || substr(md5(k || '|' || b || '|1'), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}::DOUBLE AS u FROM k, range(4000) r(b)),
+e AS (SELECT 100 * sum(({_poisson()}) * weight * v) / nullif(sum(({_poisson()}) * weight), 0) AS e FROM d GROUP BY b)
+SELECT (SELECT count(*) FROM k) AS n, (SELECT round(100 * sum(v * weight) / sum(weight), 6) FROM k) AS estimate, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high FROM e""")
 def bootstrap_ci(spark, sf_dir):
     """E5: the share with its bootstrap interval."""
     return S.bootstrap(weighted(spark, sf_dir).withColumn("k", F.concat_ws("|", "doc", "line", "cid")), "k", F.col("flag") == "R", "weight")

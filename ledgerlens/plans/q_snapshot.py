@@ -10,7 +10,7 @@ from ..operators import snapshot as S
 from .registry import query
 from .standin import snapshot, snapshot_sql, table
 
-_TOKENS = ", ".join(f"'{t}'" for t in C.NULL_TOKENS)
+_TOKENS = ", ".join(f"'{t}'" for t in C.NULL_TOKENS + C.NULL_KEYS)
 
 
 def read(spark, sf_dir, version):
@@ -145,3 +145,10 @@ def record_consolidation(spark, sf_dir):
     """One row a key, with its first value of each field and its flags."""
     rows = read(spark, sf_dir, 1).select((F.col("key") % 5000).alias("k"), F.col("published").cast("string").alias("published"), "supplier", (F.col("status") == "F").alias("closed"))
     return S.consolidate(rows, "k", ["published", "supplier"], ["closed"])
+
+
+@query(f"SELECT year, month, count(*) AS n, count(awarded) AS n_awarded FROM ({snapshot_sql(2)}) WHERE year * 12 + month BETWEEN 1996 * 12 + 11 AND 1998 * 12 + 2 GROUP BY 1, 2")
+def snapshot_period(spark, sf_dir):
+    """a snapshot's rows of a run of months, both ends included."""
+    rows = snapshot(spark, sf_dir, 2).where(S.in_period(F.col("year"), F.col("month"), (1996, 11), (1998, 2)))
+    return rows.groupBy("year", "month").agg(F.count("*").alias("n"), F.count("awarded").alias("n_awarded"))

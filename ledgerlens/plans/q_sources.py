@@ -166,3 +166,41 @@ def export_manifest(spark, sf_dir):
     path = sinks.scratch(spark, "export")
     sinks.write_summary(spark, f"{path}/summary", {"rows": o.count()})
     return sinks.gated_export(sinks.control(o, F.count("*"), float(o.count()), 0), tables, path, "run").drop("written")
+
+
+@query("SELECT CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n, count(o_orderpriority) AS n_priority FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1")
+def one_partition(spark, sf_dir):
+    """One partition by category and year, pruned by its folders."""
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    base = sinks.scratch(spark, "partition")
+    sinks.write_partitioned(o.withColumn("category", F.when(F.col("year") < 1998, "history").otherwise("current")), base, ["category", "year"])
+    return readers.read_partition(spark, base, "history", 1996).groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.count("o_orderpriority").alias("n_priority"))
+
+
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(DISTINCT month(o_orderdate)) AS BIGINT) AS n_months, CAST(sum(o_orderkey % 100) AS DOUBLE) AS total FROM orders GROUP BY 1")
+def lookup_under_schema(spark, sf_dir):
+    """A monthly lookup CSV with a header, under a given schema."""
+    path = sinks.scratch(spark, "lookup")
+    o = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.sum(F.col("o_orderkey") % 100).cast("double").alias("index"))
+    o.write.csv(path, header=True)
+    return readers.read_lookup(spark, path, "year int, month int, index double").groupBy("year").agg(F.count("month").alias("n_months"), F.sum("index").alias("total"))
+
+
+@query("""SELECT 'o_orderstatus' AS "column", 'missing' AS difference, 'string' AS type_before, NULL AS type_after, (SELECT count(o_orderstatus) FROM orders) AS filled_before, NULL::BIGINT AS filled_after
+UNION ALL SELECT 'o_custkey', 'type', 'bigint', 'string', (SELECT count(o_custkey) FROM orders), (SELECT count(o_custkey) FROM orders) UNION ALL SELECT 'note', 'extra', NULL, 'string', NULL, (SELECT count(*) FILTER (WHERE o_orderkey % 3 = 0) FROM orders)
+UNION ALL SELECT 'o_totalprice', 'order', 'double', 'double', (SELECT count(o_totalprice) FROM orders), (SELECT count(o_totalprice) FROM orders) UNION ALL SELECT 'o_orderdate', 'order', 'timestamp', 'timestamp', (SELECT count(o_orderdate) FROM orders), (SELECT count(o_orderdate) FROM orders)
+UNION ALL SELECT 'o_orderpriority', 'order', 'string', 'string', (SELECT count(o_orderpriority) FROM orders), (SELECT count(o_orderpriority) FROM orders)""")
+def schema_differences(spark, sf_dir):
+    """Two downloads whose columns, types and order differ, with their filled values."""
+    o = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    later = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_totalprice", "o_orderdate", "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "x").alias("note"))
+    d = readers.schema_conformance(o, later)
+    counts = [readers.filled_columns(x).withColumnRenamed("n_filled", f"filled_{w}") for x, w in ((o, "before"), (later, "after"))]
+    return d.join(counts[0], "column", "left").join(counts[1], "column", "left")
+
+
+@query("""SELECT 'key' AS field, 'o_orderkey' AS "column", NULL AS warning, (SELECT count(o_orderkey) FROM orders) AS n_filled UNION ALL SELECT 'amount', 'o_totalprice', chr(39) || 'Total Price' || chr(39) || ' matched ' || chr(39) || 'o_totalprice' || chr(39) || ' in part only', (SELECT count(o_totalprice) FROM orders)
+UNION ALL SELECT 'status', NULL, chr(39) || 'order' || chr(39) || ' matches 4 columns in part', NULL UNION ALL SELECT 'tax', NULL, 'none of [' || chr(39) || 'vat' || chr(39) || '] found', NULL""")
+def announced_partial_match(spark, sf_dir):
+    """R2: columns found exactly, in part (which is announced), ambiguously or not at all."""
+    return R.resolution(table(spark, sf_dir, "orders"), {"key": ["O_ORDERKEY"], "amount": ["Total Price"], "status": ["order"], "tax": ["vat"]})

@@ -196,7 +196,20 @@ def match_quality(spark, sf_dir):
     return M.match_summary(_ranked(spark, sf_dir, M.words))
 
 
-@query()
+def _grams_sql(table: str, key: str, text: str) -> str:
+    return f"""SELECT {key}, substr(w, CAST(k AS BIGINT), n) AS term FROM (SELECT {key}, ' ' || unnest(string_split({text}, ' ')) || ' ' AS w FROM {table}), (VALUES (3), (4), (5)) g(n), range(1, 60) r(k)
+  WHERE length(w) > 2 AND k <= greatest(1, length(w) - n + 1)"""
+
+
+# sublinear weights of character grams in place of words
+_GRAM_RANK = (
+    _WORD_RANK.replace("SELECT code, unnest(string_split(name, ' ')) AS term FROM cat", _grams_sql("cat", "code", "name")).replace("SELECT id, unnest(string_split(txt, ' ')) AS term FROM docs", _grams_sql("docs", "id", "txt"))
+    .replace("tf * idf", "(1 + ln(tf)) * idf")
+)
+_WITHIN = "(SELECT round(100.0 * avg(CASE WHEN declared_rank <= 10 THEN 1 ELSE 0 END), 6) FROM j)"
+
+
+@query(f"SELECT a AS first_rate, b AS second_rate, abs(a - b) <= 10 AS consistent FROM (WITH {_WORD_RANK} SELECT {_WITHIN} AS a), (WITH {_GRAM_RANK} SELECT {_WITHIN} AS b)")
 def tfidf_char_rank(spark, sf_dir):
     """M4, M9: ranks by character 3-5-gram TF-IDF, and whether they tell the same as words."""
     one = M.match_summary(_ranked(spark, sf_dir, M.words))
@@ -208,7 +221,7 @@ def word2vec_sibling(spark, sf_dir):
     """The best sibling by Word2Vec over the joint corpus."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("family"), M.words(C.norm_text(F.concat_ws(" ", "p_type", "p_brand"))).alias("terms"))
     cat = p.where("id % 5 = 0")
-    model = M.word_vectors(p.select("terms").unionByName(cat.select("terms")), "terms", size=16)
+    model = M.word_vectors(p.select("terms").unionByName(cat.select("terms")), "terms", size=100)
     return M.best_sibling(M.embed(model, p.where("id % 5 <> 0")), M.embed(model, cat).withColumnRenamed("id", "code"), "id", "family", "vector", "code")
 
 

@@ -121,6 +121,11 @@ def schema_conformance(one: DataFrame, other: DataFrame) -> DataFrame:
     return j.select("column", what.alias("difference"), F.col("type").alias("type_before"), F.col("t2").alias("type_after")).where("difference is not null")
 
 
+def filled_columns(rows: DataFrame) -> DataFrame:
+    """(column, n_filled) in one pass."""
+    return rows.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.count(F.col(f"`{c}`")).alias("n_filled")) for c in rows.columns)).alias("c")).select(F.inline("c"))
+
+
 def file_inventory(rows: DataFrame, part: str, low: float = 0.6, high: float = 1.6) -> DataFrame:
     """Per partition: files, rows, bytes, bytes a row, and whether that is far from the
     median partition's. Read the frame from files: it uses their metadata."""
