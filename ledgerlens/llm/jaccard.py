@@ -3,9 +3,10 @@
 Candidates are the links of SimHash BK-trees and pairs that agree in a MinHash band (24
 bands of 5: a pair of similarity 0.8 is missed about once in 14,000). A node is a distinct
 set of shingles, so copies cost one entry. Each bucket is first compared with its least
-node. Of its members that this leaves apart, two can only be similar if they share one of
-the fifth of their shingles that are rarest in the bucket (prefix filter: exact), so only
-those meet: a passage that many documents share does not pair them all.
+node. Of members that this leaves apart, those of a small bucket meet each other; those of
+larger ones meet only if they share one of the fifth of their shingles that are rarest
+among such members. Similar sets always do (prefix filter: exact), while a passage that
+many documents share does not pair them all.
 """
 
 from __future__ import annotations
@@ -110,31 +111,29 @@ def _shingler(size: int, seed: int):
         import numpy as np
         import pyarrow as pa
 
-        names = ["band", "node", "component", "size", "shingle"]
         for batch in sliced(batches, 32):
             sets = [np.unique(_hashes(x.as_py(), size, seed)) for x in batch.column("text")]
             n = [len(x) for x in sets]
-            if not sum(n):
-                continue
-            cols = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in names[:3]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(sets).view(np.int64))], names)
+            if sum(n):
+                nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), n)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(np.array(n, np.int32), n)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "size", "shingle"])
 
     return run
 
 
-def _prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, least: float, seed: int) -> DataFrame:
-    """(a, b): pairs of a bucket's members, of different components, that share a shingle of
-    both prefixes. placed has band, node and component."""
-    sets = placed.join(texts, "node").select("band", "node", "component", "text").mapInArrow(_shingler(size, seed), "band long, node long, component long, size long, shingle long")
-    sets = cut(sets)
-    # rarest first; least of the shingles must be shared, so one of the others and one more is
-    seen = sets.groupBy("band", "shingle").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("band", "node").orderBy("n", "shingle")
-    ranked = sets.join(seen, ["band", "shingle"]).withColumn("rk", F.row_number().over(order))
+def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, least: float, seed: int) -> DataFrame:
+    """(a, b): pairs of different components that share a shingle of both prefixes. members
+    has distinct node and component."""
+    sets = cut(members.select("node").join(texts, "node").select("node", "text").mapInArrow(_shingler(size, seed), "node long, size int, shingle long"))
+    # rarest first; ``least`` of the shingles must be shared, so one of the others and one more is
+    seen = sets.groupBy("shingle").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "shingle")
+    ranked = sets.join(seen, "shingle").withColumn("rk", F.row_number().over(order))
     prefix = ranked.where((F.col("rk") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1) & (F.col("n") > 1))
-    left, right = (prefix.select("band", "shingle", F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("size").alias(f"n_{x}")) for x in "ab")
+    prefix = cut(prefix.select("node", "size", "shingle").join(members, "node"))
+    left, right = (prefix.select("shingle", F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("size").alias(f"n_{x}")) for x in "ab")
     long_enough = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    return left.join(right, ["band", "shingle"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & long_enough).select("a", "b")
+    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & long_enough).select("a", "b")
 
 
 def with_node(docs: DataFrame, name: str, text_col: str = "text", size: int = 5, seed: int = 42) -> DataFrame:
@@ -144,9 +143,10 @@ def with_node(docs: DataFrame, name: str, text_col: str = "text", size: int = 5,
     return fed.mapInArrow(_noder(schema.names, size, seed), schema)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 64) -> DataFrame:
     """(node, least_id, component) of every distinct set of shingles; sets whose Jaccard
-    similarity is ``least`` or more are linked. Texts without a word are one node."""
+    similarity is ``least`` or more are linked. Texts without a word are one node. The
+    result is the same for every ``small``, the most members of a bucket that all meet."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = rows.mapInArrow(_signer(size, seed), "doc_id long, node long, fp long, bands array<long>")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")))
@@ -172,19 +172,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     joined = components(links)
     # pairs of a bucket that the hubs left apart
     placed = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("band").agg(F.count_distinct("component").alias("n")).where("n > 1").select("band")
+    apart = placed.groupBy("band").agg(F.count_distinct("component").alias("n"), F.count("*").alias("members")).where("n > 1").select("band", "members")
     placed = cut(placed.join(apart, "band"))
-    second = _prefix_pairs(placed, texts, size, least, seed).distinct().join(first, ["a", "b"], "left_anti")
+    left, right = (placed.where(F.col("members") <= small).select("band", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    second = left.join(right, "band").where("a < b and of_a <> of_b").select("a", "b")
+    many = placed.where(F.col("members") > small).select("node", "component").distinct()
+    second = ordered(second.unionByName(_prefix_pairs(many, texts, size, least, seed))).join(first, ["a", "b"], "left_anti")
     more = cut(similar(second))
     joined = components(links.unionByName(more))
     return nodes.join(joined, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 64) -> DataFrame:
     """One row of each group, that of its smallest id; columns as they come. Rows that share
     an id but not a group are kept apart; rows without an id stay."""
     node, key = fresh("node", docs.columns), fresh("key", docs.columns)
-    found = groups(docs, id_col, text_col, size=size, least=least, seed=seed).where("least_id is not null")
+    found = groups(docs, id_col, text_col, size=size, least=least, seed=seed, small=small).where("least_id is not null")
     first = found.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("f")).select(F.col("f.least_id").alias(key), F.col("f.node").alias(node))
     rows = with_node(docs.where(F.col(id_col).isNotNull()), node, text_col, size, seed).withColumn(key, F.col(id_col).cast("long"))
     kept = rows.join(first, [key, node]).dropDuplicates([key, node]).select(*docs.columns)

@@ -207,6 +207,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     near = named.join(frequent, "lang").where(unit_hash("id") < 8 * docs_per_lang / F.col("n"))
     w = Window.partitionBy("lang").orderBy(unit_hash("id"), "id")
     chosen = near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= docs_per_lang).select("id").distinct()
+    if frequent.count() * docs_per_lang <= 1_000_000:  # ids at most; of more languages the join is left to Spark
+        chosen = F.broadcast(chosen)
     sample = rows.join(chosen, rows[id_col] == chosen["id"]).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (unit_hash("id", F.lit("fold")) < 0.5).alias("fold"))
     if limits:
         return _with_limits(sample)

@@ -513,6 +513,8 @@ def test_pipeline_drops_all_copies_of_similarity_08(spark):
     got = corpus_pipeline.near_dedup(spark, df, "")
     assert got.columns == df.columns and sorted((r.doc_id for r in got.collect() if r.doc_id is not None)) == want
     assert got.where("doc_id is null").count() == 1 and 60 < len(want) < 200
+    by_prefix = jaccard.keep_first(df, small=1)
+    assert sorted(r.doc_id for r in by_prefix.collect() if r.doc_id is not None) == want
 
 
 # --- 7: mixing
