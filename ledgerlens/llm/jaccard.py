@@ -50,7 +50,7 @@ def _signer(size: int, seed: int, step: int = 4096):
         a = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
         powers = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-        for batch in sliced(batches):
+        for batch in sliced(batches, 64):
             nodes, prints, bands = [], [], []
             for text in batch.column("text"):
                 h = _hashes(text.as_py(), size, seed)
@@ -90,7 +90,7 @@ def _judge(size: int, least: float):
     def run(batches):
         import pyarrow as pa
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, 32):
             kept, last, x = [], None, set()
             for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 if a != last:
@@ -143,7 +143,7 @@ def with_node(docs: DataFrame, name: str, text_col: str = "text", size: int = 5,
     return fed.mapInArrow(_noder(schema.names, size, seed), schema)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 64) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 1000) -> DataFrame:
     """(node, least_id, component) of every distinct set of shingles; sets whose Jaccard
     similarity is ``least`` or more are linked. Texts without a word are one node. The
     result is the same for every ``small``, the most members of a bucket that all meet."""
@@ -183,7 +183,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     return nodes.join(joined, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 64) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 1000) -> DataFrame:
     """One row of each group, that of its smallest id; columns as they come. Rows that share
     an id but not a group are kept apart; rows without an id stay."""
     node, key = fresh("node", docs.columns), fresh("key", docs.columns)

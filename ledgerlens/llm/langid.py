@@ -269,7 +269,7 @@ def _scorer(shared, names: list[str]):
         import pyarrow as pa
 
         trees = shared.value
-        for batch in sliced(batches):
+        for batch in sliced(batches, 64):
             texts = [x.encode() if x else b"" for x in batch.columns[-2].to_pylist()]
             letters = np.array(batch.columns[-1].to_pylist(), bool)
             bits = trees.code_lengths(texts)
