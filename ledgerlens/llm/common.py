@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,16 @@ def sliced(batches, rows: int = 256):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 256):
+    """Jobs run inside hand Python at most so many rows at once (rows of two texts can be
+    long); the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -3,8 +3,8 @@
 Candidates are the links of SimHash BK-trees and pairs that agree in a MinHash band (24
 bands of 5: a pair of similarity 0.8 is missed about once in 14,000). A node is a distinct
 set of shingles, so copies cost one entry. Each bucket is first compared with its least
-node. Of members that this leaves apart, those of a small bucket meet each other; those of
-larger ones meet only if they share one of the fifth of their shingles that are rarest
+node. Of members that this leaves apart, those of a bucket with few such pairs meet each
+other; those of others meet only if they share one of the fifth of their shingles that are rarest
 among such members. Similar sets always do (prefix filter: exact), while a passage that
 many documents share does not pair them all.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, fresh, sliced
+from .common import cut, fresh, short_batches, sliced
 from .components import components
 from .simhash import BITS, fingerprint_links, shingles
 
@@ -143,10 +143,10 @@ def with_node(docs: DataFrame, name: str, text_col: str = "text", size: int = 5,
     return fed.mapInArrow(_noder(schema.names, size, seed), schema)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 1000) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000) -> DataFrame:
     """(node, least_id, component) of every distinct set of shingles; sets whose Jaccard
     similarity is ``least`` or more are linked. Texts without a word are one node. The
-    result is the same for every ``small``, the most members of a bucket that all meet."""
+    result is the same for every ``small``, the most pairs of a bucket that all meet."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = rows.mapInArrow(_signer(size, seed), "doc_id long, node long, fp long, bands array<long>")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")))
@@ -168,22 +168,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
         one, other = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_judge(size, least), "a long, b long")
 
-    links = cut(similar(first))
+    with short_batches(docs.sparkSession):
+        links = cut(similar(first))
     joined = components(links)
     # pairs of a bucket that the hubs left apart
     placed = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("band").agg(F.count_distinct("component").alias("n"), F.count("*").alias("members")).where("n > 1").select("band", "members")
+    # how many pairs of a bucket's members lie in different components
+    sizes = placed.groupBy("band", "component").agg(F.count("*").cast("double").alias("m")).groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    apart = sizes.select("band", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("crossing")).where("crossing > 0")
     placed = cut(placed.join(apart, "band"))
-    left, right = (placed.where(F.col("members") <= small).select("band", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    left, right = (placed.where(F.col("crossing") <= small).select("band", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     second = left.join(right, "band").where("a < b and of_a <> of_b").select("a", "b")
-    many = placed.where(F.col("members") > small).select("node", "component").distinct()
+    many = placed.where(F.col("crossing") > small).select("node", "component").distinct()
     second = ordered(second.unionByName(_prefix_pairs(many, texts, size, least, seed))).join(first, ["a", "b"], "left_anti")
-    more = cut(similar(second))
+    with short_batches(docs.sparkSession):
+        more = cut(similar(second))
     joined = components(links.unionByName(more))
     return nodes.join(joined, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 1000) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000) -> DataFrame:
     """One row of each group, that of its smallest id; columns as they come. Rows that share
     an id but not a group are kept apart; rows without an id stay."""
     node, key = fresh("node", docs.columns), fresh("key", docs.columns)
