@@ -7,29 +7,41 @@ node. Of members that this leaves apart, those of a bucket with few such pairs m
 other; those of others meet only if they share one of the fifth of their shingles that are rarest
 among such members. Similar sets always do (prefix filter: exact), while a passage that
 many documents share does not pair them all.
+
+The rows are written once to the shared folder with what is made of their texts. From
+then on texts travel only for sets that have a candidate, and rows not at all while those
+that go are few enough to be broadcast.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import cut, fresh, short_batches, sliced
+from .common import cut, fresh, shared_dir, short_batches, sliced
 from .components import components
-from .simhash import BITS, fingerprint_links, shingles
+from .simhash import BITS, fingerprint_links
 
 BANDS, ROWS = 24, 5
 
+#: Numbers (8 bytes each) that are broadcast at most, after they were counted.
+FEW = 1_000_000
 
-def _hashes(text: str | None, size: int, seed: int):
-    import itertools
 
+def _hashes(text: str | None, size: int, seed: int):
+    """Hashes of the word shingles, as ``simhash.shingles`` has them; no list of them is held."""
     import numpy as np
     import xxhash
 
-    got = shingles(text, size)
-    return np.fromiter(map(xxhash.xxh64_intdigest, got, itertools.repeat(seed)), np.uint64, len(got))
+    words = (text or "").encode().lower().split()
+    if len(words) < size:
+        words, size = [b" ".join(words)] if words else [], 1
+    got = map(b" ".join, zip(*(itertools.islice(words, k, None) for k in range(size)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, got, itertools.repeat(seed)), np.uint64, max(0, len(words) - size + 1))
 
 
 def _node(unique) -> int:
@@ -38,8 +50,9 @@ def _node(unique) -> int:
     return xxhash.xxh64_intdigest(unique.tobytes()) - (1 << 63)
 
 
-def _signer(size: int, seed: int, step: int = 4096):
-    """(doc_id, node, fp, bands) of each text; long texts are counted piece by piece."""
+def _signer(names: list[str], size: int, seed: int, step: int = 4096):
+    """Appends node, fp and bands to the rows, in place of their last column, the text; long
+    texts are counted piece by piece."""
 
     def run(batches):
         import numpy as np
@@ -52,7 +65,7 @@ def _signer(size: int, seed: int, step: int = 4096):
         powers = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
         for batch in sliced(batches, 64):
             nodes, prints, bands = [], [], []
-            for text in batch.column("text"):
+            for text in batch.columns[-1]:
                 h = _hashes(text.as_py(), size, seed)
                 u = np.unique(h)
                 ones, least = np.zeros(BITS, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -63,42 +76,29 @@ def _signer(size: int, seed: int, step: int = 4096):
                 nodes.append(_node(u))
                 prints.append(((2 * ones > len(h)) * powers).sum(dtype=np.uint64))
                 bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))] if len(u) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"]
-            )
+            made = [pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
 
     return run
 
 
-def _noder(names: list[str], size: int, seed: int):
-    """Appends the node to the rows, in place of their last column, the text."""
+def _judge(size: int, least: float, seed: int):
+    """The pairs (a, b) whose shingle sets are similar enough; sets are sorted hashes."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches):
-            made = pa.array([_node(np.unique(_hashes(x.as_py(), size, seed))) for x in batch.columns[-1]], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names)
-
-    return run
-
-
-def _judge(size: int, least: float):
-    """The pairs (a, b) whose shingle sets are similar enough."""
-
-    def run(batches):
-        import pyarrow as pa
-
         for batch in sliced(batches, 32):
-            kept, last, x = [], None, set()
-            for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if a != last:
-                    last, x = a, set(shingles(s, size))
-                y = set(shingles(t, size))
-                both = len(x & y)
+            kept, last, x = [], None, None
+            a, b = (batch.column(c).to_pylist() for c in "ab")
+            for k, pair in enumerate(zip(a, b, strict=True)):
+                if pair[0] != last:
+                    last, x = pair[0], np.unique(_hashes(batch.column("text_a")[k].as_py(), size, seed))
+                y = np.unique(_hashes(batch.column("text_b")[k].as_py(), size, seed))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= least * (len(x) + len(y) - both):
-                    kept.append((a, b))
+                    kept.append(pair)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in kept], pa.int64()), pa.array([p[1] for p in kept], pa.int64())], ["a", "b"])
 
     return run
@@ -136,11 +136,22 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, least: float,
     return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & long_enough).select("a", "b")
 
 
-def with_node(docs: DataFrame, name: str, text_col: str = "text", size: int = 5, seed: int = 42) -> DataFrame:
-    """docs with a column that is equal for texts of the same shingles."""
-    fed = docs.select("*", F.col(text_col).cast("string").alias(fresh("text_", docs.columns)))
-    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
-    return fed.mapInArrow(_noder(schema.names, size, seed), schema)
+def _few(numbers: DataFrame) -> DataFrame:
+    """Marked for broadcast if counted few; else Spark joins by shuffle."""
+    return F.broadcast(numbers) if numbers.count() <= FEW else numbers
+
+
+def _signed(docs: DataFrame, text_col: str, size: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """docs, read back from the shared folder with a number of each row and the node, fp and
+    bands of its text; the names of these four."""
+    names = [fresh(x, docs.columns) for x in ("row", "node", "fp", "bands")]
+    fed = docs.select("*", F.monotonically_increasing_id().alias(names[0]), F.col(text_col).cast("string").alias(fresh("text_", docs.columns)))
+    kinds = [LongType(), LongType(), LongType(), ArrayType(LongType())]
+    schema = StructType([*docs.schema.fields, *map(StructField, names, kinds)])
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/signed-{uuid.uuid4().hex}"
+    with short_batches(docs.sparkSession):
+        fed.mapInArrow(_signer(schema.names, size, seed), schema).write.parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path), names
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000) -> DataFrame:
@@ -148,8 +159,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     similarity is ``least`` or more are linked. Texts without a word are one node. The
     result is the same for every ``small``, the most pairs of a bucket that all meet."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = rows.mapInArrow(_signer(size, seed), "doc_id long, node long, fp long, bands array<long>")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    return _grouped(_signed(rows, "text", size, seed)[0], size, least, seed, small).select("node", "lead.least_id", "component")
+
+
+def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int) -> DataFrame:
+    """(node, lead, component) from rows of doc_id, text, row, node, fp, bands; lead is the
+    least id of a node and the first row that has it, null where no row has an id."""
+    lead = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("least_id"), "row"))
+    nodes = cut(rows.groupBy("node").agg(F.min(lead).alias("lead"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")))
     # SimHash: nodes of one fingerprint, and BK-tree links between fingerprints
     reps = nodes.where(F.size("bands") > 0).groupBy("fp").agg(F.min("node").alias("rep"))
     same = nodes.join(reps, "fp").where("node <> rep and size(bands) > 0").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -161,14 +178,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = cut(ordered(close.unionByName(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))))
     wanted = first.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    named = with_node(rows.select("text"), "node", size=size, seed=seed)
-    texts = cut(named.join(wanted, named["node"] == wanted["want"], "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
+    texts = cut(rows.select("node", "text").join(_few(wanted), F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
 
     def similar(pairs: DataFrame) -> DataFrame:
         one, other = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_judge(size, least), "a long, b long")
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_judge(size, least, seed), "a long, b long")
 
-    with short_batches(docs.sparkSession):
+    with short_batches(rows.sparkSession):
         links = cut(similar(first))
     joined = components(links)
     # pairs of a bucket that the hubs left apart
@@ -181,18 +197,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     second = left.join(right, "band").where("a < b and of_a <> of_b").select("a", "b")
     many = placed.where(F.col("crossing") > small).select("node", "component").distinct()
     second = ordered(second.unionByName(_prefix_pairs(many, texts, size, least, seed))).join(first, ["a", "b"], "left_anti")
-    with short_batches(docs.sparkSession):
+    with short_batches(rows.sparkSession):
         more = cut(similar(second))
     joined = components(links.unionByName(more))
-    return nodes.join(joined, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    return nodes.join(joined, "node", "left").select("node", "lead", F.coalesce("component", "node").alias("component"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000) -> DataFrame:
     """One row of each group, that of its smallest id; columns as they come. Rows that share
     an id but not a group are kept apart; rows without an id stay."""
-    node, key = fresh("node", docs.columns), fresh("key", docs.columns)
-    found = groups(docs, id_col, text_col, size=size, least=least, seed=seed, small=small).where("least_id is not null")
-    first = found.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("f")).select(F.col("f.least_id").alias(key), F.col("f.node").alias(node))
-    rows = with_node(docs.where(F.col(id_col).isNotNull()), node, text_col, size, seed).withColumn(key, F.col(id_col).cast("long"))
-    kept = rows.join(first, [key, node]).dropDuplicates([key, node]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    void = {c for c, kind in docs.dtypes if kind == "void"}  # no file format stores these
+    rows, (row, node, fp, bands) = _signed(docs.withColumns({c: F.col(c).cast("string") for c in void}), text_col, size, seed)
+    own = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(x) for c, x in ((row, "row"), (node, "node"), (fp, "fp"), (bands, "bands"))))
+    found = cut(_grouped(own, size, least, seed, small).where("lead is not null").select("node", "component", "lead"))
+    first = found.groupBy("component").agg(F.min(F.struct("lead.least_id", "node", "lead.row")).alias("f")).select("component", F.col("f.row").alias("first"))
+    gone = own.where("doc_id is not null").select("row", "node").join(found.join(first, "component").select("node", "first"), "node").where("row <> first")
+    gone = cut(gone.select(F.col("row").alias(row)))
+    return rows.join(_few(gone), row, "left_anti").select(*(F.lit(None).alias(c) if c in void else F.col(c) for c in docs.columns))

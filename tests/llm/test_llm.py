@@ -489,7 +489,7 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_pipeline_drops_all_copies_of_similarity_08(spark):
+def test_pipeline_drops_all_copies_of_similarity_08(spark, monkeypatch):
     import corpus_pipeline
 
     rng, rows = random.Random(4), []
@@ -515,6 +515,18 @@ def test_pipeline_drops_all_copies_of_similarity_08(spark):
     assert got.where("doc_id is null").count() == 1 and 60 < len(want) < 200
     by_prefix = jaccard.keep_first(df, small=1)
     assert sorted(r.doc_id for r in by_prefix.collect() if r.doc_id is not None) == want
+    monkeypatch.setattr(jaccard, "FEW", 0)  # nothing is broadcast
+    by_shuffle = jaccard.keep_first(df.withColumn("nothing", F.lit(None)))
+    assert by_shuffle.columns == [*df.columns, "nothing"] and by_shuffle.schema["nothing"].dataType.simpleString() == "void"
+    assert sorted(r.doc_id for r in by_shuffle.collect() if r.doc_id is not None) == want
+    assert jaccard.keep_first(df.limit(0)).count() == 0
+
+
+def test_shingle_hashes_are_those_of_the_shingles():
+    import xxhash
+
+    for text in (None, "", " \n", "One", "a b c d", "a b c d e", "Ä B\tc d\x0be f g", LONG):
+        assert jaccard._hashes(text, 5, 42).tolist() == [xxhash.xxh64_intdigest(x, 42) for x in simhash.shingles(text, 5)]
 
 
 # --- 7: mixing
