@@ -16,15 +16,27 @@ from ledgerlens.llm.common import crc_mod, shared_dir, table
 from ledgerlens.llm.queries import tokenizer_file
 
 
+#: Rows that Python workers are handed at once: documents can be long.
+BATCH = 256
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """For the session, since a stage's result is only computed when it is written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(BATCH, int(spark.conf.get(name)) if int(spark.conf.get(name)) > 0 else BATCH)))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language: null texts, texts without a letter, and texts whose
     PPM code is far longer than those of the language that codes them best."""
+    _short_batches(spark)
     trees = langid.train(docs, where=crc_mod("doc_id", 3) != 1, limits=True)
     return langid.keep_identified(docs, trees)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose calibrated toxicity is 0.5 or more."""
+    _short_batches(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -41,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the BPE ids of their whole texts."""
+    _short_batches(spark)
     return bpe.encode(docs, bpe.vocabulary(tokenizer_file("byte_bpe_50k.json")))
 
 
