@@ -229,7 +229,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # ``sample`` short rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     rows = rows.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
-    rows = cut(rows.repartition(12, "id"))
+    # in one order, lest trees depend on how rows arrive
+    rows = cut(rows.repartition(12, "id").sortWithinPartitions("id", "text"))
     calibrates = crc_mod("id", 5) == 4
     seen = {(r.c, r.label): r["count"] for r in rows.groupBy(calibrates.alias("c"), "label").count().collect()}
     total = sum(seen.values())
@@ -238,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return ToxicityModel({}, None, None, base)
     lexicon = learn_lexicon(rows.where(~calibrates))
     fed, names = add_features(rows, F.col("text"), lexicon)
-    fed = cut(VectorAssembler(inputCols=names, outputCol="features").transform(fed.withColumn("c", calibrates)).select("features", "label", "c").coalesce(6))
+    fed = cut(VectorAssembler(inputCols=names, outputCol="features").transform(fed.withColumn("c", calibrates)).select("features", "label", "c"))
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=64, minInstancesPerNode=2, seed=7).fit(fed.where(~F.col("c")))
     isotonic = None
     if seen.get((True, 0.0)) and seen.get((True, 1.0)):
