@@ -12,6 +12,97 @@ WITH pairs AS (
 SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, distance FROM ranked WHERE rk <= 10
 """
 
+HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM usable a, usable c WHERE a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+_WHITE = r"[^\x20\x09-\x0D]"
+
+
+def _row(x: str, more: str, cost: str, op: str, line: str) -> str:
+    """A state after one more edit: (cost, audit, repaired rows), null where it is out of reach."""
+    return f"CASE WHEN {x} IS NOT NULL{more} THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{op}', 't': {x}.t || {line}}} END"
+
+
+def conversation_repair() -> str:
+    """The DP row by row: x0 to x3 are the states (nothing yet, after system, user, assistant)
+    before a row, y0 to y3 after any insertions, each the least (cost, audit)."""
+    user, assistant, none = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "''"
+    insert = lambda x, line: _row(x, "", "5", "I", line)
+    closed = f"""least(x2, {insert("x0", user)}, {insert("x1", user)}, {insert("x3", user)})"""
+    drop = lambda y: _row(y, "", "2", "D", none)
+
+    def stay(y: str, initial: str, role: str) -> str:
+        kept = _row(y, f" AND NOT gone AND left(role, 1) = '{initial}'", "late", "K", "chr(10) || role || ':' || text")
+        recast = _row(y, f" AND NOT gone AND left(role, 1) <> '{initial}'", "late + 1", "R", f"chr(10) || '{role}:' || text")
+        return f"{kept}, {recast}" if role else kept
+
+    return rf"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END)) % 20 AS k
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM base, LATERAL (SELECT unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+    regexp_extract(text, '({_WHITE})[\x20\x09-\x0D]*$', 1) AS last
+  FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{_WHITE}') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(last, '[.!?]') THEN 'truncated' ELSE '' END AS fault,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS pos
+  FROM seen
+), lines AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM faults
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal, count(*) AS n
+  FROM lines GROUP BY conv_id
+), convs AS (SELECT DISTINCT conv_id FROM conversations
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS x0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS x1,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS x2, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS x3 FROM convs
+  UNION ALL
+  SELECT conv_id, pos, {drop("y0")}, least({drop("y1")}, {stay("y0", "s", "")}),
+    least({drop("y2")}, {stay("y0", "u", "user")}, {stay("y1", "u", "user")}, {stay("y3", "u", "user")}), least({drop("y3")}, {stay("y2", "a", "assistant")})
+  FROM (
+    SELECT z.conv_id, l.pos, role, text, gone, late, y0, y1, y2, least(x3, {insert("y2", assistant)}) AS y3
+    FROM (SELECT *, x0 AS y0, x1 AS y1, {closed} AS y2 FROM steps) z JOIN lines l ON l.conv_id IS NOT DISTINCT FROM z.conv_id AND l.pos = z.pos + 1)
+), ends AS (
+  SELECT s.conv_id, least(x0, x3, {insert("y2", assistant)}) AS best
+  FROM (SELECT *, {closed} AS y2 FROM steps) s LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.pos = coalesce(c.n, 0)
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+CONVERSATION_REPAIR = conversation_repair()
+
 CHAT_WINDOWS = r"""
 WITH turns AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fertility, hamming, htmltext, langid, mixing, oracles, sharding, simhash, toxicity
-from .common import crc_mod, table
+from . import bpe, chat, fertility, hamming, htmltext, langid, mixing, negatives, oracles, packing, repair, sharding, simhash, toxicity
+from .common import crc_mod, shared_dir, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -85,6 +87,27 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), model, group=F.col("lang"), ranks=ranks)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, size and checksum of every document's ids, read back from bit-packed files."""
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        source = f.read()
+    path = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    packing.write(table(spark, sf_dir, "documents"), path, source, end_id=2)
+    return packing.read(spark, path, ids=False)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of every conversation, damaged and repaired."""
+    rows = repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return repair.digests(rows, repair.plans(rows, copies="copies"), copies="copies")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives for each of five positives of every anchor (vec_id divisible by 50)."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -97,10 +120,13 @@ def queries() -> dict:
         "op8_chat_windows": op8_chat_windows,
         "op9_hash_tree_shards": op9_hash_tree_shards,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
+        "op11_token_files": op11_token_files,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that have one. The others are models (1, 2, 5), need a
-    tokenizer (4, 10) or hashes that SQL lacks (6, 9); tests compare those with brute force."""
-    return {"op3_hamming_top_k": oracles.HAMMING_TOP_K, "op7_mixing": oracles.mixing(), "op8_chat_windows": oracles.CHAT_WINDOWS}
+    tokenizer (4, 10, 11) or hashes that SQL lacks (6, 9); tests compare those with brute force."""
+    return {"op3_hamming_top_k": oracles.HAMMING_TOP_K, "op7_mixing": oracles.mixing(), "op8_chat_windows": oracles.CHAT_WINDOWS, "op12_conversation_repair": oracles.CONVERSATION_REPAIR, "op13_hard_negatives": oracles.HARD_NEGATIVES}

@@ -863,6 +863,9 @@ CONTRACT = {
     "op8_chat_windows": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9_hash_tree_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10_tokeniser_fertility": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op11_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op12_conversation_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 DATA = "/root/testdata/sf0.001"
 
@@ -881,7 +884,9 @@ def test_registered_query(spark, name):
     assert df.columns[: len(CONTRACT[name])] == CONTRACT[name]
     got = df.collect()
     ids = {"op5": ("pages", "page_id"), "op8": ("conversations", "conv_id")}.get(name.split("_")[0], ("documents", "doc_id"))
-    if name != "op3_hamming_top_k":
+    if name == "op12_conversation_repair":
+        assert sorted(r.conv_id for r in got) == sorted(x[0] for x in con.execute("SELECT DISTINCT conv_id FROM conversations").fetchall())
+    elif name not in ("op3_hamming_top_k", "op13_hard_negatives"):
         want = con.execute(f"SELECT {ids[1]} FROM {ids[0]}").fetchall()
         want = sorted({x[0] for x in want} | {-7}) if name == "op8_chat_windows" else sorted(x[0] for x in want)
         assert sorted(r[ids[1]] for r in got) == want
