@@ -8,6 +8,8 @@ from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer, StopWordsRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settled
+
 
 def label_funnel(rows: DataFrame, candidate: Column, broad: Column, strict: Column, guards: dict[str, Column]) -> DataFrame:
     """(step, name, n): candidates, broadly labelled, strictly labelled, and what is left
@@ -28,11 +30,12 @@ def split_by_year(rows: DataFrame, year: str, last_train: int, least: int = 1) -
     return train, test
 
 
-def text_pipeline(classifier: str, text: str, label: str, stop: list[str] = (), vocabulary: int = 20_000, least_docs: int = 2) -> Pipeline:
-    """TF-IDF over words and a Naive Bayes or multinomial logistic regression classifier."""
+def text_pipeline(classifier: str, text: str, label: str, stop: list[str] = (), vocabulary: int = 20_000, least_docs: int = 5, least_chars: int = 2) -> Pipeline:
+    """TF-IDF over words and a Naive Bayes or multinomial logistic regression classifier. Test
+    rows of a label that training has not seen stay, and count as errors."""
     stages = [
-        StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip", stringOrderType="frequencyDesc"),
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=" "),
+        StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="frequencyDesc"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=" ", minTokenLength=least_chars),
         StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop)),
         CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=vocabulary, minDF=least_docs),
         IDF(inputCol="_tf", outputCol="_tfidf"),
@@ -41,6 +44,49 @@ def text_pipeline(classifier: str, text: str, label: str, stop: list[str] = (),
     return Pipeline(stages=[*stages, last[classifier]])
 
 
+def naive_bayes(
+    train: DataFrame, test: DataFrame, key: str, label: str, terms: Column, vocabulary: int = 20_000, least_docs: int = 5, smoothing: float = 1.0, most: int = 5_000_000,
+) -> DataFrame:
+    """test with ``prediction``: multinomial Naive Bayes on TF-IDF, as aggregates and a join.
+
+    The vocabulary are the most frequent terms of at least so many training texts (ties by
+    name). A class scores the logarithm of its share, and for each term the text's weight
+    times the logarithm of the term's share in the class. What a class has not seen gives a
+    term that depends on the text's total weight only, so texts meet the classes that share a
+    term with them, and the best of all classes by that common part alone; a class that shares
+    terms never scores less than by that part. Ties go to the first label. Labels that
+    training lacks are never predicted. ``key`` is unique in test; smoothing is at least one. The model's weights are
+    counted, and broadcast up to ``most``.
+    """
+    if smoothing < 1:
+        raise ValueError("smoothing has to be one or more")
+    tf = train.select(key, F.col(label).alias("_y"), F.explode(terms).alias("term")).groupBy(key, "_y", "term").agg(F.count("*").alias("tf"))
+    n = train.agg(F.count("*").alias("_n"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_all")).where(F.col("df") >= least_docs).orderBy(F.desc("_all"), "term").limit(vocabulary)
+    idf = settled(df.join(F.broadcast(n)).select("term", F.log((F.col("_n") + 1) / (F.col("df") + 1)).alias("idf")))
+    # at most `vocabulary` rows
+    sums = settled(tf.join(F.broadcast(idf), "term").groupBy("_y", "term").agg(F.sum(F.col("tf") * F.col("idf")).alias("_s")))
+    size = idf.agg(F.count("*").alias("_v"))
+    classes = train.groupBy(F.col(label).alias("_y")).agg(F.count("*").alias("_k")).join(sums.groupBy("_y").agg(F.sum("_s").alias("_t")), "_y", "left")
+    k = classes.agg(F.count("*").alias("_c"))
+    lam = F.lit(float(smoothing))
+    share = F.log(F.col("_k") + lam) - F.log(F.col("_n") + lam * F.col("_c"))
+    den = F.log(F.coalesce("_t", F.lit(0.0)) + lam * F.col("_v"))
+    priors = settled(classes.join(F.broadcast(n)).join(F.broadcast(k)).join(F.broadcast(size)).select("_y", share.alias("_share"), den.alias("_den")))
+    model = sums.select("_y", "term", (F.log(F.col("_s") + lam) - F.log(lam)).alias("_g"))
+    model = F.broadcast(model) if sums.count() <= most else model
+    w = test.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    total = w.groupBy(key).agg(F.sum("w").alias("_w"))
+    common = lambda: F.col("_share") + F.coalesce("_w", F.lit(0.0)) * (F.log(lam) - F.col("_den"))
+    met = w.join(model, "term").groupBy(key, "_y").agg(F.sum(F.col("w") * F.col("_g")).alias("_m")).join(F.broadcast(priors), "_y").join(total, key)
+    met = met.groupBy(key).agg(F.min(F.struct((-F.round(common() + F.col("_m"), 9)).alias("far"), F.col("_y").alias("y"))).alias("_best"))
+    lines = priors.agg(F.collect_list(F.struct("_y", "_share", "_den")).alias("_lines"))  # one row, one entry a class
+    far = lambda c: -F.round(c["_share"] + F.coalesce("_w", F.lit(0.0)) * (F.log(lam) - c["_den"]), 9)
+    out = test.join(total, key, "left").join(met, key, "left").join(F.broadcast(lines))
+    plain = F.array_min(F.transform("_lines", lambda c: F.struct(far(c).alias("far"), c["_y"].alias("y"))))
+    return out.withColumn("prediction", F.array_min(F.array_compact(F.array(F.col("_best"), plain)))["y"]).drop("_w", "_best", "_lines")
+
+
 def confusion(predictions: DataFrame, label: str, prediction: str) -> DataFrame:
     return predictions.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
 

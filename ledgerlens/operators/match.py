@@ -2,60 +2,224 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import percent
+from ..sources.sinks import settled
+
 
+# fixed values: words of a purchase text that say nothing about the thing bought
+STOP = [
+    "de", "la", "el", "los", "las", "un", "una", "unos", "unas", "y", "o", "para", "por", "con", "sin", "en", "del", "al", "a", "que", "se", "su",
+    "sus", "lo", "es", "mas", "segun", "cada", "tipo", "marca", "modelo", "unidad", "unidades", "cantidad", "total", "neto", "iva", "codigo",
+]
 
-def words(text: Column, stop: list[str] = ()) -> Column:
-    """The distinct-keeping word array of a normalised text, without stop words."""
-    w = F.filter(F.split(text, " "), lambda x: x != "")
+
+def words(text: Column, stop: list[str] = (), least: int = 1) -> Column:
+    """The words of a normalised text in order, repeats kept, without stop words and those
+    of fewer characters than ``least``."""
+    w = F.filter(F.split(text, " "), lambda x: F.length(x) >= max(1, least))
     return F.filter(w, lambda x: ~x.isin(list(stop))) if stop else w
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams of each word, with a blank on either side."""
+    """Character n-grams inside each word with a blank on either side; a padded word shorter
+    than n has none of that length."""
+    padded = F.transform(words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = lambda n: F.flatten(
-        F.transform(words(text), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) + 2 - n + 1)), lambda k: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), k, F.lit(n))))
+        F.transform(F.filter(padded, lambda w: F.length(w) >= n), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda k: F.substr(w, k, F.lit(n))))
     )
     return F.concat(*(grams(n) for n in range(low, high + 1)))
 
 
-def tfidf(docs: DataFrame, key: str, terms: Column, idf: DataFrame | None = None, sublinear: bool = False) -> tuple[DataFrame, DataFrame]:
+def tfidf(docs: DataFrame, key: str, terms: Column, idf: DataFrame | None = None, sublinear: bool = False, smooth: bool = False) -> tuple[DataFrame, DataFrame]:
     """((key, term, w), idf): L2-normalised weights in long form. Without ``idf`` it is
-    fitted here: ln((n + 1) / (df + 1)); terms that the fitted documents lack weigh nothing."""
+    fitted here: ln((n + 1) / (df + 1)), plus one if ``smooth``, so that a term of every
+    document still weighs something. Terms that the fitted documents lack weigh nothing."""
     tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     if idf is None:
         n = docs.select(key).distinct().agg(F.count("*").alias("n"))
-        idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+        idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + int(smooth)).alias("idf"))
     f = 1 + F.log("tf") if sublinear else F.col("tf")
     w = tf.join(idf.select("term", "idf"), "term").select(key, "term", (f * F.col("idf")).alias("w")).where("w > 0")
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("w")), idf
 
 
-def similarities(texts: DataFrame, catalogue: DataFrame, key: str, code: str) -> DataFrame:
-    """(key, code, sim) for pairs that share a term: the sparse dot product as a join on
-    terms. A pair without a common term has similarity zero and no row."""
-    return texts.join(catalogue.withColumnRenamed("w", "_v"), "term").groupBy(key, code).agg(F.sum(F.col("w") * F.col("_v")).alias("sim"))
+#: Weights (a code, a term, a number) that a catalogue has at most; it is broadcast.
+MOST_WEIGHTS = 50_000_000
+
+
+@dataclass
+class Catalogue:
+    """A catalogue's TF-IDF rows in columns and rows, as sorted arrays, with what weighs texts."""
+
+    codes: np.ndarray
+    terms: np.ndarray
+    idf: np.ndarray
+    sublinear: bool
+    columns: tuple  # (start of each term, codes, weights), codes ascending
+    rows: tuple  # (start of each code, terms, weights), terms ascending
+    most: np.ndarray  # the largest weight of each term
+
+    def weigh(self, lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of a batch of word arrays: unit rows, ordered by row and term;
+        words that the catalogue lacks weigh nothing."""
+        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        coded = lists.flatten().dictionary_encode()
+        names = np.array([x or "" for x in coded.dictionary.to_pylist()], object)
+        if not len(names) or not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, names), len(self.terms) - 1)
+        at[self.terms[at] != names] = -1
+        j = at[np.asarray(coded.indices.fill_null(0), np.int64)]
+        row = np.repeat(np.arange(len(sizes)), sizes)[j >= 0]
+        both, n = np.unique(row * len(self.terms) + j[j >= 0], return_counts=True)
+        row, j = both // len(self.terms), both % len(self.terms)
+        w = (1 + np.log(n) if self.sublinear else n) * self.idf[j]
+        row, j, w = row[w > 0], j[w > 0], w[w > 0]
+        length = np.sqrt(np.bincount(row, w * w, len(sizes)))
+        return row, j, w / length[row]
+
+    def nearest(self, j: np.ndarray, w: np.ndarray, own: int | None, k: int, decimals: int) -> tuple[float | None, int, list]:
+        """(similarity of the code in row ``own``, how many codes are more similar, the k most
+        similar ones) of one text.
+
+        A term adds at most its weight times its largest weight in the catalogue, and terms
+        come by that bound, largest first. The first two give k codes that the k-th best has
+        to reach. As soon as all terms left could not lift a code to what is asked, they only
+        add to the codes that are still in reach, and propose none.
+        """
+        floor = None
+        if own is not None:
+            lo, hi = self.rows[0][own], self.rows[0][own + 1]
+            _, x, y = np.intersect1d(j, self.rows[1][lo:hi], assume_unique=True, return_indices=True)
+            floor = round(float((w[x] * self.rows[2][lo:hi][y]).sum()), decimals)
+        bound = w * self.most[j]
+        order = np.argsort(-bound, kind="stable")
+        j, w = j[order], w[order]
+        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
+        sums, (starts, codes, weights) = np.zeros(len(self.codes)), self.columns
+
+        def add(some):
+            for t in some:
+                lo, hi = starts[j[t]], starts[j[t] + 1]
+                sums[codes[lo:hi]] += w[t] * weights[lo:hi]
+
+        add(range(min(2, len(j))))
+        seen = sums[sums > 0]
+        kth = float(np.partition(seen, len(seen) - k)[len(seen) - k]) if len(seen) >= k else 0.0
+        least = min(kth, 2.0 if floor is None else floor) - 10.0 ** (1 - decimals)
+        essential = max(min(2, len(j)), int(np.count_nonzero(rest[:-1] >= least)))
+        add(range(2, essential))
+        near = np.flatnonzero(sums >= max(least - rest[essential], 10.0**-12))
+        for t in range(essential, len(j)):
+            lo, hi = starts[j[t]], starts[j[t] + 1]
+            at = np.minimum(np.searchsorted(codes[lo:hi], near), hi - lo - 1)
+            here = codes[lo:hi][at] == near
+            sums[near[here]] += w[t] * weights[lo:hi][at[here]]
+        found = np.round(sums[near], decimals)
+        above = int((found > floor).sum()) if floor is not None else 0
+        return floor, above, first_codes(self.codes[near], found, k)
+
+
+def first_codes(codes: np.ndarray, sims: np.ndarray, k: int) -> list[tuple[str, float]]:
+    """The k most similar codes above zero, ties by code; codes are ascending."""
+    some = np.flatnonzero(sims > 0)
+    if len(some) > k:
+        some = some[sims[some] >= np.partition(sims[some], len(some) - k)[len(some) - k]]
+    some = some[np.argsort(-sims[some], kind="stable")][:k]
+    return [(codes[i], float(sims[i])) for i in some]
+
+
+def fit_catalogue(docs: DataFrame, code: str, terms: Column, sublinear: bool = False, smooth: bool = False) -> Catalogue:
+    """The catalogue's weights, fitted by Spark and held by the driver: their number is
+    counted first, and one above MOST_WEIGHTS is an error."""
+    weights, idf = tfidf(docs, code, terms, sublinear=sublinear, smooth=smooth)
+    weights = settled(weights.join(idf.select("term", "idf"), "term").select(F.col(code).alias("code"), "term", "w", "idf"))
+    n = weights.count()
+    if n > MOST_WEIGHTS:
+        raise ValueError(f"a catalogue of {n} weights is too large to broadcast")
+    held = weights.toPandas()
+    empty = docs.select(F.col(code).alias("code")).distinct().join(weights.select("code").distinct(), "code", "left_anti").toPandas()
+    codes, terms_ = np.unique(np.append(held["code"].to_numpy(object), empty["code"].to_numpy(object))), np.unique(held["term"].to_numpy(object))
+    i, j, w = np.searchsorted(codes, held["code"].to_numpy(object)), np.searchsorted(terms_, held["term"].to_numpy(object)), held["w"].to_numpy(float)
+    known = np.zeros(len(terms_))
+    known[j] = held["idf"].to_numpy(float)
+    most = np.zeros(len(terms_))
+    np.maximum.at(most, j, w)
+
+    def sides(major, minor, size):
+        o = np.lexsort((minor, major))
+        return np.searchsorted(major[o], np.arange(size + 1)), minor[o], w[o]
+
+    return Catalogue(codes, terms_, known, sublinear, sides(j, i, len(terms_)), sides(i, j, len(codes)), most)
+
+
+FOUND = "declared_sim double, above long, best array<struct<code:string,sim:double>>"
+
+
+def found_batch(batch, names: list[str], got: list[tuple]):
+    """The first two columns of a batch, with (similarity, codes above, best codes) of each
+    row as the columns of FOUND."""
+    import pyarrow as pa
+
+    tops = pa.array([[{"code": c, "sim": s} for c, s in x[2]] for x in got], pa.list_(pa.struct([("code", pa.string()), ("sim", pa.float64())])))
+    made = [pa.array([x[0] for x in got], pa.float64()), pa.array([None if x[0] is None else x[1] for x in got], pa.int64()), tops]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [*names, "declared_sim", "above", "best"])
+
+
+def rank_declared(texts: DataFrame, catalogue: Catalogue, key: str, terms: Column, declared: str, k: int = 3, decimals: int = 9) -> DataFrame:
+    """One row a text (key, declared code): similarity and rank of its declared code among all
+    codes of the catalogue, the k most similar codes, and how many digits the best shares
+    with it.
+
+    A rank is one plus the number of codes that are strictly more similar (to so many
+    decimals), counted and not listed; it is NULL for a code that the catalogue lacks, as is
+    its similarity. Best codes of equal similarity come in order of the code; those of
+    similarity zero are not among them. The catalogue is broadcast (a counted bound); texts
+    are weighed and scored where they are, so none is shuffled and no pair of text and code
+    is a row.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(catalogue)
+    types = dict(texts.dtypes)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch, c = whole.slice(lo, 1024), shared.value
+                row, j, w = c.weigh(batch.column(2))
+                ends, got = np.searchsorted(row, np.arange(batch.num_rows + 1)), []
+                for i, code in enumerate(batch.column(1).to_pylist()):
+                    at = int(np.searchsorted(c.codes, code)) if code is not None else len(c.codes)
+                    own = at if at < len(c.codes) and c.codes[at] == code else None
+                    got.append(c.nearest(j[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]], own, k, decimals))
+                yield found_batch(batch, [key, declared], got)
+
+    fed = texts.select(key, declared, terms.alias("_terms"))
+    return ranks_of(fed.mapInArrow(run, f"`{key}` {types[key]}, `{declared}` {types[declared]}, {FOUND}"), key, declared)
+
+
+def ranks_of(found: DataFrame, key: str, declared: str) -> DataFrame:
+    first = F.get("best", F.lit(0))
+    return found.select(
+        key, declared, first["code"].alias("top_code"), F.coalesce(first["sim"], F.lit(0.0)).alias("top_sim"), "declared_sim", (F.col("above") + 1).alias("declared_rank"),
+        agreement(first["code"], F.col(declared)).alias("level"), F.concat_ws(" ", F.transform("best", lambda b: b["code"])).alias("top"),
+    )
 
 
-def rank_declared(sims: DataFrame, declared: DataFrame, key: str, code: str, declared_code: str, digits: tuple[int, ...] = (8, 6, 4, 2)) -> DataFrame:
-    """One row a text: similarity and rank of its declared code, the best code, and how many
-    digits the best shares with the declared one. Ranks order by similarity, then code; a
-    declared code of similarity zero comes after all positive ones."""
-    w = Window.partitionBy(key).orderBy(F.desc("sim"), code)
-    r = sims.withColumn("rk", F.row_number().over(w)).withColumn("n_positive", F.count("*").over(Window.partitionBy(key)))
-    best = r.where("rk = 1").select(key, F.col(code).alias("top_code"), F.col("sim").alias("top_sim"), "n_positive")
-    own = r.select(key, F.col(code).alias(declared_code), F.col("sim").alias("declared_sim"), "rk")
-    out = declared.select(key, declared_code).join(best, key, "left").join(own, [key, declared_code], "left")
-    level = F.when(F.col("top_code").isNull(), None)
+def agreement(a: Column, b: Column, digits: tuple[int, ...] = (8, 6, 4, 2)) -> Column:
+    """How many leading digits two codes share, in steps; NULL without a first code."""
+    level = F.when(a.isNull(), None)
     for d in digits:
-        level = level.when(F.substring("top_code", 1, d) == F.substring(declared_code, 1, d), d)
-    return out.select(key, declared_code, "top_code", F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"), F.coalesce("declared_sim", F.lit(0.0)).alias("declared_sim"), F.coalesce("rk", F.coalesce("n_positive", F.lit(0)) + 1).alias("declared_rank"), level.otherwise(0).alias("level"))
+        level = level.when(F.substring(a, 1, d) == F.substring(b, 1, d), d)
+    return level.otherwise(0)
 
 
 def match_summary(ranked: DataFrame, tops: tuple[int, ...] = (1, 3, 10, 100)) -> DataFrame:
@@ -91,6 +255,36 @@ def best_sibling(items: DataFrame, catalogue: DataFrame, key: str, family: str,
     return best.select(key, family, "_b.best_code", "_b.best_sim", F.col("_b.best_code").isNull().alias("no_family"))
 
 
+def best_sibling_terms(
+    items: DataFrame, weights: DataFrame, siblings: DataFrame, catalogue: DataFrame, key: str, family: str, code: str, most: int = 5_000_000, salts: int = 32,
+) -> DataFrame:
+    """best_sibling on sparse weights: items (key, family) with weights (key, term, w) against
+    siblings (code, family) with catalogue weights (code, term, w). The same columns, and
+    ties to the first code; an item that shares no term with its family has the family's first code,
+    with similarity zero.
+
+    Texts and codes meet on family and term. The catalogue's weights are counted: up to
+    ``most`` they are broadcast, and nothing is skewed; more are dealt to every salt of their
+    family and term, and texts to one, so that a common term of a large family is spread. Sums
+    and the best code are taken before rows travel by key.
+    """
+    cat = siblings.select(F.col(code).alias("best_code"), F.col(family).alias("_f")).where("_f is not null")
+    v = settled(cat.join(catalogue.select(F.col(code).alias("best_code"), "term", F.col("w").alias("_v")), "best_code"))
+    w = items.select(key, F.col(family).alias("_f")).join(weights, key)
+    if v.count() <= most:
+        pairs = w.join(F.broadcast(v), ["_f", "term"])
+    else:
+        salted = v.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = w.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(salted, ["_f", "term", "_salt"])
+    sims = pairs.groupBy(key, "best_code").agg(F.sum(F.col("w") * F.col("_v")).alias("sim"))
+    best = sims.groupBy(key).agg(F.min(F.struct((-F.round("sim", 9)).alias("far"), F.col("best_code"))).alias("_b"))
+    # one row a family
+    first = cat.groupBy("_f").agg(F.min("best_code").alias("_first")).withColumnRenamed("_f", family)
+    out = items.select(key, family).join(best, key, "left").join(F.broadcast(first), family, "left")
+    sim = F.when(F.col("_first").isNotNull(), F.coalesce(-F.col("_b.far"), F.lit(0.0)))
+    return out.select(key, family, F.coalesce("_b.best_code", "_first").alias("best_code"), sim.alias("best_sim"), F.col("_first").isNull().alias("no_family"))
+
+
 def word_vectors(corpus: DataFrame, terms: str, size: int = 100, least: int = 2, seed: int = 11, per_task: int = 200_000):
     """A Word2Vec model over the distinct texts of a joint corpus, trained in one task for
     each ``per_task`` texts; its vectors are averaged over the tasks after every pass."""
@@ -125,29 +319,3 @@ def method_consistency(one: DataFrame, other: DataFrame, rate: str, within: floa
     """One row: two rates of the same question, and whether they lie within some points."""
     j = one.select(F.col(rate).alias("first_rate")).join(other.select(F.col(rate).alias("second_rate")))
     return j.withColumn("consistent", F.abs(F.col("first_rate") - F.col("second_rate")) <= within)
-
-
-def latent(weights: DataFrame, key: str, rank: int = 50):
-    """(key, vector) in a latent semantic space, and the term map: a truncated SVD of the
-    TF-IDF rows. Terms are columns of a distributed row matrix, so their number (a fitted
-    vocabulary, bounded by the catalogue) is what the driver holds."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    terms = {r.term: k for k, r in enumerate(weights.select("term").distinct().orderBy("term").collect())}
-    spark = weights.sparkSession
-    ids = spark.createDataFrame(list(terms.items()), "term string, j int")
-    rows = weights.join(F.broadcast(ids), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("c"))
-    n = len(terms)
-    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(n, [(x.j, x.w) for x in r.c])))
-    svd = matrix.computeSVD(min(rank, n), computeU=False)
-    v = svd.V.toArray().tolist()
-    basis = spark.createDataFrame([(t, v[j]) for t, j in terms.items()], "term string, basis array<double>")
-    return project(weights, basis, key), basis
-
-
-def project(weights: DataFrame, basis: DataFrame, key: str) -> DataFrame:
-    """Rows of TF-IDF weights as vectors of the latent space: sums of their terms' rows."""
-    dims = F.explode(F.transform("basis", lambda x, i: F.struct(i.alias("d"), (x * F.col("w")).alias("x"))))
-    long = weights.join(F.broadcast(basis), "term").select(key, dims.alias("e")).groupBy(key, "e.d").agg(F.sum("e.x").alias("x"))
-    return long.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("vector"))

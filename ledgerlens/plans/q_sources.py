@@ -78,22 +78,6 @@ def union_with_missing_columns(spark, sf_dir):
     return L.union_all([a, o.where("o_orderkey % 2 = 1").groupBy("status").agg(F.count("*").alias("n"))])
 
 
-@query()
-def lsa_rank(spark, sf_dir):
-    """M5: ranks of the declared family in a latent semantic space of the part names."""
-    from ..functions import clean as C
-    from ..operators import match as M
-    from .q_text import parts
-
-    cat = parts(spark, sf_dir)
-    cw, idf = M.tfidf(cat, "code", M.words(F.col("name")))
-    space, basis = M.latent(cw, "code", 10)
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5).alias("family"), C.norm_text(F.concat_ws(" ", "p_type", "p_brand")).alias("txt"))
-    dw, _ = M.tfidf(docs, "id", M.words(F.col("txt")), idf)
-    items = docs.select("id", "family").join(M.project(dw, basis, "id"), "id", "left")
-    return M.best_sibling(items, space.join(cat.select("code", (F.col("k") % 5).alias("family")), "code"), "id", "family", "vector", "code")
-
-
 def _raw(spark, sf_dir):
     """Orders as a raw monthly CSV in latin-1 with semicolons, some amounts unreadable, some
     rows a field short or long."""

@@ -15,8 +15,13 @@ from .readers import require
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); only
-    where the session names none, as in tests, it is a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerlens-")
+    where the session names none and runs on this machine alone, as in tests, a local one is
+    made; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="ledgerlens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,6 +49,13 @@ def materialised(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows behind such a barrier at a path of its own: what several branches of a plan
+    read is computed once, its size is known to the planner, and a lost executor costs no
+    more than the branch."""
+    return materialised(rows, scratch(rows.sparkSession, "settled"))
+
+
 def write_summary(spark: SparkSession, path: str, values: dict) -> None:
     """One JSON row of run figures."""
     spark.createDataFrame([{k: str(v) for k, v in values.items()}]).coalesce(1).write.mode("overwrite").json(path)

@@ -213,13 +213,6 @@ def test_exact_mcnemar(spark):
         assert f(b, c) == pytest.approx(exact(b, c) if b + c else 1.0, abs=1e-6)
 
 
-def test_rank_of_a_code_without_common_terms(spark):
-    sims = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5)], "id int, code string, sim double")
-    declared = spark.createDataFrame([(1, "z"), (2, "a")], "id int, declared string")
-    got = {r.id: (r.top_code, r.declared_rank, r.declared_sim) for r in match.rank_declared(sims, declared, "id", "code", "declared").collect()}
-    assert got == {1: ("a", 3, 0.0), 2: (None, 1, 0.0)}
-
-
 def test_best_sibling_keeps_items_without_a_family(spark):
     items = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 9, [1.0, 0.0]), (3, 1, [0.0, 0.0])], "id int, f int, v array<double>")
     cat = spark.createDataFrame([("b", 1, [2.0, 0.0]), ("a", 1, [3.0, 0.0])], "code string, f int, v array<double>")
