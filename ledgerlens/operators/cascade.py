@@ -39,7 +39,8 @@ def grouping_cascade(rows: DataFrame, by: list[str], rungs: list[tuple[str, Colu
     for name, condition in rungs:
         holds = holds & F.coalesce(condition, F.lit(False))
         counts[name] = holds.cast("int")
-    marked = rows.select(a, b, *(c.alias(n) for n, c in counts.items()))
-    g = marked.groupingSets([[a, b], [a], [b], []], a, b).agg(F.grouping_id().alias("_g"), F.count("*").alias("n"), *(F.sum(n).alias(n) for n in counts))
+    # the finest cells first: only they are expanded to the other groupings
+    cells = rows.groupBy(a, b).agg(F.count("*").alias("n"), *(F.sum(c).alias(n) for n, c in counts.items()))
+    g = cells.groupingSets([[a, b], [a], [b], []], a, b).agg(F.grouping_id().alias("_g"), F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in counts))
     level = F.when(F.col("_g") == 0, "both").when(F.col("_g") == 1, a).when(F.col("_g") == 2, b).otherwise("total")
-    return g.withColumn("level", level).drop("_g")
+    return g.withColumn("level", level).withColumn("n", F.coalesce("n", F.lit(0))).drop("_g")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import percent
+from ..sources.sinks import settled
 from .ranks import quantiles
 
 
@@ -44,14 +45,22 @@ def reconcile_documents(rows: DataFrame, doc: str, amount: str, declared: str, t
 
 def concentration(rows: DataFrame, code: str, measures: dict[str, Column], tops: tuple[int, ...] = (10, 50, 100, 300)) -> DataFrame:
     """(measure, ranked_by, top, share): the share of each measure that the N first codes
-    hold, ranked by each measure. Rows are reduced to codes first."""
-    g = rows.where(F.col(code).isNotNull()).groupBy(code).agg(*(F.sum(c).cast("double").alias(m) for m, c in measures.items()))
+    hold, ranked by each measure. Rows are reduced to codes once; each ranking keeps its
+    longest list only (every task its own first ones), and the totals are counted apart."""
+    g = settled(rows.where(F.col(code).isNotNull()).groupBy(code).agg(*(F.sum(c).cast("double").alias(m) for m, c in measures.items())))
     names, frames = list(measures), None
+    totals = g.agg(*(F.sum(m).alias(f"_{m}") for m in names))
     for by in names:
-        rk = F.row_number().over(Window.orderBy(F.desc_nulls_last(by), code))
-        best = g.withColumn("_rk", F.when(F.col(by).isNotNull(), rk))
-        cells = [F.struct(F.lit(m).alias("measure"), F.lit(by).alias("ranked_by"), F.lit(n).alias("top"), F.round(percent(F.sum(F.when(F.col("_rk") <= n, F.col(m))), F.sum(m)), 6).alias("share")) for m in names for n in tops]
-        one = best.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+        first = g.where(F.col(by).isNotNull()).orderBy(F.desc(by), code).limit(max(tops))
+        # one row: the longest list, in order
+        first = first.agg(F.sort_array(F.collect_list(F.struct((-F.col(by)).alias("_by"), F.col(code).alias("_code"), *names))).alias("_list"))
+
+        def held(m, n):
+            some = F.filter(F.transform(F.slice("_list", 1, n), lambda x: x[m]), lambda x: x.isNotNull())
+            return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, x: s + x))
+
+        cells = [F.struct(F.lit(m).alias("measure"), F.lit(by).alias("ranked_by"), F.lit(n).alias("top"), F.round(percent(held(m, n), F.col(f"_{m}")), 6).alias("share")) for m in names for n in tops]
+        one = first.join(totals).select(F.inline(F.array(*cells)))
         frames = one if frames is None else frames.unionByName(one)
     return frames
 

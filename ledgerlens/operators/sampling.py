@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,22 +72,39 @@ def weighted_estimate(rows: DataFrame, value: Column, weight: str) -> DataFrame:
 def bootstrap(rows: DataFrame, key: str, value: Column, weight: str, replicates: int = 4000, seed: int = 1) -> DataFrame:
     """One row: the weighted share and its 95 % percentile interval. Every row draws a
     Poisson(1) count in every replicate from a digest of its key, so a replicate needs no
-    resampling shuffle: partial sums of all replicates travel, one pair for each."""
+    resampling shuffle. A task adds all replicates of its rows into one array, so what
+    travels is a pair of sums for each replicate and task, however many rows there are."""
     # Poisson(1): cumulative probabilities of 0 to 7
     steps, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):
         total += p
         steps.append(total)
         p /= k + 1
-    draws = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     v = F.coalesce(value, F.lit(False)).cast("int")
-    long = rows.select(F.col(key).alias("_k"), F.col(weight).alias("_w"), v.alias("_v"), draws.alias("b"))
-    digest = F.md5(F.concat_ws("|", F.col("_k").cast("string"), F.col("b").cast("string"), F.lit(str(seed))))
-    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    count = F.lit(0)
-    for s in steps:
-        count = count + (u >= s).cast("int")
-    g = long.withColumn("_n", count).groupBy("b").agg(F.sum(F.col("_n") * F.col("_w") * F.col("_v")).alias("a"), F.sum(F.col("_n") * F.col("_w")).alias("t"))
+
+    def partial(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        edges, tails = np.array(steps), [f"{b}|{seed}".encode() for b in range(replicates)]
+        a, t = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            for key_, w, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if w is None:
+                    continue
+                start = hashlib.md5(b"" if key_ is None else key_.encode() + b"|")
+                draws = np.empty(replicates)
+                for b, tail in enumerate(tails):
+                    h = start.copy()
+                    h.update(tail)
+                    draws[b] = int.from_bytes(h.digest()[:7]) >> 4
+                n = np.searchsorted(edges, draws / float(1 << 52), side="right") * w
+                t += n
+                a += n * y
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(a), pa.array(t)], ["b", "a", "t"])
+
+    fed = rows.select(F.col(key).cast("string"), F.col(weight).cast("double"), v.cast("double"))
+    g = fed.mapInArrow(partial, "b long, a double, t double").groupBy("b").agg(F.sum("a").alias("a"), F.sum("t").alias("t"))
     q = g.select(F.try_divide(100 * F.col("a"), F.col("t")).alias("e")).agg(F.percentile("e", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     point = rows.agg(F.count("*").alias("n"), F.try_divide(100 * F.sum(v * F.col(weight)), F.sum(weight)).alias("estimate"))
     return point.join(q).select("n", F.round("estimate", 6).alias("estimate"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))

@@ -40,7 +40,8 @@ def overflow(rows: DataFrame, part: str, actual: str) -> DataFrame:
     """Per partition label and in all: rows whose own year is another one. NULL years count
     as unknown, not as overflow."""
     marked = rows.select(F.col(part).alias("part"), F.coalesce(F.col(part) != F.col(actual), F.lit(False)).alias("out"), F.col(actual).isNull().alias("unknown"))
-    g = marked.groupingSets([["part"], []], "part").agg(F.grouping_id().alias("_g"), F.count("*").alias("n"), F.count_if("out").alias("n_out"), F.count_if("unknown").alias("n_unknown"))
+    cells = marked.groupBy("part").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out"), F.count_if("unknown").alias("n_unknown"))
+    g = cells.groupingSets([["part"], []], "part").agg(F.grouping_id().alias("_g"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_out", "n_unknown")))
     label = F.when(F.col("_g") == 1, "all").otherwise(F.col("part").cast("string"))
     return g.select(label.alias("part"), "n", "n_out", "n_unknown", F.round(percent(F.col("n_out"), F.col("n")), 6).alias("pct"))
 

@@ -16,8 +16,11 @@ FILLER = [
 
 
 def is_filler(text: Column, least: int = 12, patterns: list[str] = FILLER) -> Column:
-    """Too short, or boilerplate (texts are normalised; NULL is filler)."""
-    return F.coalesce((F.length(text) < least) | text.rlike("|".join(patterns)), F.lit(True))
+    """Too short, or boilerplate (texts are normalised; NULL is filler). Patterns of the
+    beginning share one anchor, so a long text is left after its first characters."""
+    start, other = [p[1:] for p in patterns if p.startswith("^")], [p for p in patterns if not p.startswith("^")]
+    found = text.rlike("|".join(([rf"\A(?:{'|'.join(start)})"] if start else []) + other))
+    return F.coalesce((F.length(text) < least) | found, F.lit(True))
 
 
 def is_circular(text: Column, name: Column) -> Column:

@@ -8,7 +8,7 @@ from ..operators import codesets as S
 from .registry import query
 from .standin import DECLARED, REALISED, declared, realised
 
-SEED = 20260821
+SEED = 11
 
 _PROFILES = f"""pa AS (SELECT key, count(*) AS n_a, list_sort(list_distinct(list(code) FILTER (WHERE regexp_full_match(code, '[0-9]{{8}}') AND NOT regexp_full_match(code, '0+')))) AS codes_a FROM ({DECLARED}) GROUP BY key),
 pb AS (SELECT key, count(*) AS n_b, list_sort(list_distinct(list(code) FILTER (WHERE regexp_full_match(code, '[0-9]{{8}}') AND NOT regexp_full_match(code, '0+')))) AS codes_b FROM ({REALISED}) GROUP BY key),
