@@ -57,16 +57,18 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 class _Open:
     """An open element: its place in the stack, what stands above it as sets that children
-    share until they add to them, and for each rule of CLOSES the place of what it closes."""
+    share until they add to them, and for each rule of CLOSES the place of what it closes.
+    Where a model's features are known, sets keep to them, however many names a page has."""
 
     __slots__ = ("tag", "depth", "under", "pairs", "parent", "section", "named", "closes", "own")
 
-    def __init__(self, tag: str, names: tuple[str, ...], up: _Open | None) -> None:
+    def __init__(self, tag: str, names: tuple[str, ...], up: _Open | None, known: frozenset[str] | None = None) -> None:
         self.tag, self.depth, self.own = tag, up.depth + 1 if up else 0, None
         under, pairs, closes = (up.under, up.pairs, up.closes) if up else (frozenset(), frozenset(), {})
         self.parent, self.section, self.named = (up.parent, up.section, up.named) if up else ("body", None, ("nothing",))
         if tag not in ("html", "body"):
             more = {f"under {tag}", "in article"} if tag in ("article", "main") else {f"under {tag}"}
+            more = more if known is None else more & known
             under = under if more <= under else under | more
             if tag in BLOCK:
                 self.parent = tag
@@ -75,8 +77,11 @@ class _Open:
                 pairs, self.section = pairs if pair in pairs else pairs | {pair}, tag
         if names:
             more = {f"named {w}" for w in names}
+            if known is not None:
+                more &= known
+                names = tuple(w for w in names if f"last named {w}" in known)
             under = under if more <= under else under | more
-            self.named = names
+            self.named = names or ("unknown",)
         if tag in _MATTERS:
             closes = dict(closes)
             for kind, (ends, stop) in CLOSES.items():
@@ -105,12 +110,13 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(w.lower() for v in _NAME.findall(attributes) for w in _PART.findall(_CAMEL.sub(" ", v)))
 
 
-def blocks(page: str | None) -> list[Block]:
+def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
     """Leaf blocks in page order, white space turned into single spaces, blank ones left out.
-    The work follows the length of the page, however deep its elements nest."""
+    With a model's features as ``known``, time and memory follow the length of the page,
+    however deep its elements nest and however many names they have."""
     page = page or ""
     out: list[Block] = []
-    root = _Open("body", (), None)
+    root = _Open("body", (), None, known)
     stack: list[_Open] = []
     opened: dict[str, int] = {}  # how many elements of a tag are open
     parts: list[str] = []
@@ -174,7 +180,7 @@ def blocks(page: str | None) -> list[Block]:
             if depth is not None:
                 close(depth)
         if tag not in VOID:
-            new = _Open(tag, _names(m[3]), stack[-1] if stack else None)
+            new = _Open(tag, _names(m[3]), stack[-1] if stack else None, known)
             stack.append(new)
             opened[tag] = opened.get(tag, 0) + 1
     flush()
@@ -183,15 +189,25 @@ def blocks(page: str | None) -> list[Block]:
 
 def features(found: list[Block]) -> list[list[str]]:
     """The names of the indicators that hold for each block."""
-    n, out = len(found), []
-    for k, b in enumerate(found):
+    n, out, shapes = len(found), [], []
+    for b in found:
         words = b.text.count(" ") + 1
         share = b.linked / len(b.text)
+        ends = b.text[-1] in ".!?…。\"'”"
+        # running text, a line without links, or links and fragments
+        shape = "prose" if words >= 10 and share < 0.3 and ends else "line" if share < 0.3 else "links"
+        shapes.append((words, share, ends, shape))
+    for k, b in enumerate(found):
+        words, share, ends, shape = shapes[k]
+        named = b.at.named[0] if b.at.named[0] in ("nothing", "unknown") else "known"
         more = [
             f"words {min(6, words.bit_length())}",
             f"linked {0 if not b.linked else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
-            "ends a sentence" if b.text[-1] in ".!?…。\"'”" else "ends no sentence",
+            "ends a sentence" if ends else "ends no sentence",
             f"place {4 * k // n}",
+            f"{shape} named {named}?",
+            f"after {shapes[k - 1][3] if k else 'nothing'}",
+            f"before {shapes[k + 1][3] if k + 1 < n else 'nothing'}",
         ]
         if "©" in b.text or "copyright" in b.text.lower():
             more.append("copyright")
@@ -205,6 +221,10 @@ class CRF:
     unary: np.ndarray  # feature x label
     pair: np.ndarray  # label x next label
     first: np.ndarray  # label
+    known: frozenset[str] = frozenset()
+
+    def __post_init__(self) -> None:
+        self.known = frozenset(self.index)
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
         get = self.index.get
@@ -229,22 +249,25 @@ class CRF:
         return out[::-1]
 
 
-def train(pages: list[str], rounds: int = 150, rate: float = 0.15, decay: float = 1e-3, least: int = 2) -> CRF:
+def train(pages: list[str], rounds: int = 150, rate: float = 0.15, decay: float = 1e-3, least: int = 2, hidden: float = 0.1, seed: int = 5) -> CRF:
     """A CRF by maximum likelihood with an L2 penalty (Adam); in each page, blocks that
-    begin with MARK are the article. The pages are a bounded training set."""
-    data = []
+    begin with MARK are the article. The pages are a bounded training set. In each page some
+    of the names (a share of ``hidden``) count as unknown, so that unknown ones have a weight."""
+    seen: dict[str, int] = {"last named unknown": least}
     for page in pages:
-        found = blocks(page)
+        for f in {f for r in features(blocks(page)) for f in r}:
+            seen[f] = seen.get(f, 0) + 1
+    known = frozenset(f for f, n in seen.items() if n >= least)
+    index = {f: k for k, f in enumerate(sorted(known))}
+    words, rng, data = sorted(f[11:] for f in known if f.startswith("last named ") and f[11:] not in ("nothing", "unknown")), random.Random(seed), []
+    for page in pages:
+        lost = {w for w in words if rng.random() < hidden}
+        found = blocks(page, known - {f"{x} {w}" for w in lost for x in ("named", "last named")})
         y = [int(b.text.startswith(MARK)) for b in found]
         for b in found:
             b.text = b.text.replace(MARK, "") or "."
         if found:
             data.append((features(found), y))
-    seen: dict[str, int] = {}
-    for rows, _ in data:
-        for f in {f for r in rows for f in r}:
-            seen[f] = seen.get(f, 0) + 1
-    index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
     n, longest = len(data), max((len(y) for _, y in data), default=0)
     mask, gold = np.zeros((n, longest), bool), np.zeros((n, longest), int)
     at, ids = [], []
@@ -313,6 +336,17 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         attr = "" if tag not in ("div", "section", "ul", "p", "span", "td") and rng.random() < bare else " " + named(names.split())
         return f"<{tag}{attr}>{inside}</{tag}>"
 
+    def plain() -> str:
+        """A name that tells nothing: of the layout, or made by a tool."""
+        made = "".join(pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(2, 7)))
+        names = ("wrapper", "wrap", "container", "row", "col", "col-md-8", "inner", "outer", "page", "site", "app", "root", "grid", "box", "layout", "column", "left", "center", f"c{rng.randint(1, 40)}", f"css-{made}", f"sc-{made}", made, made)
+        return f'{pick(("class", "id", "class"))}="{pick(names)}"'
+
+    def around(inside: str, deep: int = 1) -> str:
+        for _ in range(deep):
+            inside = f"<div {plain()}>{inside}</div>"
+        return inside
+
     def prose() -> str:
         kind = rng.random()
         body = some(1, 4) if kind < 0.2 else some(5, 25) if kind < 0.5 else some(20, 120)
@@ -385,37 +419,46 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
         body = article()
         late = comments() if rng.random() < 0.35 else ""
         kind = rng.random()
-        if kind < 0.5:
+        if kind < 0.36:
             core = f"<article>{body}{late if rng.random() < 0.3 else ''}</article>"
             core = pick((core, core, f"<main>{core}</main>", f'<div class="container">{core}</div>'))
-        elif kind < 0.78:
+        elif kind < 0.58:
             core = f'<div {named("content post post-body entry-content article article-body main story text body-text page-content".split())}>{body}</div>'
-        elif kind < 0.86:
+        elif kind < 0.64:
             core = f"<main>{body}</main>"
-        elif kind < 0.92:
+        elif kind < 0.69:
             core = f"<table><tr><td>{lists(2, 5)}</td><td>{body}</td></tr></table>"
-        else:
+        elif kind < 0.75:
             core = body
+        elif kind < 0.86:
+            core = around(body, rng.randint(1, 3))
+        elif kind < 0.94:
+            section = f"<section{pick(('', ' ' + plain()))}>"
+            core = pick((f"{section}{body}</section>", around(f"{section}{body}</section>"), f"{section}{around(body)}</section>"))
+        else:
+            core = f"<div>{body}</div>"
         before = [f() for f in (header, menu, advert, notice) if rng.random() < 0.55]
         after = [late if rng.random() < 0.8 else ""] + [f() for f in (aside, share, advert, signup, notice, footer) if rng.random() < 0.4]
         if rng.random() < 0.3:
             before.append(aside())
         rng.shuffle(before)
+        before, after = ([around(x) if x and rng.random() < 0.2 else x for x in some_] for some_ in (before, after))
         if rng.random() < 0.08:  # nothing but the text
-            pages.append(core if kind < 0.75 else body)
+            pages.append(core)
             continue
         head = [f"<title>{some(2, 9)}</title>", '<meta name="viewport" content="width=device-width">', f'<link rel="stylesheet" href="/{rng.randint(1, 99)}.css">']
         head += [f"<style>.{some(1, 1)} {{ color: #{rng.randint(100, 999)} }}</style>"] * (rng.random() < 0.5)
         head += [f'<script type="application/ld+json">{{"name": "{some(1, 5)} </div> <p>"}}</script>'] * (rng.random() < 0.5)
         rng.shuffle(head)
         head = f"<head>{''.join(head[rng.randint(0, 2) :])}</head>"
-        whole = "".join([head, "<body>", *before, pick(("", f"<!-- {some(1, 4)} -->")), core, *after])
+        inner = "".join([*before, pick(("", f"<!-- {some(1, 4)} -->")), core, *after])
+        whole = f"{head}<body>{around(inner) if rng.random() < 0.25 else inner}"
         pages.append(whole if rng.random() < 0.2 else f"<!DOCTYPE html><html>{whole}</body></html>")
     return pages
 
 
 def main_text(page: str | None, model: CRF) -> str:
-    found = blocks(page)
+    found = blocks(page, model.known)
     return " ".join(b.text for b, y in zip(found, model.decode(features(found)), strict=True) if y)
 
 

@@ -386,10 +386,51 @@ BY_HAND = [
 ]
 
 
-def test_crf_on_pages_of_another_hand(spark):
+@pytest.fixture(scope="module")
+def production_crf():
+    return htmltext.train(htmltext.labelled_pages(900))
+
+
+SHELLS = [
+    "<article>%s</article>", '<div class="content">%s</div>', "<div>%s</div>", "<section>%s</section>", '<div class="c1">%s</div>', '<div class="css-1x2y">%s</div>',
+    '<div id="wrapper">%s</div>', '<div class="row"><div class="col">%s</div></div>', '<div class="Kq8_f"><section class="zz"><div>%s</div></section></div>',
+]
+PLAIN = """<h1>Ferry returns after long repair</h1><p>The old ferry crossed the bay again on Monday, nine months after a fire in its engine room.</p>
+<p>Hundreds came to watch the boat. "I took it to school every day," said one of them.</p><p>Tickets cost the same as before the fire.</p>"""
+AROUND = [
+    '<header><h1><a href="/">Site</a></h1></header><nav><ul><li><a href=1>Home</a></li><li><a href=2>World</a></li></ul></nav>%s<footer><p>Copyright 2020 Site. All rights reserved.</p></footer>',
+    '<div class="header"><a href="/">Site</a></div><ul class="menu"><li><a href=1>Home</a></li><li><a href=2>World</a></li></ul>%s<div id="footer">&copy; 2020 Site</div>',
+    '<div id="page"><nav><a href=1>Home</a> <a href=2>World</a></nav>%s<aside class="sidebar"><h3>More</h3><ul><li><a href=3>Bay</a></li></ul></aside><footer>&copy; 2020 Site</footer></div>',
+]
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+def test_an_article_is_kept_in_any_shell(production_crf, shell):
+    want = " ".join(b.text for b in htmltext.blocks(PLAIN))
+    for page in AROUND:
+        got = htmltext.main_text(f"<html><body>{page % (shell % PLAIN)}</body></html>", production_crf)
+        kept = sum(w in got.split() for w in want.split()) / len(want.split())
+        assert kept >= 0.95 and "Home" not in got and "2020" not in got, (kept, got)
+
+
+def test_a_page_of_many_names_takes_little_memory(production_crf):
+    import tracemalloc
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k % 26] + letters[k // 26 % 26] + letters[k // 676]
+    page = "".join(f'<div class="n{name(k)}"><x-{name(k)}>t' for k in range(16_000))
+    tracemalloc.start()
+    began = time.monotonic()
+    htmltext.main_text(page, production_crf)
+    took, most = time.monotonic() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 12 and most < 200e6  # traced: some three times as long as else
+
+
+def test_crf_on_pages_of_another_hand(production_crf):
     from collections import Counter
 
-    model = htmltext.train(htmltext.labelled_pages(900))
+    model = production_crf
     for page, want in BY_HAND:
         got = Counter(htmltext.main_text(page, model).split())
         gold = Counter(want.split())
