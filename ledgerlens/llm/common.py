@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,24 @@ def sliced(batches, rows: int = 256):
             yield batch.slice(k, rows)
 
 
+def lean(batches):
+    """The batches; what a reused Python worker still holds of earlier work, and then of
+    these, goes back to the machine before the first and after the last one."""
+    import gc
+
+    import pyarrow as pa
+
+    def give_back() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its own ways
+            ctypes.CDLL(None).malloc_trim(0)
+
+    give_back()
+    yield from batches
+    give_back()
+
+
 @contextlib.contextmanager
 def short_batches(spark: SparkSession, rows: int = 256):
     """Jobs run inside hand Python at most so many rows at once (rows of two texts can be

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import cut, fresh, shared_dir, short_batches, sliced
+from .common import cut, fresh, lean, shared_dir, short_batches, sliced
 from .components import components
 from .simhash import BITS, fingerprint_links
 
@@ -63,7 +63,7 @@ def _signer(names: list[str], size: int, seed: int, step: int = 4096):
         a = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
         powers = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-        for batch in sliced(batches, 64):
+        for batch in sliced(lean(batches), 64):
             nodes, prints, bands = [], [], []
             for text in batch.columns[-1]:
                 h = _hashes(text.as_py(), size, seed)
@@ -89,7 +89,7 @@ def _judge(size: int, least: float, seed: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches, 32):
+        for batch in sliced(lean(batches), 32):
             kept, last, x = [], None, None
             a, b = (batch.column(c).to_pylist() for c in "ab")
             for k, pair in enumerate(zip(a, b, strict=True)):
@@ -111,7 +111,7 @@ def _shingler(size: int, seed: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches, 32):
+        for batch in sliced(lean(batches), 32):
             sets = [np.unique(_hashes(x.as_py(), size, seed)) for x in batch.column("text")]
             n = [len(x) for x in sets]
             if sum(n):
