@@ -51,7 +51,7 @@ def file_inventory(spark, sf_dir):
     return g.join(m).select("part", "n_files", "n_rows", (ratio.between(0.6, 1.6)).alias("usual"))
 
 
-@query("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_totalprice) IS NOT NULL AS BOOLEAN) AS filled, count(DISTINCT o_custkey) AS n_entities, 0 AS n_unmapped FROM orders""")
+@query("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_totalprice) IS NOT NULL AS BOOLEAN) AS filled, count(DISTINCT o_custkey) AS n_entities, round(sum(o_totalprice), 2) AS total, 'a_b,amount,entity,key' AS kept FROM orders""")
 def canonical_columns(spark, sf_dir):
     """Aliased columns under canonical names and target types."""
     o = table(spark, sf_dir, "orders")
@@ -60,7 +60,7 @@ def canonical_columns(spark, sf_dir):
     rows = R.against_target(named, {"key": "long", "amount": "double", "entity": "long"}, drop_extra=True)
     rows = sinks.sanitised(rows.withColumn("a b", F.lit(1)).withColumnRenamed("a b", "a b "))
     value = R.either(F.lit(" "), F.col("amount").cast("string"))
-    return rows.agg(F.count("*").alias("n"), F.bool_or(value.isNotNull()).alias("filled"), F.count_distinct("entity").alias("n_entities"), F.lit(sum(c.startswith("_unmapped_") for c in rows.columns)).alias("n_unmapped"))
+    return rows.agg(F.count("*").alias("n"), F.bool_or(value.isNotNull()).alias("filled"), F.count_distinct("entity").alias("n_entities"), F.round(F.sum("amount"), 2).alias("total"), F.lit(",".join(sorted(rows.columns))).alias("kept"))
 
 
 @query("SELECT value, expected, abs(value - expected) <= 0.5 AS ok FROM (SELECT CAST(count(*) AS DOUBLE) AS value, CAST((SELECT count(*) FROM lineitem) AS DOUBLE) AS expected FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
