@@ -1,14 +1,18 @@
 """Sharding by a hierarchical weighted hash tree, with DataFrame functions only.
 
-Shards are leaves of a tree of racks and regions that has room for a fixed number of
-places; a place that is not filled yet has weight zero. A row descends from the root: at
-each node its hash draws a child in proportion to the room below it, and at the leaf it
-stays with probability weight / room; otherwise it descends again with the next draw. So a
-shard is reached in proportion to its weight, at one hash for each level of a descent. The
-draws depend on row, attempt and node alone, never on the weights. When a leaf gains
-weight, rows whose descent it had turned away move into it; when it loses weight, some of
-its rows go on; all others take the way they took. Nothing moves within or between
-subtrees whose weights stay, and a new shard takes rows only into itself.
+Shards are leaves of a tree of racks and regions, and regions stand in zones, each as large as
+all before it, so that the tree has room for any number of shards. A zone is cut at the
+weights 1, 2, 4 and so on into cells, and each cell has a clock that strikes in proportion to
+its room (its places times its height). At each strike the row's hash draws a region, a rack
+and a shard of the zone and a height in the cell; the strike counts if the height is below
+the shard's weight. A row belongs to the shard of its earliest strike that counts. So a
+region, a rack and a shard are each won in proportion to their weights.
+
+Clocks and draws depend on row, cell and number of the strike alone, never on weights or on
+the count of shards. When a shard gains weight, strikes begin to count there and rows move
+into it alone; when it loses weight only its own rows go elsewhere. Nothing moves within or
+between subtrees whose weights stay, and a new shard takes rows only into itself. A row
+hears some 1 + room / weight strikes over the cells in use: under four for equal weights.
 """
 
 from __future__ import annotations
@@ -21,84 +25,93 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, unit_hash
 
-
-@dataclass(frozen=True)
-class Leaf:
-    shard: int
-    weight: float
-    room: float
+#: Strikes that are tried between two looks at whether a cell is done with.
+CHUNK = 8
 
 
 @dataclass(frozen=True)
-class Node:
-    name: str
-    children: tuple
-
-    @property
-    def room(self) -> float:
-        return sum(c.room for c in self.children)
-
-    def leaves(self) -> list[Leaf]:
-        return [x for c in self.children for x in ([c] if isinstance(c, Leaf) else c.leaves())]
-
-
-def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2, weights: dict[int, float] | None = None, places: int = 32, room: float = 1.0) -> Node:
-    """The tree that a shard count stands for: racks fill up with shards, regions with
-    racks. ``places`` and ``room`` (the most that a shard may ever weigh) are fixed when the
-    first row is placed: other values are another tree. A larger count has the same leaves
-    in the same places, and more."""
-    weights = weights or {}
-    weight = [float(weights.get(s, 1.0)) if s < shards else 0.0 for s in range(places)]
-    if not 1 <= shards <= places or not 0 < sum(weight) or not all(0 <= w <= room for w in weight):
-        raise ValueError("1 to places shards are needed, with weights from 0 to room, not all of them 0")
-    regions: dict[int, dict[int, list[Leaf]]] = {}
-    for s in range(places):
-        rack = s // shards_per_rack
-        regions.setdefault(rack // racks_per_region, {}).setdefault(rack, []).append(Leaf(s, weight[s], room))
-    return Node("root", tuple(Node(f"region {g}", tuple(Node(f"rack {r}", tuple(leaves)) for r, leaves in racks.items())) for g, racks in regions.items()))
-
-
-def _descend(node: Node | Leaf, key: Column, attempt: Column) -> Column:
-    """The shard that an attempt leads to, or -1 where the leaf turns it away."""
-    if isinstance(node, Leaf):
-        if not node.weight:
-            return F.lit(-1)
-        return F.when(unit_hash(key, attempt, F.lit(f"shard {node.shard}")) * node.room < node.weight, node.shard).otherwise(-1)
-    drawn, upto = unit_hash(key, attempt, F.lit(node.name)) * node.room, 0.0
-    way = None
-    for child in node.children[:-1]:
-        upto += child.room
-        then = _descend(child, key, attempt)
-        way = F.when(drawn < upto, then) if way is None else way.when(drawn < upto, then)
-    last = _descend(node.children[-1], key, attempt)
-    return last if way is None else way.otherwise(last)
-
-
-def attempts(root: Node) -> int:
-    """So many that less than one row in 10^17 is turned away by all of them."""
-    away = 1 - sum(x.weight for x in root.leaves()) / root.room
-    return 1 if away <= 0 else math.ceil(40 / -math.log(away))
-
-
-def pick(root: Node, key: Column) -> Column:
-    """The shard that a key descends to. Null is a key. A row that every attempt turns away
-    goes to the first shard with a weight."""
+class Tree:
+    weights: tuple[float, ...]
+    racks_per_region: int
+    shards_per_rack: int
+
+    def cells(self) -> list[tuple[int, int, float, float]]:
+        """(first region, number of regions, least weight, most weight) of the cells in
+        which a shard has weight, the largest room first."""
+        per, first, n, found = self.racks_per_region * self.shards_per_rack, 0, 1, []
+        while first * per < len(self.weights):
+            most, low, high = max(self.weights[first * per : (first + n) * per]), 0.0, 1.0
+            while low < most:
+                found.append((first, n, low, high))
+                low, high = high, 2 * high
+            first, n = first + n, first + n
+        return sorted(found, key=lambda c: -c[1] * (c[3] - c[2]))
+
+
+def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2, weights: dict[int, float] | None = None) -> Tree:
+    """The tree that a shard count stands for: racks fill up with shards, regions with racks.
+    Shards weigh 1 unless ``weights`` has another number, of any size. A larger count has the
+    same leaves in the same places, and more; other numbers of racks a region or shards a
+    rack are another tree."""
+    weight = tuple(float((weights or {}).get(s, 1.0)) for s in range(max(shards, 0)))
+    if not all(0 <= w < math.inf for w in weight) or not sum(weight) or min(racks_per_region, shards_per_rack) < 1:
+        raise ValueError("at least one shard is needed, with finite weights from 0 up, not all of them 0")
+    return Tree(weight, racks_per_region, shards_per_rack)
+
+
+def _with(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def pick(root: Tree, key: Column) -> Column:
+    """The shard that a key belongs to. Null is a key. A row that hears no strike that counts
+    in any cell (less than one in 10^17) goes to the first shard with a weight."""
     own = F.coalesce(key.cast("string"), F.lit("null key"))
-    tries = F.sequence(F.lit(0), F.lit(attempts(root) - 1))
-    found = F.aggregate(tries, F.lit(-1), lambda shard, t: F.when(shard >= 0, shard).otherwise(_descend(root, own, t)))
-    return F.when(found >= 0, found).otherwise(next(x.shard for x in root.leaves() if x.weight))
-
-
-def place_of(root: Node, shard: Column) -> tuple[Column, Column]:
+    racks, leaves = root.racks_per_region, root.shards_per_rack
+    weights = F.array(*map(F.lit, root.weights))
+    cells, per = root.cells(), racks * leaves
+    # the time that all but one row in 10^17 need is 40 / weight; strikes until then in the largest cell
+    most = 40 * max(n * per * (high - low) for _, n, low, high in cells) / sum(root.weights)
+    chunks = math.ceil((most + 10 * math.sqrt(most) + 40) / CHUNK)
+
+    def strike(best: Column, cell: Column, run: Column, t: Column) -> Column:
+        draw = lambda what, *more: unit_hash(own, t, cell["low"], F.lit(what), *more)
+        index = lambda u, n: F.floor(u * n).cast("int")
+        room = cell["regions"] * F.lit(float(per)) * (cell["high"] - cell["low"])
+        state = lambda at, shard, over: F.struct(at.alias("at"), shard.alias("shard"), over.alias("over"))
+        none = F.lit(-1)
+
+        def heard(at: Column) -> Column:
+            region = cell["first"] + index(draw("region", cell["first"]), cell["regions"])
+            return F.when(at >= best["at"], state(at, none, F.lit(True))).otherwise(
+                _with(region, lambda g: _with(g * racks + index(draw("rack", g), racks), lambda r: _with(r * leaves + index(draw("shard", r), leaves), lambda s: lands(at, s))))
+            )
+
+        def lands(at: Column, shard: Column) -> Column:
+            height = cell["low"] + draw("height", shard) * (cell["high"] - cell["low"])
+            counts = height < F.coalesce(F.get(weights, shard), F.lit(0.0))
+            return state(at, F.when(counts, shard).otherwise(none), counts)
+
+        return _with(run["at"] - F.ln(1 - draw("clock", cell["first"])) / room, heard)
+
+    def search(best: Column, cell: Column) -> Column:
+        step = lambda run, t: F.when(run["over"], run).otherwise(strike(best, cell, run, t))
+        chunk = lambda run, c: F.when(run["over"], run).otherwise(F.aggregate(F.sequence(c * CHUNK, c * CHUNK + CHUNK - 1), run, step))
+        start = F.struct(F.lit(0.0).alias("at"), F.lit(-1).alias("shard"), F.lit(False).alias("over"))
+        done = F.aggregate(F.sequence(F.lit(0), F.lit(chunks - 1)), start, chunk)
+        return _with(done, lambda d: F.when(d["shard"] >= 0, F.struct(d["at"].alias("at"), d["shard"].alias("shard"))).otherwise(best))
+
+    listed = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(n).alias("regions"), F.lit(low).alias("low"), F.lit(high).alias("high")) for a, n, low, high in cells))
+    nobody = F.struct(F.lit(math.inf).alias("at"), F.lit(-1).alias("shard"))
+    found = F.aggregate(listed, nobody, search, lambda best: best["shard"])
+    return F.when(found >= 0, found).otherwise(next(s for s, w in enumerate(root.weights) if w))
+
+
+def place_of(root: Tree, shard: Column) -> tuple[Column, Column]:
     """(region, rack) of a shard, numbered in the tree's order."""
-    region, rack, racks = [], [], 0
-    for g, node in enumerate(root.children):
-        for r in node.children:
-            for leaf in r.children:
-                region += [F.lit(leaf.shard), F.lit(g)]
-                rack += [F.lit(leaf.shard), F.lit(racks)]
-            racks += 1
-    return F.create_map(*region)[shard], F.create_map(*rack)[shard]
+    rack = F.floor(shard / root.shards_per_rack).cast("int")
+    return F.floor(rack / root.racks_per_region).cast("int"), rack
 
 
 def text_size(text: Column) -> Column:

@@ -741,32 +741,48 @@ def test_shards_are_even_gapless_and_only_the_new_one_gains(spark, awkward, empt
     assert sharding.assign(empty).count() == 0
 
 
-def plain_shard(key, shards, places=32, weight=lambda s: 1.0, room=1.0):
-    """The descent by plain hashing: 2 shards a rack, 2 racks a region."""
+def plain_shard(key, weights):
+    """The earliest strike that counts by plain hashing: 2 shards a rack, 2 racks a region."""
+    import struct
+
     import xxhash
 
-    def unit(t, name):
+    def unit(t, low, what, x):
         h = xxhash.xxh64_intdigest(key.encode(), 42)
-        h = xxhash.xxh64_intdigest(t.to_bytes(4, "little"), h)
-        return (xxhash.xxh64_intdigest(name.encode(), h) >> 11) / 2**53
-
-    for t in itertools.count():
-        g = int(unit(t, "root") * (places // 4))
-        r = 2 * g + int(unit(t, f"region {g}") * 2)
-        s = 2 * r + int(unit(t, f"rack {r}") * 2)
-        if s < shards and unit(t, f"shard {s}") * room < weight(s):
-            return s
+        for part in (struct.pack("<i", t), struct.pack("<d", low), what.encode(), struct.pack("<i", x)):
+            h = xxhash.xxh64_intdigest(part, h)
+        return (h >> 11) / 2**53
+
+    best = (math.inf, -1)
+    zones = [(0, 1)] + [(1 << k, 1 << k) for k in range(12)]
+    for first, n in zones:
+        most, low, high = max(weights[4 * first : 4 * (first + n)], default=0), 0.0, 1.0
+        while low < most:
+            at = 0.0
+            for t in itertools.count():
+                at -= math.log(1 - unit(t, low, "clock", first)) / (4 * n * (high - low))
+                if at >= best[0]:
+                    break
+                g = first + int(unit(t, low, "region", first) * n)
+                r = 2 * g + int(unit(t, low, "rack", g) * 2)
+                s = 2 * r + int(unit(t, low, "shard", r) * 2)
+                if s < len(weights) and low + unit(t, low, "height", s) * (high - low) < weights[s]:
+                    best = (at, s)
+                    break
+            low, high = high, 2 * high
+    return best[1]
 
 
 def test_descent_equals_plain_hashing(spark):
-    keys = spark.range(1500).select("id", *(sharding.pick(sharding.tree(n), F.col("id")).alias(f"s{n}") for n in (1, 8, 11, 32)))
+    trees = {"one": (1, {}), "eight": (8, {}), "eleven": (11, {}), "many": (70, {2: 5.0, 3: 0.0, 40: 0.25}), "light": (6, {k: 0.01 for k in range(6)})}
+    keys = spark.range(600).select("id", *(sharding.pick(sharding.tree(n, weights=w), F.col("id")).alias(x) for x, (n, w) in trees.items()))
     for r in keys.collect():
-        assert all(r[f"s{n}"] == plain_shard(str(r.id), n) for n in (1, 8, 11, 32))
+        assert all(r[x] == plain_shard(str(r.id), [w.get(s, 1.0) for s in range(n)]) for x, (n, w) in trees.items())
 
 
 def test_weights_move_rows_of_their_leaf_only(spark):
     keys = spark.range(8000).select("id")
-    pick = lambda w, n=8: sharding.pick(sharding.tree(n, weights=w, room=3.0), F.col("id"))
+    pick = lambda w, n=8: sharding.pick(sharding.tree(n, weights=w), F.col("id"))
     r = keys.select(pick({}).alias("a"), pick({3: 3.0}).alias("b"), pick({3: 0.0}).alias("c"), pick({5: 2.0, 4: 0.5}).alias("d")).toPandas()
     assert set(r[r.a != r.b].b) == {3} and abs((r.b == 3).mean() - 0.3) < 0.03
     assert set(r[r.a != r.c].a) == {3} and (r.c != 3).all()
@@ -782,11 +798,25 @@ def test_every_growth_takes_rows_only_into_the_new_shard(spark):
         assert set(b[a != b]) == {n} and abs((a != b).mean() - 1 / (n + 1)) < 0.03
     region, rack = sharding.place_of(sharding.tree(32), F.col("id").cast("int"))
     assert [tuple(x) for x in spark.range(32).select(region, rack).collect()] == [(s // 4, s // 2) for s in range(32)]
-    for bad in ((0, {}), (33, {}), (2, {0: 0.0, 1: 0.0}), (2, {0: 1.5})):
+    for bad in ((0, {}), (-1, {}), (2, {0: 0.0, 1: 0.0}), (2, {0: -1.0}), (2, {0: math.inf})):
         with pytest.raises(ValueError):
             sharding.tree(bad[0], weights=bad[1])
 
 
+def test_any_number_of_shards_and_any_weight(spark):
+    for n, w in ((32, {}), (33, {7: 5.0}), (1000, {0: 5.0})):
+        ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+        s = sharding.assign(ids, n, weights=w).toPandas()
+        moved, total = s[s.shard != s.grown_shard], n - len(w) + sum(w.values())
+        assert s.shard.between(0, n - 1).all() and set(moved.grown_shard) == {n}
+        assert abs(len(moved) - 20_000 / (total + 1)) < 5 * math.sqrt(20_000 / total)
+        sizes = s.groupby("shard").size().reindex(range(n), fill_value=0)
+        for k, size in sizes.items():
+            mean = 20_000 * w.get(k, 1.0) / total
+            assert abs(size - mean) < 5.5 * math.sqrt(mean) + 1
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in s.groupby("shard"))
+
+
 def test_shards_on_disk(spark, tmp_path):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("own").alias("shard"))
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
