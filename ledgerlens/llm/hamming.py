@@ -15,6 +15,7 @@ however many there are.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,36 @@ def _segment(code: Column, j: int, width: int) -> Column:
     return F.shiftrightunsigned(code, j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _masks(width: int, radius: int) -> Column:
-    """All values of ``radius`` set bits, as one literal."""
-    return F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))), ",").cast("array<long>")
+def _masks(width: int, radius: int, low: bool) -> Column:
+    """The lower or upper halves of all values of ``radius`` set bits, one list for each
+    number of bits that fall into the lower half: 2^(width / 2) numbers at most, while the
+    values that they make are many more and come to be in the tasks."""
+    half = width // 2
+    lists = []
+    for below in range(max(0, radius - half), min(half, radius) + 1):
+        n, shift = (below, 0) if low else (radius - below, half)
+        lists.append(",".join(str(sum(1 << (b + shift) for b in bits)) for bits in combinations(range(half), n)))
+    return F.transform(F.array(*map(F.lit, lists)), lambda x: F.split(x, ",").cast("array<long>"))
+
+
+def _named(todo: DataFrame, segments: int, width: int, radius: int) -> DataFrame:
+    """(q, kth, seg, val): the segment values at the distance ``radius``, counted out."""
+    at = (F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j, width).alias("own")) for j in range(segments))
+    probed = todo.select("q", "kth", F.explode(F.array(*at)).alias("s")).select("q", "kth", "s.seg", "s.own")
+    halves = F.arrays_zip(_masks(width, radius, True).alias("low"), _masks(width, radius, False).alias("high"))
+    probed = probed.select("*", F.explode(halves).alias("m")).select("q", "kth", "seg", "own", F.explode("m.low").alias("low"), F.col("m.high").alias("high"))
+    probed = probed.select("q", "kth", "seg", F.col("own").bitwiseXOR(F.col("low")).alias("own"), F.explode("high").alias("high"))
+    return probed.select("q", "kth", "seg", F.col("own").bitwiseXOR(F.col("high")).alias("val"))
+
+
+def _listed(todo: DataFrame, values: DataFrame, segments: int, width: int, radius: int, blocks: int) -> DataFrame:
+    """The same among the values that the index has: open queries meet them in blocks."""
+    at = (F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j, width).alias("own")) for j in range(segments))
+    asked = todo.select("q", "kth", F.explode(F.array(*at)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = asked.select("q", "kth", F.col("s.seg").alias("seg"), F.col("s.own").alias("own"), "block")
+    there = values.withColumn("block", F.pmod(F.xxhash64("val"), F.lit(blocks)).cast("int"))
+    met = asked.join(there, ["seg", "block"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("val"))) == radius)
+    return met.select("q", "kth", "seg", "val")
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -47,7 +75,7 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None, id_col: str = "id", code_col: str = "code", steps: list | None = None) -> DataFrame:
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None, id_col: str = "id", code_col: str = "code", steps: list | None = None, per_block: int = 4096) -> DataFrame:
     """(query_id, rank, id, distance): the k rows of codes nearest to each query, ties to
     the smaller id; fewer where codes has fewer rows. Both frames have id and code.
 
@@ -56,6 +84,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | Non
     nor asked for. Repeated rows are found as often as they are there. Other columns do not
     matter; of empty tables nothing is found. ``segments`` (2, 4 or 8) follows the number of
     distinct codes unless given. ``steps`` receives (radius, queries still open) of each step.
+    A step lists the values at its radius, or, where these are more than the values that a
+    segment of the index has, finds those among them, ``per_block`` at a time; so a query far
+    from all codes costs a reading of the index's values for a radius at most.
     """
     if segments not in (None, 2, 4, 8):
         raise ValueError("2, 4 or 8 segments")
@@ -69,6 +100,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | Non
     width = BITS // segments
     entry = lambda j: F.struct(F.lit(j).alias("seg"), _segment(F.col("code"), j, width).alias("val"))
     index = cut(lists.select("code", "ids", F.explode(F.array(*map(entry, range(segments)))).alias("s")).select("s.seg", "s.val", "code", "ids"))
+    values = cut(index.select("seg", "val").distinct())
+    held = values.groupBy("seg").count().agg(F.max("count")).first()[0] or 1
     asked = cut(asked)
     todo = cut(asked.select("q").distinct().withColumn("kth", F.lit(None).cast("int")))
     best = todo.limit(0).select("q", F.lit(0).alias("distance"), F.array(F.lit(0).cast(lists.schema["ids"].dataType.elementType)).alias("ids"))
@@ -78,9 +111,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | Non
             break
         if steps is not None:
             steps.append((radius, left))
-        at = (F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j, width).alias("own"), _masks(width, radius).alias("masks")) for j in range(segments))
-        probed = todo.select("q", "kth", F.explode(F.array(*at)).alias("s")).select("q", "kth", "s.seg", "s.own", F.explode("s.masks").alias("mask"))
-        probed = probed.select("q", "kth", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"), F.lit(radius).alias("radius"))
+        if comb(width, radius) <= held:
+            probed = _named(todo, segments, width, radius)
+        else:
+            probed = _listed(todo, values, segments, width, radius, -(-held // per_block))
+        probed = probed.withColumn("radius", F.lit(radius))
         gap = F.col("q").bitwiseXOR(F.col("code"))
         met = (probed["seg"] == index["seg"]) & (probed["val"] == index["val"]) & (F.bit_count(gap) <= F.coalesce("kth", F.lit(BITS)))
         # once only: no segment is nearer, and none before it is as near

@@ -273,6 +273,30 @@ def test_top_k_grows_radii_only_while_needed(spark):
     assert [r for r, _ in steps] == list(range(len(steps))) and 1 < len(steps) < 9
 
 
+def test_outlying_queries_read_the_values_there_are(spark):
+    """Codes near zero and a query far off: with two segments of 32 bits the radius 15 alone
+    has 565,722,720 values, while the index has 300."""
+    rng = random.Random(11)
+    codes = [(100 * k + 1, sum(1 << b for b in rng.sample(range(63), 3))) for k in range(300)] + [(0, 0x0007FFFF0000FFF0), (100, 7)]
+    df = spark.createDataFrame(codes, "id long, code long")
+    for segments in (2, 8):
+        steps = []
+        got = hamming.top_k(df, df.where("id % 100 = 0"), k=5, segments=segments, steps=steps, per_block=64).collect()
+        for q in (0, 100):
+            own = dict(codes)[q]
+            near = sorted((((own ^ c) & (2**64 - 1)).bit_count(), i) for i, c in codes)[:5]
+            assert [(r.distance, r.id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == near
+        assert steps[-1][0] * segments > 20 and steps[-1][1] == 1
+
+
+def test_values_at_a_radius_are_all_of_them(spark):
+    todo = spark.createDataFrame([(5, 9)], "q long, kth int")
+    for width, radius in ((8, 0), (8, 3), (8, 8), (16, 5), (32, 2)):
+        got = [(r.seg, r.val) for r in hamming._named(todo, 64 // width, width, radius).collect()]
+        want = {(j, (5 if j == 0 else 0) ^ sum(1 << b for b in bits)) for j in range(64 // width) for bits in itertools.combinations(range(width), radius)}
+        assert len(got) == len(want) and set(got) == want
+
+
 # --- 4: BPE
 
 
