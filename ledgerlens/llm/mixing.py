@@ -5,8 +5,10 @@ Documents fall into cells of source, language and topic. Each cell's token mass
 factor, and the factors are raked until the weighted mass meets the target shares of the
 sources, of the languages and of the topics at once, or a bound on rounds is reached. A
 cell's documents are then sampled with the factor as their probability, scaled by one
-number for all cells: the budget, or the largest at which no probability exceeds one if
-that is less. So expected shares are the targets, whatever the budget.
+number for all cells: the budget, or less if probabilities would exceed one. The rarest cells
+do not set that scale: those of the largest factors are taken whole, with probability one,
+as long as all of them together have ``shortfall`` of the target mass at most. Expected shares are the
+targets but for that, and ``residual`` says what is left.
 """
 
 from __future__ import annotations
@@ -59,30 +61,54 @@ def tempered(cells: DataFrame, dim: str, alpha: float, wide: bool = False) -> Da
     return out.withColumn(f"t_{dim}", power / F.lit(total)).drop("all_")
 
 
-def rake(cells: DataFrame, dims: list[str], total: float, rounds: int = 100, tolerance: float = 1e-12, wide: bool = False) -> DataFrame:
-    """cells (mass > 0, and t_<dim>, the target share of the row's value) with factor and
-    residual: factors that make every weighted share its target, once no share was off by
-    more than ``tolerance`` of it, or as close as the rounds allow; residual is the largest
-    distance that the shares of the row's three values have left. Each round is cut from
-    its lineage."""
+def rake(cells: DataFrame, dims: list[str], total: float, rounds: int = 100, tolerance: float = 1e-11, wide: bool = False) -> DataFrame:
+    """cells (mass > 0, and t_<dim>, the target share of the row's value) with factor: factors
+    that make every weighted share its target, or come as close as they can where no factors
+    do. It ends when a round moves ``tolerance`` of the mass at most, or after ``rounds``. The
+    lineage is cut after each round where cells are many, else after four."""
     out = cells.withColumn("factor", F.lit(1.0))
     weighed = F.col("factor") * F.col("mass") / F.lit(total)
-    for _ in range(rounds):
-        out = out.withColumn("off", F.lit(0.0))
+    every = 1 if wide else 4
+    for k in range(rounds):
+        out = out.withColumn("before", F.col("factor"))
         for d in dims:
-            fit = F.col(f"t_{d}") / F.col("now_")
-            out = _summed(out, d, weighed, "now_", wide)
-            out = out.withColumns({"off": F.greatest("off", F.abs(1 / fit - 1)), "factor": F.col("factor") * fit}).drop("now_")
-        out = cut(out)
-        if (out.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
-            break
-    out = out.withColumn("residual", F.lit(0.0))
+            out = _summed(out, d, weighed, "now_", wide).withColumn("factor", F.col("factor") * F.col(f"t_{d}") / F.col("now_")).drop("now_")
+        moved = F.abs(F.col("factor") - F.col("before")) * F.col("mass") / F.lit(total)
+        out = out.withColumn("moved", moved).drop("before")
+        if (k + 1) % every == 0 or k + 1 == rounds:
+            out = cut(out)
+            if (out.agg(F.sum("moved")).first()[0] or 0.0) <= tolerance:
+                break
+        out = out.drop("moved")
+    return out.drop("moved")
+
+
+def scale_of(raked: DataFrame, total: float, shortfall: float) -> float:
+    """The scale at which the factors become probabilities: one over the largest factor, when
+    those that have ``shortfall`` of the target mass at most are left out. Factors are
+    counted in steps of a sixteenth of a power of two, so the driver meets some hundred rows."""
+    step = F.floor(F.log2("factor") * 16)
+    rows = raked.where("factor > 0").groupBy(step.alias("step")).agg(F.sum(F.col("factor") * F.col("mass") / F.lit(total)).alias("share"), F.max("factor").alias("most"))
+    above = 0.0
+    for row in sorted(rows.collect(), key=lambda r: -r.step):
+        above += row.share
+        if above > shortfall:
+            return 1 / row.most
+    return 1.0
+
+
+def left_over(sampled: DataFrame, dims: list[str], wide: bool) -> DataFrame:
+    """sampled (mass, prob) with residual: the largest distance that the expected shares of
+    the row's values have from their targets."""
+    kept = sampled.agg(F.sum(F.col("prob") * F.col("mass"))).first()[0] or 1.0
+    out = sampled.withColumn("residual", F.lit(0.0))
     for d in dims:
-        out = _summed(out, d, weighed, "now_", wide).withColumn("residual", F.greatest("residual", F.abs(F.col("now_") - F.col(f"t_{d}")))).drop("now_")
-    return cut(out.drop("off"))
+        share = F.col("prob") * F.col("mass") / F.lit(kept)
+        out = _summed(out, d, share, "now_", wide).withColumn("residual", F.greatest("residual", F.abs(F.col("now_") - F.col(f"t_{d}")))).drop("now_")
+    return out
 
 
-def fit(rows: DataFrame, columns: list[str], n_tokens: str, *, budget: float, alpha: float, rounds: int, targets: dict[str, DataFrame] | None = None, max_cells: int = 100_000) -> DataFrame | None:
+def fit(rows: DataFrame, columns: list[str], n_tokens: str, *, budget: float, alpha: float, rounds: int, targets: dict[str, DataFrame] | None = None, max_cells: int = 100_000, shortfall: float = 0.005) -> DataFrame | None:
     """One row for each cell that has tokens: c_source, c_lang, c_topic, prob, t_source,
     t_lang, t_topic, residual; broadcast if there are at most ``max_cells`` of these short
     rows. None where no row has a token."""
@@ -92,15 +118,18 @@ def fit(rows: DataFrame, columns: list[str], n_tokens: str, *, budget: float, al
     if not n:
         return None
     wide = n > max_cells
+    if not wide:  # so few short rows are raked in one task, without a shuffle in any round
+        cells = cut(cells.coalesce(1))
     for d in DIMENSIONS:
         share = (targets or {}).get(d)
         if share is None:
             cells = tempered(cells, d, alpha, wide)
         else:
             cells = cells.join(share.select(F.col("value").alias("v_"), F.col("share").alias(f"t_{d}")), _same(d, "v_")).drop("v_")
-    fitted = rake(cut(cells), DIMENSIONS, total, rounds, wide=wide)
-    scale = min(budget, 1 / (fitted.agg(F.max("factor")).first()[0] or 1.0))
-    out = fitted.select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), F.least(F.lit(1.0), scale * F.col("factor")).alias("prob"), *(f"t_{d}" for d in DIMENSIONS), "residual")
+    raked = rake(cut(cells), DIMENSIONS, total, rounds, wide=wide)
+    scale = min(budget, scale_of(raked, total, shortfall))
+    fitted = cut(left_over(raked.withColumn("prob", F.least(F.lit(1.0), scale * F.col("factor"))), DIMENSIONS, wide))
+    out = fitted.select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "prob", *(f"t_{d}" for d in DIMENSIONS), "residual")
     return out if wide else F.broadcast(out)
 
 
@@ -112,7 +141,7 @@ def uniform(key: Column, seed: int = 20) -> Column:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic_of: Column | None = None,
-    budget: float = 1.0, alpha: float = 0.9, rounds: int = 100, targets: dict[str, DataFrame] | None = None, seed: int = 20, max_cells: int = 100_000,
+    budget: float = 1.0, alpha: float = 0.9, rounds: int = 100, targets: dict[str, DataFrame] | None = None, seed: int = 20, max_cells: int = 100_000, shortfall: float = 0.005,
 ) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, prob, u, sampled, t_source, t_lang, t_topic,
     residual) for every row.
@@ -120,7 +149,8 @@ def mix(
     Targets (t_) are the tempered shares of each source, language and topic, or those of
     ``targets`` (dimension -> value, share; rows of a value without a share have prob 0).
     residual is the largest distance between target and expected share over the row's three
-    values. ``budget`` bounds the expected share of all tokens that is kept. A row is
+    values, ``shortfall`` the share of the target mass that cells taken whole may have.
+    ``budget`` bounds the expected share of all tokens that is kept. A row is
     sampled where its uniform number u, a digest of its id, is under its cell's probability.
     Texts without words have no mass and are never sampled (prob 0; targets are null where
     their cell has no tokens). Null sources and languages are values like others, and so are
@@ -133,7 +163,7 @@ def mix(
             (topic(F.col(text_col)) if topic_of is None else topic_of).alias("topic"), tokens(F.col(text_col)).alias("n_tokens"),
         )
     )
-    found = fit(rows, DIMENSIONS, "n_tokens", budget=budget, alpha=alpha, rounds=rounds, targets=targets, max_cells=max_cells)
+    found = fit(rows, DIMENSIONS, "n_tokens", budget=budget, alpha=alpha, rounds=rounds, targets=targets, max_cells=max_cells, shortfall=shortfall)
     extra = ["prob", *(f"t_{d}" for d in DIMENSIONS), "residual"]
     if found is None:
         out = rows.withColumns({c: F.lit(None).cast("double") for c in extra})
@@ -145,7 +175,7 @@ def mix(
 
 def keep_sampled(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic_of: Column | None = None,
-    budget: float = 1.0, alpha: float = 0.9, rounds: int = 100, targets: dict[str, DataFrame] | None = None, seed: int = 20, max_cells: int = 100_000,
+    budget: float = 1.0, alpha: float = 0.9, rounds: int = 100, targets: dict[str, DataFrame] | None = None, seed: int = 20, max_cells: int = 100_000, shortfall: float = 0.005,
 ) -> DataFrame:
     """The sampled rows, with the columns as they come. Rows and not ids are judged; texts do
     not travel where the cells are few."""
@@ -154,7 +184,7 @@ def keep_sampled(
         names.append(fresh(c + "_", docs.columns + names))
     made = [F.col(source_col).cast("string"), F.col(lang_col).cast("string"), topic(F.col(text_col)) if topic_of is None else topic_of, tokens(F.col(text_col))]
     rows = docs.withColumns(dict(zip(names, made, strict=True)))
-    found = fit(rows, names[:3], names[3], budget=budget, alpha=alpha, rounds=rounds, targets=targets, max_cells=max_cells)
+    found = fit(rows, names[:3], names[3], budget=budget, alpha=alpha, rounds=rounds, targets=targets, max_cells=max_cells, shortfall=shortfall)
     if found is None:
         return docs.limit(0)
     prob = fresh("prob", docs.columns)

@@ -140,7 +140,7 @@ FROM whole w JOIN sizes s ON w.conv_id IS NOT DISTINCT FROM s.conv_id
 """
 
 
-def mixing(alpha: float = 0.9, rounds: int = 40, seed: int = 20) -> str:
+def mixing(alpha: float = 0.9, rounds: int = 40, seed: int = 20, shortfall: float = 0.005) -> str:
     """The raking written out, one materialised step for each round and dimension; more
     rounds than it takes to settle."""
     dims = ["source", "lang", "topic"]
@@ -164,8 +164,11 @@ def mixing(alpha: float = 0.9, rounds: int = 40, seed: int = 20) -> str:
         for d in dims:
             steps.append(f"f{k + 1} AS MATERIALIZED (SELECT * REPLACE (factor * t_{d} * total / sum(factor * mass) OVER (PARTITION BY {d}) AS factor) FROM f{k})")
             k += 1
-    shares = ", ".join(f"abs(sum(factor * mass) OVER (PARTITION BY {d}) / total - t_{d})" for d in dims)
-    steps.append(f"fitted AS MATERIALIZED (SELECT *, factor / max(factor) OVER () AS prob, greatest({shares}) AS residual FROM f{k})")
+    steps.append(f"stepped AS MATERIALIZED (SELECT floor(log2(factor) * 16) AS step, sum(factor * mass / total) AS share, max(factor) AS most FROM f{k} GROUP BY 1)")
+    steps.append("above AS MATERIALIZED (SELECT most, sum(share) OVER (ORDER BY step DESC) AS upto FROM stepped)")
+    steps.append(f"scaled AS MATERIALIZED (SELECT *, least(1.0, factor * least(1.0, (SELECT 1 / max(most) FROM above WHERE upto > {shortfall}))) AS prob FROM f{k})")
+    shares = ", ".join(f"abs(sum(prob * mass) OVER (PARTITION BY {d}) / sum(prob * mass) OVER () - t_{d})" for d in dims)
+    steps.append(f"fitted AS MATERIALIZED (SELECT *, greatest({shares}) AS residual FROM scaled)")
     steps.append(
         f"""judged AS (SELECT r.*, CASE WHEN r.n_tokens > 0 THEN f.prob ELSE 0.0 END AS p, t_source, t_lang, t_topic, residual,
     CAST(CAST('0x' || substr(md5(coalesce(CAST(r.doc_id AS VARCHAR), 'null') || '|{seed}'), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}::DOUBLE AS u

@@ -601,7 +601,7 @@ def test_raking_meets_its_marginals(spark):
     rng = random.Random(7)
     docs = spark.createDataFrame([(k, t + (" | a" if rng.random() < 0.1 else ""), lang, s, n) for k, t, lang, s, n in corpus(500)], SCHEMA)
     for budget in (1.0, 0.3):
-        m = mixing.mix(docs, alpha=0.7, budget=budget, rounds=30).toPandas()
+        m = mixing.mix(docs, alpha=0.7, budget=budget, rounds=30, shortfall=0).toPandas()
         m["got"] = m.prob * m.n_tokens
         assert m.prob.max() <= 1 and (budget == 0.3 or m.prob.max() == pytest.approx(1))
         assert m.got.sum() <= budget * m.n_tokens.sum() * 1.000001
@@ -612,12 +612,26 @@ def test_raking_meets_its_marginals(spark):
             assert m.groupby(d)[f"t_{d}"].first().tolist() == pytest.approx(target.tolist())
         assert m.residual.max() < 1e-9
     assert abs(m.sampled.mean() - m.prob.mean()) < 0.08
-    again = mixing.mix(docs.repartition(7), alpha=0.7, budget=0.3).toPandas().sort_values("doc_id")
+    again = mixing.mix(docs.repartition(7), alpha=0.7, budget=0.3, shortfall=0).toPandas().sort_values("doc_id")
     assert again.sampled.tolist() == m.sort_values("doc_id").sampled.tolist()
-    kept = mixing.keep_sampled(docs, alpha=0.7, budget=0.3).toPandas()
+    kept = mixing.keep_sampled(docs, alpha=0.7, budget=0.3, shortfall=0).toPandas()
     assert sorted(kept.doc_id) == sorted(m[m.sampled].doc_id)
 
 
+def test_a_rare_cell_costs_little(spark):
+    rows = corpus(800)
+    kept = []
+    for docs in (rows, [*rows, (90_000, "two words", "zz", "rare", 9)]):
+        m = mixing.mix(spark.createDataFrame(docs, SCHEMA)).toPandas()
+        got = m.prob * m.n_tokens
+        kept.append(got.sum() / m.n_tokens.sum())
+        for d in ("source", "lang", "topic"):
+            share = got.groupby(m[d]).sum() / got.sum()
+            off = (share - m.groupby(d)[f"t_{d}"].first()).abs()
+            assert off.max() < 0.01 and (m.residual.max() + 1e-12 >= off.max())
+    assert abs(kept[0] - kept[1]) < 0.01 and m.prob[m.lang == "zz"].tolist() == [1.0]
+
+
 def test_mixing_of_many_cells_joins_sums(spark):
     docs = spark.createDataFrame(corpus(60), SCHEMA)
     few, many = ({r.doc_id: r.prob for r in mixing.mix(docs, rounds=2, max_cells=n).collect()} for n in (100, 0))
