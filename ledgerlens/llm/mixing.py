@@ -118,7 +118,7 @@ def fit(rows: DataFrame, columns: list[str], n_tokens: str, *, budget: float, al
     if not n:
         return None
     wide = n > max_cells
-    if not wide:  # so few short rows are raked in one task, without a shuffle in any round
+    if not wide:  # so few short rows fit one partition
         cells = cut(cells.coalesce(1))
     for d in DIMENSIONS:
         share = (targets or {}).get(d)
