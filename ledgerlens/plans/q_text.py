@@ -339,7 +339,14 @@ def word2vec_sibling(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("family"), M.words(C.norm_text(F.concat_ws(" ", "p_type", "p_brand"))).alias("terms"))
     cat = p.where("id % 5 = 0")
     model = M.word_vectors(p.select("terms").unionByName(cat.select("terms")), "terms", size=100)
-    return M.best_sibling(M.embed(model, p.where("id % 5 <> 0")), M.embed(model, cat).withColumnRenamed("id", "code"), "id", "family", "vector", "code")
+    # equal texts of a family have one vector and one sibling
+    items = p.where("id % 5 <> 0")
+    distinct = settled(items.groupBy("family", "terms").agg(F.min("id").alias("one")))
+    codes = cat.groupBy("family", "terms").agg(F.min("id").alias("code"))
+    best = M.best_sibling(M.embed(model, distinct), M.embed(model, codes), "one", "family", "vector", "code").drop("family")
+    best = distinct.join(best, "one").withColumnRenamed("family", "_f").withColumnRenamed("terms", "_terms")
+    out = items.join(best, F.col("family").eqNullSafe(F.col("_f")) & F.col("terms").eqNullSafe(F.col("_terms")))
+    return out.select("id", "family", "best_code", "best_sim", "no_family")
 
 
 @query(f"""WITH {_LINES}, p AS (SELECT txt, code, count(*) AS n FROM f WHERE txt IS NOT NULL GROUP BY 1, 2), u AS (SELECT * FROM p ORDER BY n DESC, txt, code LIMIT 100)
