@@ -58,18 +58,19 @@ def frequent_texts(rows: DataFrame, text: str, k: int = 40) -> DataFrame:
 
 def distinct_pairs(rows: DataFrame, text: str, code: str, rsd: float = 0.02) -> DataFrame:
     """One row: rows, distinct (text, code) pairs exact and approximate, and the factor."""
-    pair = rows.where(F.col(text).isNotNull() & F.col(code).isNotNull()).select(F.xxhash64(text, code).alias("p"), text, code)
-    exact = pair.groupBy(text, code).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_pairs"))
-    approx = pair.agg(F.approx_count_distinct("p", rsd).alias("approx_pairs"))
-    return exact.join(approx).withColumn("factor", F.round(F.try_divide("n_rows", "n_pairs"), 6))
+    pair = rows.where(F.col(text).isNotNull() & F.col(code).isNotNull()).select(F.xxhash64(text, code).alias("p"), F.sha2(text, 256).alias("digest"), code)
+    # a sketch of the groups is one of the rows, and the text decides p
+    found = pair.groupBy("digest", code, "p").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_pairs"), F.approx_count_distinct("p", rsd).alias("approx_pairs"))
+    return found.withColumn("factor", F.round(F.try_divide("n_rows", "n_pairs"), 6))
 
 
 def dedup_texts(rows: DataFrame, text: str, label: Column, keep: list[str]) -> DataFrame:
     """One row a text that has one label only: the label, the repeat count, least values of
-    the kept columns. Ambiguous texts go."""
-    g = rows.where(F.col(text).isNotNull()).withColumn("_label", label).where("_label is not null").groupBy(text)
-    out = g.agg(F.min("_label").alias("label"), F.max("_label").alias("_other"), F.count("*").alias("n_repeats"), *(F.min(c).alias(c) for c in keep))
-    return out.where("label = _other").drop("_other")
+    the kept columns. Ambiguous texts go. Groups are those of the text's SHA-256, so texts
+    travel only where they are read afterwards."""
+    g = rows.where(F.col(text).isNotNull()).withColumn("_label", label).where("_label is not null").groupBy(F.sha2(text, 256).alias("_digest"))
+    out = g.agg(F.min(text).alias(text), F.min("_label").alias("label"), F.max("_label").alias("_other"), F.count("*").alias("n_repeats"), *(F.min(c).alias(c) for c in keep))
+    return out.where("label = _other").drop("_other", "_digest")
 
 
 def circularity(rows: DataFrame, year: str, group: str, circular: Column) -> DataFrame:

@@ -52,3 +52,29 @@ def test_flagship(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_texts_are_normalised_once(spark):
+    from ledgerlens.plans import q_text
+
+    for rows in (q_text.lines(spark, DATA), q_text.dataset(spark, DATA)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", ["classifier_naive_bayes", "classifier_contamination", "classifier_logistic"])
+def test_classifiers_without_any_usable_text(spark, tmp_path, name):
+    """Copies of a part whose codes disagree leave no text to train or test with."""
+    duckdb = pytest.importorskip("duckdb")
+    from pyspark.sql import functions as F
+
+    part = spark.read.parquet(f"{DATA}/part.parquet").limit(20)
+    part.crossJoin(spark.range(12).select(F.col("id").alias("r"))).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("r")).drop("r").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    if name in registry.oracle_sql():
+        c = duckdb.connect()
+        c.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+        assert plain(got) == plain(c.sql(registry.oracle_sql()[name]).fetchall())
+    else:
+        assert got == [(None, None, None, None, None)]
