@@ -43,9 +43,11 @@ def inclusion(weights: DataFrame, size: str, threshold: float) -> DataFrame:
 
 def design_fit(weights: DataFrame, selected: int) -> DataFrame:
     """One row: expected number of selected strata, its standard deviation, and the z of
-    what was selected."""
+    what was selected: where every stratum is certain, infinite, or NaN if all fits."""
     g = weights.agg(F.sum("pi").alias("e"), F.sqrt(F.sum(F.col("pi") * (1 - F.col("pi")))).alias("sd"))
-    return g.select(F.round("e", 6).alias("expected"), F.round("sd", 6).alias("sd"), F.lit(selected).cast("long").alias("selected"), F.round(F.try_divide(selected - F.col("e"), F.col("sd")), 6).alias("z"))
+    off = selected - F.col("e")
+    z = F.when(F.col("sd") == 0, F.when(off > 0, float("inf")).when(off < 0, float("-inf")).otherwise(float("nan"))).otherwise(F.try_divide(off, "sd"))
+    return g.select(F.round("e", 6).alias("expected"), F.round("sd", 6).alias("sd"), F.lit(selected).cast("long").alias("selected"), F.round(z, 6).alias("z"))
 
 
 def coverage_by_band(weights: DataFrame, size: str, limits: list[float]) -> DataFrame:

@@ -232,3 +232,10 @@ def test_majority_baseline_without_test_rows_is_one_row(spark):
     f = lambda xs: spark.createDataFrame([(x,) for x in xs], "y int")
     r = classify.majority_baseline(f([1, 1, 0]), f([]), "y").collect()
     assert [tuple(x) for x in r] == [(1, 0, None)]
+
+
+def test_design_fit_where_every_stratum_is_certain(spark):
+    from ledgerlens.operators import sampling
+
+    f = lambda n, k: sampling.design_fit(spark.createDataFrame([(1.0,)] * n, "pi double"), k).first()
+    assert f(18, 12).z == float("-inf") and f(3, 12).z == float("inf") and f(12, 12).z != f(12, 12).z and f(18, 12).sd == 0
