@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .match import FOUND, Catalogue, first_codes, found_batch, ranks_of
+from .match import FOUND, Catalogue, first_codes, found_batch, ranks_once, shared_codes
 
 #: Bytes of a basis, and of a catalogue's vectors, that are held and broadcast at most.
 MOST = 1 << 30
@@ -181,7 +181,8 @@ def rank_all(
                     above += (s > own[:, None]).sum(1)
                     for i in range(len(t)):
                         best[i] = sorted(best[i] + first_codes(ids, s[i], k), key=lambda x: (-x[1], x[0]))[:k]
-                yield found_batch(batch, [key, declared], [(float(own[i]) if listed[i] else None, int(above[i]), best[i]) for i in range(len(t))])
+                yield found_batch(batch, ["_id", declared], [(float(own[i]) if listed[i] else None, int(above[i]), best[i]) for i in range(len(t))])
 
     fed = texts.select(key, declared, terms.alias("_terms"))
-    return ranks_of(fed.mapInArrow(run, f"`{key}` {types[key]}, `{declared}` {types[declared]}, {FOUND}"), key, declared)
+    find = lambda some: some.mapInArrow(run, f"_id string, `{declared}` {types[declared]}, {FOUND}")
+    return ranks_once(fed, shared_codes(texts.sparkSession, names), catalogue.terms, key, declared, find)
