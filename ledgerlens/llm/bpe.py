@@ -9,14 +9,16 @@ the root can be merged. Pre-tokens repeat, so each worker keeps what it has enco
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+from array import array
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import fresh, sliced
+from .common import fresh, lean, sliced
 
 #: Pre-tokens of the byte-level scheme: contractions, then runs of letters, numbers and
 #: others with at most one space before, then white space. White space is the Unicode
@@ -116,10 +118,27 @@ class _Pieces(dict):
         return found
 
 
+class _Ids(dict):
+    """Pre-token -> its ids as 32-bit integers, made when missed: smaller than what _Pieces
+    keeps, for work that needs neither decimals nor decoded bytes."""
+
+    def __init__(self, codec: ByteBPE, older: dict) -> None:
+        self.codec, self.older = codec, older
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            c = self.codec
+            found = array("i", merged([c.byte_ids[b] for b in piece.encode()], c.pairs)).tobytes()
+        if len(piece) <= 64:
+            self[piece] = found
+        return found
+
+
 class ByteBPE:
     """Encoder and decoder for a byte-level BPE vocabulary file (tokenizers JSON)."""
 
-    def __init__(self, source: str, known: int = 400_000) -> None:
+    def __init__(self, source: str, known: int = 400_000, known_ids: int = 100_000) -> None:
         import regex
 
         spec = json.loads(source)
@@ -138,8 +157,8 @@ class ByteBPE:
         names = sorted(self.special, key=len, reverse=True)
         self.stops = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         # two generations: what is used again survives when the younger one is full
-        self.known = known // 2
-        self.cache = _Pieces(self, {})
+        self.known, self.known_ids = known // 2, known_ids // 2
+        self.cache, self.ids_cache = _Pieces(self, {}), _Ids(self, {})
 
     def round_trip(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by commas, the text that the ids decode to)."""
@@ -157,9 +176,24 @@ class ByteBPE:
         sizes, ids, raw = zip(*got, strict=True)
         return sum(sizes), ",".join(ids), b"".join(raw).decode("utf-8", "replace")
 
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
+        got = []
+        for k, part in enumerate(self.stops.split(text) if self.stops else [text]):
+            if k % 2:
+                got.append(array("i", [self.special[part]]).tobytes())
+                continue
+            # a text can have more different pre-tokens than a generation holds
+            pieces = self.pieces.findall(part)
+            for at in range(0, len(pieces), 4096):
+                if len(self.ids_cache) > self.known_ids:
+                    self.ids_cache.older = {}
+                    self.ids_cache = _Ids(self, self.ids_cache)
+                got.extend(map(self.ids_cache.__getitem__, pieces[at : at + 4096]))
+        return b"".join(got)
+
     def encode(self, text: str) -> list[int]:
-        joined = self.round_trip(text)[1]
-        return [int(x) for x in joined.split(",")] if joined else []
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
@@ -182,17 +216,21 @@ def _coder(shared, digest: bool, names: list[str]):
         import numpy as np
         import pyarrow as pa
 
+        batches = lean(batches)
+        first = next(batches, None)  # earlier work's memory is given back before the codec takes its own
+        if first is None:
+            return
         codec = _codec(shared.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in sliced(batches):
-            got = [codec.round_trip(x.as_py() or "") for x in batch.columns[-1]]
-            sizes = pa.array([x[0] for x in got], pa.int64())
+        for batch in sliced(itertools.chain([first], batches)):
             if digest:
-                made = [sizes, pa.array([sha(x[1]) for x in got], pa.string()), pa.array([sha(x[2]) for x in got], pa.string())]
+                got = [codec.round_trip(x.as_py() or "") for x in batch.columns[-1]]
+                made = [pa.array([x[0] for x in got], pa.int64()), pa.array([sha(x[1]) for x in got], pa.string()), pa.array([sha(x[2]) for x in got], pa.string())]
             else:
-                ids = np.fromstring(",".join(x[1] for x in got if x[0]), np.int32, sep=",")
-                ends = np.cumsum([0, *(x[0] for x in got)], dtype=np.int32)
-                made = [sizes, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                got = [codec.packed(x.as_py() or "") for x in batch.columns[-1]]
+                sizes = np.array([len(x) // 4 for x in got], np.int64)
+                ends = np.cumsum([0, *sizes], dtype=np.int32)
+                made = [pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
 
     return run

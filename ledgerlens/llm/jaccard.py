@@ -31,6 +31,9 @@ BANDS, ROWS = 24, 5
 #: Numbers (8 bytes each) that are broadcast at most, after they were counted.
 FEW = 1_000_000
 
+#: Shingles of a block of members, about; a task holds two blocks.
+BLOCK = 131_072
+
 
 def _hashes(text: str | None, size: int, seed: int):
     """Hashes of the word shingles, as ``simhash.shingles`` has them; no list of them is held."""
@@ -136,6 +139,60 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, least: float,
     return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & long_enough).select("a", "b")
 
 
+def _setter(size: int, seed: int):
+    """The sorted set of a text's shingles, as bytes, and their number."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in sliced(lean(batches), 32):
+            sets = [np.unique(_hashes(x.as_py(), size, seed)) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "size", "set"])
+
+    return run
+
+
+def _block_judge(least: float):
+    """The similar pairs of different components between the blocks i and j of a bucket."""
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        block, i, j = (rows.column(c).to_numpy() for c in ("block", "i", "j"))
+        sizes, nodes, of = (rows.column(c).to_numpy() for c in ("size", "node", "component"))
+        # the shingles of the unit, numbered, and where each row's begin
+        at = np.unique(np.frombuffer(b"".join(x.as_py() for x in rows.column("set")), np.uint64), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        right = np.flatnonzero(block == j[0])
+        others = np.concatenate([at[ends[k] - sizes[k] : ends[k]] for k in right]) if len(right) else at[:0]
+        starts, has, found = np.cumsum(sizes[right]) - sizes[right], np.zeros(len(at), np.uint8), []
+        for k in np.flatnonzero(block == i[0]) if len(right) else ():
+            own = at[ends[k] - sizes[k] : ends[k]]
+            has[own] = 1
+            both = np.add.reduceat(has[others], starts, dtype=np.int64)
+            has[own] = 0
+            close = (both >= least * (sizes[k] + sizes[right] - both)) & (of[right] != of[k]) & ((i[0] != j[0]) | (nodes[right] > nodes[k]))
+            found += [(min(nodes[k], x), max(nodes[k], x)) for x in nodes[right[close]]]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
+def _block_pairs(members: DataFrame, texts: DataFrame, size: int, least: float, seed: int) -> DataFrame:
+    """(a, b): the similar pairs of a bucket's members of different components. members has
+    band, node and component. A bucket is dealt into blocks by its members' shingles, so no
+    group has to fit one task, and each two blocks are a unit of their own."""
+    sets = cut(members.select("node").distinct().join(texts, "node").select("node", "text").mapInArrow(_setter(size, seed), "node long, size long, set binary"))
+    sized = members.join(sets.select("node", "size"), "node")
+    blocks = sized.groupBy("band").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    units = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "size", "set")
+    return units.groupBy("band", "i", "j").applyInArrow(_block_judge(least), "a long, b long")
+
+
 def _few(numbers: DataFrame) -> DataFrame:
     """Marked for broadcast if counted few; else Spark joins by shuffle."""
     return F.broadcast(numbers) if numbers.count() <= FEW else numbers
@@ -154,15 +211,16 @@ def _signed(docs: DataFrame, text_col: str, size: int, seed: int) -> tuple[DataF
     return docs.sparkSession.read.schema(schema).parquet(path), names
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000, dense: int = 4) -> DataFrame:
     """(node, least_id, component) of every distinct set of shingles; sets whose Jaccard
     similarity is ``least`` or more are linked. Texts without a word are one node. The
-    result is the same for every ``small``, the most pairs of a bucket that all meet."""
+    result is the same for every ``small`` and ``dense``, the most pairs of a bucket that all
+    meet, and the most for each of its members that meet as rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _grouped(_signed(rows, "text", size, seed)[0], size, least, seed, small).select("node", "lead.least_id", "component")
+    return _grouped(_signed(rows, "text", size, seed)[0], size, least, seed, small, dense).select("node", "lead.least_id", "component")
 
 
-def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int) -> DataFrame:
+def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int, dense: int) -> DataFrame:
     """(node, lead, component) from rows of doc_id, text, row, node, fp, bands; lead is the
     least id of a node and the first row that has it, null where no row has an id."""
     lead = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("least_id"), "row"))
@@ -191,25 +249,27 @@ def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int) ->
     placed = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     # how many pairs of a bucket's members lie in different components
     sizes = placed.groupBy("band", "component").agg(F.count("*").cast("double").alias("m")).groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    apart = sizes.select("band", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("crossing")).where("crossing > 0")
-    placed = cut(placed.join(apart, "band"))
-    left, right = (placed.where(F.col("crossing") <= small).select("band", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    apart = sizes.select("band", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("crossing")).where("crossing > 0")
+    # rows of pairs grow with the members, and not with the square of a bucket
+    way = F.when(F.col("crossing") > small, "prefixes").when(F.col("crossing") > dense * F.col("m"), "blocks").otherwise("pairs")
+    placed = cut(placed.join(apart.select("band", way.alias("way")), "band"))
+    left, right = (placed.where("way = 'pairs'").select("band", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     second = left.join(right, "band").where("a < b and of_a <> of_b").select("a", "b")
-    many = placed.where(F.col("crossing") > small).select("node", "component").distinct()
+    many = placed.where("way = 'prefixes'").select("node", "component").distinct()
     second = ordered(second.unionByName(_prefix_pairs(many, texts, size, least, seed))).join(first, ["a", "b"], "left_anti")
     with short_batches(rows.sparkSession):
-        more = cut(similar(second))
+        more = cut(similar(second).unionByName(_block_pairs(placed.where("way = 'blocks'").select("band", "node", "component"), texts, size, least, seed)))
     joined = components(links.unionByName(more))
     return nodes.join(joined, "node", "left").select("node", "lead", F.coalesce("component", "node").alias("component"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000, dense: int = 4) -> DataFrame:
     """One row of each group, that of its smallest id; columns as they come. Rows that share
     an id but not a group are kept apart; rows without an id stay."""
     void = {c for c, kind in docs.dtypes if kind == "void"}  # no file format stores these
     rows, (row, node, fp, bands) = _signed(docs.withColumns({c: F.col(c).cast("string") for c in void}), text_col, size, seed)
     own = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(x) for c, x in ((row, "row"), (node, "node"), (fp, "fp"), (bands, "bands"))))
-    found = cut(_grouped(own, size, least, seed, small).where("lead is not null").select("node", "component", "lead"))
+    found = cut(_grouped(own, size, least, seed, small, dense).where("lead is not null").select("node", "component", "lead"))
     first = found.groupBy("component").agg(F.min(F.struct("lead.least_id", "node", "lead.row")).alias("f")).select("component", F.col("f.row").alias("first"))
     gone = own.where("doc_id is not null").select("row", "node").join(found.join(first, "component").select("node", "first"), "node").where("row <> first")
     gone = cut(gone.select(F.col("row").alias(row)))

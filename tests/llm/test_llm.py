@@ -317,6 +317,14 @@ def test_bpe_equals_the_library(vocabulary):
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_ids_with_a_small_cache(vocabulary):
+    own, rng = bpe.ByteBPE(vocabulary, known_ids=20), random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(9000)) + "<|endoftext|>", "", "é 一 😀\n\n  x"]
+    for t in texts:
+        assert own.packed(t) == b"".join(int(x).to_bytes(4, "little") for x in own.round_trip(t)[1].split(",") if x)
+    assert len(own.ids_cache) <= 4200  # and not a generation for each text
+
+
 def test_bpe_of_tables(spark, awkward, empty, vocabulary):
     out = bpe.encode(awkward.withColumn("n_tokens", F.lit(0)), vocabulary)
     assert out.columns[-2:] == ["_n_tokens", "token_ids"]
@@ -587,6 +595,29 @@ def test_pipeline_drops_all_copies_of_similarity_08(spark, monkeypatch):
     assert jaccard.keep_first(df.limit(0)).count() == 0
 
 
+def test_near_dedup_compares_blocks_of_large_buckets(spark, monkeypatch):
+    rng = random.Random(8)
+    base, rows = [f"common{i}" for i in range(60)], []
+    for k in range(60):  # all share a passage, so bands hold many that are apart
+        own = [f"own{k // 2}x{i}" for i in range(25)]
+        own[rng.randrange(25)] = f"changed{k}"
+        rows.append((k, " ".join(base + own)))
+    sets = [set(simhash.shingles(t, 5)) for _, t in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(60), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df, made = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(jaccard, "BLOCK", 700)
+    blocks = jaccard._block_pairs
+    monkeypatch.setattr(jaccard, "_block_pairs", lambda members, *a: made.append(members.count()) or blocks(members, *a))
+    found = {tuple(r) for r in jaccard.groups(df, dense=0).select("node", "least_id", "component").collect()}
+    assert made[0] and found == {tuple(r) for r in jaccard.groups(df, dense=1 << 30).select("node", "least_id", "component").collect()}
+    # every pair of one bucket, in blocks, against brute force
+    nodes = {r.least_id: r.node for r in jaccard.groups(df).collect()}
+    members = spark.createDataFrame([(1, nodes[k], k) for k in nodes], "band long, node long, component long")
+    texts = spark.createDataFrame([(nodes[k], t) for k, t in rows if k in nodes], "node long, text string")
+    got = sorted({tuple(r) for r in blocks(members, texts, 5, 0.8, 42).collect()})
+    assert got == sorted((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in near)
+
+
 def test_shingle_hashes_are_those_of_the_shingles():
     import xxhash
 
