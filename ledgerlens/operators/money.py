@@ -36,10 +36,11 @@ def linked_money_by_start(rows: DataFrame, year: str, starts: list[int], currenc
     return g.select("start", currency, F.col("m").cast("double").alias("total"), F.col("l").cast("double").alias("linked_total"), F.round(percent(F.col("l").cast("double"), F.col("m").cast("double")), 6).alias("pct"))
 
 
-def reconcile_documents(rows: DataFrame, doc: str, amount: str, declared: str, tolerance: float = 0.01) -> DataFrame:
+def reconcile_documents(rows: DataFrame, doc: str, amount: str, declared: str, tolerance: float = 0.01, *, more: tuple[Column, ...] = ()) -> DataFrame:
     """Per document: the sum of its lines against its declared total, and whether the ratio
-    lies outside the tolerance. The declared total is the largest, where lines disagree."""
-    d = rows.groupBy(doc).agg(F.sum(amount).cast("double").alias("lines_total"), F.max(declared).cast("double").alias("doc_total"))
+    lies outside the tolerance. The declared total is the largest, where lines disagree.
+    ``more`` are aggregates of the lines made in the same pass."""
+    d = rows.groupBy(doc).agg(F.sum(amount).cast("double").alias("lines_total"), F.max(declared).cast("double").alias("doc_total"), *more)
     return d.withColumn("ratio", F.try_divide("lines_total", "doc_total")).withColumn("outside", F.abs(F.col("ratio") - 1) > tolerance)
 
 

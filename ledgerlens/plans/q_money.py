@@ -110,8 +110,7 @@ def document_totals(spark, sf_dir):
 SELECT mechanism, count(*) AS n_docs, count(*) FILTER (WHERE abs(ratio - 1) > 0.01) AS n_outside, round(quantile_cont(ratio, 0.25), 6) AS q1, round(quantile_cont(ratio, 0.5), 6) AS q2, round(quantile_cont(ratio, 0.75), 6) AS q3 FROM r GROUP BY mechanism""")
 def doc_reconciliation(spark, sf_dir):
     """The sum of a document's lines against its declared total."""
-    rows = lines(spark, sf_dir)
-    d = M.reconcile_documents(rows, "doc", "amount", "doc_total").join(rows.groupBy("doc").agg(F.min("mechanism").alias("mechanism")), "doc")
+    d = M.reconcile_documents(lines(spark, sf_dir), "doc", "amount", "doc_total", more=(F.min("mechanism").alias("mechanism"),))
     d = d.withColumn("mechanism", F.coalesce("mechanism", F.lit("")))
     g = d.groupBy("mechanism").agg(F.count("*").alias("n_docs"), F.count_if("outside").alias("n_outside")).join(R.quantiles(d, ["mechanism"], "ratio", [0.25, 0.5, 0.75]), "mechanism", "left")
     g = g.withColumn("mechanism", F.nullif("mechanism", F.lit("")))

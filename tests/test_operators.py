@@ -239,3 +239,14 @@ def test_design_fit_where_every_stratum_is_certain(spark):
 
     f = lambda n, k: sampling.design_fit(spark.createDataFrame([(1.0,)] * n, "pi double"), k).first()
     assert f(18, 12).z == float("-inf") and f(3, 12).z == float("inf") and f(12, 12).z != f(12, 12).z and f(18, 12).sd == 0
+
+
+def test_doc_reconciliation_joins_lines_once(spark):
+    from ledgerlens.operators import money
+    from ledgerlens.plans import q_money
+
+    rows = spark.createDataFrame([(1, 10, 30, "b"), (1, 20, 30, "a"), (2, 5, 4, None)], "doc long, amount long, declared long, mechanism string")
+    got = money.reconcile_documents(rows, "doc", "amount", "declared", more=(F.min("mechanism").alias("first"),)).orderBy("doc").collect()
+    assert [(r.ratio, r.outside, r.first) for r in got] == [(1.0, False, "a"), (1.25, True, None)]
+    plan = q_money.doc_reconciliation(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
