@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, read back from Parquet under path, a folder of the shared one: lineage
+    ends here. Unlike a checkpoint this computes them once, compresses them, and gives the
+    next stage tasks by bytes: few small rows of many partitions do not stay many tasks."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes what was stored there, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the value as text, modulo n (null ids count as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -82,13 +102,25 @@ def lean(batches):
 
 
 @contextlib.contextmanager
-def short_batches(spark: SparkSession, rows: int = 256):
-    """Jobs run inside hand Python at most so many rows at once (rows of two texts can be
-    long); the session's own setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def short_batches(spark: SparkSession, rows: int = 256):
+    """Jobs run inside hand Python at most so many rows at once (rows of two texts can be
+    long); the session's own setting comes back afterwards."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def swept(spark: SparkSession):
+    """Shuffle files of an action inside go when it ends, not when the driver happens to
+    collect its garbage. For frames that are stored once and not run again."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

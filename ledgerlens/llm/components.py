@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import dropped, folder, stored, swept
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -28,22 +28,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.select(F.inline(pairs)).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, base: str | None = None) -> DataFrame:
     """(node, component) for every node that has an edge; component is the least node reached.
 
-    Edges are undirected; loops, repeats and nulls do not matter. Every round is cut from
-    its lineage in reliable storage, so a lost executor costs at most one round.
+    Edges are undirected; loops, repeats and nulls do not matter. Every round is stored in
+    the shared folder (under base), so a lost executor costs at most one round; the round
+    before goes.
     """
+    spark = edges.sparkSession
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = cut(e), None
-    for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+    base, before = base or folder(spark, "components"), None
+    with swept(spark):
+        e = stored(e, f"{base}/0")
+        for k in range(max_rounds):
+            e = stored(_small_star(_large_star(e)), f"{base}/{k + 1}")
+            dropped(spark, f"{base}/{k}")
+            now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+            if now == before or not now[0]:
+                break
+            before = now
+        else:
+            raise RuntimeError("components did not settle")
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -16,13 +16,12 @@ that go are few enough to be broadcast.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import cut, fresh, lean, shared_dir, short_batches, sliced
+from .common import dropped, folder, fresh, lean, short_batches, sliced, stored, swept
 from .components import components
 from .simhash import BITS, fingerprint_links
 
@@ -124,16 +123,16 @@ def _shingler(size: int, seed: int):
     return run
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, least: float, seed: int) -> DataFrame:
+def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, least: float, seed: int, base: str) -> DataFrame:
     """(a, b): pairs of different components that share a shingle of both prefixes. members
     has distinct node and component."""
-    sets = cut(members.select("node").join(texts, "node").select("node", "text").mapInArrow(_shingler(size, seed), "node long, size int, shingle long"))
+    sets = stored(members.select("node").join(texts, "node").select("node", "text").mapInArrow(_shingler(size, seed), "node long, size int, shingle long"), f"{base}/shingles")
     # rarest first; ``least`` of the shingles must be shared, so one of the others and one more is
     seen = sets.groupBy("shingle").agg(F.count("*").alias("n"))
     order = Window.partitionBy("node").orderBy("n", "shingle")
     ranked = sets.join(seen, "shingle").withColumn("rk", F.row_number().over(order))
     prefix = ranked.where((F.col("rk") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1) & (F.col("n") > 1))
-    prefix = cut(prefix.select("node", "size", "shingle").join(members, "node"))
+    prefix = stored(prefix.select("node", "size", "shingle").join(members, "node"), f"{base}/prefix")
     left, right = (prefix.select("shingle", F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("size").alias(f"n_{x}")) for x in "ab")
     long_enough = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
     return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & long_enough).select("a", "b")
@@ -180,11 +179,12 @@ def _block_judge(least: float):
     return run
 
 
-def _block_pairs(members: DataFrame, texts: DataFrame, size: int, least: float, seed: int) -> DataFrame:
+def _block_pairs(members: DataFrame, texts: DataFrame, size: int, least: float, seed: int, base: str | None = None) -> DataFrame:
     """(a, b): the similar pairs of a bucket's members of different components. members has
     band, node and component. A bucket is dealt into blocks by its members' shingles, so no
     group has to fit one task, and each two blocks are a unit of their own."""
-    sets = cut(members.select("node").distinct().join(texts, "node").select("node", "text").mapInArrow(_setter(size, seed), "node long, size long, set binary"))
+    base = base or folder(members.sparkSession, "blocks")
+    sets = stored(members.select("node").distinct().join(texts, "node").select("node", "text").mapInArrow(_setter(size, seed), "node long, size long, set binary"), f"{base}/sets")
     sized = members.join(sets.select("node", "size"), "node")
     blocks = sized.groupBy("band").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
@@ -205,10 +205,8 @@ def _signed(docs: DataFrame, text_col: str, size: int, seed: int) -> tuple[DataF
     fed = docs.select("*", F.monotonically_increasing_id().alias(names[0]), F.col(text_col).cast("string").alias(fresh("text_", docs.columns)))
     kinds = [LongType(), LongType(), LongType(), ArrayType(LongType())]
     schema = StructType([*docs.schema.fields, *map(StructField, names, kinds)])
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/signed-{uuid.uuid4().hex}"
     with short_batches(docs.sparkSession):
-        fed.mapInArrow(_signer(schema.names, size, seed), schema).write.parquet(path)
-    return docs.sparkSession.read.schema(schema).parquet(path), names
+        return stored(fed.mapInArrow(_signer(schema.names, size, seed), schema), folder(docs.sparkSession, "signed")), names
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000, dense: int = 4) -> DataFrame:
@@ -217,14 +215,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     result is the same for every ``small`` and ``dense``, the most pairs of a bucket that all
     meet, and the most for each of its members that meet as rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _grouped(_signed(rows, "text", size, seed)[0], size, least, seed, small, dense).select("node", "lead.least_id", "component")
+    base = folder(docs.sparkSession, "groups")
+    return _grouped(_signed(rows, "text", size, seed)[0], size, least, seed, small, dense, base).select("node", "lead.least_id", "component")
 
 
-def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int, dense: int) -> DataFrame:
+def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int, dense: int, base: str) -> DataFrame:
     """(node, lead, component) from rows of doc_id, text, row, node, fp, bands; lead is the
-    least id of a node and the first row that has it, null where no row has an id."""
+    least id of a node and the first row that has it, null where no row has an id. What it
+    reads is stored under base."""
+    with swept(rows.sparkSession):
+        nodes, joined = _joined(rows, size, least, seed, small, dense, base)
+    return nodes.join(joined, "node", "left").select("node", "lead", F.coalesce("component", "node").alias("component"))
+
+
+def _joined(rows: DataFrame, size: int, least: float, seed: int, small: int, dense: int, base: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes, and the components of those that have a link."""
     lead = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("least_id"), "row"))
-    nodes = cut(rows.groupBy("node").agg(F.min(lead).alias("lead"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    nodes = stored(rows.groupBy("node").agg(F.min(lead).alias("lead"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")), f"{base}/nodes")
     # SimHash: nodes of one fingerprint, and BK-tree links between fingerprints
     reps = nodes.where(F.size("bands") > 0).groupBy("fp").agg(F.min("node").alias("rep"))
     same = nodes.join(reps, "fp").where("node <> rep and size(bands) > 0").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -232,19 +239,19 @@ def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int, de
     # MinHash: the members of each band's bucket
     members = nodes.select("node", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = cut(members.join(buckets, "band"))
+    members = stored(members.join(buckets, "band"), f"{base}/members")
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = cut(ordered(close.unionByName(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))))
+    first = stored(ordered(close.unionByName(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))), f"{base}/first")
     wanted = first.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    texts = cut(rows.select("node", "text").join(_few(wanted), F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
+    texts = stored(rows.select("node", "text").join(_few(wanted), F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), f"{base}/texts")
 
     def similar(pairs: DataFrame) -> DataFrame:
         one, other = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_judge(size, least, seed), "a long, b long")
 
     with short_batches(rows.sparkSession):
-        links = cut(similar(first))
-    joined = components(links)
+        links = stored(similar(first), f"{base}/links")
+    joined = components(links, base=f"{base}/near")
     # pairs of a bucket that the hubs left apart
     placed = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     # how many pairs of a bucket's members lie in different components
@@ -252,15 +259,16 @@ def _grouped(rows: DataFrame, size: int, least: float, seed: int, small: int, de
     apart = sizes.select("band", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("crossing")).where("crossing > 0")
     # rows of pairs grow with the members, and not with the square of a bucket
     way = F.when(F.col("crossing") > small, "prefixes").when(F.col("crossing") > dense * F.col("m"), "blocks").otherwise("pairs")
-    placed = cut(placed.join(apart.select("band", way.alias("way")), "band"))
+    placed = stored(placed.join(apart.select("band", way.alias("way")), "band"), f"{base}/placed")
     left, right = (placed.where("way = 'pairs'").select("band", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     second = left.join(right, "band").where("a < b and of_a <> of_b").select("a", "b")
     many = placed.where("way = 'prefixes'").select("node", "component").distinct()
-    second = ordered(second.unionByName(_prefix_pairs(many, texts, size, least, seed))).join(first, ["a", "b"], "left_anti")
+    second = ordered(second.unionByName(_prefix_pairs(many, texts, size, least, seed, base))).join(first, ["a", "b"], "left_anti")
     with short_batches(rows.sparkSession):
-        more = cut(similar(second).unionByName(_block_pairs(placed.where("way = 'blocks'").select("band", "node", "component"), texts, size, least, seed)))
-    joined = components(links.unionByName(more))
-    return nodes.join(joined, "node", "left").select("node", "lead", F.coalesce("component", "node").alias("component"))
+        more = similar(second).unionByName(_block_pairs(placed.where("way = 'blocks'").select("band", "node", "component"), texts, size, least, seed, base))
+        more = stored(more, f"{base}/more")
+    joined = components(links.unionByName(more), base=f"{base}/all")
+    return nodes, joined
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, least: float = 0.8, seed: int = 42, small: int = 500_000, dense: int = 4) -> DataFrame:
@@ -269,8 +277,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     void = {c for c, kind in docs.dtypes if kind == "void"}  # no file format stores these
     rows, (row, node, fp, bands) = _signed(docs.withColumns({c: F.col(c).cast("string") for c in void}), text_col, size, seed)
     own = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(x) for c, x in ((row, "row"), (node, "node"), (fp, "fp"), (bands, "bands"))))
-    found = cut(_grouped(own, size, least, seed, small, dense).where("lead is not null").select("node", "component", "lead"))
-    first = found.groupBy("component").agg(F.min(F.struct("lead.least_id", "node", "lead.row")).alias("f")).select("component", F.col("f.row").alias("first"))
-    gone = own.where("doc_id is not null").select("row", "node").join(found.join(first, "component").select("node", "first"), "node").where("row <> first")
-    gone = cut(gone.select(F.col("row").alias(row)))
-    return rows.join(_few(gone), row, "left_anti").select(*(F.lit(None).alias(c) if c in void else F.col(c) for c in docs.columns))
+    spark = docs.sparkSession
+    base, last = folder(spark, "groups"), folder(spark, "gone")
+    grouped = _grouped(own, size, least, seed, small, dense, base).where("lead is not null").select("node", "component", "lead")
+    with swept(spark):
+        found = stored(grouped, f"{base}/found")
+        first = found.groupBy("component").agg(F.min(F.struct("lead.least_id", "node", "lead.row")).alias("f")).select("component", F.col("f.row").alias("first"))
+        gone = own.where("doc_id is not null").select("row", "node").join(found.join(first, "component").select("node", "first"), "node").where("row <> first")
+        gone = _few(stored(gone.select(F.col("row").alias(row)), last))
+    dropped(spark, base)
+    return rows.join(gone, row, "left_anti").select(*(F.lit(None).alias(c) if c in void else F.col(c) for c in docs.columns))

@@ -8,11 +8,12 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, components, fertility, hamming, htmltext, jaccard, langid, mixing, sharding, simhash, toxicity
+from ledgerlens.llm import bpe, chat, common, components, fertility, hamming, htmltext, jaccard, langid, mixing, sharding, simhash, toxicity
 from ledgerlens.llm.common import crc_mod
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -618,6 +619,35 @@ def test_near_dedup_compares_blocks_of_large_buckets(spark, monkeypatch):
     assert got == sorted((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in near)
 
 
+def test_near_dedup_gives_its_disk_back(spark, monkeypatch, tmp_path):
+    """Many partitions of few rows: shuffle files go with each action, steps with the last."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p.name for d in dirs for p in Path(d).rglob("shuffle_*")}
+    wide = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    swept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, there = {k: spark.conf.get(k) for k in [*wide, swept]}, files()
+    df = spark.createDataFrame([(k, t) for k, t, *_ in corpus(60)] + [(100 + k, t) for k, t, *_ in corpus(60)], "doc_id long, text string")
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        got = jaccard.keep_first(df)
+        ends = time.monotonic() + 20
+        while files() - there and time.monotonic() < ends:  # they go in the background
+            time.sleep(0.2)
+        assert not files() - there
+    finally:
+        for k in wide:
+            spark.conf.set(k, was[k])
+    assert spark.conf.get(swept) == was[swept]
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["gone", "signed"]
+    assert sorted(r.doc_id for r in got.collect()) == list(range(60)) and got.count() == 60
+    # a round of components is stored over as many files as its rows need, and replaces the last
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    assert components.components(edges.repartition(40), base=f"{tmp_path}/near").where("component = 0").count() == 301
+    assert len(list((tmp_path / "near").iterdir())) == 1
+
+
 def test_shingle_hashes_are_those_of_the_shingles():
     import xxhash
 
