@@ -14,6 +14,9 @@ histogram. Plain counts of words, symbols and repeats come beside it.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,22 +43,36 @@ class _Words(dict):
         self.tokens = np.zeros(1 << 14, np.int32)
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
-        new = [w for w in set(found) if w not in self]
-        if new:
-            texts = [w.decode() for w in new]
-            for word, text, ids in zip(new, texts, self.model.encode(texts, num_threads=1), strict=True):
-                k, a = len(self), self.start[len(self)]
-                if k + 2 > len(self.start):
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                    self.second = np.concatenate([self.second, np.zeros_like(self.second)])
-                while a + len(ids) > len(self.tokens):
-                    self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
-                self.tokens[a : a + len(ids)] = ids
-                self.start[k + 1] = a + len(ids)
-                if self.encode:
-                    self.second[k] = len(self.encode(" " + text))
-                self[word] = k
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        out = np.fromiter(map(self.get, found, itertools.repeat(-1)), np.int64, len(found))
+        unknown = np.flatnonzero(out < 0)
+        if len(unknown):
+            missed = [found[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            out[unknown] = np.fromiter(map(self.__getitem__, missed), np.int64, len(missed))
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Words that are not known yet, all at once."""
+        joined = b" ".join(new).decode()
+        texts = joined.split(" ")
+        ids = self.model.encode(texts, num_threads=1)
+        k, n = len(self), len(new)
+        ends = self.start[k] + np.cumsum(np.fromiter(map(len, ids), np.int64, n))
+        self.start, self.second = _longer(self.start, k + n + 1), _longer(self.second, k + n)
+        self.tokens = _longer(self.tokens, int(ends[-1]))
+        self.tokens[self.start[k] : ends[-1]] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(ends[-1] - self.start[k]))
+        self.start[k + 1 : k + n + 1] = ends
+        if self.encode:
+            self.second[k : k + n] = self.encode(texts, joined)
+        self.update(zip(new, range(k, k + n), strict=True))
+
+
+def _longer(values: np.ndarray, least: int) -> np.ndarray:
+    """The values with room for as many at least; room is doubled."""
+    size = len(values)
+    while size < least:
+        size *= 2
+    return values if size == len(values) else np.concatenate([values, np.zeros(size - len(values), values.dtype)])
 
 
 def repeated_words(words: np.ndarray, size: int = 8) -> int:
@@ -92,11 +109,9 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def measures(text: str, words: _Words, is_byte: np.ndarray) -> list[float]:
-    raw = text.encode()
-    found = raw.split()
-    n = len(found)
-    ids = words.numbers(found)
+def measures(text: str, ids: np.ndarray, words: _Words, is_byte: np.ndarray) -> list[float]:
+    """Of a text whose words have these numbers."""
+    n = len(ids)
     chars = len(text) - sum(map(text.count, SPACES))
     counts = [n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text) if "\n" in text else 0, repeated_words(ids)]
     start, stop = words.start[ids], words.start[ids + 1]
@@ -111,7 +126,34 @@ def measures(text: str, words: _Words, is_byte: np.ndarray) -> list[float]:
     return [*counts, total, chars / total, float(is_byte[tokens].mean()), entropy / np.log2(total) if total > 1 else 1.0, multi]
 
 
+def all_measures(texts: Iterable[str | None], fresh_words: Callable[[], _Words], words: _Words, is_byte: np.ndarray, most: int, step: int = 1 << 15) -> tuple[list[list[float]], _Words]:
+    """Measures of each text, and the words known by then. Words are looked up for some texts
+    together, until there are ``step``; beyond ``most`` known words a new table begins."""
+    made, some, found, ends = [], [], [], []
+
+    def flush() -> None:
+        nonlocal words
+        if len(words) > most:
+            words = fresh_words()
+        ids, a = words.numbers(found), 0
+        for text, b in zip(some, ends, strict=True):
+            made.append(measures(text, ids[a:b], words, is_byte))
+            a = b
+        some.clear(), found.clear(), ends.clear()
+
+    for text in texts:
+        text = text or ""
+        some.append(text)
+        found += text.encode().split()
+        ends.append(len(found))
+        if len(found) >= step:
+            flush()
+    flush()
+    return made, words
+
+
 def second_encoder(ranks: Ranks | None):
+    """Encodes one text."""
     if ranks is None:
         return None
     import base64
@@ -122,6 +164,32 @@ def second_encoder(ranks: Ranks | None):
     return tiktoken.Encoding("second", pat_str=ranks[1], mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
 
+def second_sizes(ranks: Ranks | None):
+    """Counts the tokens of each of many words, given the words and the words joined by
+    blanks. A blank before other characters begins a pre-token of the byte-level scheme, so
+    the words are encoded at once, and their first tokens are those that begin with a blank.
+    White space inside a word could be taken together with the blank: then each is encoded
+    by itself."""
+    if ranks is None:
+        return None
+    import base64
+
+    encode = second_encoder(ranks)
+    merges = {int(n): base64.b64decode(t) for t, n in map(bytes.split, ranks[0].splitlines())}
+    first = np.zeros(max(merges) + 1, bool)
+    first[[n for n, t in merges.items() if t.startswith(b" ")]] = True
+
+    def sizes(texts: list[str], joined: str) -> np.ndarray:
+        if len(joined.split()) == len(texts):
+            ids = np.array(encode(" " + joined), np.int64)
+            at = np.flatnonzero(first[ids])
+            if len(at) == len(texts):
+                return np.diff(at, append=len(ids))
+        return np.array([len(encode(" " + x)) for x in texts], np.int64)
+
+    return sizes
+
+
 def _measurer(shared, names: list[str], most: int = 200_000):
     """Appends the measures to the rows; the text is their last column."""
 
@@ -130,15 +198,11 @@ def _measurer(shared, names: list[str], most: int = 200_000):
         import sentencepiece
 
         proto, ranks = shared.value
-        model, second = sentencepiece.SentencePieceProcessor(model_proto=proto), second_encoder(ranks)
+        model, second = sentencepiece.SentencePieceProcessor(model_proto=proto), second_sizes(ranks)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         words = _Words(model, second)
         for batch in sliced(batches):
-            made = []
-            for x in batch.columns[-1]:
-                if len(words) > most:
-                    words = _Words(model, second)
-                made.append(measures(x.as_py() or "", words, is_byte))
+            made, words = all_measures((x.as_py() for x in batch.columns[-1]), lambda: _Words(model, second), words, is_byte, most)
             cols = np.array(made, np.float64).reshape(-1, len(COUNTS) + len(RATES))
             new = [pa.array(cols[:, k].astype(np.int64)) if k < len(COUNTS) else pa.array(cols[:, k]) for k in range(cols.shape[1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)

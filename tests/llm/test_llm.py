@@ -10,6 +10,7 @@ import time
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -1014,6 +1015,36 @@ def test_rates_bands_and_verdicts_equal_brute_force(spark, pieces):
             assert r.kept == (inside and not r.base_failed)
 
 
+def test_words_of_many_texts_are_encoded_together(pieces):
+    import sentencepiece
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read(), public_tokenizers.PATTERN
+    model, second = sentencepiece.SentencePieceProcessor(model_proto=pieces), fertility.second_encoder(ranks)
+    calls = []
+
+    class Counted:
+        def encode(self, texts, **kw):
+            calls.append(len(texts))
+            return model.encode(texts, **kw)
+
+    rng = random.Random(6)
+    odd = ["it's", "'t", "a\xa0", "\xa0", "\xa0b", "\x85x\x1c", "\u3000", "12a", "\u2581", "e\u0301", "\u0301", "\xad", "a" * 500, "\U0001f300!?", "<|endoftext|>", "ka", "mo,"]
+    texts = [" ".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, ""]
+    made, words = fertility.all_measures(texts, None, fertility._Words(Counted(), fertility.second_sizes(ranks)), np.zeros(model.get_piece_size(), bool), 1 << 20)
+    assert len(calls) == 1 and calls[0] == len(words) == len(odd)
+    assert [len(m) for m in made] == [len(fertility.COUNTS + fertility.RATES)] * len(texts)
+    for w, k in words.items():
+        assert words.tokens[words.start[k] : words.start[k + 1]].tolist() == model.encode(w.decode())
+        assert words.second[k] == len(second(" " + w.decode()))
+    # words without white space of their own are read as one text
+    plain = [x for x in odd if len(x.split()) == 1 and x.split()[0] == x]
+    assert fertility.second_sizes(ranks)(plain, " ".join(plain)).tolist() == [len(second(" " + x)) for x in plain]
+    # tables of few words begin anew, with the same measures
+    again, _ = fertility.all_measures(texts, lambda: fertility._Words(model, fertility.second_sizes(ranks)), fertility._Words(model, fertility.second_sizes(ranks)), np.zeros(model.get_piece_size(), bool), 5, 40)
+    assert again == made
+
+
 def test_fertility_of_awkward_tables(awkward, empty, pieces):
     out = fertility.judge(awkward, pieces, group=F.col("lang")).collect()
     assert len(out) == len(AWKWARD) and fertility.judge(empty, pieces).count() == 0
